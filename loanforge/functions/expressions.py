@@ -33,7 +33,8 @@ def bin_right_closed(c: Column, edges: Sequence[float], open_ends: bool = False)
 def bin_left_closed(c: Column, lo: Column, hi: Column, n_bins: int) -> Column:
     """0-based equal-width bin, left-closed with the last bin closed."""
     pos = F.floor((c - lo) / (hi - lo) * F.lit(float(n_bins))).cast("int")
-    return F.when(hi == lo, F.lit(0)).otherwise(F.least(pos, F.lit(n_bins - 1)))
+    # least() skips nulls, so the null test comes first
+    return F.when(c.isNull(), F.lit(None).cast("int")).when(hi == lo, F.lit(0)).otherwise(F.least(pos, F.lit(n_bins - 1)))
 
 
 def corrected_skew(c: Column) -> Column:

@@ -8,6 +8,9 @@ from loanforge.plans.registry import Query
 
 AREAS = [
     "evaluation_queries",
+    "data_queries",
+    "prep_queries",
+    "feature_queries",
 ]
 
 

@@ -198,7 +198,7 @@ def _(spark, d):
 @REG.query(
     "j16_calibration",
     W + """, q AS (SELECT quantile_cont(p,[0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS q FROM scored),
- b AS (SELECT y, p, CAST(len(list_filter(q, x -> x < p)) AS INTEGER) AS bin FROM scored, q)
+ b AS (SELECT y, p, CAST(len(list_filter(q, lambda x: x < p)) AS INTEGER) AS bin FROM scored, q)
  SELECT bin, round(avg(y),6) AS actual_rate, round(avg(p),6) AS predicted_rate, count(*) AS n FROM b GROUP BY bin""",
 )
 def _(spark, d):

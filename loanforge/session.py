@@ -49,3 +49,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder for a query's own written tables."""
+    import uuid
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/loanforge-{name}-{uuid.uuid4().hex}"
