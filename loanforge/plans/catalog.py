@@ -11,6 +11,7 @@ AREAS = [
     "data_queries",
     "prep_queries",
     "feature_queries",
+    "risk_queries",
 ]
 
 
