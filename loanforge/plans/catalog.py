@@ -12,6 +12,8 @@ AREAS = [
     "prep_queries",
     "feature_queries",
     "risk_queries",
+    "governance_queries",
+    "model_queries",
 ]
 
 

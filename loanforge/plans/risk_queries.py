@@ -202,22 +202,33 @@ def _(spark, d):
 # ---- exposure ------------------------------------------------------------
 
 _LID = "l_orderkey, l_linenumber, loan_amount"
+
+
+def money(c):
+    """Half-up to four digits on the eight-digit decimal, the same in both engines."""
+    return F.round(F.round(c, 8), 4)
+
+
+def money_sql(x: str) -> str:
+    return f"round(CAST({x} AS DECIMAL(28,8)),4)::DOUBLE"
+
+
 _BAL = "WITH " + LOANS + """, b AS (SELECT *, months_on_book/12.0::DOUBLE AS t, term_months/12.0::DOUBLE AS n FROM loans),
  c AS (SELECT *, least(t,n) AS m, pow(1+interest_rate,n) AS fn FROM b),
  bal AS (SELECT *, greatest(CASE WHEN interest_rate>1e-9 AND fn<>1 THEN loan_amount*(fn-pow(1+interest_rate,m))/(fn-1) ELSE loan_amount*(1-least(greatest(m/n,0),1)) END,0) AS balance FROM c)"""
 
 
-@REG.query("h1_outstanding_balance", _BAL + f" SELECT {_LID}, round(balance,6) AS balance FROM bal")
+@REG.query("h1_outstanding_balance", _BAL + f" SELECT {_LID}, {money_sql('balance')} AS balance FROM bal")
 def _(spark, d):
     L = loans(spark, d)
     out = ex.with_outstanding_balance(L, "loan_amount", "interest_rate", F.col("months_on_book") / F.lit(12.0), F.col("term_months") / F.lit(12.0), out="balance")
-    return out.select("l_orderkey", "l_linenumber", "loan_amount", F.round("balance", 6).alias("balance"))
+    return out.select("l_orderkey", "l_linenumber", "loan_amount", money("balance").alias("balance"))
 
 
 @REG.query(
     "h2_balance_after_payments",
     "WITH " + LOANS + f""", b AS (SELECT *, interest_rate/12.0::DOUBLE AS i, least(months_on_book,term_months)::DOUBLE AS k, term_months::DOUBLE AS n FROM loans)
- SELECT {_LID}, round(CASE WHEN i>1e-12 AND pow(1+i,n)<>1 THEN loan_amount*(pow(1+i,n)-pow(1+i,k))/(pow(1+i,n)-1) ELSE loan_amount*(1-k/n) END,6) AS balance FROM b""",
+ SELECT {_LID}, {money_sql("CASE WHEN i>1e-12 AND pow(1+i,n)<>1 THEN loan_amount*(pow(1+i,n)-pow(1+i,k))/(pow(1+i,n)-1) ELSE loan_amount*(1-k/n) END")} AS balance FROM b""",
 )
 def _(spark, d):
     from loanforge.functions.finance import balance_after_payments
@@ -225,7 +236,7 @@ def _(spark, d):
     L = loans(spark, d)
     k = F.least(F.col("months_on_book"), F.col("term_months")).cast("double")
     b = balance_after_payments(F.col("loan_amount"), F.col("interest_rate") / F.lit(12.0), F.col("term_months").cast("double"), k)
-    return L.select("l_orderkey", "l_linenumber", "loan_amount", F.round(b, 6).alias("balance"))
+    return L.select("l_orderkey", "l_linenumber", "loan_amount", money(b).alias("balance"))
 
 
 EAD = "WITH " + LOANS + """, b AS (SELECT *, months_on_book/12.0::DOUBLE AS t, term_months/12.0::DOUBLE AS ny,
@@ -239,15 +250,16 @@ EAD = "WITH " + LOANS + """, b AS (SELECT *, months_on_book/12.0::DOUBLE AS t, t
 @REG.query(
     "h3_ead_schedule",
     EAD + f""" SELECT {_LID}, payment_frequency, per AS periods_per_year, n AS n_periods, round(el,6) AS periods_elapsed, k AS completed_periods, round(fr,6) AS period_fraction_elapsed,
- round(i,8) AS periodic_rate, interest_rate AS annual_rate, round(principal,6) AS outstanding_principal, round(accrued,6) AS accrued_interest, round(ead,6) AS ead FROM ead""",
+ round(i,8) AS periodic_rate, interest_rate AS annual_rate, {money_sql('principal')} AS outstanding_principal, {money_sql('accrued')} AS accrued_interest, {money_sql('ead')} AS ead FROM ead""",
 )
 def _(spark, d):
     L = loans(spark, d)
     e = ex.with_ead_schedule(L, "loan_amount", "interest_rate", F.col("months_on_book") / F.lit(12.0), F.col("term_months") / F.lit(12.0), F.col("payment_frequency"))
-    digits = {"periods_elapsed": 6, "period_fraction_elapsed": 6, "periodic_rate": 8, "outstanding_principal": 6, "accrued_interest": 6, "ead": 6}
+    digits = {"periods_elapsed": 6, "period_fraction_elapsed": 6, "periodic_rate": 8}
+    cash = ("outstanding_principal", "accrued_interest", "ead")
     names = ["payment_frequency", "periods_per_year", "n_periods", "periods_elapsed", "completed_periods", "period_fraction_elapsed",
              "periodic_rate", "annual_rate", "outstanding_principal", "accrued_interest", "ead"]
-    return e.select("l_orderkey", "l_linenumber", "loan_amount", *[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in names])
+    return e.select("l_orderkey", "l_linenumber", "loan_amount", *[money(c).alias(c) if c in cash else F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in names])
 
 
 @REG.query(
@@ -297,11 +309,13 @@ def ecl_table(spark, d):
 
 @REG.query(
     "h7_ecl_per_loan",
-    ECL + f" SELECT {_LID}, ifrs9_stage, round(pd_12m,6) AS pd_12m, round(pd_lifetime,6) AS pd_lifetime, round(lgd,6) AS lgd, round(ead,6) AS ead, round(ecl_12m,6) AS ecl_12m, round(ecl,6) AS ecl FROM ecl",
+    ECL + f" SELECT {_LID}, ifrs9_stage, round(pd_12m,6) AS pd_12m, round(pd_lifetime,6) AS pd_lifetime, round(lgd,6) AS lgd, {money_sql('ead')} AS ead, {money_sql('ecl_12m')} AS ecl_12m, {money_sql('ecl')} AS ecl FROM ecl",
 )
 def _(spark, d):
-    digits = {"pd_12m": 6, "pd_lifetime": 6, "lgd": 6, "ead": 6, "ecl_12m": 6, "ecl": 6}
-    return ecl_table(spark, d).select("l_orderkey", "l_linenumber", "loan_amount", "ifrs9_stage", *[F.round(c, k).alias(c) for c, k in digits.items()])
+    rates, cash = ("pd_12m", "pd_lifetime", "lgd"), ("ead", "ecl_12m", "ecl")
+    return ecl_table(spark, d).select(
+        "l_orderkey", "l_linenumber", "loan_amount", "ifrs9_stage", *[F.round(c, 6).alias(c) for c in rates], *[money(c).alias(c) for c in cash]
+    )
 
 
 @REG.query(
@@ -326,11 +340,11 @@ def _(spark, d):
 
 @REG.query(
     "h8_top_loans",
-    ECL + f" SELECT {_LID}, ifrs9_stage, round(ead,6) AS ead, round(ecl,6) AS ecl FROM ecl ORDER BY ecl.ecl DESC, l_orderkey, l_linenumber LIMIT 20",
+    ECL + f" SELECT {_LID}, ifrs9_stage, {money_sql('ead')} AS ead, {money_sql('ecl')} AS ecl FROM ecl ORDER BY ecl.ecl DESC, l_orderkey, l_linenumber LIMIT 20",
 )
 def _(spark, d):
     t = ex.top_loans(ecl_table(spark, d), ["l_orderkey", "l_linenumber"], 20)
-    return t.select("l_orderkey", "l_linenumber", "loan_amount", "ifrs9_stage", F.round("ead", 6).alias("ead"), F.round("ecl", 6).alias("ecl"))
+    return t.select("l_orderkey", "l_linenumber", "loan_amount", "ifrs9_stage", money("ead").alias("ead"), money("ecl").alias("ecl"))
 
 
 # ---- stress --------------------------------------------------------------
