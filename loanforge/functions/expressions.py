@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later expressions read many times.
+
+    A one-element generator keeps the optimizer from inlining ``value`` into a
+    lambda body, where it would be computed again for every array element.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def safe_div(a: Column, b: Column, other: float = 0.0) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(other))
 

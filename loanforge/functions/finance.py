@@ -46,39 +46,37 @@ def frequency_label(freq: Column | None) -> Column:
     return F.when(f.isin(list(PERIODS_PER_YEAR)), f).otherwise(F.lit(DEFAULT_FREQUENCY))
 
 
-def ead_schedule(amount: Column, rate: Column, years: Column, term: Column, freq: Column | str | None = None) -> dict[str, Column]:
+def ead_stages(amount: Column, rate: Column, years: Column, term: Column, freq: Column | str | None = None) -> list[dict[str, Column]]:
     """Exposure by payment schedule: principal after the last payment plus interest accrued since.
 
-    ``rate`` is an annual fraction. Periods round half to even.
+    Returned as successive column sets, each built on the one before, so that no
+    intermediate is written out twice in generated code. ``rate`` is an annual
+    fraction; periods round half to even.
     """
     if isinstance(freq, str):
         if freq.strip().lower() not in PERIODS_PER_YEAR:
             raise ValueError(f"unknown payment frequency {freq!r}")
         freq = F.lit(freq)
-    p, r, t = at_least_zero(amount), at_least_zero(rate), at_least_zero(years)
-    n_years = F.when(term.cast("double") > 0, term.cast("double")).otherwise(F.greatest(t, F.lit(1.0)))
-    label = frequency_label(freq)
-    per = F.element_at(F.create_map(*[F.lit(x) for kv in PERIODS_PER_YEAR.items() for x in kv]), label).cast("double")
-    n = F.greatest(F.bround(n_years * per), F.lit(1.0))
-    i = r / per
-    elapsed = F.least(t * per, n)
-    k = F.floor(elapsed).cast("double")
-    frac = elapsed - k
-    principal = F.greatest(balance_after_payments(p, i, n, k), F.lit(0.0))
-    accrued = principal * i * frac
-    return {
-        "payment_frequency": label,
-        "periods_per_year": per,
-        "n_periods": n,
-        "periods_elapsed": elapsed,
-        "completed_periods": k,
-        "period_fraction_elapsed": frac,
-        "periodic_rate": i,
-        "annual_rate": r,
-        "outstanding_principal": principal,
-        "accrued_interest": accrued,
-        "ead": principal + accrued,
-    }
+    col = F.col
+    per = F.element_at(F.create_map(*[F.lit(x) for kv in PERIODS_PER_YEAR.items() for x in kv]), col("payment_frequency")).cast("double")
+    years_term = F.when(col("__term") > 0, col("__term")).otherwise(F.greatest(col("__years"), F.lit(1.0)))
+    i, n, k = col("periodic_rate"), col("n_periods"), col("completed_periods")
+    grow = F.when((i > 1e-12) & (col("__fn") != 1), col("__amount") * (col("__fn") - col("__fk")) / (col("__fn") - 1))
+    straight = col("__amount") * (1 - F.least(F.greatest(k / n, F.lit(0.0)), F.lit(1.0)))
+    return [
+        {
+            "__amount": at_least_zero(amount), "annual_rate": at_least_zero(rate), "__years": at_least_zero(years),
+            "__term": term.cast("double"), "payment_frequency": frequency_label(freq),
+        },
+        {"periods_per_year": per},
+        {"n_periods": F.greatest(F.bround(years_term * col("periods_per_year")), F.lit(1.0)), "periodic_rate": col("annual_rate") / col("periods_per_year")},
+        {"periods_elapsed": F.least(col("__years") * col("periods_per_year"), n)},
+        {"completed_periods": F.floor("periods_elapsed").cast("double")},
+        {"period_fraction_elapsed": col("periods_elapsed") - k, "__fn": F.pow(1 + i, n), "__fk": F.pow(1 + i, k)},
+        {"outstanding_principal": F.greatest(grow.otherwise(straight), F.lit(0.0))},
+        {"accrued_interest": col("outstanding_principal") * i * col("period_fraction_elapsed")},
+        {"ead": col("outstanding_principal") + col("accrued_interest")},
+    ]
 
 
 def ifrs9_stage(

@@ -7,6 +7,7 @@ never copies of the text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanforge.functions.expressions import compute_once
+
 CHUNK_SIZE = 600
 CHUNK_OVERLAP = 100
 TOP_K = 8
@@ -191,24 +194,38 @@ def paragraph_chunks(docs: DataFrame, text: str = "text", keep: Sequence[str] =
     return docs.select(*keep, F.posexplode(paragraph_chunk_array(F.col(text), **kw)).alias("chunk_index", "chunk"))
 
 
-def relevance(chunk: Column, keywords: Sequence[str] = REGULATORY_KEYWORDS, per_hit: float = 0.10) -> Column:
-    """0.45 for obligation words, ``per_hit`` per keyword up to 0.55, minus 0.30 for noise lines; within 0..1."""
-    low = F.lower(chunk)
+def relevance(low: Column, tokens: Column, keywords: Sequence[str] = REGULATORY_KEYWORDS, per_hit: float = 0.10) -> Column:
+    """Score of lower-cased text: 0.45 for obligation words, ``per_hit`` per keyword up to 0.55,
+    minus 0.30 for noise lines; within 0..1.
+
+    Single-word keywords are set membership among the text's ``tokens``; phrases
+    are searched only in text that holds the first word of one.
+    """
+    words = [k for k in keywords if k.isalnum()]
+    phrases = [k for k in keywords if not k.isalnum()]
+    starts = sorted({w for k in phrases for w in (re.split(r"\W", k)[0], re.sub(r"\W", "", k))})
+    lits = lambda xs: F.array(*[F.lit(x) for x in xs])
+    found = F.lit(0)
+    for k in phrases:
+        found = found + low.rlike(rf"\b{k.replace('.', '[.]?')}\b").cast("int")
     hits = F.lit(0)
-    for k in keywords:
-        head = k.split(".")[0]
-        found = F.when(low.contains(head), low.rlike(rf"\b{k.replace('.', '[.]?')}\b")).otherwise(F.lit(False))
-        hits = hits + found.cast("int")
+    if words:
+        hits = hits + F.size(F.array_intersect(tokens, lits(words)))
+    if phrases:
+        hits = hits + F.when(F.arrays_overlap(tokens, lits(starts)), found).otherwise(0)
     score = (
-        F.when(chunk.rlike(f"(?i){OBLIGATION}"), 0.45).otherwise(0.0)
+        F.when(low.rlike(OBLIGATION), 0.45).otherwise(0.0)
         + F.least(hits * F.lit(per_hit), F.lit(0.55))
-        - F.when(chunk.rlike(f"(?im){NOISE}"), 0.30).otherwise(0.0)
+        - F.when(low.rlike(f"(?m){NOISE}"), 0.30).otherwise(0.0)
     )
     return F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 6)
 
 
 def scored_chunks(chunks: DataFrame, **kw) -> DataFrame:
-    return chunks.withColumn("score", relevance(F.col("chunk"), **kw))
+    """Chunk table with its relevance score."""
+    low = compute_once(chunks, "__low", F.lower("chunk"))
+    tok = compute_once(low, "__tokens", F.split("__low", r"\W+"))
+    return tok.withColumn("score", relevance(F.col("__low"), F.col("__tokens"), **kw)).drop("__low", "__tokens")
 
 
 def relevant_chunks(scored: DataFrame, doc: str = "doc_id", min_score: float = 0.45, top: int = 40) -> DataFrame:
@@ -233,14 +250,22 @@ def build_chunk_table(docs: DataFrame, path: str, source: str = "source") -> Non
 
 def keyword_matches(docs: DataFrame, rules: Sequence[KeywordRule] = tuple(KEYWORD_RULES), text: str = "text", key: str = "doc_id") -> DataFrame:
     """Hits and PASS / WARN / FAIL of every rule on every document."""
-    low = docs.select(key, F.lower(text).alias("t"))
-    items = []
-    for r in rules:
-        found = F.array_compact(F.array(*[F.when(F.col("t").contains(k.lower()), F.lit(k)) for k in r.keywords]))
-        items.append(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), found.alias("hits"),
-                              F.lit(len(r.keywords)).alias("n_keywords"), F.lit(r.min_hits).alias("min_hits")))
+    low = compute_once(docs.select(key, F.col(text).alias("__text")), "t", F.lower("__text"))
+    table = F.array(
+        *[
+            F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.array(*[F.lit(k.lower()) for k in r.keywords]).alias("keywords"), F.lit(r.min_hits).alias("min_hits"))
+            for r in rules
+        ]
+    )
+    found = F.transform(
+        table,
+        lambda r: F.struct(
+            r["rule_id"].alias("rule_id"), r["severity"].alias("severity"), F.size(r["keywords"]).alias("n_keywords"),
+            r["min_hits"].alias("min_hits"), F.filter(r["keywords"], lambda k: F.col("t").contains(k)).alias("hits"),
+        ),
+    )
     n = F.size("r.hits")
-    return low.select(key, F.explode(F.array(*items)).alias("r")).select(
+    return low.select(key, F.explode(found).alias("r")).select(
         key, "r.rule_id", "r.severity", n.alias("n_hits"), "r.n_keywords", F.concat_ws(", ", "r.hits").alias("found"),
         F.when(n >= F.col("r.min_hits"), "PASS").when(n > 0, "WARN").otherwise("FAIL").alias("status"),
     )
@@ -248,13 +273,15 @@ def keyword_matches(docs: DataFrame, rules: Sequence[KeywordRule] = tuple(KEYWOR
 
 def first_sentence(text: Column, keywords: Sequence[str], limit: int = 200) -> Column:
     """First '.'-separated sentence with any keyword, trimmed to ``limit`` characters."""
-    def hit(s: Column) -> Column:
-        out = s.contains(keywords[0].lower())
-        for k in keywords[1:]:
-            out = out | s.contains(k.lower())
-        return out
+    words = [k.lower() for k in keywords]
+    return sentence_with(F.lower(text), F.array(*[F.lit(w) for w in words]), limit)
 
-    return F.substring(strip(F.try_element_at(F.filter(F.split(F.lower(text), r"\."), hit), F.lit(1))), 1, limit)
+
+def sentence_with(low: Column, words: Column, limit: int = 200) -> Column:
+    """First sentence of lower-cased text with any of ``words``; the text is only split when one occurs."""
+    hit = lambda s: F.exists(words, lambda w: s.contains(w))
+    first = F.try_element_at(F.filter(F.split(low, r"\."), hit), F.lit(1))
+    return F.when(hit(low), F.substring(strip(first), 1, limit))
 
 
 def quotes(docs: DataFrame, keywords: Sequence[str], text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -265,21 +292,31 @@ def document_checks(
     docs: DataFrame, checks: Sequence[DocumentCheck] = tuple(DOCUMENT_CHECKS), text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """Status and quote of every check on every document."""
-    items = [
-        F.struct(
-            F.lit(c.id).alias("check_id"), F.lit(c.stage).alias("stage"), F.lit(c.severity).alias("severity"),
-            F.lit(c.otherwise).alias("otherwise"), first_sentence(F.col(text), c.keywords).alias("quote"),
-        )
-        for c in checks
-    ]
-    return docs.select(key, F.explode(F.array(*items)).alias("r")).select(
+    low = compute_once(docs.select(key, F.col(text).alias("__text")), "t", F.lower("__text"))
+    table = F.array(
+        *[
+            F.struct(
+                F.lit(c.id).alias("check_id"), F.lit(c.stage).alias("stage"), F.lit(c.severity).alias("severity"),
+                F.lit(c.otherwise).alias("otherwise"), F.array(*[F.lit(k) for k in c.keywords]).alias("keywords"),
+            )
+            for c in checks
+        ]
+    )
+    found = F.transform(
+        table,
+        lambda c: F.struct(
+            c["check_id"].alias("check_id"), c["stage"].alias("stage"), c["severity"].alias("severity"), c["otherwise"].alias("otherwise"),
+            sentence_with(F.col("t"), c["keywords"]).alias("quote"),
+        ),
+    )
+    return low.select(key, F.explode(found).alias("r")).select(
         key, "r.check_id", "r.stage", "r.severity", F.when(F.col("r.quote").isNotNull(), "PASS").otherwise(F.col("r.otherwise")).alias("status"), "r.quote"
     )
 
 
 def stated_metrics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Metrics stated in a document: first pattern whose value lies in 0.01..1, null when none."""
-    low = docs.select(key, F.lower(text).alias("t"))
+    low = compute_once(docs.select(key, F.col(text).alias("__text")), "t", F.lower("__text"))
 
     def first_value(pattern: str) -> Column:
         found = F.transform(F.regexp_extract_all("t", F.lit(pattern), F.lit(1)), lambda v: v.try_cast("double"))

@@ -67,9 +67,11 @@ def with_outstanding_balance(
 def with_ead_schedule(
     df: DataFrame, amount: str, rate: str, years: Column, term: Column, freq: Column | str | None = None, percent: bool | None = None
 ) -> DataFrame:
-    """All schedule columns in one projection."""
-    parts = fin.ead_schedule(F.col(amount), scaled_rate(df, rate, percent), years, term, freq)
-    return df.select(*[c for c in df.columns if c not in parts], *[v.alias(k) for k, v in parts.items()])
+    """All schedule columns, stage by stage inside one generated pipeline."""
+    stages = fin.ead_stages(F.col(amount), scaled_rate(df, rate, percent), years, term, freq)
+    for s in stages:
+        df = df.withColumns(s)
+    return df.drop(*[c for s in stages for c in s if c.startswith("__")])
 
 
 def resolve_ead(

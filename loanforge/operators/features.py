@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -449,10 +450,20 @@ def fit_features(
     train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str = "y",
     transform_choices: Mapping[str, str] | None = None, woe_only: Sequence[str] = (),
 ) -> FeaturePlan:
-    """Learn all feature steps on train only."""
+    """Learn all feature steps on train only; the columns in use are cached while learning."""
     hidden = tuple(late_origin_columns([*numeric, *categorical]))
     num = [c for c in numeric if c not in hidden]
     cat = [c for c in categorical if c not in hidden]
+    train = train.select(y, *num, *cat).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit_features(train, num, cat, y, transform_choices or {}, woe_only, hidden)
+    finally:
+        train.unpersist()
+
+
+def _fit_features(
+    train: DataFrame, num: list[str], cat: list[str], y: str, choices: Mapping[str, str], woe_only: Sequence[str], hidden: tuple[str, ...]
+) -> FeaturePlan:
     many = more_distinct_than(train, num, 20)
     woe, iv = fit_woe(train, num, cat, y)
     ranked = sorted(iv, key=lambda c: -iv[c])
@@ -467,7 +478,7 @@ def fit_features(
     const = tuple(r["feature"] for r in near_constant(train, num).where("near_constant").select("feature").collect())
     binned = [c for c in num if c in many][:BINNED_FEATURES]
     return FeaturePlan(
-        log_cols=tuple(c for c in num if (transform_choices or {}).get(c) == "log1p"),
+        log_cols=tuple(c for c in num if choices.get(c) == "log1p"),
         interactions=tuple(select_interactions(train, cands, woe, num, y)),
         bins={c: woe.specs[c] for c in binned},
         frequencies=freq,

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import json
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
@@ -128,31 +129,52 @@ def _stages(name: str, columns: Sequence[str], params: Mapping | None, seed: int
 
 def fit_model(
     train: DataFrame, roles: Roles, name: str = "Logistic Regression", params: Mapping | None = None, seed: int = 42,
-    feature_plan: fe.FeaturePlan | None = None, transform_choices: Mapping[str, str] | None = None,
+    feature_plan: fe.FeaturePlan | None = None, transform_choices: Mapping[str, str] | None = None, cache: bool = True,
 ) -> FittedModel:
-    """Prepare and fit with balanced class weights; all constants come from ``train``."""
-    train = train.where(F.col(roles.target).isNotNull())
-    numeric, categorical = list(roles.numeric), list(roles.categorical)
-    source = train
-    if feature_plan is not None:
-        source = fe.apply_features(train, feature_plan)
-        have = set(source.columns)
-        added = [c for c in source.columns if c not in set(train.columns)]
-        numeric = [c for c in numeric if c in have] + added
-        categorical = [c for c in categorical if c in have]
-    plan = prep.fit_prep(source, numeric, categorical, roles.boolean, roles.datetime, transform_choices)
-    columns = plan.output_columns()
-    model = FittedModel(name, roles, plan, None, columns, feature_plan)
-    asm, est = _stages(name, columns, params, seed)
-    weighted = with_class_weights(model.prepared(train, [roles.target]).withColumnRenamed(f"__keep_{roles.target}", "label"), "label")
-    table = asm.transform(weighted.withColumn("label", F.col("label").cast("double"))).select("label", "weight", "features")
-    table.persist(StorageLevel.MEMORY_AND_DISK)
+    """Prepare and fit with balanced class weights; all constants come from ``train``.
+
+    The columns in use are cached for the few scans that learn the plan; pass
+    ``cache=False`` when ``train`` is already a slice of a cached table.
+    """
+    extra = [c for i in (feature_plan.interactions if feature_plan else ()) for c in (i.a, i.b)]
+    needed = list(dict.fromkeys([roles.target, *roles.features(), *[c for c in extra if c in train.columns]]))
+    slim = train.where(F.col(roles.target).isNotNull()).select(*needed)
+    if cache:
+        slim.persist(StorageLevel.MEMORY_AND_DISK)
+    table = None
     try:
-        fitted = est.fit(table)
+        numeric, categorical = list(roles.numeric), list(roles.categorical)
+        source = slim
+        if feature_plan is not None:
+            source = fe.apply_features(slim, feature_plan)
+            have = set(source.columns)
+            added = [c for c in source.columns if c not in set(slim.columns)]
+            numeric = [c for c in numeric if c in have] + added
+            categorical = [c for c in categorical if c in have]
+        plan = prep.fit_prep(source, numeric, categorical, roles.boolean, roles.datetime, transform_choices)
+        columns = plan.output_columns()
+        model = FittedModel(name, roles, plan, None, columns, feature_plan)
+        asm, est = _stages(name, columns, params, seed)
+        weighted = with_class_weights(model.prepared(slim, [roles.target]).withColumnRenamed(f"__keep_{roles.target}", "label"), "label")
+        table = asm.transform(weighted.withColumn("label", F.col("label").cast("double"))).select("label", "weight", "features")
+        table.persist(StorageLevel.MEMORY_AND_DISK)
+        model.pipeline = PipelineModel(stages=[asm, est.fit(table)])
+        return model
     finally:
-        table.unpersist()
-    model.pipeline = PipelineModel(stages=[asm, fitted])
-    return model
+        if table is not None:
+            table.unpersist()
+        if cache:
+            slim.unpersist()
+
+
+@contextmanager
+def cached(df: DataFrame) -> Iterator[DataFrame]:
+    """A table kept for a loop of refits."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
 
 
 def exact_auc(scored: DataFrame, y: str) -> float | None:
@@ -163,11 +185,11 @@ def cross_validate(
     df: DataFrame, roles: Roles, name: str = "Logistic Regression", params: Mapping | None = None, folds: int = 5, seed: int = 42
 ) -> list[float]:
     """Exact AUC of each fold with preparation refitted on the other folds."""
-    f = fold_column(df, roles.keys, folds, seed, "__fold")
     out = []
-    for k in range(folds):
-        m = fit_model(f.where(F.col("__fold") != k).drop("__fold"), roles, name, params, seed)
-        out.append(exact_auc(m.score(f.where(F.col("__fold") == k).drop("__fold")), roles.target))
+    with cached(fold_column(df.select(*used(roles)), roles.keys, folds, seed, "__fold")) as f:
+        for k in range(folds):
+            m = fit_model(f.where(F.col("__fold") != k).drop("__fold"), roles, name, params, seed, cache=False)
+            out.append(exact_auc(m.score(f.where(F.col("__fold") == k).drop("__fold")), roles.target))
     return out
 
 
@@ -218,6 +240,11 @@ def evaluate_oot(df: DataFrame, roles: Roles, ts: str, name: str = "Logistic Reg
     return n.withColumn("__j", F.lit(1)).join(met.withColumn("__j", F.lit(1)), "__j").drop("__j")
 
 
+def used(roles: Roles) -> list[str]:
+    """Columns a refit reads."""
+    return list(dict.fromkeys([*roles.keys, roles.target, *roles.features()]))
+
+
 def three_way(df: DataFrame, roles: Roles, test: float = 0.15, val: float = 0.15, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     s = stratified_split(df, roles.target, roles.keys, test, val, seed)
     return tuple(s.where(F.col("split") == k).drop("split") for k in ("train", "val", "test"))
@@ -225,12 +252,14 @@ def three_way(df: DataFrame, roles: Roles, test: float = 0.15, val: float = 0.15
 
 def compare_models(df: DataFrame, roles: Roles, names: Sequence[str], seed: int = 42) -> DataFrame:
     """Metric row per estimator on the same split with light settings."""
-    train, _, test = three_way(df, roles, seed=seed)
     out = None
-    for n in names:
-        m = fit_model(train, roles, n, LIGHT.get(n), seed)
-        row = ev.metric_table(m.score(test), 0.5, y=roles.target).select(F.lit(n).alias("model"), "metric", "value")
-        out = row if out is None else out.unionByName(row)
+    split = stratified_split(df.select(*used(roles)), roles.target, roles.keys, seed=seed)
+    test = split.where("split = 'test'").drop("split")
+    with cached(split.where("split = 'train'").drop("split")) as train:
+        for n in names:
+            m = fit_model(train, roles, n, LIGHT.get(n), seed, cache=False)
+            row = ev.metric_table(m.score(test), 0.5, y=roles.target).select(F.lit(n).alias("model"), "metric", "value")
+            out = row if out is None else out.unionByName(row)
     return out
 
 
@@ -286,21 +315,23 @@ def replicate(
 def seed_aucs(df: DataFrame, roles: Roles, name: str = "Logistic Regression", params: Mapping | None = None, seeds: Sequence[int] = (42, 7, 13, 99, 123)) -> list[float]:
     """Test AUC of a refit per split seed."""
     out = []
-    for s in seeds:
-        train, _, test = three_way(df, roles, seed=s)
-        out.append(exact_auc(fit_model(train, roles, name, params, s).score(test), roles.target))
+    with cached(df.select(*used(roles))) as base:
+        for s in seeds:
+            train, _, test = three_way(base, roles, seed=s)
+            out.append(exact_auc(fit_model(train, roles, name, params, s, cache=False).score(test), roles.target))
     return out
 
 
 def ablation(df: DataFrame, roles: Roles, name: str = "Logistic Regression", params: Mapping | None = None, seed: int = 42) -> dict[str, float]:
     """AUC lost when one feature is removed and the model refitted, largest loss first."""
-    train, _, test = three_way(df, roles, seed=seed)
-    base = exact_auc(fit_model(train, roles, name, params, seed).score(test), roles.target)
     out = {}
-    for f in roles.features():
-        r = roles.without(f)
-        if r.features():
-            out[f] = round(base - exact_auc(fit_model(train, r, name, params, seed).score(test), roles.target), 4)
+    with cached(stratified_split(df.select(*used(roles)), roles.target, roles.keys, seed=seed)) as split:
+        train, test = (split.where(F.col("split") == k).drop("split") for k in ("train", "test"))
+        base = exact_auc(fit_model(train, roles, name, params, seed, cache=False).score(test), roles.target)
+        for f in roles.features():
+            r = roles.without(f)
+            if r.features():
+                out[f] = round(base - exact_auc(fit_model(train, r, name, params, seed, cache=False).score(test), roles.target), 4)
     return dict(sorted(out.items(), key=lambda t: -t[1]))
 
 

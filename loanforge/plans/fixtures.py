@@ -5,18 +5,15 @@ The SQL twins are CTE bodies that DuckDB runs for the correctness check.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanforge.sources.readers import load_table
+from loanforge.sources.readers import load_table, spread
 
 LOANS_FREQ = {0: "monthly", 1: "quarterly", 2: "semi-annual", 3: "annual"}
 
 
-def scored_loans(spark: SparkSession, path: str) -> DataFrame:
-    """Scored table contract: key, y, p, ts, grp (+ drivers acctbal, price, prio)."""
+def _scored_base(spark: SparkSession, path: str) -> DataFrame:
     o = load_table(spark, path, "orders")
     c = load_table(spark, path, "customer")
     z = F.lit(-2.0) + F.col("o_totalprice") / F.lit(200000.0) - F.col("c_acctbal") / F.lit(8000.0)
@@ -30,13 +27,18 @@ def scored_loans(spark: SparkSession, path: str) -> DataFrame:
             F.col("c_acctbal").alias("acctbal"),
             F.col("o_totalprice").alias("price"),
             F.round(1.0 / (1.0 + F.exp(-z)), 6).alias("p"),
+            "o_orderstatus",
+            "c_nationkey",
         )
-        .withColumn(
-            "y", F.when(((F.col("key") * 7919) % 10007) / F.lit(10007.0) < F.col("p"), 1).otherwise(0)
-        )
+        .withColumn("y", F.when(((F.col("key") * 7919) % 10007) / F.lit(10007.0) < F.col("p"), 1).otherwise(0))
     )
 
 
+def scored_loans(spark: SparkSession, path: str) -> DataFrame:
+    """Scored table contract: key, y, p, ts, grp (+ drivers acctbal, price, prio)."""
+    return _scored_base(spark, path).drop("o_orderstatus", "c_nationkey")
+
+
 SCORED = """scored AS (
   SELECT *, CASE WHEN ((key*7919)%10007)/10007.0::DOUBLE < p THEN 1 ELSE 0 END AS y FROM (
     SELECT o_orderkey AS key, o_orderdate AS ts, c_mktsegment AS grp, o_orderpriority AS prio,
@@ -53,8 +55,10 @@ SPLIT = """split AS (
 
 def loans(spark: SparkSession, path: str) -> DataFrame:
     """Exposure table: amount, rate, months elapsed, months term, frequency, days past due, PDs, LTV."""
-    li = load_table(spark, path, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_tax", "l_discount", "l_quantity", "l_shipdate"
+    li = spread(
+        load_table(spark, path, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_tax", "l_discount", "l_quantity", "l_shipdate"
+        )
     )
     o = load_table(spark, path, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     p = load_table(spark, path, "part").select("p_partkey", "p_size", "p_retailprice")
@@ -91,13 +95,9 @@ LOANS = """loans AS (
 
 def feature_table(spark: SparkSession, path: str) -> DataFrame:
     """Modelling table with nulls placed by rule: 6% and 9% sparse, one half-empty column, counts and flags."""
-    s = scored_loans(spark, path)
-    o = load_table(spark, path, "orders").select(F.col("o_orderkey").alias("key"), "o_orderstatus", "o_custkey")
-    c = load_table(spark, path, "customer").select("c_custkey", "c_nationkey")
     k = F.col("key")
     return (
-        s.join(o, "key")
-        .join(c, F.col("o_custkey") == F.col("c_custkey"))
+        _scored_base(spark, path)
         .select(
             "key",
             "ts",

@@ -16,7 +16,7 @@ from loanforge.plans.feature_queries import woe_sql
 from loanforge.plans.registry import Registry
 from loanforge.session import scratch_path
 from loanforge.sources import runlog
-from loanforge.sources.readers import load_table
+from loanforge.sources.readers import load_table, spread
 
 REG = Registry()
 W = "WITH " + SCORED
@@ -300,7 +300,7 @@ def _phrase(i: int) -> str:
 
 
 def model_docs(spark, d):
-    t = load_table(spark, d, "documents").select("doc_id", "text", "source")
+    t = spread(load_table(spark, d, "documents").select("doc_id", "text", "source"))
     k = F.col("doc_id") % 4
     phrase = F.lit(PHRASES[3])
     for i in (2, 1, 0):

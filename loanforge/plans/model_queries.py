@@ -109,8 +109,8 @@ _SCALL = ", sall AS (SELECT * REPLACE ('all' AS grp) FROM scored), schl AS (SELE
 
 @REG.query(
     "i10_champion_challenger",
-    W + _SCALL + metric_cte("sall", "a") + metric_cte("schl", "b") + """ SELECT 'challenger' AS challenger, amt.metric, amt.value AS champion_value, bmt.value AS challenger_value, round(bmt.value-amt.value,4) AS delta,
- CASE WHEN amt.metric='roc_auc' AND amt.value<bmt.value-0.02 THEN 'WARN' ELSE 'PASS' END AS status FROM amt JOIN bmt ON amt.metric=bmt.metric WHERE amt.metric IN ('roc_auc','gini','recall')""",
+    W + _SCALL + metric_cte("sall", "w_") + metric_cte("schl", "c_") + """ SELECT 'challenger' AS challenger, w_mt.metric, w_mt.value AS champion_value, c_mt.value AS challenger_value, round(c_mt.value-w_mt.value,4) AS delta,
+ CASE WHEN w_mt.metric='roc_auc' AND w_mt.value<c_mt.value-0.02 THEN 'WARN' ELSE 'PASS' END AS status FROM w_mt JOIN c_mt ON w_mt.metric=c_mt.metric WHERE w_mt.metric IN ('roc_auc','gini','recall')""",
 )
 def _(spark, d):
     return ev.side_by_side({"champion": ev.metric_table(scored_loans(spark, d), 0.3), "challenger": ev.metric_table(_challenger(spark, d), 0.3)})
@@ -138,7 +138,7 @@ def _(spark, d):
 
 @REG.query(
     "i14_replication_checks",
-    W + _SCALL + METRICS_SQL + metric_cte("sall", "a") + """, w AS (SELECT m.grp, m.metric, m.value AS a, r.value AS b, abs(m.value-r.value) AS d FROM mt m JOIN amt r ON r.metric=m.metric),
+    W + _SCALL + METRICS_SQL + metric_cte("sall", "w_") + """, w AS (SELECT m.grp, m.metric, m.value AS a, r.value AS b, abs(m.value-r.value) AS d FROM mt m JOIN w_mt r ON r.metric=m.metric),
  x AS (SELECT grp, max(d) FILTER (metric='roc_auc') AS auc, max(d) FILTER (metric='gini') AS gini, max(d) FILTER (metric='ks') AS ks, max(d/abs(b)) FILTER (metric IN ('accuracy','precision','recall','f1')) AS rel FROM w GROUP BY grp)
  SELECT grp AS entity, 'R4.2' AS check_id, 'high' AS severity, round(auc,6) AS difference, CASE WHEN auc<=0.03 THEN 'PASS' WHEN auc<=0.06 THEN 'WARN' ELSE 'FAIL' END AS status FROM x
  UNION ALL SELECT grp, 'R4.3', 'high', round(greatest(gini,ks),6), CASE WHEN gini<=0.05 AND ks<=0.03 THEN 'PASS' ELSE 'FAIL' END FROM x
@@ -188,7 +188,7 @@ _REF = ", rb AS (SELECT min(p) AS lo, max(p) AS hi FROM scored), rs AS (SELECT C
  ww AS (SELECT w, count(*) AS n, avg(y) AS a, avg(p) AS q, abs(avg(y)-avg(p)) AS gap FROM wi GROUP BY w),
  bb AS (SELECT ww.w, r.i AS b, coalesce(max(rs.e),0.0001::DOUBLE) AS e, coalesce(nullif(count(wi.b),0)/max(ww.n)::DOUBLE,0.0001::DOUBLE) AS x FROM ww CROSS JOIN range(0,10) r(i) LEFT JOIN rs ON rs.b=r.i LEFT JOIN wi ON wi.w=ww.w AND wi.b=r.i GROUP BY 1,2),
  ps AS (SELECT w, sum((x-e)*ln(x/e)) AS psi FROM bb GROUP BY w)
- SELECT ww.w*2592000 AS window_start, n, round(a,6) AS actual_dr, round(q,6) AS avg_pred_pd, round(gap,6) AS gap, round(psi,6) AS psi, CASE WHEN psi>=0.25 THEN 'FAIL' WHEN psi>=0.1 THEN 'WARN' ELSE 'PASS' END AS status, psi>0.25 AS "trigger" FROM ww JOIN ps ON ps.w=ww.w""",
+ SELECT ww.w*2592000 AS window_start, n, round(a,6) AS actual_dr, round(q,6) AS avg_pred_pd, round(gap,4) AS gap, round(psi,6) AS psi, CASE WHEN psi>=0.25 THEN 'FAIL' WHEN psi>=0.1 THEN 'WARN' ELSE 'PASS' END AS status, psi>0.25 AS "trigger" FROM ww JOIN ps ON ps.w=ww.w""",
 )
 def _(spark, d):
     ref = mon.fit_reference(scored_loans(spark, d))

@@ -86,6 +86,17 @@ def load_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a small scan over all cores before costly per-row work.
+
+    Only a scan that yields fewer partitions than there are cores is
+    repartitioned; by then it is at most a few file splits. A large table has
+    more splits than cores and is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def load_named(spark: SparkSession, path: str, name: str) -> DataFrame:
     """As :func:`load_table`, with the list of valid names in the error."""
     known = list_tables(spark, path)

@@ -66,7 +66,7 @@ def monitor_report(counts: DataFrame, ref: ReferenceBins) -> DataFrame:
     return counts.select(
         "window_start", "window_end", "n",
         F.round(F.col("sum_y") / F.col("n"), 6).alias("actual_dr"), F.round(F.col("sum_p") / F.col("n"), 6).alias("avg_pred_pd"),
-        F.round(gap, 6).alias("gap"), F.round(psi, 6).alias("psi"), status_above(psi, PSI_WARN, PSI_FAIL).alias("status"),
+        F.round(gap, 4).alias("gap"), F.round(psi, 6).alias("psi"), status_above(psi, PSI_WARN, PSI_FAIL).alias("status"),
         (psi > PSI_FAIL).alias("trigger"),
     )
 
