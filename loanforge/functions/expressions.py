@@ -17,6 +17,14 @@ def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Every row of ``df`` beside the one row of a global aggregate.
+
+    A global aggregate is one row by construction, so Spark broadcasts it.
+    """
+    return df.withColumn("__one", F.lit(1)).join(totals.withColumn("__one", F.lit(1)), "__one").drop("__one")
+
+
 def safe_div(a: Column, b: Column, other: float = 0.0) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(other))
 
@@ -54,6 +62,16 @@ def corrected_skew(c: Column) -> Column:
     )
 
 
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows where both are present; null for a constant column.
+
+    The built-in ``corr`` raises on a constant column under ANSI arithmetic.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.sqrt(F.var_pop(F.when(both, x)) * F.var_pop(F.when(both, y)))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def status_above(value: Column, warn_at: float, fail_at: float) -> Column:
     """PASS / WARN / FAIL for a measure where higher is worse."""
     return F.when(value >= fail_at, "FAIL").when(value >= warn_at, "WARN").otherwise("PASS")

@@ -48,9 +48,21 @@ def match_column(columns: Sequence[str], names: Sequence[str]) -> str | None:
 
 
 def rate_scale(df: DataFrame, rate: str) -> float:
-    """0.01 when the median non-zero rate is above 1 (percent), else 1."""
-    q = exact_quantiles(df.select(F.when(F.col(rate) != 0, F.col(rate).cast("double")).alias("r")), ["r"], [0.5])["r"][0]
-    return 0.01 if q is not None and q > 1.0 else 1.0
+    """0.01 when the median non-zero rate is above 1 (percent), else 1.
+
+    Whether a median exceeds a limit follows from counts on both sides of it and
+    the two values next to it, so one aggregate decides without any sort.
+    """
+    r = F.col(rate).cast("double")
+    s = df.where(r != 0).agg(
+        F.count_if(r <= 1.0).alias("low"), F.count_if(r > 1.0).alias("high"),
+        F.max(F.when(r <= 1.0, r)).alias("a"), F.min(F.when(r > 1.0, r)).alias("b"),
+    ).first()
+    if s["low"] != s["high"]:
+        percent = s["high"] > s["low"]
+    else:
+        percent = s["high"] > 0 and (s["a"] + s["b"]) / 2 > 1.0
+    return 0.01 if percent else 1.0
 
 
 def scaled_rate(df: DataFrame, rate: str, percent: bool | None = None) -> Column:

@@ -12,13 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CALENDAR = Window.partitionBy(F.lit(0)).orderBy("obs_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _calendar(*order: str):
+    return Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def assemble(series: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row per observation date, one forward-filled column per series."""
     wide = series.groupBy("obs_date").pivot("series", list(names)).agg(F.first("value"))
-    return wide.select("obs_date", *[F.last(n, ignorenulls=True).over(CALENDAR).alias(n) for n in names])
+    return wide.select("obs_date", *[F.last(n, ignorenulls=True).over(_calendar("obs_date")).alias(n) for n in names])
 
 
 def as_of_months(series: DataFrame, months: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -30,7 +32,7 @@ def as_of_months(series: DataFrame, months: DataFrame, names: Sequence[str]) ->
     asked = months.where("month is not null").select(F.col("month").alias("obs_date"), F.lit(1).alias("asked"))
     both = wide.withColumn("asked", F.lit(0)).unionByName(asked, allowMissingColumns=True)
     # rows of the same date: observations first, so that a month start sees its own observation
-    w = Window.partitionBy(F.lit(0)).orderBy("obs_date", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = _calendar("obs_date", "asked")
     filled = both.select("obs_date", "asked", *[F.last(n, ignorenulls=True).over(w).alias(f"macro_{n}") for n in names])
     return filled.where("asked = 1").select(F.col("obs_date").alias("month"), *[f"macro_{n}" for n in names])
 

@@ -22,6 +22,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanforge.functions.expressions import safe_corr
 from loanforge.operators import evaluate as ev
 from loanforge.operators import features as fe
 from loanforge.operators import prep
@@ -357,7 +358,7 @@ def dataset_characteristics(df: DataFrame, features: Sequence[str], numeric: Seq
     corr = correlation_values(df, list(numeric))
     pairs = [abs(corr[(a, b)]) for i, a in enumerate(numeric) for b in numeric[i + 1 :] if corr[(a, b)] is not None]
     collinear = 100 * sum(v > 0.8 for v in pairs) / len(pairs) if pairs else 0.0
-    lin = df.agg(*[F.corr(F.col(c).cast("double"), F.col(y).cast("double")).alias(c) for c in numeric]).first()
+    lin = df.agg(*[safe_corr(F.col(c).cast("double"), F.col(y).cast("double")).alias(c) for c in numeric]).first()
     linear = sum(abs(lin[c]) if lin[c] is not None and lin[c] == lin[c] else 0.0 for c in numeric) / len(numeric)
     q = exact_quantiles(df, numeric, [0.5])
     filled = df.select(y, *[F.coalesce(F.col(c).cast("double"), F.lit(q[c][0] or 0.0)).alias(c) for c in numeric])

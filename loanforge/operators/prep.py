@@ -226,72 +226,123 @@ def apply_chained(df: DataFrame, plan: ChainedPlan) -> DataFrame:
     return work.withColumns({t: F.col(f"__f_{t}") for t in plan.targets}).drop(*[f"__f_{c}" for c in plan.cols])
 
 
+# Nearest-neighbour imputation is only proposed up to this many train rows, which bounds its donor table.
+MAX_KNN_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class KnnPlan:
-    """Standardising constants and a bounded donor table."""
+    """Standardising constants and all train rows (standardised, NaN where missing)."""
 
     cols: tuple[str, ...]
     targets: tuple[str, ...]
     mean: dict[str, float]
     sd: dict[str, float]
-    donors: tuple[tuple[float, ...], ...]
+    donors: np.ndarray
     k: int = 5
 
 
-def fit_knn(train: DataFrame, cols: Sequence[str], targets: Sequence[str], keys: Sequence[str], k: int = 5, donors: int = 500) -> KnnPlan:
-    """Donors are a fixed-size repeatable sample of complete train rows.
-
-    Nearest neighbours over all pairs do not scale; the donor count is the
-    documented approximation of this method, the imputed table is never sampled.
-    """
-    from loanforge.operators.splits import capped_sample
-
-    s = train.agg(*[x for c in cols for x in (F.avg(c).alias(f"m__{c}"), F.stddev_pop(c).alias(f"s__{c}"))]).first()
+def fit_knn(train: DataFrame, cols: Sequence[str], targets: Sequence[str], k: int = 5) -> KnnPlan:
+    """Every train row is a donor; above ``MAX_KNN_ROWS`` the strategy is chained imputation instead."""
+    s = train.agg(
+        F.count(F.lit(1)).alias("n"), *[x for c in cols for x in (F.avg(c).alias(f"m__{c}"), F.stddev_pop(c).alias(f"s__{c}"))]
+    ).first()
+    if s["n"] > MAX_KNN_ROWS:
+        raise ValueError(f"{s['n']} rows exceed the {MAX_KNN_ROWS} rows of nearest-neighbour imputation; use fit_chained")
     mean = {c: float(s[f"m__{c}"] or 0.0) for c in cols}
     sd = {c: float(s[f"s__{c}"] or 1.0) or 1.0 for c in cols}
-    complete = train.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=list(cols))
-    rows = capped_sample(complete, keys, donors).select(*cols).limit(donors).collect()
-    z = tuple(tuple((r[c] - mean[c]) / sd[c] for c in cols) for r in rows)
-    return KnnPlan(tuple(cols), tuple(targets), mean, sd, z, k)
+    z = train.select(*[((F.col(c).cast("double") - mean[c]) / sd[c]).alias(c) for c in cols]).toPandas()  # size checked above
+    return KnnPlan(tuple(cols), tuple(targets), mean, sd, z.to_numpy(dtype=float), k)
+
+
+def knn_estimates(q: np.ndarray, donors: np.ndarray, target: int, k: int) -> np.ndarray:
+    """Mean target of the ``k`` nearest donors by distance over shared coordinates, 0 when none is comparable."""
+    ok = donors[~np.isnan(donors[:, target])]
+    if not len(ok):
+        return np.zeros(len(q))
+    mq, md = (~np.isnan(q)).astype(float), (~np.isnan(ok)).astype(float)
+    zq, zd = np.nan_to_num(q), np.nan_to_num(ok)
+    shared = mq @ md.T
+    d2 = (zq**2) @ md.T - 2 * zq @ zd.T + mq @ (zd**2).T
+    d2 = np.where(shared > 0, np.maximum(d2, 0.0) * q.shape[1] / np.maximum(shared, 1.0), np.inf)
+    m = min(k, len(ok))
+    near = np.argpartition(d2, m - 1, axis=1)[:, :m]
+    dist, val = np.take_along_axis(d2, near, axis=1), ok[near, target]
+    use = np.isfinite(dist)
+    return np.where(use.any(axis=1), np.where(use, val, 0.0).sum(axis=1) / np.maximum(use.sum(axis=1), 1), 0.0)
 
 
 def apply_knn(df: DataFrame, plan: KnnPlan) -> DataFrame:
-    """Mean of the ``k`` nearest donors by distance over the observed columns.
+    """Fill the null targets from the nearest donors.
 
-    Runs as one vectorised map over Arrow batches; rows without nulls in the
-    target columns pass through untouched.
+    The donor table (bounded at fit time) is broadcast once; tasks run over
+    Arrow batches in blocks sized to the donor count.
     """
-    if not plan.donors:
-        return fill_constants(df, {t: plan.mean[t] for t in plan.targets})
-    donors = np.array(plan.donors)
-    cols, targets = plan.cols, plan.targets
+    cols, targets, k = plan.cols, plan.targets, plan.k
     mu = np.array([plan.mean[c] for c in cols])
     sd = np.array([plan.sd[c] for c in cols])
+    shared = df.sparkSession.sparkContext.broadcast(plan.donors)
+    block = max(1, 4_000_000 // max(1, len(plan.donors)))
 
     def impute(batches):
+        donors = shared.value
         for pdf in batches:
             x = (pdf[list(cols)].to_numpy(dtype=float, na_value=np.nan) - mu) / sd
-            need = np.isnan(x[:, [cols.index(t) for t in targets]]).any(axis=1)
-            if need.any():
-                q = x[need]
-                seen = ~np.isnan(q)
-                z = np.where(seen, q, 0.0)
-                # squared distance over observed coordinates, expanded to avoid a 3-d array
-                d2 = (z**2).sum(1)[:, None] - 2 * z @ donors.T + seen.astype(float) @ (donors**2).T
-                k = min(plan.k, donors.shape[0])
-                near = np.argpartition(d2, k - 1, axis=1)[:, :k]
-                for t in targets:
-                    j = cols.index(t)
-                    est = donors[near, j].mean(axis=1) * sd[j] + mu[j]
+            for t in targets:
+                j = cols.index(t)
+                gaps = np.flatnonzero(np.isnan(x[:, j]))
+                if len(gaps):
                     col = pdf[t].to_numpy(dtype=float, na_value=np.nan).copy()
-                    where = np.flatnonzero(need)
-                    gap = np.isnan(col[where])
-                    col[where[gap]] = est[gap]
+                    for i in range(0, len(gaps), block):
+                        part = gaps[i : i + block]
+                        col[part] = knn_estimates(x[part], donors, j, k) * sd[j] + mu[j]
                     pdf[t] = col
             yield pdf
 
-    schema = df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
-    return schema.mapInPandas(impute, schema.schema)
+    typed = df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
+    return typed.mapInPandas(impute, typed.schema)
+
+
+@dataclass(frozen=True)
+class ImputationPlan:
+    """Treatment per column and the learned joint imputer of the statistical block."""
+
+    treatments: dict[str, str]
+    method: str
+    medians: dict[str, float] = field(default_factory=dict)
+    chain: ChainedPlan | None = None
+    knn: KnnPlan | None = None
+
+
+def fit_imputation(
+    train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], treatments: Mapping[str, str] | None = None, method: str | None = None
+) -> ImputationPlan:
+    """Propose (or take confirmed) treatments, choose one joint method, learn it on train only.
+
+    The joint imputer sees all numeric columns kept, zero fills done first.
+    """
+    t = dict(treatments) if treatments is not None else {c: v["treatment"] for c, v in missing_treatments(train, numeric, categorical).items()}
+    block = [c for c in numeric if t.get(c) == "statistical"]
+    if not block:
+        return ImputationPlan(t, "median")
+    kept = [c for c in numeric if t.get(c) != "review_flag"]
+    filled = constant_fills(train, t)
+    how = method or imputation_strategy(filled, block, kept)["method"]
+    if how == "mice":
+        return ImputationPlan(t, how, chain=fit_chained(filled, kept, block))
+    if how == "knn":
+        return ImputationPlan(t, how, knn=fit_knn(filled, kept, block))
+    return ImputationPlan(t, "median", fit_medians(filled, block))
+
+
+def apply_imputation(df: DataFrame, plan: ImputationPlan) -> DataFrame:
+    """Apply a learned imputation to any split; review columns are left as they are."""
+    out = constant_fills(df, plan.treatments)
+    if plan.chain is not None:
+        return apply_chained(out, plan.chain)
+    if plan.knn is not None:
+        return apply_knn(out, plan.knn)
+    return fill_constants(out, plan.medians) if plan.medians else out
 
 
 # ---- transforms ----------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanforge.functions.expressions import bin_left_closed, corrected_skew
+from loanforge.functions.expressions import bin_left_closed, corrected_skew, safe_corr, with_totals
 from loanforge.operators.ordering import exact_quantiles
 
 
@@ -161,7 +161,7 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], digits: int = 4, chunk
     out = None
     for i in range(0, len(pairs), chunk):
         part = pairs[i : i + chunk]
-        a = df.agg(*[F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias(f"r{j}") for j, (x, y) in enumerate(part)])
+        a = df.agg(*[safe_corr(F.col(x).cast("double"), F.col(y).cast("double")).alias(f"r{j}") for j, (x, y) in enumerate(part)])
         rows = rows_from(
             a,
             [
@@ -179,7 +179,7 @@ def correlation_values(df: DataFrame, cols: Sequence[str]) -> dict[tuple[str, st
     out: dict[tuple[str, str], float | None] = {}
     for i in range(0, len(pairs), 300):
         part = pairs[i : i + 300]
-        r = df.agg(*[F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias(f"r{j}") for j, (x, y) in enumerate(part)]).first()
+        r = df.agg(*[safe_corr(F.col(x).cast("double"), F.col(y).cast("double")).alias(f"r{j}") for j, (x, y) in enumerate(part)]).first()
         for j, (x, y) in enumerate(part):
             v = r[j]
             out[(x, y)] = out[(y, x)] = None if v is None or v != v else v
@@ -194,7 +194,7 @@ def high_correlation(df: DataFrame, cols: Sequence[str], threshold: float, digit
 def leakage_columns(df: DataFrame, numeric: Sequence[str], target: str, threshold: float = 0.95) -> DataFrame:
     """Numeric columns whose absolute correlation with the target exceeds ``threshold``."""
     cols = [c for c in numeric if c != target]
-    a = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"r__{c}") for c in cols])
+    a = df.agg(*[safe_corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"r__{c}") for c in cols])
     rows = rows_from(a, [F.struct(F.lit(c).alias("column"), F.col(f"r__{c}").alias("corr")) for c in cols])
     return rows.where(F.abs(F.nanvl("corr", F.lit(0.0))) > threshold).withColumn("corr", F.round("corr", 4))
 
@@ -282,12 +282,9 @@ def date_integrity(df: DataFrame, cols: Sequence[str], as_of: dt.date) -> DataFr
 def class_distribution(df: DataFrame, target: str, flag_above: float = 3.0) -> DataFrame:
     """Rows per class with the max/min ratio and the imbalance flag on every row."""
     g = df.groupBy(F.col(target).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(F.lit(0))
     seen = F.when(F.col("class").isNotNull(), F.col("n"))
-    ratio = F.when(F.count(seen).over(w) >= 2, F.round(F.max(seen).over(w) / F.min(seen).over(w), 2))
-    return g.withColumn("imbalance_ratio", ratio).withColumn(
-        "is_imbalanced", F.coalesce(F.col("imbalance_ratio") > flag_above, F.lit(False))
-    )
+    t = g.agg(F.when(F.count(seen) >= 2, F.round(F.max(seen) / F.min(seen), 2)).alias("imbalance_ratio"))
+    return with_totals(g, t).withColumn("is_imbalanced", F.coalesce(F.col("imbalance_ratio") > flag_above, F.lit(False)))
 
 
 def preview(df: DataFrame, key: Sequence[str], n: int = 10) -> DataFrame:

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanforge.functions.expressions import safe_corr
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -244,7 +246,7 @@ def validation_data_checks(
     base = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(F.col(c)).alias(f"c__{c}") for c in cols],
-        *[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"r__{c}") for c in nums],
+        *[safe_corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"r__{c}") for c in nums],
         F.count_if(F.col(target) == 0).alias("n0"),
         F.count_if(F.col(target) == 1).alias("n1"),
         *([F.min(date_col).alias("d0"), F.max(date_col).alias("d1")] if date_col else []),

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanforge.functions.expressions import with_totals
 from loanforge.operators.ordering import order_statistics
 from loanforge.operators.roles import late_origin_columns, post_default_columns
 
@@ -92,14 +93,15 @@ def fold_column(df: DataFrame, keys: Sequence[str], folds: int = 5, seed: int =
 def split_stats(df: DataFrame, y: str, split: str = "split") -> DataFrame:
     """Rows, share of all rows and share within the split per (split, class)."""
     g = df.groupBy(split, F.col(y).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    w, a = Window.partitionBy(split), Window.partitionBy(F.lit(0))
-    return g.select(
+    per = g.groupBy(split).agg(F.sum("n").alias("split_n"))
+    out = with_totals(g.join(per, split), g.agg(F.sum("n").alias("__t")))
+    return out.select(
         F.col(split).alias("split"),
         "class",
         "n",
-        F.sum("n").over(w).alias("split_n"),
-        F.round(F.sum("n").over(w) / F.sum("n").over(a), 6).alias("split_pct"),
-        F.round(F.col("n") / F.sum("n").over(w), 6).alias("class_share"),
+        "split_n",
+        F.round(F.col("split_n") / F.col("__t"), 6).alias("split_pct"),
+        F.round(F.col("n") / F.col("split_n"), 6).alias("class_share"),
     )
 
 
@@ -148,8 +150,8 @@ def oot_report(df: DataFrame, ts: str) -> DataFrame:
 def class_weights(df: DataFrame, y: str) -> DataFrame:
     """Balanced weight ``n / (classes * n_class)`` per class."""
     g = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(F.lit(0))
-    return g.withColumn("weight", F.round(F.sum("n").over(w) / (F.count(F.lit(1)).over(w) * F.col("n")), 6))
+    t = g.agg(F.sum("n").alias("__t"), F.count(F.lit(1)).alias("__k"))
+    return with_totals(g, t).select(y, "n", F.round(F.col("__t") / (F.col("__k") * F.col("n")), 6).alias("weight"))
 
 
 def with_class_weights(df: DataFrame, y: str, name: str = "weight") -> DataFrame:
@@ -172,6 +174,3 @@ def capped_sample(df: DataFrame, keys: Sequence[str], max_rows: int = 20_000, se
     cut = order_statistics(df.select(h.alias("h")), {"h": [max_rows - 1]}, {"h": n})[("h", max_rows - 1)]
     return df.where(h.cast("double") <= cut)
 
-
-def literal_map(values: Mapping) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])

@@ -152,9 +152,19 @@ def _(spark, d):
 
 @REG.query("f6_knn_imputation")
 def _(spark, d):
-    f = feature_table(spark, d).select("key", "acctbal", "price", "sparse")
-    plan = prep.fit_knn(f, ["acctbal", "price", "sparse"], ["acctbal"], ["key"])
-    return prep.apply_knn(f, plan)
+    f = splits.stratified_split(feature_table(spark, d), "y", ["key"]).select("key", "split", "acctbal", "price", "sparse")
+    cols, val = ["acctbal", "price", "sparse"], f.where("split = 'val'")
+    if val.count() <= prep.MAX_KNN_ROWS:
+        return prep.apply_knn(f, prep.fit_knn(val, cols, ["acctbal"])).drop("split")
+    # beyond the row bound of the method the strategy rule moves to chained imputation
+    return prep.apply_chained(f, prep.fit_chained(val, cols, ["acctbal"])).drop("split")
+
+
+@REG.query("f7_imputation_plan")
+def _(spark, d):
+    f = feature_table(spark, d)
+    plan = prep.fit_imputation(f, NUMERIC, CATEGORICAL)
+    return prep.apply_imputation(f, plan).select("key", *NUMERIC, *CATEGORICAL)
 
 
 @REG.query("f7_chained_imputation")
