@@ -18,11 +18,9 @@ def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
-    """Every row of ``df`` beside the one row of a global aggregate.
-
-    A global aggregate is one row by construction, so Spark broadcasts it.
-    """
-    return df.withColumn("__one", F.lit(1)).join(totals.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    """Every row of ``df`` beside the columns of a one-row aggregate, as a scalar subquery (no join)."""
+    row = totals.select(F.struct(*totals.columns).alias("__row")).scalar()
+    return df.withColumn("__row", row).select(*df.columns, *[F.col("__row")[c].alias(c) for c in totals.columns])
 
 
 def safe_div(a: Column, b: Column, other: float = 0.0) -> Column:
@@ -62,6 +60,11 @@ def corrected_skew(c: Column) -> Column:
     )
 
 
+def cents(c: Column) -> Column:
+    """Two digits, half up on the six-digit decimal, so summation order cannot move a half cent."""
+    return F.round(F.round(c, 6), 2)
+
+
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson correlation over rows where both are present; null for a constant column.
 

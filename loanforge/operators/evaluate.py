@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanforge.functions.dates import period_label
-from loanforge.functions.expressions import bin_right_closed, safe_div
+from loanforge.functions.expressions import bin_right_closed, safe_div, with_totals
 from loanforge.operators.ordering import (
     average_ranks,
     exact_quantiles,
@@ -351,21 +351,14 @@ def heteroscedasticity(scored: DataFrame, n_bins: int = 5, y: str = "y", p: str
             F.max(F.when(F.col("v") > 0, F.col("v"))).alias("hi"),
             F.min(F.when(F.col("v") > 0, F.col("v"))).alias("lo"),
         )
-        .select(F.when(F.col("k") > 1, F.round(F.col("hi") / F.col("lo"), 3)).alias("variance_ratio"), F.lit(1).alias("__j"))
+        .select(F.when(F.col("k") > 1, F.round(F.col("hi") / F.col("lo"), 3)).alias("variance_ratio"))
     )
     enough = F.col("n") >= max(n_bins * 5, 20)
     flag = (F.abs(F.coalesce("rho", F.lit(0.0))) > 0.35) | (F.coalesce("variance_ratio", F.lit(0.0)) > 4)
-    return (
-        rho.withColumn("__j", F.lit(1))
-        .join(bins, "__j")
-        .select(
-            F.when(enough, F.round("rho", 4)).alias("spearman_abs_resid_vs_score"),
-            F.when(enough, F.col("variance_ratio")).alias("variance_ratio"),
-            F.when(~enough, "Not enough data")
-            .when(flag, "Potential heteroscedasticity")
-            .otherwise("No strong signal")
-            .alias("risk_flag"),
-        )
+    return with_totals(rho, bins).select(
+        F.when(enough, F.round("rho", 4)).alias("spearman_abs_resid_vs_score"),
+        F.when(enough, F.col("variance_ratio")).alias("variance_ratio"),
+        F.when(~enough, "Not enough data").when(flag, "Potential heteroscedasticity").otherwise("No strong signal").alias("risk_flag"),
     )
 
 
@@ -448,10 +441,7 @@ def metric_table(scored: DataFrame, threshold: float | None = None, by: Sequence
     t = threshold_metrics(scored, threshold, by, y, p).select(*by, "accuracy", "precision", "recall", "f1")
     lad = ladder_metrics(scored, by, y, p)
     b = brier(scored, by, y, p)
-    on = list(by) or ["__j"]
-    if not by:
-        t, lad, b = (x.withColumn("__j", F.lit(1)) for x in (t, lad, b))
-    wide = t.join(lad, on).join(b, on)
+    wide = t.join(lad, list(by)).join(b, list(by)) if by else with_totals(with_totals(t, lad), b)
     names = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "ks", "gini", "brier_score"]
     rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.col(m), 4).alias("value")) for m in names]))
     return wide.select(*by, rows.alias("r")).select(*by, "r.*")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanforge.functions import finance as fin
-from loanforge.functions.expressions import name_key
+from loanforge.functions.expressions import cents, name_key
 from loanforge.operators.ordering import exact_quantiles
 from loanforge.operators.profile import numeric_columns
 
@@ -170,8 +170,8 @@ def ecl_by_stage(df: DataFrame, ead: str = "ead") -> DataFrame:
     return g.unionByName(tot).select(
         F.coalesce(F.concat(F.lit("stage_"), F.col("ifrs9_stage").cast("string")), F.lit("total")).alias("stage"),
         F.col("n").alias("loans"),
-        F.round("e", 2).alias("total_ead"),
-        F.round("l", 2).alias("total_ecl"),
+        cents(F.col("e")).alias("total_ead"),
+        cents(F.col("l")).alias("total_ecl"),
         F.round(F.col("l") / F.col("e") * 100, 4).alias("coverage_pct"),
         F.col("s").alias("sicr_count"),
         F.round(F.col("p") / F.col("n"), 6).alias("avg_pd_12m"),
@@ -191,7 +191,7 @@ def pd_band(pd: Column, cuts: Sequence[float] = PD_BANDS) -> Column:
 
 def ecl_by_pd_band(df: DataFrame, ead: str = "ead") -> DataFrame:
     return df.groupBy(pd_band(F.col("pd_12m")).alias("pd_band")).agg(
-        F.count(F.lit(1)).alias("loans"), F.round(F.sum(ead), 2).alias("total_ead"), F.round(F.sum("ecl"), 2).alias("total_ecl")
+        F.count(F.lit(1)).alias("loans"), cents(F.sum(ead)).alias("total_ead"), cents(F.sum("ecl")).alias("total_ecl")
     )
 
 

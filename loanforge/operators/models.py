@@ -22,7 +22,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanforge.functions.expressions import safe_corr
+from loanforge.functions.expressions import safe_corr, with_totals
 from loanforge.operators import evaluate as ev
 from loanforge.operators import features as fe
 from loanforge.operators import prep
@@ -238,7 +238,7 @@ def evaluate_oot(df: DataFrame, roles: Roles, ts: str, name: str = "Logistic Reg
     scored = m.score(parts.where("part = 'oot'").drop("part"))
     n = scored.agg(F.count(F.lit(1)).alias("oot_n"))
     met = ev.ladder_metrics(scored, y=roles.target).select(F.round("roc_auc", 4).alias("oot_roc_auc"), F.round("gini", 4).alias("oot_gini"))
-    return n.withColumn("__j", F.lit(1)).join(met.withColumn("__j", F.lit(1)), "__j").drop("__j")
+    return with_totals(n, met)
 
 
 def used(roles: Roles) -> list[str]:

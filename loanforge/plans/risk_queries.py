@@ -323,7 +323,7 @@ def _(spark, d):
     ECL + ", g AS (" + union(
         f"SELECT {s} AS stage, count(*) AS loans, sum(ead) AS e, sum(ecl) AS l, count(*) FILTER (sicr_flag) AS sicr_count, avg(pd_12m) AS p, avg(pd_lifetime) AS q FROM ecl {g}"
         for s, g in (("'stage_'||ifrs9_stage", "GROUP BY 1"), ("'total'", ""))
-    ) + ") SELECT stage, loans, round(e,2) AS total_ead, round(l,2) AS total_ecl, round(l/e*100,4) AS coverage_pct, sicr_count, round(p,6) AS avg_pd_12m, round(q,6) AS avg_pd_lifetime FROM g",
+    ) + ") SELECT stage, loans, round(CAST(e AS DECIMAL(28,6)),2)::DOUBLE AS total_ead, round(CAST(l AS DECIMAL(28,6)),2)::DOUBLE AS total_ecl, round(l/e*100,4) AS coverage_pct, sicr_count, round(p,6) AS avg_pd_12m, round(q,6) AS avg_pd_lifetime FROM g",
 )
 def _(spark, d):
     return ex.ecl_by_stage(ecl_table(spark, d))
@@ -332,7 +332,7 @@ def _(spark, d):
 @REG.query(
     "h8_ecl_by_pd_band",
     ECL + """ SELECT CASE WHEN pd_12m<0.01::DOUBLE THEN '0%-1%' WHEN pd_12m<0.03::DOUBLE THEN '1%-3%' WHEN pd_12m<0.05::DOUBLE THEN '3%-5%' WHEN pd_12m<0.1::DOUBLE THEN '5%-10%' WHEN pd_12m<0.2::DOUBLE THEN '10%-20%' ELSE '20%+' END AS pd_band,
- count(*) AS loans, round(sum(ead),2) AS total_ead, round(sum(ecl),2) AS total_ecl FROM ecl GROUP BY 1""",
+ count(*) AS loans, round(CAST(sum(ead) AS DECIMAL(28,6)),2)::DOUBLE AS total_ead, round(CAST(sum(ecl) AS DECIMAL(28,6)),2)::DOUBLE AS total_ecl FROM ecl GROUP BY 1""",
 )
 def _(spark, d):
     return ex.ecl_by_pd_band(ecl_table(spark, d))
