@@ -166,10 +166,15 @@ def exact_quantiles(
     values = order_statistics(df, {c: [r for s in v for r in s[1:]] for c, v in spots.items()}, counts, rows_per_bucket)
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     for c, v in spots.items():
-        out[c] = [values[(c, lo)] + (values[(c, hi)] - values[(c, lo)]) * (h - lo) for h, lo, hi in v]
+        out[c] = [_between(values[(c, lo)], values[(c, hi)], h, lo, hi) for h, lo, hi in v]
     return out
 
 
+def _between(a: float, b: float, h: float, lo: int, hi: int) -> float:
+    """Linear interpolation in the form Spark's ``percentile`` uses, so both ways give the same bits."""
+    return a if lo == hi or a == b else (hi - h) * a + (h - lo) * b
+
+
 def running_sums(
     df: DataFrame,
     order_col: str,

@@ -72,6 +72,24 @@ def _role_case(table: str, col: str) -> str:
   avg(CASE WHEN regexp_matches({col},'[-/:]') THEN 1.0 ELSE 0.0 END) sep, count(TRY_CAST({col} AS TIMESTAMP))/count({col})::DOUBLE dat FROM {table})"""
 
 
+@REG.query("a6_table_export", "SELECT * FROM supplier")
+def _(spark, d):
+    t = readers.load_table(spark, d, "supplier")
+    path = scratch_path(spark, "export")
+    writers.export(t, path, "json")
+    return spark.read.schema(t.schema).json(path)
+
+
+@REG.query("a7_replace_table", "SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part")
+def _(spark, d):
+    csv, table = scratch_path(spark, "csv"), scratch_path(spark, "table")
+    t = readers.load_table(spark, d, "part")
+    writers.export(t, csv, "csv")
+    writers.replace_table(spark, csv, table)
+    writers.replace_table(spark, csv, table)  # a second load leaves one copy
+    return spark.read.parquet(table)
+
+
 @REG.query(
     "b1_column_types",
     union(

@@ -89,3 +89,10 @@ def test_empty_and_single_class(spark):
     none = one.where("y = 7")
     assert score_ladder(none).count() == 0
     assert exact_quantiles(none, ["p"], [0.5], direct_values=0)["p"] == [None]
+
+
+def test_both_quantile_ways_agree_to_the_bit(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    q = [i / 7 for i in range(8)]
+    small = exact_quantiles(o, ["o_totalprice"], q)
+    assert small == exact_quantiles(o, ["o_totalprice"], q, direct_values=0, rows_per_bucket=100)
