@@ -60,9 +60,13 @@ def corrected_skew(c: Column) -> Column:
     )
 
 
+def settle(c: Column, digits: int) -> Column:
+    """Round half up on a decimal four digits longer, so summation order cannot move an exact half."""
+    return F.round(F.round(c, digits + 4), digits)
+
+
 def cents(c: Column) -> Column:
-    """Two digits, half up on the six-digit decimal, so summation order cannot move a half cent."""
-    return F.round(F.round(c, 6), 2)
+    return settle(c, 2)
 
 
 def safe_corr(x: Column, y: Column) -> Column:

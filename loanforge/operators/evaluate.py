@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanforge.functions.dates import period_label
-from loanforge.functions.expressions import bin_right_closed, safe_div, with_totals
+from loanforge.functions.expressions import bin_right_closed, safe_div, settle, with_totals
 from loanforge.operators.ordering import (
     average_ranks,
     exact_quantiles,
@@ -408,7 +408,7 @@ def temporal_actual_vs_predicted(
     g = temporal_groups(scored, freqs, ts)
     return g.select(
         "freq", "period", "n",
-        *[F.round(c, 6).alias(c) for c in ("actual_rate", "predicted_rate", "gap")],
+        *[settle(F.col(c), 6).alias(c) for c in ("actual_rate", "predicted_rate", "gap")],
         (F.abs("gap") > gap_threshold).alias("flagged"),
     )
 

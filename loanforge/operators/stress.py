@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanforge.functions.expressions import bin_left_closed, status_above
+from loanforge.functions.expressions import bin_left_closed, settle, status_above
 from loanforge.operators.evaluate import temporal_groups
 from loanforge.operators.profile import numeric_columns
 
@@ -159,9 +159,9 @@ def backtest(scored: DataFrame, freqs: Sequence[str], ts: str = "ts", y: str = "
     return g.select(
         "freq",
         "period",
-        F.round("actual_rate", 6).alias("actual_dr"),
-        F.round("predicted_rate", 6).alias("avg_pred_pd"),
-        F.round(F.abs("gap"), 6).alias("gap"),
+        settle(F.col("actual_rate"), 6).alias("actual_dr"),
+        settle(F.col("predicted_rate"), 6).alias("avg_pred_pd"),
+        settle(F.abs("gap"), 6).alias("gap"),
         (F.abs("gap") > GAP_FLAG).alias("flagged"),
     )
 

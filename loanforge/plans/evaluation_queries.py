@@ -218,7 +218,13 @@ def _temporal(freqs: list[str]) -> str:
     return W + f", t AS (SELECT *, a-q AS gap FROM ({parts})) "
 
 
-_ROWS = "SELECT freq, period, n, round(a,6) AS actual_rate, round(q,6) AS predicted_rate, round(gap,6) AS gap, abs(gap)>0.05 AS flagged FROM t"
+
+
+def settle_sql(x: str, digits: int) -> str:
+    return f"round(CAST({x} AS DECIMAL(28,{digits + 4})),{digits})::DOUBLE"
+
+
+_ROWS = f"SELECT freq, period, n, {settle_sql('a', 6)} AS actual_rate, {settle_sql('q', 6)} AS predicted_rate, {settle_sql('gap', 6)} AS gap, abs(gap)>0.05 AS flagged FROM t"
 _STAB = """SELECT freq, count(*) AS n_periods_total, count(*) FILTER (abs(gap)>0.05) AS n_periods_flagged, round(avg(abs(gap)),6) AS mean_absolute_gap,
  arg_max(period, gap) FILTER (gap>0) AS max_underestimation_period, round(coalesce(max(gap) FILTER (gap>0),0),6) AS max_underestimation_gap,
  arg_min(period, gap) FILTER (gap<0) AS max_overestimation_period, round(coalesce(-min(gap) FILTER (gap<0),0),6) AS max_overestimation_gap FROM t GROUP BY freq"""

@@ -188,7 +188,7 @@ _REF = ", rb AS (SELECT min(p) AS lo, max(p) AS hi FROM scored), rs AS (SELECT C
  ww AS (SELECT w, count(*) AS n, avg(y) AS a, avg(p) AS q, abs(avg(y)-avg(p)) AS gap FROM wi GROUP BY w),
  bb AS (SELECT ww.w, r.i AS b, coalesce(max(rs.e),0.0001::DOUBLE) AS e, coalesce(nullif(count(wi.b),0)/max(ww.n)::DOUBLE,0.0001::DOUBLE) AS x FROM ww CROSS JOIN range(0,10) r(i) LEFT JOIN rs ON rs.b=r.i LEFT JOIN wi ON wi.w=ww.w AND wi.b=r.i GROUP BY 1,2),
  ps AS (SELECT w, sum((x-e)*ln(x/e)) AS psi FROM bb GROUP BY w)
- SELECT ww.w*2592000 AS window_start, n, round(a,6) AS actual_dr, round(q,6) AS avg_pred_pd, round(gap,4) AS gap, round(psi,6) AS psi, CASE WHEN psi>=0.25 THEN 'FAIL' WHEN psi>=0.1 THEN 'WARN' ELSE 'PASS' END AS status, psi>0.25 AS "trigger" FROM ww JOIN ps ON ps.w=ww.w""",
+ SELECT ww.w*2592000 AS window_start, n, round(CAST(a AS DECIMAL(28,10)),6)::DOUBLE AS actual_dr, round(CAST(q AS DECIMAL(28,10)),6)::DOUBLE AS avg_pred_pd, round(CAST(gap AS DECIMAL(28,8)),4)::DOUBLE AS gap, round(psi,6) AS psi, CASE WHEN psi>=0.25 THEN 'FAIL' WHEN psi>=0.1 THEN 'WARN' ELSE 'PASS' END AS status, psi>0.25 AS "trigger" FROM ww JOIN ps ON ps.w=ww.w""",
 )
 def _(spark, d):
     ref = mon.fit_reference(scored_loans(spark, d))

@@ -10,6 +10,7 @@ from loanforge.operators import exposure as ex
 from loanforge.operators import joins as jn
 from loanforge.operators import macro, stress
 from loanforge.plans.data_queries import union
+from loanforge.plans.evaluation_queries import _temporal, settle_sql
 from loanforge.plans.fixtures import LOANS, MACRO, SCORED, loans, macro_series, scored_loans
 from loanforge.plans.prep_queries import SPLIT, split_scored
 from loanforge.plans.registry import Registry
@@ -436,15 +437,13 @@ def _(spark, d):
 
 
 def _bt(freqs) -> str:
-    from loanforge.plans.evaluation_queries import _temporal
-
     return _temporal(freqs)
 
 
 _FREQS = ["Monthly", "Quarterly", "Half-yearly", "Yearly"]
 
 
-@REG.query("l5_backtest", _bt(_FREQS) + " SELECT freq, period, round(a,6) AS actual_dr, round(q,6) AS avg_pred_pd, round(abs(gap),6) AS gap, abs(gap)>0.05 AS flagged FROM t")
+@REG.query("l5_backtest", _bt(_FREQS) + f" SELECT freq, period, {settle_sql('a', 6)} AS actual_dr, {settle_sql('q', 6)} AS avg_pred_pd, {settle_sql('abs(gap)', 6)} AS gap, abs(gap)>0.05 AS flagged FROM t")
 def _(spark, d):
     return stress.backtest(scored_loans(spark, d), _FREQS)
 

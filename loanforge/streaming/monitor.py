@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanforge.functions.expressions import bin_left_closed, status_above
+from loanforge.functions.expressions import bin_left_closed, settle, status_above
 from loanforge.operators.stress import PSI_FAIL, PSI_FLOOR, PSI_WARN
 from loanforge.sources.runlog import latest_by_stage
 
@@ -65,8 +65,8 @@ def monitor_report(counts: DataFrame, ref: ReferenceBins) -> DataFrame:
     gap = F.abs(F.col("sum_y") - F.col("sum_p")) / F.col("n")
     return counts.select(
         "window_start", "window_end", "n",
-        F.round(F.col("sum_y") / F.col("n"), 6).alias("actual_dr"), F.round(F.col("sum_p") / F.col("n"), 6).alias("avg_pred_pd"),
-        F.round(gap, 4).alias("gap"), F.round(psi, 6).alias("psi"), status_above(psi, PSI_WARN, PSI_FAIL).alias("status"),
+        settle(F.col("sum_y") / F.col("n"), 6).alias("actual_dr"), settle(F.col("sum_p") / F.col("n"), 6).alias("avg_pred_pd"),
+        settle(gap, 4).alias("gap"), F.round(psi, 6).alias("psi"), status_above(psi, PSI_WARN, PSI_FAIL).alias("status"),
         (psi > PSI_FAIL).alias("trigger"),
     )
 
