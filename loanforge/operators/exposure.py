@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanforge.functions import finance as fin
-from loanforge.functions.expressions import cents, name_key
+from loanforge.functions.expressions import cents, name_key, settle
 from loanforge.operators.ordering import exact_quantiles
 from loanforge.operators.profile import numeric_columns
 
@@ -174,8 +174,8 @@ def ecl_by_stage(df: DataFrame, ead: str = "ead") -> DataFrame:
         cents(F.col("l")).alias("total_ecl"),
         F.round(F.col("l") / F.col("e") * 100, 4).alias("coverage_pct"),
         F.col("s").alias("sicr_count"),
-        F.round(F.col("p") / F.col("n"), 6).alias("avg_pd_12m"),
-        F.round(F.col("q") / F.col("n"), 6).alias("avg_pd_lifetime"),
+        settle(F.col("p") / F.col("n"), 6).alias("avg_pd_12m"),
+        settle(F.col("q") / F.col("n"), 6).alias("avg_pd_lifetime"),
     )
 
 

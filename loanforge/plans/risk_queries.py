@@ -324,7 +324,7 @@ def _(spark, d):
     ECL + ", g AS (" + union(
         f"SELECT {s} AS stage, count(*) AS loans, sum(ead) AS e, sum(ecl) AS l, count(*) FILTER (sicr_flag) AS sicr_count, avg(pd_12m) AS p, avg(pd_lifetime) AS q FROM ecl {g}"
         for s, g in (("'stage_'||ifrs9_stage", "GROUP BY 1"), ("'total'", ""))
-    ) + ") SELECT stage, loans, round(CAST(e AS DECIMAL(28,6)),2)::DOUBLE AS total_ead, round(CAST(l AS DECIMAL(28,6)),2)::DOUBLE AS total_ecl, round(l/e*100,4) AS coverage_pct, sicr_count, round(p,6) AS avg_pd_12m, round(q,6) AS avg_pd_lifetime FROM g",
+    ) + ") SELECT stage, loans, round(CAST(e AS DECIMAL(28,6)),2)::DOUBLE AS total_ead, round(CAST(l AS DECIMAL(28,6)),2)::DOUBLE AS total_ecl, round(l/e*100,4) AS coverage_pct, sicr_count, round(CAST(p AS DECIMAL(28,10)),6)::DOUBLE AS avg_pd_12m, round(CAST(q AS DECIMAL(28,10)),6)::DOUBLE AS avg_pd_lifetime FROM g",
 )
 def _(spark, d):
     return ex.ecl_by_stage(ecl_table(spark, d))
