@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from loanforge.session import checkpoint_dir
@@ -47,3 +48,15 @@ def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = texts.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
     return raw, at - at[0]
+
+
+def slices(it: Iterator[pa.RecordBatch], column: int, rows: int = 512, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and about ``limit`` bytes of text in ``column``, one row at least."""
+    for b in it:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        i = 0
+        while i < b.num_rows:
+            before = ends[i - 1] if i else 0
+            j = min(max(i + 1, int(np.searchsorted(ends, before + limit, side="right"))), i + rows, b.num_rows)
+            yield b.slice(i, j - i)
+            i = j

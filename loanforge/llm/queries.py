@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loanforge.llm import bpe
+from loanforge.llm import bpe, decontaminate
 from loanforge.llm.common import table
 from loanforge.plans.registry import Registry
 
@@ -17,3 +18,26 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 @REG.query("op4_byte_bpe")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(table(spark, sf, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ids=False, digests=True)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP1_SQL = f"""
+with it as (select cast(item_id as varchar) item, {_WORDS} w from benchmark),
+iw as (select distinct item, k, array_to_string(list_slice(w, i, i + k - 1), ' ') win
+       from (select item, w, least(10, len(w)) k, unnest(range(1, len(w) - least(10, len(w)) + 2)) i from it where len(w) > 0)),
+d as (select row_number() over () r, doc_id, coalesce({_WORDS}, []) w from documents),
+dw as (select r, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') win
+       from (select r, w, k, unnest(range(1, len(w) - k + 2)) i from d, (select distinct k from iw) where len(w) >= k)),
+m as (select dw.r, dw.i, dw.k, iw.item from dw join iw on dw.win = iw.win and dw.k = iw.k),
+hit as (select r, count(*) n from (select distinct r, unnest(range(i, i + k)) p from m) group by r),
+its as (select r, count(distinct item) n, string_agg(distinct item, ',' order by item) s from m group by r)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(hit.n, 0) as bigint) n_hit, cast(coalesce(its.n, 0) as bigint) n_items,
+       sha256(coalesce(its.s, '')) items_sha256, coalesce(hit.n, 0) > 0 contaminated
+from d left join hit using (r) left join its using (r)"""
+
+
+@REG.query("op1_decontamination", _OP1_SQL)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), decontaminate.digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
