@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanforge.llm import bpe, decontaminate
+from loanforge.llm import bpe, decontaminate, language
 from loanforge.llm.common import table
 from loanforge.plans.registry import Registry
 
@@ -41,3 +41,10 @@ from d left join hit using (r) left join its using (r)"""
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), decontaminate.digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@REG.query("op5_language_id")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    out = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return out.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
