@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanforge.llm import bpe, decontaminate, language
+from loanforge.llm import bpe, decontaminate, language, secrets
 from loanforge.llm.common import table
 from loanforge.plans.registry import Registry
 
@@ -48,3 +48,14 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     out = language.identify(docs.select("doc_id", "text"), language.fit(docs))
     return out.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@REG.query("op2_secret_scan")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = secrets.scan(docs, secrets.fit(docs))
+    of = lambda k: F.filter("secrets", lambda s: s["kind"] == k)
+    base = F.filter("secrets", lambda s: s["kind"] != secrets.LEARNED)
+    return out.select(
+        "doc_id", *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in secrets.KINDS], F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans")
+    )
