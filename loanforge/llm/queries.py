@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanforge.llm import bpe, decontaminate, language, secrets
+from loanforge.llm import bpe, decontaminate, language, secrets, vafile
 from loanforge.llm.common import table
 from loanforge.plans.registry import Registry
 
@@ -59,3 +59,18 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(
         "doc_id", *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in secrets.KINDS], F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans")
     )
+
+
+_OP3_SQL = """
+with v as (select vec_id, [floor(64 * cast(x as double)) for x in embedding] e from embeddings
+           where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query, v.vec_id, cast(list_dot_product(q.e, v.e) as bigint) score
+      from v q join v on q.vec_id <> v.vec_id where q.vec_id % 20 = 0)
+select query, cast(row_number() over (partition by query order by score desc, vec_id) as int) rank, vec_id, score
+from s qualify row_number() over (partition by query order by score desc, vec_id) <= 20"""
+
+
+@REG.query("op3_vector_search", _OP3_SQL)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return vafile.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
