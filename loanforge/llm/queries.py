@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanforge.llm import bpe, decontaminate, language, secrets, vafile
+from loanforge.llm import bpe, decontaminate, language, lines, secrets, vafile
 from loanforge.llm.common import table
 from loanforge.plans.registry import Registry
 
@@ -74,3 +74,22 @@ from s qualify row_number() over (partition by query order by score desc, vec_id
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return vafile.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
+_OP7_SQL = """
+with d as (select row_number() over () r, doc_id, source, text, string_split(text, chr(10)) ls from documents),
+l as (select r, source, i, ls[i] t, trim(ls[i], ' ') n from d, unnest(range(1, len(ls) + 1)) u(i)),
+b as (select n from l where n <> '' group by n having count(distinct source) >= 10),
+m as (select r, i, t, n in (select n from b) gone from l),
+g as (select r, sum(length(t)) total, coalesce(sum(length(t)) filter (gone), 0) lost, count(*) filter (gone) n_gone,
+             string_agg(t, chr(10) order by i) filter (not gone) kept, count(*) c from m group by r)
+select doc_id, cast(coalesce(c, 0) as bigint) n_lines, cast(case when lost > 0.5 * total then 0 else coalesce(n_gone, 0) end as bigint) n_removed,
+       sha256(coalesce(case when lost > 0.5 * total or n_gone = 0 then text else coalesce(kept, '') end, '')) kept_sha256
+from d left join g using (r)"""
+
+
+@REG.query("op7_line_dedup", _OP7_SQL)
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    out = lines.remove_boilerplate(docs, counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
