@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanforge.llm import bpe, decontaminate, language, lines, secrets, vafile
+from loanforge.llm import bpe, decontaminate, language, lines, secrets, urls, vafile
 from loanforge.llm.common import table
 from loanforge.plans.registry import Registry
 
@@ -93,3 +93,15 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     out = lines.remove_boilerplate(docs, counts=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+URL_RULES = [
+    urls.Rule("allow", "org", "/"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/"),
+]
+
+
+@REG.query("op6_url_filter")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    out = urls.judge(table(spark, sf, "pages").select("page_id", "url"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
