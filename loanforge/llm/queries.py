@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanforge.llm import bpe, decontaminate, language, lines, secrets, urls, vafile
+from loanforge.llm import bpe, decontaminate, language, lines, repeats, secrets, urls, vafile
 from loanforge.llm.common import table
 from loanforge.plans.registry import Registry
 
@@ -105,3 +105,10 @@ URL_RULES = [
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     out = urls.judge(table(spark, sf, "pages").select("page_id", "url"), URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+@REG.query("op9_repeated_bytes")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    out = repeats.dedup(table(spark, sf, "documents").select("doc_id", "text"))
+    lost = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", lost.cast("bigint").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
