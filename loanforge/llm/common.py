@@ -70,3 +70,29 @@ def slices(it: Iterator[pa.RecordBatch], column: int, rows: int = 512, limit: in
             j = min(max(i + 1, int(np.searchsorted(ends, before + limit, side="right"))), i + rows, b.num_rows)
             yield b.slice(i, j - i)
             i = j
+
+
+_RANDOM = np.random.default_rng(7)
+_BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_PLACE = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def word_table(low: np.ndarray, inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, 64-bit hash and row of every word of the joined texts; ``inside``: which bytes belong to words."""
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cut = np.unique(offsets[(offsets > 0) & (offsets < len(low))])
+    first[cut] = inside[cut]
+    last[cut - 1] = inside[cut - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if not len(start):
+        return start, end, np.zeros(0, np.uint64), start
+    at = np.flatnonzero(inside)
+    lengths = end - start
+    begin = np.cumsum(lengths) - lengths
+    place = np.arange(len(at)) - np.repeat(begin, lengths)
+    value = _BYTE[low[at]] * (_PLACE[place & 63] + (place >> 6).astype(np.uint64) * _PLACE[0])
+    value ^= value >> np.uint64(29)
+    h = np.add.reduceat(value, begin) + lengths.astype(np.uint64)
+    return start, end, h, np.searchsorted(offsets, start, side="right") - 1

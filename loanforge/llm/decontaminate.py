@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanforge.llm.common import joined_bytes, slices
+from loanforge.llm.common import joined_bytes, slices, word_table
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -41,38 +41,13 @@ for _c in [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]:
     _LOWER[_c] = _c
 for _c in range(0x41, 0x5B):
     _LOWER[_c] = _c + 32
-_RANDOM = np.random.default_rng(7)
-_BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_PLACE = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+_INSIDE = _LOWER > 0
 
 
 def words_of(text: str | None) -> list[bytes]:
     return WORD.findall(re.sub(rb"[A-Z]+", lambda m: m[0].lower(), (text or "").encode()))
 
 
-def word_table(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes; start, end, 64-bit hash and row of every word of the joined texts."""
-    low = _LOWER[raw]
-    inside = low > 0
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    cut = np.unique(offsets[(offsets > 0) & (offsets < len(raw))])
-    first[cut] = inside[cut]
-    last[cut - 1] = inside[cut - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    if not len(start):
-        return low, start, end, np.zeros(0, np.uint64), start
-    at = np.flatnonzero(inside)
-    lengths = end - start
-    begin = np.cumsum(lengths) - lengths
-    place = np.arange(len(at)) - np.repeat(begin, lengths)
-    value = _BYTE[low[at]] * _PLACE[place & 63]
-    value ^= value >> np.uint64(29)
-    h = np.add.reduceat(value, begin) + lengths.astype(np.uint64)
-    return low, start, end, h, np.searchsorted(offsets, start, side="right") - 1
-
-
 class Items:
     """Generalised suffix automaton of items given as ``(id, words)``."""
 
@@ -140,7 +115,7 @@ class Items:
     def _levels(self, seqs: list[list[int]]) -> None:
         """Words and pairs as sorted arrays, each with a bitmap in front."""
         joined = np.frombuffer(b" ".join(self.vocab) or b" ", np.uint8)
-        h = word_table(joined, np.array([0, len(joined)]))[3]
+        h = word_table(joined, joined != 32, np.array([0, len(joined)]))[2]
         order = np.argsort(h, kind="stable")
         self.hashes, self.hash_ids = h[order], order.astype(np.int64)
         self.words = list(self.vocab)
@@ -241,7 +216,8 @@ def _scan(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text:
             for b in slices(it, column):
                 auto = shared.value
                 raw, offsets = joined_bytes(b.column(column))
-                low, start, end, h, row = word_table(raw, offsets)
+                low = _LOWER[raw]
+                start, end, h, row = word_table(low, _INSIDE[raw], offsets)
                 first = np.searchsorted(row, np.arange(b.num_rows + 1))
                 found: dict[int, tuple[list, set]] = {}
                 for i, j in auto.runs(auto.lookup(h), row):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanforge.llm import bpe, decontaminate, language, lines, repeats, secrets, urls, vafile
+from loanforge.llm import bpe, decontaminate, language, lines, near, repeats, secrets, urls, vafile
 from loanforge.llm.common import table
 from loanforge.plans.registry import Registry
 
@@ -112,3 +112,19 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     out = repeats.dedup(table(spark, sf, "documents").select("doc_id", "text"))
     lost = F.col("n_bytes") - F.octet_length("kept")
     return out.select("doc_id", "n_bytes", lost.cast("bigint").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OP8_SQL = f"""
+with recursive w as (select doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+'), []) w from documents),
+s as (select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') s from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) i from w where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select x.doc_id a, y.doc_id b, count(*) c from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by all),
+l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 75 * (na.n + nb.n - c)),
+r as (select doc_id, doc_id o from w union select r.doc_id, l.b from r join l on l.a = r.o),
+c as (select doc_id, min(o) m from r group by doc_id)
+select doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, c.m component_id, c.m = doc_id kept from w left join n using (doc_id) join c using (doc_id)"""
+
+
+@REG.query("op8_near_duplicates", _OP8_SQL)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return near.components_of(table(spark, sf, "documents").select("doc_id", "text"))
