@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanforge.llm import bpe, decontaminate, language, lines, near, repeats, secrets, urls, vafile
+from loanforge.llm import bpe, decontaminate, language, lines, near, pii, repeats, secrets, urls, vafile
 from loanforge.llm.common import table
 from loanforge.plans.registry import Registry
 
@@ -128,3 +128,11 @@ select doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, c.m component_id, c.
 @REG.query("op8_near_duplicates", _OP8_SQL)
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return near.components_of(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@REG.query("op10_personal_data")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    out = pii.sanitise(table(spark, sf, "documents").select("doc_id", "text"), mask=False)
+    of = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("bigint")
+    base = F.filter("pii", lambda s: s["kind"] != pii.TERM)
+    return out.select("doc_id", *[of(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
