@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -88,9 +89,9 @@ KEYWORD_RULES = [
     KeywordRule("V10", "IFRS 9", "B5.5.17", "conceptual_soundness", "high", ("sicr", "significant increase", "credit risk", "staging", "stage 2", "qualitative backstop", "30 days")),
     KeywordRule("V11", "SS1/23", "P2.5", "conceptual_soundness", "medium", ("explainability", "interpretability", "shap", "feature importance", "explain", "transparent")),
     KeywordRule("V12", "SS1/23", "P1.3", "conceptual_soundness", "medium", ("governance", "version control", "model owner", "review", "inventory", "escalation")),
-    KeywordRule("V13", "RBI MRM Guidelines", "Chapter – IV, Section 26(1)", "conceptual_soundness", "high", ("model objectives", "rationale", "scope", "application", "intended use")),
-    KeywordRule("V14", "RBI MRM Guidelines", "Chapter – IV, Section 26(2)", "conceptual_soundness", "high", ("cost-benefit analysis", "ethical considerations", "bias", "fairness", "risks", "adverse outcomes")),
-    KeywordRule("V15", "RBI MRM Guidelines", "Chapter – IV, Section 27", "conceptual_soundness", "high", ("structured process", "data preprocessing", "model design", "assumptions", "limitations", "performance evaluation")),
+    KeywordRule("V13", "RBI MRM Guidelines", "Guidance on Regulatory Principles for Model Risk Management, 2026, Chapter – IV, Section 26(1)", "conceptual_soundness", "high", ("model objectives", "rationale", "scope", "application", "intended use")),
+    KeywordRule("V14", "RBI MRM Guidelines", "Guidance on Regulatory Principles for Model Risk Management, 2026, Chapter – IV, Section 26(2)", "conceptual_soundness", "high", ("cost-benefit analysis", "ethical considerations", "bias", "fairness", "risks", "adverse outcomes")),
+    KeywordRule("V15", "RBI MRM Guidelines", "Guidance on Regulatory Principles for Model Risk Management, 2026, Chapter – IV, Section 27", "conceptual_soundness", "high", ("structured process", "data preprocessing", "model design", "assumptions", "limitations", "performance evaluation")),
 ]
 
 
@@ -228,13 +229,11 @@ def scored_chunks(chunks: DataFrame, **kw) -> DataFrame:
     return tok.withColumn("score", relevance(F.col("__low"), F.col("__tokens"), **kw)).drop("__low", "__tokens")
 
 
-def relevant_chunks(scored: DataFrame, doc: str = "doc_id", min_score: float = 0.45, top: int = 40) -> DataFrame:
-    """Chunks of at least ``min_score``, the ``top`` best per document.
-
-    The rank filter lets Spark prune per task before the shuffle.
-    """
+def relevant_chunks(scored: DataFrame, doc: str = "doc_id", min_score: float = 0.45, top: int | None = None) -> DataFrame:
+    """Chunks of at least ``min_score`` with their rank in the document; all, or the ``top`` best."""
     w = Window.partitionBy(doc).orderBy(F.col("score").desc(), "chunk_index")
-    return scored.where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    ranked = scored.where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(w))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def build_chunk_table(docs: DataFrame, path: str, source: str = "source") -> None:
@@ -327,22 +326,29 @@ def stated_metrics(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 # ---- retrieval -----------------------------------------------------------
 
+QUERIES_AT_ONCE = 1000
+
 
 def nearest(
     vectors: DataFrame, queries: Sequence[tuple[object, Sequence[float]]], k: int = TOP_K, key: str = "vec_id", vec: str = "embedding"
 ) -> DataFrame:
     """The ``k`` vectors of highest cosine similarity per query vector.
 
-    Queries are few and travel with the task. Each Arrow batch is one matrix
-    product that keeps its own best ``k`` per query, so the final ranking only
-    sees survivors.
+    Queries travel with the task in blocks of at most ``QUERIES_AT_ONCE``, one pass
+    each. Every Arrow batch is one matrix product; a task carries its best ``k``
+    per query from batch to batch, so the final ranking sees ``k`` rows per
+    task and query.
     """
+    if len(queries) > QUERIES_AT_ONCE:
+        parts = [nearest(vectors, queries[i : i + QUERIES_AT_ONCE], k, key, vec) for i in range(0, len(queries), QUERIES_AT_ONCE)]
+        return reduce(DataFrame.unionByName, parts)
     names = [q for q, _ in queries]
     q = np.array([v for _, v in queries], dtype=float)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     dim = q.shape[1]
 
     def local(batches):
+        best_i, best_s = [np.zeros(0, np.int64)] * len(names), [np.zeros(0)] * len(names)
         for b in batches:
             n = b.num_rows
             if not n:
@@ -351,13 +357,13 @@ def nearest(
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, dim)
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             s = x @ q.T
-            keep_i, keep_q = [], []
             for j in range(s.shape[1]):
-                best = np.lexsort((ids, -s[:, j]))[:k]
-                keep_i.append(best)
-                keep_q.append(np.full(len(best), j))
-            i, j = np.concatenate(keep_i), np.concatenate(keep_q)
-            yield pa.RecordBatch.from_arrays([pa.array(j.astype("int32")), pa.array(ids[i]), pa.array(s[i, j])], names=["__q", key, "similarity"])
+                new = np.flatnonzero(s[:, j] >= np.partition(s[:, j], n - k)[n - k]) if n > k else np.arange(n)
+                i, v = np.concatenate((best_i[j], ids[new])), np.concatenate((best_s[j], s[new, j]))
+                order = np.lexsort((i, -v))[:k]
+                best_i[j], best_s[j] = i[order], v[order]
+        j = np.repeat(np.arange(len(names)), [len(x) for x in best_i])
+        yield pa.RecordBatch.from_arrays([pa.array(j.astype("int32")), pa.array(np.concatenate(best_i)), pa.array(np.concatenate(best_s))], names=["__q", key, "similarity"])
 
     ok = vectors.where(F.size(vec) == dim).select(F.col(key).cast("bigint").alias(key), F.col(vec).cast("array<double>").alias(vec))
     best = ok.mapInArrow(local, f"__q int, {key} bigint, similarity double")
@@ -366,10 +372,8 @@ def nearest(
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(label.alias("query"), key, F.round("similarity", 6).alias("similarity"), "rank")
 
 
-def centroids(vectors: DataFrame, group: str, vec: str = "embedding", limit: int = 1000) -> list[tuple[object, list[float]]]:
-    """Mean vector per group as query vectors; refuses more groups than queries should be."""
+def centroids(vectors: DataFrame, group: str, vec: str = "embedding") -> list[tuple[object, list[float]]]:
+    """Mean vector per group as query vectors."""
     parts = vectors.select(group, F.posexplode(vec).alias("i", "v")).groupBy(group, "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    rows = parts.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c")).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} query groups")
+    rows = parts.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c")).collect()
     return sorted((r[group], list(r["c"])) for r in rows)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from loanforge.functions.dates import period_label
 from loanforge.functions.expressions import bin_right_closed, safe_div, settle, with_totals
 from loanforge.operators.ordering import (
+    typed_order_statistic,
     average_ranks,
     exact_quantiles,
     feature_ladder,
@@ -253,8 +254,10 @@ def gain_lift(scored: DataFrame, key: str = "key", n_deciles: int = 10, y: str =
     those scores (at most ``n_deciles + 1``) are ranked by key.
     """
     lad = score_ladder(scored, y, p).withColumn("cum_n", F.col("cum_pos") + F.col("cum_neg"))
+    kind = dict(scored.dtypes)[key]
+    widest = F.max(F.greatest(F.col(key), -F.col(key))) if kind == "bigint" else F.lit(None)
     total = scored.where(F.col(p).isNotNull() & F.col(y).isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("bigint")).alias("pos")
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("bigint")).alias("pos"), widest.alias("widest")
     ).first()
     n, n_pos = total["n"], total["pos"] or 0
     cutoffs = [int(n * (i / n_deciles)) for i in range(n_deciles + 1)]
@@ -273,7 +276,13 @@ def gain_lift(scored: DataFrame, key: str = "key", n_deciles: int = 10, y: str =
                     exact[c] = r["cum_pos"]
                 elif r["pos"]:
                     partial.append((c, r["score"], c - before))
-    if partial:
+    numeric = kind in ("tinyint", "smallint", "int", "float", "double") or (kind == "bigint" and (total["widest"] or 0) < 2**53)
+    if partial and not numeric:  # a double can't hold every such key: ranked in its own type
+        for c, s, m in partial:
+            same = scored.where((F.col(p) == s) & F.col(y).isNotNull())
+            last = typed_order_statistic(same, key, m - 1)
+            exact[c] += same.where((F.col(y) == 1) & (F.col(key) <= F.lit(last))).count()
+    elif partial:
         tied = scored.where(F.col(p).isin([s for _, s, _ in partial])).select(
             F.col(y).alias("__y"), F.col(p).alias("__p"),
             *[F.when(F.col(p) == s, F.col(key)).alias(f"k{i}") for i, (_, s, _) in enumerate(partial)],

@@ -18,8 +18,8 @@ def _calendar(*order: str):
 
 
 def assemble(series: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row per observation date, one forward-filled column per series."""
-    wide = series.groupBy("obs_date").pivot("series", list(names)).agg(F.first("value"))
+    """One row per observation date, one forward-filled column per series; of equal dates the largest value."""
+    wide = series.groupBy("obs_date").pivot("series", list(names)).agg(F.max("value"))
     return wide.select("obs_date", *[F.last(n, ignorenulls=True).over(_calendar("obs_date")).alias(n) for n in names])
 
 
@@ -28,7 +28,7 @@ def as_of_months(series: DataFrame, months: DataFrame, names: Sequence[str]) ->
 
     ``months`` holds one column ``month``.
     """
-    wide = series.groupBy("obs_date").pivot("series", list(names)).agg(F.first("value"))
+    wide = series.groupBy("obs_date").pivot("series", list(names)).agg(F.max("value"))
     asked = months.where("month is not null").select(F.col("month").alias("obs_date"), F.lit(1).alias("asked"))
     both = wide.withColumn("asked", F.lit(0)).unionByName(asked, allowMissingColumns=True)
     # rows of the same date: observations first, so that a month start sees its own observation

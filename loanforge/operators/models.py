@@ -6,19 +6,19 @@ pipeline; scoring any table or stream is one projection plus ``transform``.
 
 from __future__ import annotations
 
+import itertools
 import json
+import math
 import random
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields, is_dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,19 +105,45 @@ class FittedModel:
     def save(self, path: str) -> None:
         spark = SparkSession.getActiveSession()
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        meta = {"name": self.name, "roles": asdict(self.roles), "plan": asdict(self.plan), "columns": self.columns}
+        meta = {"name": self.name, "roles": asdict(self.roles), "plan": asdict(self.plan), "columns": self.columns, "features": plain(self.features)}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/plan")
 
 
+#: What a stored feature plan is made of.
+PLAN_PARTS = {c.__name__: c for c in (fe.FeaturePlan, fe.Bucketer, fe.Interaction, fe.WoeMaps)}
+
+
+def plain(v):
+    """Plan objects as JSON values: dataclasses by name, tuples and mappings marked."""
+    if is_dataclass(v):
+        return {"part": type(v).__name__, "of": {f.name: plain(getattr(v, f.name)) for f in fields(v)}}
+    if isinstance(v, Mapping):
+        return {"map": [[plain(k), plain(x)] for k, x in v.items()]}
+    if isinstance(v, tuple):
+        return {"tuple": [plain(x) for x in v]}
+    return [plain(x) for x in v] if isinstance(v, list) else v
+
+
+def revived(v):
+    """The inverse of :func:`plain`."""
+    if isinstance(v, list):
+        return [revived(x) for x in v]
+    if not isinstance(v, dict):
+        return v
+    if "part" in v:
+        return PLAN_PARTS[v["part"]](**{k: revived(x) for k, x in v["of"].items()})
+    return tuple(map(revived, v["tuple"])) if "tuple" in v else {revived(k): revived(x) for k, x in v["map"]}
+
+
 def load_model(spark: SparkSession, path: str) -> FittedModel:
-    """A saved model without feature plan."""
+    """A saved model with its feature plan."""
     m = json.loads(spark.read.text(f"{path}/plan").first()["value"])
     r = m["roles"]
     roles = Roles(**{k: (tuple(v) if isinstance(v, list) else v) for k, v in r.items()})
     p = m["plan"]
     branch = lambda b: prep.Branch(**{k: (tuple(v) if isinstance(v, list) else v) for k, v in b.items()})
     plan = prep.PrepPlan({c: branch(b) for c, b in p["numeric"].items()}, p["onehot"], p["ordinal"], tuple(p["boolean"]), tuple(p["datetime"]))
-    return FittedModel(m["name"], roles, plan, PipelineModel.load(f"{path}/pipeline"), m["columns"])
+    return FittedModel(m["name"], roles, plan, PipelineModel.load(f"{path}/pipeline"), m["columns"], revived(m["features"]))
 
 
 def _stages(name: str, columns: Sequence[str], params: Mapping | None, seed: int):
@@ -187,7 +213,7 @@ def cross_validate(
 ) -> list[float]:
     """Exact AUC of each fold with preparation refitted on the other folds."""
     out = []
-    with cached(fold_column(df.select(*used(roles)), roles.keys, folds, seed, "__fold")) as f:
+    with cached(fold_column(df.select(*used(roles)), roles.keys, folds, seed, "__fold", roles.target)) as f:
         for k in range(folds):
             m = fit_model(f.where(F.col("__fold") != k).drop("__fold"), roles, name, params, seed, cache=False)
             out.append(exact_auc(m.score(f.where(F.col("__fold") == k).drop("__fold")), roles.target))
@@ -201,34 +227,35 @@ def cv_summary(aucs: Sequence[float]) -> tuple[float, float]:
 
 
 def random_search(
-    train: DataFrame, roles: Roles, name: str = "Logistic Regression", draws: int = 8, folds: int = 3, seed: int = 42, parallelism: int = 4
+    train: DataFrame, roles: Roles, name: str = "Logistic Regression", draws: int = 8, folds: int = 3, seed: int = 42
 ) -> list[tuple[dict, float]]:
-    """Random draws from the search space by folded AUC, best first."""
+    """Random draws from the search space by exact AUC over stratified folds, best first; preparation is learned inside each fold."""
     rng = random.Random(seed)
     space = SEARCH_SPACE[name]
     seen: list[dict] = []
-    for _ in range(draws * 10):
-        d = {k: rng.choice(v) for k, v in space.items()}
-        if d not in seen:
-            seen.append(d)
-        if len(seen) == draws:
-            break
-    plan = prep.fit_prep(train, roles.numeric, roles.categorical, roles.boolean, roles.datetime)
-    model = FittedModel(name, roles, plan, None, plan.output_columns())
-    asm, est = _stages(name, model.columns, None, seed)
-    keyed = model.prepared(train, [roles.target, *roles.keys])
-    keyed = keyed.withColumnRenamed(f"__keep_{roles.target}", "label")
-    keyed = fold_column(keyed, [f"__keep_{k}" for k in roles.keys], folds, seed, "fold")
-    table = asm.transform(with_class_weights(keyed, "label").withColumn("label", F.col("label").cast("double"))).select("label", "weight", "features", "fold")
-    table.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        grid = [{est.getParam(k): v for k, v in d.items()} for d in seen]
-        cv = CrossValidator(
-            estimator=est, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=folds, foldCol="fold", parallelism=parallelism
-        ).fit(table)
-    finally:
-        table.unpersist()
-    return sorted(zip(seen, [float(a) for a in cv.avgMetrics]), key=lambda t: -t[1])
+    for values in rng.sample(list(itertools.product(*space.values())), min(draws, math.prod(map(len, space.values())))):
+        seen.append(dict(zip(space, values)))
+    if len(seen) < draws:
+        raise ValueError(f"the search space of {name!r} holds {len(seen)} settings, {draws} are asked for")
+    aucs: list[list[float | None]] = [[] for _ in seen]
+    with cached(fold_column(train.select(*used(roles)), roles.keys, folds, seed, "__fold", roles.target)) as f:
+        for k in range(folds):
+            rest, held = (f.where(c).drop("__fold") for c in (F.col("__fold") != k, F.col("__fold") == k))
+            plan = prep.fit_prep(rest, roles.numeric, roles.categorical, roles.boolean, roles.datetime)
+            model = FittedModel(name, roles, plan, None, plan.output_columns())
+            label = with_class_weights(model.prepared(rest, [roles.target]).withColumnRenamed(f"__keep_{roles.target}", "label"), "label")
+            asm, _ = _stages(name, model.columns, None, seed)
+            with cached(asm.transform(label.withColumn("label", F.col("label").cast("double"))).select("label", "weight", "features")) as table:
+                for i, params in enumerate(seen):
+                    model.pipeline = PipelineModel(stages=[asm, _stages(name, model.columns, params, seed)[1].fit(table)])
+                    aucs[i].append(exact_auc(model.score(held), roles.target))
+    means = [cv_mean(a) for a in aucs]
+    return sorted(zip(seen, means), key=lambda t: -t[1])
+
+
+def cv_mean(aucs: Sequence[float | None]) -> float:
+    ok = [a for a in aucs if a is not None]
+    return sum(ok) / len(ok) if ok else float("nan")
 
 
 def evaluate_oot(df: DataFrame, roles: Roles, ts: str, name: str = "Logistic Regression", params: Mapping | None = None) -> DataFrame:

@@ -138,6 +138,34 @@ def order_statistics(
     return {(r["f"], base[(r["f"], r["b"])] + r["hit"]): r["v"] for r in found}
 
 
+def typed_order_statistic(df: DataFrame, col: str, rank: int, rows_at_once: int = 1_000_000, cuts: int = 100):
+    """Exact value at a 0-based rank of a column of any ordered type (nulls excluded).
+
+    Each round counts rows between sampled values and keeps the range that holds
+    the rank, until at most ``rows_at_once`` rows are left to sort.
+    """
+    rows = df.where(F.col(col).isNotNull()).select(F.col(col).alias("v"))
+    n = rows.count()
+    while n > rows_at_once:
+        seen = sorted({r["v"] for r in rows.sample(fraction=min(1.0, 50.0 * cuts / n), seed=11).limit(100 * cuts).collect()})
+        points = [seen[len(seen) * i // cuts] for i in range(1, cuts)] if len(seen) > cuts else seen
+        if not points:
+            break
+        place = F.size(F.filter(F.array(*[F.lit(x) for x in points]), lambda x: x <= F.col("v")))
+        sizes = sorted((r["b"], r["count"]) for r in rows.groupBy(place.alias("b")).count().collect())
+        for b, size in sizes:
+            if rank < size:
+                break
+            rank -= size
+        rows = rows.where(place == b)
+        if size == n:
+            break
+        n = size
+    counted = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return counted.withColumn("upto", upto).where(F.col("upto") > rank).agg(F.min("v").alias("v")).first()["v"]
+
+
 def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],

@@ -487,13 +487,19 @@ def slug(value: str) -> str:
     return "".join(ch if ch.isalnum() else "_" for ch in value)
 
 
+def one_hot_names(column: str, categories: Sequence[str]) -> list[str]:
+    """A column name per category; categories that read alike get their position as well."""
+    names = [f"{column}_{slug(k)}" for k in categories]
+    return [n if names.count(n) == 1 else f"{n}_{i}" for i, n in enumerate(names)]
+
+
 def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]], fill: str = "Unknown") -> DataFrame:
     """0/1 column per train category; unseen values give all zeros."""
     new = {}
     for c, cats in categories.items():
         v = F.coalesce(F.col(c).cast("string"), F.lit(fill))
-        for k in cats:
-            new[f"{c}_{slug(k)}"] = (v == F.lit(k)).cast("double")
+        for k, n in zip(cats, one_hot_names(c, cats)):
+            new[n] = (v == F.lit(k)).cast("double")
     return df.withColumns(new)
 
 
@@ -647,7 +653,7 @@ class PrepPlan:
 
     def output_columns(self) -> list[str]:
         out = list(self.numeric)
-        out += [f"{c}_{slug(k)}" for c, cats in self.onehot.items() for k in cats]
+        out += [n for c, cats in self.onehot.items() for n in one_hot_names(c, cats)]
         out += [f"{c}_ord" for c in self.ordinal]
         out += list(self.boolean)
         for c in self.datetime:
@@ -739,7 +745,7 @@ def apply_prep(df: DataFrame, plan: PrepPlan, keep: Sequence[str] = ()) -> DataF
     out += [_branch_column(F.col(c), b).alias(c) for c, b in plan.numeric.items()]
     for c, cats in plan.onehot.items():
         v = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
-        out += [(v == F.lit(k)).cast("double").alias(f"{c}_{slug(k)}") for k in cats]
+        out += [(v == F.lit(k)).cast("double").alias(n) for k, n in zip(cats, one_hot_names(c, cats))]
     for c, cats in plan.ordinal.items():
         v = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
         codes = F.create_map(*[x for i, k in enumerate(cats) for x in (F.lit(k), F.lit(i))])

@@ -79,7 +79,6 @@ FRAMEWORK_ALIASES = {
     "SS1/23": ["ss1/23"],
     "RBI": ["rbi", "chapter iv", "regulatory principles for model risk management"],
 }
-TOTAL_RULES = 28
 PLACEHOLDERS = ["", "unknown", "tbd", "n/a", "na", "none", "null", "not provided", "not specified", "user", "custom"]
 OPERATORS = {"gte": ">=", "lte": "<=", "gt": ">", "lt": "<", "eq": "==", "ne": "!="}
 
@@ -120,11 +119,11 @@ def rule_structs(rules: Sequence[Rule]) -> Column:
     )
 
 
-def evaluate_rules(metrics: DataFrame, rules: Sequence[Rule], entity: str = "entity", not_verifiable: int = 0) -> DataFrame:
+def evaluate_rules(metrics: DataFrame, rules: Sequence[Rule], entity: str = "entity", not_verifiable: int | None = None) -> DataFrame:
     """Every rule of every entity with its value and PASS/FLAG status.
 
-    Rules without a value are left out, except presence checks; up to
-    ``not_verifiable`` of them per stage are kept as NOT_VERIFIABLE.
+    Rules without a value are NOT_VERIFIABLE, except presence checks; all of
+    them are kept, or ``not_verifiable`` per stage.
     """
     names = sorted({r.metric for r in rules})
     per = (
@@ -138,13 +137,10 @@ def evaluate_rules(metrics: DataFrame, rules: Sequence[Rule], entity: str = "ent
     missing = F.col("value").isNull() & (F.col("operator") != "is_present")
     status = F.when(missing, "NOT_VERIFIABLE").when(rule_holds(F.col("operator"), F.col("value"), F.col("threshold")), "PASS").otherwise("FLAG")
     out = rows.withColumn("status", status)
-    if not_verifiable:
+    if not_verifiable is not None:
         w = Window.partitionBy(entity, "stage", "status").orderBy("n")  # at most the rule count per entity
         out = out.withColumn("k", F.row_number().over(w)).where((F.col("status") != "NOT_VERIFIABLE") | (F.col("k") <= not_verifiable)).drop("k")
-        out = out.withColumn("severity", F.when(F.col("status") == "NOT_VERIFIABLE", "medium").otherwise(F.col("severity")))
-    else:
-        out = out.where("status <> 'NOT_VERIFIABLE'")
-    return out.drop("n")
+    return out.withColumn("severity", F.when(F.col("status") == "NOT_VERIFIABLE", "medium").otherwise(F.col("severity"))).drop("n")
 
 
 def flags(metrics: DataFrame, stage: str, entity: str = "entity", rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
@@ -187,11 +183,16 @@ def source_counts(found: DataFrame, entity: str = "entity") -> DataFrame:
     return found.groupBy(entity, "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-def compliance_report(found: DataFrame, entity: str = "entity", total_rules: int = TOTAL_RULES) -> DataFrame:
-    """Counts by severity, rules passed, score in percent and overall status per entity."""
+def compliance_report(found: DataFrame, entities: DataFrame, total_rules: int = len(RULES), entity: str = "entity") -> DataFrame:
+    """Counts by severity, rules passed, score in percent and overall status of every entity.
+
+    ``entities`` names all that were checked with ``total_rules`` rules, so those without a flag pass.
+    """
     g = found.groupBy(entity).agg(
         *[F.count_if(F.col("severity") == s).alias(f"{s}_severity") for s in ("high", "medium", "low")], F.count(F.lit(1)).alias("rules_flagged")
     )
+    counts = [c for c in g.columns if c != entity]
+    g = entities.select(entity).distinct().join(g, entity, "left").fillna(0, counts)
     passed = F.lit(total_rules) - F.col("rules_flagged")
     return g.select(
         entity, "high_severity", "medium_severity", "low_severity", F.lit(total_rules).alias("total_rules"), "rules_flagged",
@@ -380,7 +381,8 @@ def overall_status(data: Column, conceptual: Column, backtesting: Column, findin
 
 def validation_status(events: DataFrame, model: str, stage: str, ts: str, status: str, findings: str) -> DataFrame:
     """Latest status per (model, stage), turned into one status row per model."""
-    last = events.groupBy(model, stage).agg(F.max_by(status, ts).alias("s"), F.max_by(findings, ts).alias("f"))
+    both = F.struct(F.col(status).alias("s"), F.col(findings).alias("f"))  # of one event, also where times are equal
+    last = events.groupBy(model, stage).agg(F.max_by(both, F.struct(F.col(ts).alias("t"), both.alias("b"))).alias("e")).select(model, stage, "e.*")
     names = ["data_validation", "conceptual_soundness", "backtesting"]
     wide = last.groupBy(model).agg(
         *[F.max(F.when(F.col(stage) == n, F.col("s"))).alias(f"{n}_status") for n in names], F.sum("f").cast("bigint").alias("findings_count")

@@ -5,15 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanforge.functions.expressions import with_totals
 from loanforge.operators.ordering import order_statistics
 from loanforge.operators.roles import late_origin_columns, post_default_columns
 
-# A class count above this is not a classification target: the split is then unstratified.
-MAX_CLASSES = 50
+# Up to so many classes the hash cut-offs travel as literals, beyond that in a joined table; the cuts are the same.
+LITERAL_CLASSES = 50
+#: Rows of a class within one hash range that are ranked in one task, about.
+ROWS_PER_RANGE = 100_000
 
 
 def finalize_xy(df: DataFrame, id_cols: Sequence[str], target: str) -> tuple[DataFrame, dict[str, list[str]]]:
@@ -60,34 +62,71 @@ def stratified_split(
     are exact order statistics, so no class is ever sorted in one task and the
     split itself is a projection.
     """
-    h = key_hash(keys, seed)
-    sizes = df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    classes = {r[y]: r["n"] for r in sizes}
-    if len(classes) > MAX_CLASSES:
-        classes = {"__all__": df.count()}
-        pick = {"__all__": F.lit(True)}
-    else:
-        pick = {k: (F.col(y).isNull() if k is None else F.col(y) == F.lit(k)) for k in classes}
+    return _cut_classes(df, y, key_hash(keys, seed), [test_size, test_size + val_size], ["test", "val", "train"], "split", [test_size, val_size])
+
+
+def _cut_classes(df: DataFrame, y: str, h: Column, shares: Sequence[float], labels: Sequence, name: str, sizes: Sequence[float] | None = None) -> DataFrame:
+    """Add ``name``: rows of every class in hash order, cut at exact shares of the class.
+
+    ``sizes`` are part sizes to be rounded one by one; without it the ends in ``shares`` are rounded.
+    """
+    counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("n"))
+    few = counts.limit(LITERAL_CLASSES + 1).collect()
+    if len(few) > LITERAL_CLASSES:
+        return _cut_by_table(df, y, h, counts, shares, labels, name, sizes)
+    classes = {r[y]: r["n"] for r in few}
+    pick = {k: (F.col(y).isNull() if k is None else F.col(y).eqNullSafe(F.lit(k))) for k in classes}
     names = {k: f"h{i}" for i, k in enumerate(classes)}
     hashed = df.select(*[F.when(pick[k], h).alias(names[k]) for k in classes])
-    wanted = {}
-    for k, n in classes.items():
-        t, v = _half_up(n * test_size), _half_up(n * val_size)
-        wanted[k] = [r for r in (t - 1, t + v - 1) if 0 <= r < n]
+
+    def ends(n: int) -> list[int]:
+        if sizes is None:
+            return [_half_up(n * s) for s in shares]
+        return [sum(_half_up(n * s) for s in sizes[: i + 1]) for i in range(len(sizes))]
+
+    wanted = {k: [e - 1 for e in ends(n) if 1 <= e <= n] for k, n in classes.items()}
     cut = order_statistics(hashed, {names[k]: r for k, r in wanted.items()}, {names[k]: n for k, n in classes.items()})
-    out: Column = F.lit("train")
+    out: Column = F.lit(labels[-1])
     for k, n in classes.items():
-        t, v = _half_up(n * test_size), _half_up(n * val_size)
-        low = cut.get((names[k], t - 1), -1.0)
-        high = cut.get((names[k], t + v - 1), -1.0)
-        label = F.when(h.cast("double") <= low, "test").when(h.cast("double") <= high, "val").otherwise("train")
+        label = F.lit(labels[-1])
+        for e, text in reversed(list(zip(ends(n), labels))):
+            label = F.when(h.cast("double") <= cut.get((names[k], e - 1), -1.0), F.lit(text)).otherwise(label)
         out = F.when(pick[k], label).otherwise(out)
-    return df.withColumn("split", out)
+    return df.withColumn(name, out)
 
 
-def fold_column(df: DataFrame, keys: Sequence[str], folds: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
-    """Fold number from the key hash; class shares hold in expectation."""
-    return df.withColumn(name, (key_hash(keys, f"f{seed}") % folds).cast("int"))
+def _cut_by_table(df: DataFrame, y: str, h: Column, counts: DataFrame, shares: Sequence[float], labels: Sequence, name: str, sizes: Sequence[float] | None) -> DataFrame:
+    """The same cuts for any number of classes: rows per class and hash range, then ranks inside the ranges that hold a cut."""
+    bits = max(0, min(30, math.ceil(math.log2(max(df.count(), 1) / ROWS_PER_RANGE + 1))))
+    rows = df.select(F.col(y).alias("__y"), h.alias("__h"), F.shiftright(h, 52 - bits).alias("__r"))
+    half_up = lambda c: F.floor(c + 0.5).cast("bigint")
+    if sizes is None:
+        ends = [half_up(F.col("n") * s) for s in shares]
+    else:
+        ends = [sum((half_up(F.col("n") * s) for s in sizes[1 : i + 1]), half_up(F.col("n") * sizes[0])) for i in range(len(sizes))]
+    per = rows.groupBy("__y", "__r").agg(F.count(F.lit(1)).alias("k"))
+    per = per.withColumn("upto", F.sum("k").over(Window.partitionBy("__y").orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)))
+    need = counts.select(F.col(y).alias("__cy"), F.posexplode(F.array(*ends)).alias("i", "end"))
+    held = need.join(per, F.col("__cy").eqNullSafe(F.col("__y")) & (F.col("end") <= F.col("upto")) & (F.col("end") > F.col("upto") - F.col("k")))
+    held = held.select("__cy", F.col("__r").alias("__cr"), "i", (F.col("end") - F.col("upto") + F.col("k")).alias("at"))
+    ranges = held.groupBy("__cy", "__cr").agg(F.collect_list(F.struct("i", "at")).alias("cuts"))
+    inside = rows.join(ranges, F.col("__y").eqNullSafe(F.col("__cy")) & (F.col("__r") == F.col("__cr")))
+    rank = F.row_number().over(Window.partitionBy("__y", "__r").orderBy("__h"))
+    found = inside.withColumn("rank", rank).select("__y", "__h", F.explode(F.filter("cuts", lambda c: c["at"] == F.col("rank"))).alias("c"))
+    table = found.groupBy(F.col("__y").alias("__cy")).agg(F.map_from_entries(F.collect_list(F.struct("c.i", "__h"))).alias("__cut"))
+    out: Column = F.lit(labels[-1])
+    for i in reversed(range(len(shares))):
+        out = F.when(h <= F.coalesce(F.try_element_at("__cut", F.lit(i)), F.lit(-1)), F.lit(labels[i])).otherwise(out)
+    joined = df.join(table, df[y].eqNullSafe(F.col("__cy")), "left")
+    return joined.select(*[F.col(c) for c in df.columns], out.alias(name))
+
+
+def fold_column(df: DataFrame, keys: Sequence[str], folds: int = 5, seed: int = 42, name: str = "fold", y: str | None = None) -> DataFrame:
+    """Fold number from the key hash; with ``y`` every class is cut into folds of equal size."""
+    h = key_hash(keys, f"f{seed}")
+    if y is None:
+        return df.withColumn(name, (h % folds).cast("int"))
+    return _cut_classes(df, y, h, [(i + 1) / folds for i in range(folds - 1)], list(range(folds)), name)
 
 
 def split_stats(df: DataFrame, y: str, split: str = "split") -> DataFrame:
@@ -155,9 +194,15 @@ def class_weights(df: DataFrame, y: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, y: str, name: str = "weight") -> DataFrame:
-    rows = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if not 2 <= len(rows) <= MAX_CLASSES:
+    counts = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.limit(LITERAL_CLASSES + 1).collect()
+    if len(rows) < 2:
         return df.withColumn(name, F.lit(1.0))
+    if len(rows) > LITERAL_CLASSES:
+        t = counts.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k")).first()
+        weights = counts.select(F.col(y).alias("__cy"), (F.lit(float(t["t"])) / (F.col("n") * t["k"])).alias("__w"))
+        joined = df.join(weights, df[y] == F.col("__cy"), "left")
+        return joined.select(*[F.col(c) for c in df.columns], F.coalesce("__w", F.lit(1.0)).alias(name))
     total = sum(r["n"] for r in rows)
     out = F.lit(1.0)
     for r in rows:
@@ -165,7 +210,7 @@ def with_class_weights(df: DataFrame, y: str, name: str = "weight") -> DataFrame
     return df.withColumn(name, out)
 
 
-def capped_sample(df: DataFrame, keys: Sequence[str], max_rows: int = 20_000, seed: int = 42) -> DataFrame:
+def capped_sample(df: DataFrame, keys: Sequence[str], max_rows: int, seed: int = 42) -> DataFrame:
     """The ``max_rows`` rows of smallest key hash: repeatable, one exact cut-off and a filter."""
     h = key_hash(keys, seed)
     n = df.count()

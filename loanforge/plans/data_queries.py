@@ -51,10 +51,10 @@ _CUST = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"),
 
 @REG.query(
     "a3_inspect_table",
-    "WITH s AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 200), n AS (SELECT count(*) AS n FROM customer) "
+    "WITH s AS (SELECT * FROM customer), n AS (SELECT count(*) AS n FROM customer) "
     + union(
         f"SELECT 'customer' AS \"table\", (SELECT n FROM n) AS row_count, {i} AS position, '{c}' AS \"column\", '{t}' AS dtype, "
-        f"round(count(DISTINCT {c})/count(*)::DOUBLE,4) AS unique_ratio_sample, "
+        f"round(count(DISTINCT {c})/count(*)::DOUBLE,4) AS unique_ratio, "
         f"array_to_string(list_slice(list_sort(list(DISTINCT CAST({c} AS VARCHAR))),1,5),'|') AS sample_values FROM s"
         for i, (c, t) in enumerate(_CUST)
         if t != "double"
@@ -62,7 +62,7 @@ _CUST = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"),
 )
 def _(spark, d):
     df = readers.load_table(spark, d, "customer")
-    return readers.inspect_table(df, "customer", ["c_custkey"]).where(F.col("dtype") != "double")
+    return readers.inspect_table(df, "customer").where(F.col("dtype") != "double")
 
 
 def _role_case(table: str, col: str) -> str:

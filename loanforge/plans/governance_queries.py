@@ -200,21 +200,27 @@ def _(spark, d):
 
 @REG.query(
     "n5_rule_evaluation",
-    W + _MT + f"""SELECT e.entity, rule_id, stage, rl.metric, operator, threshold, value, CASE WHEN {_FAIL} THEN 'FLAG' ELSE 'PASS' END AS status FROM (SELECT DISTINCT entity FROM mt) e CROSS JOIN {_rules_values()}
- LEFT JOIN mt m ON m.entity=e.entity AND m.metric=rl.metric WHERE value IS NOT NULL OR operator='is_present'""",
+    W + _MT + f"""SELECT e.entity, rule_id, stage, rl.metric, operator, threshold, value, CASE WHEN value IS NULL AND operator<>'is_present' THEN 'NOT_VERIFIABLE' WHEN {_FAIL} THEN 'FLAG' ELSE 'PASS' END AS status FROM (SELECT DISTINCT entity FROM mt) e CROSS JOIN {_rules_values()}
+ LEFT JOIN mt m ON m.entity=e.entity AND m.metric=rl.metric""",
 )
 def _(spark, d):
     return ru.evaluate_rules(group_metrics(spark, d), ru.RULES).select("entity", "rule_id", "stage", "metric", "operator", "threshold", "value", "status")
 
 
+_N_EVAL = sum(r.stage == "evaluation" for r in ru.RULES)
+
+
 @REG.query(
     "n6_compliance_report",
-    W + _MT + f""", f AS ({_flag_sql('evaluation')}), g AS (SELECT entity, count(*) FILTER (severity='high') AS h, count(*) FILTER (severity='medium') AS m, count(*) FILTER (severity='low') AS l, count(*) AS n FROM f GROUP BY 1)
- SELECT entity, h AS high_severity, m AS medium_severity, l AS low_severity, 28 AS total_rules, n AS rules_flagged, 28-n AS rules_passed, round(greatest((28-n)/28.0::DOUBLE*100,0),1) AS compliance_score,
+    W + _MT + f""", f AS ({_flag_sql('evaluation')}), g AS (SELECT e.entity, count(*) FILTER (severity='high') AS h, count(*) FILTER (severity='medium') AS m, count(*) FILTER (severity='low') AS l, count(rule_id) AS n
+  FROM (SELECT DISTINCT entity FROM mt UNION ALL SELECT 'UNFLAGGED') e LEFT JOIN f ON f.entity=e.entity GROUP BY 1)
+ SELECT entity, h AS high_severity, m AS medium_severity, l AS low_severity, {_N_EVAL} AS total_rules, n AS rules_flagged, {_N_EVAL}-n AS rules_passed, round(greatest(({_N_EVAL}-n)/{_N_EVAL}.0::DOUBLE*100,0),1) AS compliance_score,
  CASE WHEN h>0 THEN 'FAIL' WHEN m>0 THEN 'WARN' ELSE 'PASS' END AS overall_status FROM g""",
 )
 def _(spark, d):
-    return ru.compliance_report(ru.flags(group_metrics(spark, d), "evaluation"))
+    m = group_metrics(spark, d)
+    entities = m.select("entity").distinct().unionByName(spark.range(1).select(F.lit("UNFLAGGED").alias("entity")))
+    return ru.compliance_report(ru.flags(m, "evaluation"), entities, _N_EVAL)
 
 
 @REG.query(
@@ -342,7 +348,7 @@ _SCORE = CHUNKS + ", lo AS (SELECT *, lower(chunk) AS t FROM chunks), sc AS (SEL
 ) + "),0.55::DOUBLE) - CASE WHEN regexp_matches(chunk,'(?im)" + dc.NOISE + "') THEN 0.3::DOUBLE ELSE 0 END,1)),6) AS score FROM lo)"
 
 
-@REG.query("o3_relevant_chunks", _SCORE + " SELECT doc_id, chunk_index, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_index) AS INTEGER) AS rank FROM sc WHERE score>=0.45) WHERE rank<=40")
+@REG.query("o3_relevant_chunks", _SCORE + " SELECT doc_id, chunk_index, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_index) AS INTEGER) AS rank FROM sc WHERE score>=0.45)")
 def _(spark, d):
     s = dc.scored_chunks(dc.section_chunks(model_docs(spark, d)))
     return dc.relevant_chunks(s).select("doc_id", "chunk_index", "score", "rank")

@@ -227,5 +227,5 @@ def _(spark, d):
         F.col("event_id").cast("string").alias("run_id"), "ts", F.col("event_type").alias("stage"), F.col("props").alias("summary")
     )
     out, ck = scratch_path(spark, "events"), scratch_path(spark, "events-state")
-    mon.start_run_events(e, out, ck, "365 days").awaitTermination()
+    mon.start_run_events(e, out, ck).awaitTermination()
     return mon.current_versions(spark, out).select("stage", "run_id", "summary")

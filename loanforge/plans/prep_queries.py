@@ -92,7 +92,10 @@ def _(spark, d):
     return splits.class_weights(scored_loans(spark, d), "y")
 
 
-@REG.query("e6_capped_sample")
+@REG.query(
+    "e6_capped_sample",
+    "WITH " + SCORED + " SELECT key, y, p FROM scored QUALIFY row_number() OVER (ORDER BY CAST('0x' || substring(md5(CAST(key AS VARCHAR) || '42'),1,13) AS BIGINT)) <= 5000",
+)
 def _(spark, d):
     return splits.capped_sample(scored_loans(spark, d), ["key"], 5000).select("key", "y", "p")
 

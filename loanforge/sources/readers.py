@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,35 +105,20 @@ def load_named(spark: SparkSession, path: str, name: str) -> DataFrame:
     return load_table(spark, path, name)
 
 
-def inspect_table(df: DataFrame, name: str, key: Sequence[str], sample_rows: int = 200) -> DataFrame:
-    """Row count plus dtype, unique ratio and five sample values per column.
+def inspect_table(df: DataFrame, name: str) -> DataFrame:
+    """Row count plus dtype, unique ratio and the five smallest sample values per column, over all rows.
 
-    The ratio and values come from the first ``sample_rows`` rows by ``key``;
-    the order makes the report repeatable.
+    Columns are unpivoted once, so values are counted in one shuffle whatever their number.
     """
-    sample = df.orderBy(*key).limit(sample_rows)
-    cols = df.columns
-    stats = sample.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_distinct(F.col(c)).alias(f"u__{c}") for c in cols],
-        *[F.slice(F.sort_array(F.collect_set(F.col(c).cast("string"))), 1, 5).alias(f"s__{c}") for c in cols],
-    )
     types = dict(df.dtypes)
-    rows = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("position"),
-                    F.lit(c).alias("column"),
-                    F.lit(types[c]).alias("dtype"),
-                    F.round(F.col(f"u__{c}") / F.col("n"), 4).alias("unique_ratio_sample"),
-                    F.concat_ws("|", F.col(f"s__{c}")).alias("sample_values"),
-                )
-                for i, c in enumerate(cols)
-            ]
-        )
-    )
-    total = df.count()
+    items = F.array(*[F.struct(F.lit(i).alias("position"), F.col(c).cast("string").alias("v")) for i, c in enumerate(df.columns)])
+    values = df.select(F.explode(items).alias("s")).select("s.*").groupBy("position", "v").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy("position").orderBy("v")
+    first = values.where("v is not null").withColumn("r", F.row_number().over(w)).where("r <= 5")
+    first = first.groupBy("position").agg(F.array_sort(F.collect_list("v")).alias("first"))
+    stats = values.groupBy("position").agg(F.sum("k").alias("row_count"), F.count("v").alias("u")).join(first, "position", "left")
+    names = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("dtype")) for c in df.columns])
     return stats.select(
-        F.lit(name).alias("table"), F.lit(total).cast("bigint").alias("row_count"), rows.alias("r")
-    ).select("table", "row_count", "r.*")
+        F.lit(name).alias("table"), "row_count", "position", F.element_at(names, F.col("position") + 1).alias("c"),
+        F.round(F.col("u") / F.col("row_count"), 4).alias("unique_ratio"), F.coalesce(F.concat_ws("|", "first"), F.lit("")).alias("sample_values"),
+    ).select("table", "row_count", "position", "c.*", "unique_ratio", "sample_values")

@@ -105,7 +105,7 @@ def validate_scores(scored: DataFrame, group: str, threshold: float = 0.5) -> di
     metrics = ev.metric_table(scored, threshold, [group]).withColumnRenamed(group, "entity")
     flags = rules.flags(metrics, "evaluation")
     return {
-        "flags": flags, "report": rules.compliance_report(flags), "findings": rules.findings_tracker(metrics),
+        "flags": flags, "report": rules.compliance_report(flags, metrics, sum(r.stage == "evaluation" for r in rules.RULES)), "findings": rules.findings_tracker(metrics),
         "groups": fairness.group_performance(scored, group), "bias": fairness.bias_check(scored, group),
     }
 

@@ -100,6 +100,26 @@ def test_not_verifiable_is_capped(spark):
     assert {r["rule_id"] for r in rows if r["status"] == "FLAG"} == {"R13", "IFRS9_B5.5_NO_PRAUC", "SS1_P3.3_NO_SENSITIVITY", "NO_SHAP"}
 
 
+def test_all_rules_without_evidence_are_kept(spark):
+    m = spark.createDataFrame([("m", "roc_auc", 0.5)], "entity string, metric string, value double")
+    rows = ru.evaluate_rules(m, ru.RULES).collect()
+    assert len(rows) == len(ru.RULES) and sum(r["status"] == "NOT_VERIFIABLE" for r in rows) > 20
+
+
+def test_an_entity_without_flags_passes(spark):
+    found = spark.createDataFrame([("a", "high")], "entity string, severity string")
+    out = {r["entity"]: r for r in ru.compliance_report(found, spark.createDataFrame([("a",), ("b",)], "entity string"), 4).collect()}
+    assert (out["b"]["overall_status"], out["b"]["compliance_score"], out["b"]["rules_passed"]) == ("PASS", 100.0, 4)
+    assert (out["a"]["overall_status"], out["a"]["compliance_score"], out["a"]["rules_flagged"]) == ("FAIL", 75.0, 1)
+
+
+def test_status_and_findings_come_from_one_event(spark):
+    rows = [("m", "backtesting", 5, "Completed", 0), ("m", "backtesting", 5, "Not Started", 9)]
+    df = spark.createDataFrame(rows, "model string, stage string, ts int, status string, f int")
+    r = ru.validation_status(df, "model", "stage", "ts", "status", "f").first()
+    assert (r["backtesting_status"], r["findings_count"]) in {("Completed", 0), ("Not Started", 9)}
+
+
 def test_verdicts(spark):
     rows = [("a", "s", "HIGH", "PASS"), ("b", "s", "HIGH", "FAIL"), ("b", "s", "HIGH", "FAIL")] + [("c", "s", "HIGH", "FAIL")] * 3 + [("d", "s", "LOW", "PENDING")]
     f = spark.createDataFrame(rows, "entity string, stage string, severity string, status string")

@@ -46,6 +46,15 @@ def test_refit_with_feature_plan(table):
     assert any(c.endswith("_woe") for c in r.model.columns)
 
 
+def test_a_stored_model_keeps_its_feature_plan(spark, table, tmp_path):
+    r = md.replicate(table, md.Roles("y", ("key",), tuple(NUMERIC), tuple(CATEGORICAL)))
+    assert r.model.features is not None and md.revived(md.plain(r.model.features)) == r.model.features
+    r.model.save(str(tmp_path / "m"))
+    again = md.load_model(spark, str(tmp_path / "m"))
+    assert again.features == r.model.features
+    assert again.score(r.test).exceptAll(r.model.score(r.test)).count() == 0
+
+
 def test_loops(table):
     small = md.Roles("y", ("key",), ("acctbal", "price"))
     aucs = md.cross_validate(table, small, folds=3)

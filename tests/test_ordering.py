@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanforge.operators import evaluate as ev
-from loanforge.operators.ordering import average_ranks, exact_quantiles, order_statistics, score_ladder
+from loanforge.operators.ordering import average_ranks, exact_quantiles, order_statistics, score_ladder, typed_order_statistic
 
 
 @pytest.fixture(scope="module")
@@ -83,6 +83,25 @@ def test_gain_chart_splits_ties_by_key(spark, scores):
     assert rows[0]["model"] == 0.0 and rows[-1]["model"] == 100.0
 
 
+def test_gain_chart_keeps_the_type_of_the_key(spark):
+    big = 2**53
+    rows = [(big + i, 1 if i >= 5 else 0, 0.5) for i in range(10)]
+    got = ev.gain_lift(spark.createDataFrame(rows, "key bigint, y int, p double")).orderBy("decile").collect()
+    assert [r["model"] for r in got] == [0.0] * 6 + [20.0, 40.0, 60.0, 80.0, 100.0]
+    text = spark.createDataFrame([(f"k{k % 97:03d}{k}", y, p) for k, y, p in rows], "key string, y int, p double")
+    order = [y for _, y in sorted((f"k{k % 97:03d}{k}", y) for k, y, _ in rows)]
+    got = ev.gain_lift(text).orderBy("decile").collect()
+    assert [r["model"] for r in got] == [round(sum(order[:i]) / 5 * 100, 2) for i in range(11)]
+
+
+def test_typed_order_statistic(spark):
+    words = [f"w{(i * 7919) % 1000:04d}" for i in range(1000)] + ["w0500"] * 200 + [None]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    order = sorted(w for w in words if w)
+    for rank in (0, 499, 600, 1199):
+        assert typed_order_statistic(df, "w", rank, rows_at_once=50, cuts=5) == order[rank]
+
+
 def test_empty_and_single_class(spark):
     one = spark.createDataFrame([(1, 1, 0.2), (2, 1, 0.8)], "key int, y int, p double")
     assert ev.auc_gini(one).first()["auc"] is None

@@ -136,3 +136,29 @@ def test_run_log(spark, tmp_path):
     assert parsed == {"1": 0.7, "2": None}
     assert runlog.find_event(log, "1").count() == 1
     assert [r["run_id"] for r in runlog.activity_feed([("x", log.where("stage = 'fit'"))]).collect()] == ["2", "1"]
+
+
+def test_sixty_classes_are_cut_exactly(spark):
+    from loanforge.operators import splits
+
+    df = spark.range(6000).selectExpr("id AS key", "CAST(id % 60 AS INT) AS y", "id * 2 AS __other")
+    parts = splits.stratified_split(df, "y", ["key"]).groupBy("y", "split").count().collect()
+    assert {(r["split"], r["count"]) for r in parts} == {("test", 15), ("val", 15), ("train", 70)} and len(parts) == 180
+    few = df.where("y < 20")
+    literal = splits.stratified_split(few, "y", ["key"])
+    counts = few.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    table = splits._cut_by_table(few, "y", splits.key_hash(["key"], 42), counts, [0.15, 0.3], ["test", "val", "train"], "split", [0.15, 0.15])
+    assert literal.exceptAll(table).count() == 0 and literal.count() == table.count()
+    folds = splits.fold_column(df, ["key"], 5, name="fold", y="y").groupBy("y", "fold").count().collect()
+    assert {r["count"] for r in folds} == {20} and len(folds) == 300
+    weights = splits.with_class_weights(df.unionByName(df.where("y = 0")), "y").groupBy("y").agg(F.max("weight").alias("w")).collect()
+    assert {round(r["w"], 6) for r in weights if r["y"]} == {round(6100 / 6000, 6)} and [round(r["w"], 6) for r in weights if r["y"] == 0] == [round(6100 / 12000, 6)]
+
+
+def test_one_hot_names_stay_apart(spark):
+    from loanforge.operators import prep
+
+    df = spark.createDataFrame([("A-1",), ("A_1",), ("B",)], "c string")
+    out = prep.one_hot(df, {"c": ["A-1", "A_1", "B"]})
+    assert len(set(out.columns)) == 4 and "c_B" in out.columns
+    assert [tuple(r)[1:] for r in out.collect()] == [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
