@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,7 +95,7 @@ def treatment_table(df: DataFrame, numeric: Sequence[str], categorical: Sequence
 
 
 def imputation_strategy(df: DataFrame, statistical: Sequence[str], numeric: Sequence[str]) -> dict:
-    """One joint method (mice, knn, median) from correlation strength, missing share and row count."""
+    """One joint method (mice, knn, median) from correlation strength and missing share, whatever the row count."""
     cols = list(statistical)
     n = df.count()
     if not cols:
@@ -106,8 +107,7 @@ def imputation_strategy(df: DataFrame, statistical: Sequence[str], numeric: Sequ
     corr = correlation_values(df, list(dict.fromkeys([*cols, *others])))
     best = {c: round(max([abs(corr[(c, o)]) for o in others if o != c and corr.get((c, o)) is not None] or [0.0]), 4) for c in cols}
     strong = sum(v >= STRONG_CORR for v in best.values())
-    heavy = miss > 0.15 or n > 100_000
-    method = ("mice" if heavy else "knn") if strong else "median"
+    method = ("mice" if miss > 0.15 else "knn") if strong else "median"
     if method != "median" and not predictors:
         method = "median"
     return {"method": method, "n_rows": n, "missing_pct": round(miss, 4), "n_strong": strong, "max_corr": best}
@@ -226,81 +226,104 @@ def apply_chained(df: DataFrame, plan: ChainedPlan) -> DataFrame:
     return work.withColumns({t: F.col(f"__f_{t}") for t in plan.targets}).drop(*[f"__f_{c}" for c in plan.cols])
 
 
-# Nearest-neighbour imputation is only proposed up to this many train rows, which bounds its donor table.
-MAX_KNN_ROWS = 100_000
+# Rows of a donor block and of a query block of nearest-neighbour imputation; every pair of blocks is one group.
+DONORS_PER_BLOCK = 50_000
+QUERIES_PER_BLOCK = 10_000
 
 
 @dataclass(frozen=True)
 class KnnPlan:
-    """Standardising constants and all train rows (standardised, NaN where missing)."""
+    """Standardising constants and the train table whose rows are the donors."""
 
     cols: tuple[str, ...]
     targets: tuple[str, ...]
     mean: dict[str, float]
     sd: dict[str, float]
-    donors: np.ndarray
+    donors: DataFrame
     k: int = 5
 
+    def standardised(self, df: DataFrame) -> Column:
+        """Standardised columns as one array, NaN where missing."""
+        z = [(F.col(c).cast("double") - self.mean[c]) / self.sd[c] for c in self.cols]
+        return F.array(*[F.coalesce(x, F.lit(float("nan"))) for x in z])
+
 
 def fit_knn(train: DataFrame, cols: Sequence[str], targets: Sequence[str], k: int = 5) -> KnnPlan:
-    """Every train row is a donor; above ``MAX_KNN_ROWS`` the strategy is chained imputation instead."""
-    s = train.agg(
-        F.count(F.lit(1)).alias("n"), *[x for c in cols for x in (F.avg(c).alias(f"m__{c}"), F.stddev_pop(c).alias(f"s__{c}"))]
-    ).first()
-    if s["n"] > MAX_KNN_ROWS:
-        raise ValueError(f"{s['n']} rows exceed the {MAX_KNN_ROWS} rows of nearest-neighbour imputation; use fit_chained")
+    """Every train row is a donor; the donors stay where they are."""
+    s = train.agg(*[x for c in cols for x in (F.avg(c).alias(f"m__{c}"), F.stddev_pop(c).alias(f"s__{c}"))]).first()
     mean = {c: float(s[f"m__{c}"] or 0.0) for c in cols}
     sd = {c: float(s[f"s__{c}"] or 1.0) or 1.0 for c in cols}
-    z = train.select(*[((F.col(c).cast("double") - mean[c]) / sd[c]).alias(c) for c in cols]).toPandas()  # size checked above
-    return KnnPlan(tuple(cols), tuple(targets), mean, sd, z.to_numpy(dtype=float), k)
+    return KnnPlan(tuple(cols), tuple(targets), mean, sd, train.select(*cols), k)
 
 
-def knn_estimates(q: np.ndarray, donors: np.ndarray, target: int, k: int) -> np.ndarray:
-    """Mean target of the ``k`` nearest donors by distance over shared coordinates, 0 when none is comparable."""
+def nearest_donors(q: np.ndarray, donors: np.ndarray, target: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distance over shared coordinates and target of the ``k`` nearest donors; infinite when not comparable."""
     ok = donors[~np.isnan(donors[:, target])]
-    if not len(ok):
-        return np.zeros(len(q))
-    mq, md = (~np.isnan(q)).astype(float), (~np.isnan(ok)).astype(float)
-    zq, zd = np.nan_to_num(q), np.nan_to_num(ok)
-    shared = mq @ md.T
-    d2 = (zq**2) @ md.T - 2 * zq @ zd.T + mq @ (zd**2).T
-    d2 = np.where(shared > 0, np.maximum(d2, 0.0) * q.shape[1] / np.maximum(shared, 1.0), np.inf)
     m = min(k, len(ok))
-    near = np.argpartition(d2, m - 1, axis=1)[:, :m]
-    dist, val = np.take_along_axis(d2, near, axis=1), ok[near, target]
-    use = np.isfinite(dist)
-    return np.where(use.any(axis=1), np.where(use, val, 0.0).sum(axis=1) / np.maximum(use.sum(axis=1), 1), 0.0)
+    dist, value = np.full((len(q), m), np.inf), np.zeros((len(q), m))
+    block = max(1, 2_000_000 // max(1, len(ok)))
+    for i in range(0, len(q) if m else 0, block):
+        part = q[i : i + block]
+        d2, shared = np.zeros((len(part), len(ok))), np.zeros((len(part), len(ok)))
+        for c in range(q.shape[1]):
+            d = part[:, c, None] - ok[None, :, c]
+            both = ~np.isnan(d)
+            d2 += np.where(both, d * d, 0.0)
+            shared += both
+        d2 = np.where(shared > 0, d2 * q.shape[1] / np.maximum(shared, 1.0), np.inf)
+        near = np.argpartition(d2, m - 1, axis=1)[:, :m]
+        dist[i : i + block], value[i : i + block] = np.take_along_axis(d2, near, axis=1), ok[near, target]
+    return dist, value
 
 
 def apply_knn(df: DataFrame, plan: KnnPlan) -> DataFrame:
-    """Fill the null targets from the nearest donors.
+    """Fill the null targets with the mean of the nearest donors.
 
-    The donor table (bounded at fit time) is broadcast once; tasks run over
-    Arrow batches in blocks sized to the donor count.
+    Different value vectors with a gap are dealt into blocks, the donors into
+    others; each pair of blocks keeps its own best, and the best of all donor
+    blocks are merged per vector. No side is collected or bounded in size.
     """
-    cols, targets, k = plan.cols, plan.targets, plan.k
-    mu = np.array([plan.mean[c] for c in cols])
-    sd = np.array([plan.sd[c] for c in cols])
-    shared = df.sparkSession.sparkContext.broadcast(plan.donors)
-    block = max(1, 4_000_000 // max(1, len(plan.donors)))
-
-    def impute(batches):
-        donors = shared.value
-        for pdf in batches:
-            x = (pdf[list(cols)].to_numpy(dtype=float, na_value=np.nan) - mu) / sd
-            for t in targets:
-                j = cols.index(t)
-                gaps = np.flatnonzero(np.isnan(x[:, j]))
-                if len(gaps):
-                    col = pdf[t].to_numpy(dtype=float, na_value=np.nan).copy()
-                    for i in range(0, len(gaps), block):
-                        part = gaps[i : i + block]
-                        col[part] = knn_estimates(x[part], donors, j, k) * sd[j] + mu[j]
-                    pdf[t] = col
-            yield pdf
-
-    typed = df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
-    return typed.mapInPandas(impute, typed.schema)
+    targets, k = plan.targets, plan.k
+    at = {t: plan.cols.index(t) for t in targets}
+    gap = F.lit(False)
+    for t in targets:
+        gap = gap | F.col(t).isNull()
+    vectors = df.where(gap).select(plan.standardised(df).alias("q")).distinct()
+    # Of equal donors no more than k can be among the nearest k.
+    donors = plan.donors.select(plan.standardised(plan.donors).alias("d")).groupBy("d").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"))
+    donors = donors.select("d", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    n_q, n_d = vectors.count(), donors.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    q_blocks = max(1, -(-n_q // QUERIES_PER_BLOCK), min(cores, n_q // 200))
+    d_blocks = max(1, -(-n_d // DONORS_PER_BLOCK))
+
+    def dealt(x: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(*x.columns), F.lit(n)).cast("int")
+        return x.select(x.columns[0], block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"q": [], "t": [], "best": []}
+        if len(q) and len(d):
+            mq, md = np.array(q["q"].tolist(), dtype=float), np.array(d["d"].tolist(), dtype=float)
+            for t, j in at.items():
+                rows = np.flatnonzero(np.isnan(mq[:, j]))
+                dist, value = nearest_donors(mq[rows], md, j, k)
+                out["q"] += [mq[r].tolist() for r in rows]
+                out["t"] += [t] * len(rows)
+                out["best"] += [[{"d": float(a), "v": float(b)} for a, b in zip(x, y) if np.isfinite(a)] for x, y in zip(dist, value)]
+        return pd.DataFrame(out)
+
+    cells = dealt(vectors, "b", q_blocks, "c", d_blocks).groupBy("b", "c").cogroup(dealt(donors, "c", d_blocks, "b", q_blocks).groupBy("b", "c"))
+    best = cells.applyInPandas(meet, "q array<double>, t string, best array<struct<d:double,v:double>>")
+    best = best.withColumn("q", F.transform("q", lambda x: F.coalesce(x, F.lit(float("nan")))))  # pandas hands NaN back as null
+    near = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
+    mean = F.when(F.size("near") > 0, F.aggregate("near", F.lit(0.0), lambda s, x: s + x["v"]) / F.size("near")).otherwise(F.lit(0.0))
+    found = best.groupBy("q", "t").agg(near.alias("near")).select("q", "t", mean.alias("z"))
+    wide = found.groupBy("q").agg(*[F.max(F.when(F.col("t") == t, F.col("z"))).alias(f"__z_{t}") for t in targets])
+    typed = df.select(*[F.col(c).cast("double").alias(c) if c in plan.cols else F.col(c) for c in df.columns])
+    joined = typed.withColumn("__q", plan.standardised(typed)).join(wide.withColumnRenamed("q", "__w"), gap & (F.col("__q") == F.col("__w")), "left")
+    fill = {t: F.coalesce(F.col(t), F.coalesce(F.col(f"__z_{t}"), F.lit(0.0)) * plan.sd[t] + plan.mean[t]) for t in targets}
+    return joined.select(*[fill[c].alias(c) if c in fill else F.col(c) for c in df.columns])
 
 
 @dataclass(frozen=True)

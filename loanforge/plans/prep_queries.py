@@ -125,7 +125,7 @@ _F3 = ["price", "price_half", "has_card"]
     FT + ", m AS (SELECT 1-count(acctbal)/count(*)::DOUBLE AS miss, count(*) AS n FROM feats), r AS (" + union(
         f"SELECT abs(corr(acctbal,{c})) AS r FROM feats WHERE acctbal IS NOT NULL AND {c} IS NOT NULL" for c in ["price", "price_half", "sparse", "has_card"]
     ) + """), x AS (SELECT round(max(r),4) AS r FROM r) SELECT 'acctbal' AS "column", r AS max_corr,
- CASE WHEN r>=0.3 THEN CASE WHEN miss>0.15 OR n>100000 THEN 'mice' ELSE 'knn' END ELSE 'median' END AS method, CASE WHEN r>=0.3 THEN 1 ELSE 0 END AS n_strong,
+ CASE WHEN r>=0.3 THEN CASE WHEN miss>0.15 THEN 'mice' ELSE 'knn' END ELSE 'median' END AS method, CASE WHEN r>=0.3 THEN 1 ELSE 0 END AS n_strong,
  round(miss,4) AS missing_pct, n AS n_rows FROM x, m""",
 )
 def _(spark, d):
@@ -153,14 +153,23 @@ def _(spark, d):
     return out.select("key", F.round("acctbal", 6).alias("acctbal"), F.round("sparse", 6).alias("sparse"))
 
 
-@REG.query("f6_knn_imputation")
+@REG.query(
+    "f6_knn_imputation",
+    FT + """, h AS (SELECT key, y, acctbal, price, sparse, ('0x'||substr(md5(CAST(key AS VARCHAR)||'42'),1,13))::BIGINT AS h FROM feats),
+ cut AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h) AS rn, count(*) OVER (PARTITION BY y) AS nc FROM h),
+ tr AS (SELECT acctbal::DOUBLE AS a, price::DOUBLE AS p, sparse::DOUBLE AS s FROM cut WHERE rn>2*floor(nc*0.15::DOUBLE+0.5)),
+ c AS (SELECT avg(a) AS ma, stddev_pop(a) AS da, avg(p) AS mp, stddev_pop(p) AS dp, avg(s) AS ms, stddev_pop(s) AS ds FROM tr),
+ q AS (SELECT key, (price-mp)/dp AS zp, (sparse-ms)/ds AS zs FROM h, c WHERE acctbal IS NULL),
+ dn AS (SELECT (a-ma)/da AS za, (p-mp)/dp AS zp, (s-ms)/ds AS zs FROM tr, c WHERE a IS NOT NULL),
+ pr AS (SELECT q.key, za, (coalesce(pow(q.zp-dn.zp,2),0)+coalesce(pow(q.zs-dn.zs,2),0))*3.0/((q.zp-dn.zp IS NOT NULL)::INT+(q.zs-dn.zs IS NOT NULL)::INT) AS d FROM q, dn),
+ nb AS (SELECT key, za, row_number() OVER (PARTITION BY key ORDER BY d, za) AS rn FROM pr WHERE d IS NOT NULL),
+ es AS (SELECT key, avg(za) AS z FROM nb WHERE rn<=5 GROUP BY key)
+ SELECT h.key, round(coalesce(acctbal, coalesce(z,0)*da+ma),4) AS acctbal, price, sparse FROM h CROSS JOIN c LEFT JOIN es ON es.key=h.key""",
+)
 def _(spark, d):
     f = splits.stratified_split(feature_table(spark, d), "y", ["key"]).select("key", "split", "acctbal", "price", "sparse")
-    cols, val = ["acctbal", "price", "sparse"], f.where("split = 'val'")
-    if val.count() <= prep.MAX_KNN_ROWS:
-        return prep.apply_knn(f, prep.fit_knn(val, cols, ["acctbal"])).drop("split")
-    # beyond the row bound of the method the strategy rule moves to chained imputation
-    return prep.apply_chained(f, prep.fit_chained(val, cols, ["acctbal"])).drop("split")
+    plan = prep.fit_knn(f.where("split = 'train'"), ["acctbal", "price", "sparse"], ["acctbal"])
+    return prep.apply_knn(f, plan).select("key", F.round("acctbal", 4).alias("acctbal"), "price", "sparse")
 
 
 @REG.query("f7_imputation_plan")

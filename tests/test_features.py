@@ -66,9 +66,9 @@ def test_knn_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 3))
     x[rng.random((60, 3)) < 0.2] = np.nan
-    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], "a double, b double, c double")
+    df = spark.createDataFrame([(i, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)], "i int, a double, b double, c double")
     plan = prep.fit_knn(df, ["a", "b", "c"], ["a", "b", "c"], k=4)
-    got = np.array([list(r) for r in prep.apply_knn(df.coalesce(1), plan).collect()], dtype=float)
+    got = np.array([list(r)[1:] for r in prep.apply_knn(df, plan).orderBy("i").collect()], dtype=float)
     z = (x - np.nanmean(x, 0)) / np.nanstd(x, 0)
     for i, j in zip(*np.where(np.isnan(x))):
         d = []
