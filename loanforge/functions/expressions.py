@@ -87,3 +87,17 @@ def status_above(value: Column, warn_at: float, fail_at: float) -> Column:
 def name_key(name: str) -> str:
     """Lower-case letters and digits of a column name."""
     return "".join(ch for ch in str(name).lower() if ch.isascii() and ch.isalnum())
+
+
+def row_repeats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``n_rows`` and ``repeats``, the rows equal to an earlier one in ``cols``.
+
+    Two 64-bit hashes per row are counted first; only rows whose hashes come
+    again are grouped by their values, so the shuffle does not carry whole rows.
+    """
+    cols = list(cols)
+    hashed = df.select(*cols, F.xxhash64(*cols).alias("__h1"), F.xxhash64(F.lit(7), *cols).alias("__h2"))
+    seen = hashed.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"))
+    rows = hashed.join(seen.where(F.col("__n") > 1).select("__h1", "__h2"), ["__h1", "__h2"], "left_semi")
+    again = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("repeats"))
+    return with_totals(seen.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows")), again)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanforge.functions.expressions import bin_left_closed, corrected_skew, safe_corr, with_totals
+from loanforge.functions.expressions import bin_left_closed, corrected_skew, row_repeats, safe_corr, with_totals
 from loanforge.operators.ordering import exact_quantiles
 
 
@@ -56,9 +56,7 @@ def missingness(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows equal to another row beyond the first, and their rate in percent."""
-    cols = list(cols or df.columns)
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
-    a = g.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
+    a = row_repeats(df, cols or df.columns).select("n_rows", F.col("repeats").alias("duplicate_rows"))
     return a.withColumn(
         "duplicate_rate", F.when(F.col("n_rows") > 0, F.round(F.col("duplicate_rows") / F.col("n_rows") * 100, 4)).otherwise(0.0)
     )

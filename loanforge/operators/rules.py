@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanforge.functions.expressions import safe_corr, with_totals
+from loanforge.functions.expressions import row_repeats, safe_corr, with_totals
 
 
 @dataclass(frozen=True)
@@ -158,7 +158,7 @@ def data_metrics(df: DataFrame, name: str, id_cols: Sequence[str], leakage_cols:
     """Evidence of the data rules for one table."""
     miss = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c)).alias(f"c__{c}") for c in df.columns])
     worst = F.greatest(*[1 - F.col(f"c__{c}") / F.col("n") for c in df.columns])
-    dup = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("k")).agg((F.sum(F.col("k") - 1) / F.sum("k")).alias("d"))
+    dup = row_repeats(df, df.columns).select((F.col("repeats") / F.nullif("n_rows", F.lit(0))).alias("d"))
     wide = with_totals(miss.select(F.col("n").alias("n_rows"), worst.alias("max_missing")), dup)
     wide = wide.select(
         F.lit(name).alias("entity"), "n_rows", "max_missing", F.col("d").alias("duplicate_rate"),
@@ -252,7 +252,7 @@ def validation_data_checks(
         F.count_if(F.col(target) == 1).alias("n1"),
         *([F.min(date_col).alias("d0"), F.max(date_col).alias("d1")] if date_col else []),
     )
-    dup = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("k")).agg((F.sum(F.col("k") - 1) / F.sum("k")).alias("dup"))
+    dup = row_repeats(df, cols).select((F.col("repeats") / F.nullif("n_rows", F.lit(0))).alias("dup"))
     b = with_totals(base, dup)
     worst = F.greatest(*[1 - F.col(f"c__{c}") / F.col("n") for c in cols])
     span = F.floor((F.unix_micros(F.col("d1").cast("timestamp")) - F.unix_micros(F.col("d0").cast("timestamp"))) / F.lit(86_400_000_000)) / F.lit(365.25) if date_col else F.lit(None).cast("double")

@@ -200,11 +200,12 @@ def _(spark, d):
 
 @REG.query(
     "c2_duplicate_rows",
-    """WITH g AS (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
+    """WITH r AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey%20=0), g AS (SELECT count(*) AS n FROM (SELECT r AS w FROM r) GROUP BY w)
  SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n-1) AS BIGINT) AS duplicate_rows, round(sum(n-1)/sum(n)::DOUBLE*100,4) AS duplicate_rate FROM g""",
 )
 def _(spark, d):
-    return pf.duplicate_rows(readers.load_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"))
+    rows = readers.load_table(spark, d, "lineitem")
+    return pf.duplicate_rows(rows.unionByName(rows.where("l_orderkey % 20 = 0")))
 
 
 _NSUM = """SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}),3) AS mean, round(stddev_samp({c}),3) AS std, round(min({c})::DOUBLE,3) AS min,
