@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,16 +33,24 @@ def local_session(cores: str | int = "*", app: str = "loanforge") -> SparkSessio
     return spark
 
 
+@cache
+def _private_folder() -> str:
+    path = tempfile.mkdtemp(prefix="loanforge-ckpt-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: the session's ``spark.checkpoint.dir``.
 
-    A private temporary folder is used only in local mode with the setting unset.
+    With the setting unset, local mode (tests and the benchmark) uses one private
+    folder per process, deleted when the process ends; a cluster must name one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="loanforge-ckpt-")
+        return _private_folder()
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
