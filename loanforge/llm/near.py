@@ -3,13 +3,16 @@
 A document's set is its distinct ``SHINGLE``-word strings. Equal sets become one
 representative first. Each of ``TREES`` independent trees deals representatives to nodes
 by a minwise token, so two sets stay together with the probability of their
-similarity. A node of at most ``SMALL`` sets is compared exhaustively. In a larger node
-all sets are compared with one of them, the pivot, and those that look alike are a
-cluster whose inner pairs need no comparing; the node branches again by two further
-tokens per set until what is left is small or one cluster. Sketches of 128 bits drop pairs
-that are six standard deviations below the limit; what remains is confirmed on full sets:
-first the most similar smaller neighbour of each set, then those pairs that are not
-yet in one component.
+similarity. A node of at most ``SMALL`` sets is compared exhaustively; in a larger node
+all sets are compared with one of them, the pivot, and the node branches again by two
+further tokens per set. Sketches of 128 bits drop pairs that are six standard deviations
+below the limit; what remains is confirmed on full sets.
+
+Pairs already in one component need no comparing. So the first round asks each set only
+for its most similar neighbour per node, which joins most groups by a number of
+pairs that grows with the sets; the second round compares only across the components that
+then stand, in all nodes: a node of one component is done, and where one holds all
+but ``SMALL`` sets, those few are compared with all.
 
 A pair at similarity 0.75 misses all 20 trees with probability below 1e-11 where nodes
 are small at once, and below 1e-4 through four branchings of dense nodes.
@@ -35,12 +38,10 @@ from loanforge.llm.common import joined_bytes, slices, stored, word_table
 SHINGLE = 5
 PERCENT = 75
 TREES = 20
-SMALL = 32
+SMALL = 64
 TOKENS = 128
 #: Equal sketch bits, of 128, that a pair must have: 112 are expected at similarity 0.75, with deviation 3.7.
 LIKE = 90
-#: Equal bits from which a set belongs to its pivot's cluster.
-ALIKE = 122
 MAX_LEVELS = 24
 
 _LOW = np.arange(256, dtype=np.uint8)
@@ -126,37 +127,51 @@ def _dealt(rows: DataFrame, level: int, keep: list[str]) -> DataFrame:
     return rows.select(each.alias("e"), *keep).select("e.tree", "e.node", *keep)
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs ``a`` < ``b`` of representatives that share a node and look alike, with their equal bits."""
-    keep = ["id", "s1", "s2", "own"]
-    live = _dealt(reps.withColumn("own", F.lit(None).cast("bigint")), 0, keep)
-    found: list[DataFrame] = []
-    for level in range(1, MAX_LEVELS + 1):
-        loose = F.col("own").isNull()
-        live = live.dropDuplicates(["node", "id"]) if level > 1 else live
-        nodes = live.groupBy("tree", "node").agg(
-            F.count("*").alias("size"), F.count(F.when(loose, 1)).alias("loose"), F.min("own").alias("o1"), F.max("own").alias("o2"),
-            F.min(F.when(loose, F.struct("id", "s1", "s2"))).alias("pivot"),
-        ).where((F.col("size") > 1) & ((F.col("loose") > 0) | (F.col("o1") < F.col("o2"))))
-        both = stored(live.join(nodes, ["tree", "node"]), f"nodes-{level}", drop_shuffle=True)
-        other = lambda x, y: x["own"].isNull() | y["own"].isNull() | (x["own"] != y["own"])
-        small = both.where(F.col("size") <= SMALL).groupBy("tree", "node").agg(F.collect_list(F.struct(*keep)).alias("all"))
-        pairs = small.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: (y["id"] > F.col("x")["id"]) & other(F.col("x"), y) & (_equal_bits(F.col("x"), y) >= LIKE))).alias("y"))
-        found.append(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), _equal_bits(F.col("x"), F.col("y")).alias("bits")))
-        large = both.where(F.col("size") > SMALL)
-        me = F.struct(*keep)
-        star = large.where(F.col("pivot").isNotNull() & (F.col("id") != F.col("pivot.id"))).withColumn("bits", _equal_bits(me, F.col("pivot"))).where(F.col("bits") >= LIKE)
-        found.append(star.select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"), "bits"))
-        joins = loose & ((F.col("id") == F.col("pivot.id")) | (_equal_bits(me, F.col("pivot")) >= ALIKE))
-        rest = large.withColumn("own", F.when(joins, F.col("pivot.id")).otherwise(F.col("own"))).select("tree", "node", *keep)
-        if rest.isEmpty():
-            break
-        live = _dealt(rest.join(reps.select("id", "tokens"), "id"), level, keep)
-    else:  # sets that no token tells apart and no pivot gathers: compared in full
-        x, y = rest.alias("x"), rest.alias("y")
-        pairs = x.join(y, (F.col("x.tree") == F.col("y.tree")) & (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id")) & ~F.col("x.own").eqNullSafe(F.col("y.own")))
-        found.append(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(LIKE).alias("bits")))
-    return reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("bits").alias("bits"))
+_ROW = ["id", "s1", "s2", "comp"]
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    """``rows`` of nodes that hold more than one component, with what a node decides by."""
+    parts = rows.groupBy("tree", "node", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "id").alias("h"), *_ROW)).alias("p"))
+    nodes = parts.groupBy("tree", "node").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.max(F.struct("n", "comp")).alias("top"), F.min("p").alias("pivot")).where("parts > 1")
+    both = rows.join(nodes, ["tree", "node"]).withColumn("few", F.col("size") - F.col("top.n") <= SMALL)
+    return stored(both.select("tree", "node", *_ROW, "size", "top", "pivot", "few"), "nodes", drop_shuffle=True)
+
+
+def _pair() -> list[Column]:
+    return [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), _equal_bits(F.col("x"), F.col("y")).alias("bits")]
+
+
+def _stars(nodes: DataFrame) -> DataFrame:
+    """Every set of a large node with the pivot."""
+    me = F.struct(*_ROW)
+    star = nodes.where(~F.col("few") & (F.col("comp") != F.col("pivot.comp"))).select(me.alias("x"), F.col("pivot").alias("y"))
+    return star.where(_equal_bits(F.col("x"), F.col("y")) >= LIKE).select(*_pair())
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """``x`` with the ``like`` sets of other components: small nodes in full; where one component holds nearly all, the others against all."""
+    few = nodes.where("few")
+    some = few.where((F.col("size") <= SMALL) | (F.col("comp") != F.col("top.comp"))).groupBy("tree", "node").agg(F.collect_list(F.struct(*_ROW)).alias("others"))
+    met = few.select("tree", "node", F.struct(*_ROW).alias("x")).join(some, ["tree", "node"])
+    like = F.filter("others", lambda y: (y["comp"] != F.col("x")["comp"]) & (y["id"] != F.col("x")["id"]) & (_equal_bits(F.col("x"), y) >= LIKE))
+    return met.select("x", like.alias("like"))
+
+
+def first_pairs(nodes: DataFrame) -> DataFrame:
+    """At most one pair per row: the most similar of the smaller ids of its small node, or the pivot of its large one."""
+    best = F.aggregate(
+        F.filter("like", lambda y: y["id"] < F.col("x")["id"]), F.lit(None).cast("struct<bits:bigint,a:bigint>"),
+        lambda m, y: F.greatest(m, F.struct(_equal_bits(F.col("x"), y).cast("bigint").alias("bits"), (-y["id"]).alias("a"))),
+    )
+    small = _met(nodes).select("x", best.alias("m")).where("m is not null").select((-F.col("m.a")).alias("a"), F.col("x.id").alias("b"), F.col("m.bits").cast("int").alias("bits"))
+    return small.unionByName(_stars(nodes).select("a", "b", F.col("bits").cast("int").alias("bits"))).distinct()
+
+
+def all_pairs(nodes: DataFrame) -> DataFrame:
+    """Every pair of different components that few-set nodes propose, and the stars of large nodes."""
+    small = _met(nodes).select("x", F.explode("like").alias("y")).select(*_pair())
+    return small.unionByName(_stars(nodes)).distinct()
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -197,32 +212,61 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _labelled(rows: DataFrame, label: DataFrame | None, column: str, name: str) -> DataFrame:
+    """``rows`` with the component of ``column`` so far."""
+    if label is None:
+        return rows.withColumn(name, F.col(column))
+    of = label.select(F.col("id").alias(column), F.col("component").alias("__c"))
+    return rows.join(of, column, "left").withColumn(name, F.coalesce("__c", column)).drop("__c")
+
+
 def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: the key, ``n_shingles``, ``component_id`` and whether the row is the one ``kept``."""
+    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
     rows = stored(_measures(docs, key, text), "sets")
-    reps = stored(rows.where(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "tokens", "s1", "s2")).alias("r")).select("n", "d1", "d2", "r.*"), "representatives", drop_shuffle=True)
-    pairs = stored(candidates(reps), "pairs", drop_shuffle=True)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    reps = rows.where(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "tokens", "s1", "s2")).alias("r"))
+    reps = stored(reps.select("n", "d1", "d2", "r.*"), "representatives", drop_shuffle=True)
+    label: DataFrame | None = None
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(it, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1))], pa.binary())], names=["id", "set"])
 
-    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
-    sets = stored(texts.mapInArrow(pack, "id bigint, set binary"), "full-sets", drop_shuffle=True)
-    best = pairs.groupBy("b").agg(F.max(F.struct("bits", (-F.col("a")).alias("a"))).alias("p")).select((-F.col("p.a")).alias("a"), "b")
-    sure = stored(linked(best, sets, percent), "links", drop_shuffle=True)
-    label = components(sure)
-
-    def of(name: str) -> DataFrame:
-        return label.select(F.col("id").alias(name), F.col("component").alias(f"c{name}"))
-
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = stored(linked(rest, sets, percent), "links", drop_shuffle=True)
-    if not more.isEmpty():
-        label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    group = reps.join(label, "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
+    def confirmed(label: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
+        """Components with those of ``pairs`` that are links on full sets."""
+        if pairs.isEmpty():
+            return label
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        held = texts.hint("merge").join(ids, "id", "left_semi").mapInArrow(pack, "id bigint, set binary")
+        links = stored(linked(pairs, stored(held, "full-sets", drop_shuffle=True), percent), "links", drop_shuffle=True)
+        if links.isEmpty():
+            return label
+        return components(links if label is None else links.unionByName(label.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+
+    live = _dealt(reps, 0, ["id", "s1", "s2"])
+    nodes = _nodes(_labelled(live, None, "id", "comp"))
+    label = confirmed(None, stored(first_pairs(nodes), "pairs", drop_shuffle=True))
+    rows_at = nodes.select("tree", "node", "id", "s1", "s2")
+    proposed = []
+    for level in range(1, MAX_LEVELS + 1):
+        nodes = _nodes(_labelled(rows_at, label, "id", "comp"))
+        proposed.append(stored(all_pairs(nodes), "pairs", drop_shuffle=True))
+        large = nodes.where(~F.col("few"))
+        if large.isEmpty():
+            break
+        rows_at = _dealt(large.join(reps.select("id", "tokens"), "id"), level, ["id", "s1", "s2"])
+    else:  # what no token tells apart: every pair that is left
+        x, y = large.alias("x"), large.alias("y")
+        apart = x.join(y, (F.col("x.tree") == F.col("y.tree")) & (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")))
+        proposed.append(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(LIKE).alias("bits")))
+    label = confirmed(label, stored(reduce(DataFrame.unionByName, proposed).select("a", "b").distinct(), "pairs", drop_shuffle=True))
+    group = _labelled(reps.select("id", "n", "d1", "d2"), label, "id", "component").select("n", "d1", "d2", "component")
     out = rows.where("n > 0 and id is not null").join(group, ["n", "d1", "d2"]).select("id", "n", "component")
     out = out.unionByName(rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component")))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component; rows of equal key stay or go together, rows without key stay."""
+    gone = components_of(docs, key, text, percent).groupBy(key).agg(F.max("kept").alias("__kept")).where(~F.col("__kept"))
+    return docs.join(gone.select(key), key, "left_anti").select(*docs.columns)
