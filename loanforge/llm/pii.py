@@ -123,7 +123,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", supp
     pairs = pairs.groupBy(*entity, "term", "place").agg(F.count("*").alias("n")).groupBy(*entity, "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("places"))
     pairs = pairs.where(F.col("places") >= support)
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)))
-    seen = docs.select(F.explode(words).alias("term")).join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    seen = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.count()
     share = F.col("n_both") / F.col("n_term")
     bits = F.log2(share * total / F.col("n_entity"))
@@ -145,7 +145,8 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: bool = True, **limits: float) -> DataFrame:
-    """``docs`` with ``pii`` (kind, start, stop, value; for terms the action) and, with ``mask``, the masked text."""
+    """``docs`` with ``pii`` (kind, start, stop, value; for terms the action), which replaces a column of that name, and, with ``mask``, the masked text."""
+    docs = docs.drop("pii")
     found = found_in(docs, key, text)
     terms = disclosing_terms(docs, found, text, **limits)
     held = found.where("near is not null").select("__k", "__t", F.explode("spans").alias("s")).select("__k", "__t", "s.kind", "s.value").distinct()
