@@ -167,7 +167,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred``, ``score``, ``rejected``."""
+    """All columns of ``docs`` and ``lang_pred``, ``score``, ``rejected``, which replace columns of those names."""
+    docs = docs.drop("lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.withColumn("__letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     at, names = docs.columns.index(text), docs.columns

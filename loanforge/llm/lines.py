@@ -58,7 +58,7 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_s
 
 
 def remove_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, lg_k: int = LG_K, counts: bool = False) -> DataFrame:
-    """``docs`` without boilerplate lines; with ``counts`` also ``n_lines`` and ``n_removed``."""
+    """``docs`` without boilerplate lines; with ``counts`` also ``n_lines`` and ``n_removed``, which replace columns of those names."""
     found = boilerplate(docs, text, site, min_sites, lg_k)
     mine = _line_rows(docs, text, F.col(key).alias("__key")).join(found, ["__a", "__b"], "left_semi")
     marks = mine.groupBy("__key").agg(F.collect_set(F.struct(F.col("__a").alias("a"), F.col("__b").alias("b"))).alias("__marks"))
@@ -71,5 +71,6 @@ def remove_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text",
     n_lines = F.coalesce(F.size(all_lines), F.lit(0)).cast("bigint")
     n_lines = F.when(F.col(text).isNull(), F.lit(0).cast("bigint")).otherwise(n_lines)
     n_removed = F.when(whole, F.lit(0).cast("bigint")).otherwise(n_lines - F.size("__stay"))
-    cols = [(changed.alias(c) if c == text else F.col(c)) for c in docs.columns]
+    new = ("n_lines", "n_removed") if counts else ()
+    cols = [(changed.alias(c) if c == text else F.col(c)) for c in docs.columns if c not in new]
     return out.select(*cols, *([n_lines.alias("n_lines"), n_removed.alias("n_removed")] if counts else []))

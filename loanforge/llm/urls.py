@@ -132,7 +132,8 @@ def fit(urls: DataFrame, url: str, verdict: str, bits: Sequence[int] = BITS) ->
 
 
 def judge(urls: DataFrame, rules: Sequence[Rule], url: str = "url", bits: Sequence[int] = BITS) -> DataFrame:
-    """All columns of ``urls`` and ``host``, ``path``, ``rule``, ``score``, ``verdict``."""
+    """All columns of ``urls`` and ``host``, ``path``, ``rule``, ``score``, ``verdict``, which replace columns of those names."""
+    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "score", "verdict")]
     host, path = host_path(F.col(url))
     parts = urls.withColumns({"__host": host, "__path": path})
     rule, verdict = matching_rule(F.col("__host"), F.col("__path"), rules)
@@ -140,4 +141,4 @@ def judge(urls: DataFrame, rules: Sequence[Rule], url: str = "url", bits: Sequen
     model = fit(ruled, url, "__verdict", bits)
     method = F.when(F.col("__score") < model.limit, "block").otherwise("allow")
     out = _scored(ruled, url, model)
-    return out.select(*urls.columns, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__score").alias("score"), F.coalesce("__verdict", method).alias("verdict"))
+    return out.select(*kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__score").alias("score"), F.coalesce("__verdict", method).alias("verdict"))

@@ -4,6 +4,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from loanforge.llm import pii
 from loanforge.llm.queries import REG
 
@@ -31,7 +33,7 @@ def test_patterns_against_plain_ones(spark):
     bits = ["a@b.c", "@", ".", "_", "x", "-", "+", "1", "22", "333", "1.2.3.4", "255", "256", "0007", "4111 1111 1111 1111", "4111-1111", " ", "  ", "é🙂", "+49 (0)30 ", "\n", "user.name%x@mail-1.org"]
     rows = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))), i) for i in range(600)]
     rows += [(900, None, 1), (901, "", 2), (None, "mail a@b.c", 3), (902, "1 " * 60_000, 4), (903, "1." * 50_000 + "1", 5), (904, "a@" + "b." * 40_000 + "c", 6), (905, "x" * 150_000, 7), (1, rows[1][1], 1)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, pii int").withColumnRenamed("pii", "n")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n int").withColumn("pii", F.lit(1)).withColumn("spans", F.lit("x"))
     got = pii.sanitise(df, mask=False).orderBy("n").collect()
     want = sorted(rows, key=lambda r: r[2])
     by_key = {}

@@ -33,7 +33,7 @@ def test_rules_of_the_query(spark, sf):
 def test_odd_urls(spark):
     urls = ["http://A.ORG", "http://a.org/", "HTTPS://Example.Org/es/?x", "example.org/es/", "", None, "x://y://example.org/en/1", "http://sub.EXAMPLE.org/en/12#z", "http://notexample.org/es/", "://com/fr/", "http://É.com/de/", "http://a.org/\n?x", "http://b.net/" + "a" * 100_000]
     rows = [(i, u, f"s{i}") for i, u in enumerate(urls)] + [(None, "http://a.org/", "s"), (1, "http://a.org/", "s1")]
-    df = spark.createDataFrame(rows, "page_id int, url string, score string").withColumnRenamed("score", "rank")
+    df = spark.createDataFrame(rows, "page_id int, url string, score string")
     got = judge(df, URL_RULES).collect()
     for (i, u, _), r in zip(rows, got):
         host, path, rule, verdict = plain(u)
