@@ -4,15 +4,15 @@ A document's set is its distinct ``SHINGLE``-word strings. Equal sets become one
 representative first. Each of ``TREES`` independent trees deals representatives to nodes
 by a minwise token, so two sets stay together with the probability of their
 similarity. A node of at most ``SMALL`` sets is compared exhaustively; in a larger node
-all sets are compared with one of them, the pivot, and the node branches again by two
+all sets are compared with a few of them, the pivots, and the node branches again by two
 further tokens per set. Sketches of 128 bits drop pairs that are six standard deviations
 below the limit; what remains is confirmed on full sets.
 
-Pairs already in one component need no comparing. So the first round asks each set only
-for its most similar neighbour per node, which joins most groups by a number of
-pairs that grows with the sets; the second round compares only across the components that
-then stand, in all nodes: a node of one component is done, and where one holds all
-but ``SMALL`` sets, those few are compared with all.
+Pairs already in one component need no comparing. So ``ROUNDS`` rounds first ask each set
+only for its most similar one in another component, which joins groups by a number of
+pairs that grows with the sets; after that all pairs across the components that then stand
+are compared: a node of one component is done, and where one holds all but ``SMALL``
+sets, those few are compared with all.
 
 A pair at similarity 0.75 misses all 20 trees with probability below 1e-11 where nodes
 are small at once, and below 1e-4 through four branchings of dense nodes.
@@ -43,6 +43,9 @@ TOKENS = 128
 #: Equal sketch bits, of 128, that a pair must have: 112 are expected at similarity 0.75, with deviation 3.7.
 LIKE = 90
 MAX_LEVELS = 24
+#: Sets of a large node that all others are compared with, and rounds in which every set looks for its most similar one.
+PIVOTS = 6
+ROUNDS = 3
 
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[0x41:0x5B] += 32
@@ -130,48 +133,44 @@ def _dealt(rows: DataFrame, level: int, keep: list[str]) -> DataFrame:
 _ROW = ["id", "s1", "s2", "comp"]
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
-    """``rows`` of nodes that hold more than one component, with what a node decides by."""
-    parts = rows.groupBy("tree", "node", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "id").alias("h"), *_ROW)).alias("p"))
-    nodes = parts.groupBy("tree", "node").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.max(F.struct("n", "comp")).alias("top"), F.min("p").alias("pivot")).where("parts > 1")
-    both = rows.join(nodes, ["tree", "node"]).withColumn("few", F.col("size") - F.col("top.n") <= SMALL)
-    return stored(both.select("tree", "node", *_ROW, "size", "top", "pivot", "few"), "nodes", drop_shuffle=True)
-
-
-def _pair() -> list[Column]:
-    return [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), _equal_bits(F.col("x"), F.col("y")).alias("bits")]
+def _nodes(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """``rows`` of nodes that hold more than one component, with what a node decides by; ``seed`` picks the pivots."""
 
+    def least(j: int) -> Column:
+        return F.min(F.struct(F.xxhash64(F.lit(seed * PIVOTS + j), "node", "id").alias("h"), *_ROW)).alias(f"p{j}")
 
-def _stars(nodes: DataFrame) -> DataFrame:
-    """Every set of a large node with the pivot."""
-    me = F.struct(*_ROW)
-    star = nodes.where(~F.col("few") & (F.col("comp") != F.col("pivot.comp"))).select(me.alias("x"), F.col("pivot").alias("y"))
-    return star.where(_equal_bits(F.col("x"), F.col("y")) >= LIKE).select(*_pair())
+    parts = rows.groupBy("tree", "node", "comp").agg(F.count("*").alias("n"), *[least(j) for j in range(PIVOTS)])
+    nodes = parts.groupBy("tree", "node").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.max(F.struct("n", "comp")).alias("top"), *[F.min(f"p{j}").alias(f"p{j}") for j in range(PIVOTS)])
+    nodes = nodes.where("parts > 1").select("tree", "node", "size", "top", F.array(*[f"p{j}" for j in range(PIVOTS)]).alias("pivots"))
+    both = rows.join(nodes, ["tree", "node"]).withColumn("few", F.col("size") - F.col("top.n") <= SMALL)
+    both = both.withColumn("pivots", F.when(~F.col("few"), F.col("pivots")))
+    return stored(both.select("tree", "node", *_ROW, "size", "top", "pivots", "few"), "nodes", drop_shuffle=True)
 
 
 def _met(nodes: DataFrame) -> DataFrame:
-    """``x`` with the ``like`` sets of other components: small nodes in full; where one component holds nearly all, the others against all."""
+    """``x`` with the sets of other components that look ``like`` it: small nodes in full; where one component holds nearly all, the others against all; large nodes with their pivots."""
     few = nodes.where("few")
     some = few.where((F.col("size") <= SMALL) | (F.col("comp") != F.col("top.comp"))).groupBy("tree", "node").agg(F.collect_list(F.struct(*_ROW)).alias("others"))
-    met = few.select("tree", "node", F.struct(*_ROW).alias("x")).join(some, ["tree", "node"])
+    met = few.select("tree", "node", F.struct(*_ROW).alias("x")).join(some, ["tree", "node"]).select("x", "others")
+    star = nodes.where(~F.col("few")).select(F.struct(*_ROW).alias("x"), F.transform("pivots", lambda p: F.struct(*[p[c].alias(c) for c in _ROW])).alias("others"))
     like = F.filter("others", lambda y: (y["comp"] != F.col("x")["comp"]) & (y["id"] != F.col("x")["id"]) & (_equal_bits(F.col("x"), y) >= LIKE))
-    return met.select("x", like.alias("like"))
+    return met.unionByName(star).select("x", like.alias("like"))
 
 
-def first_pairs(nodes: DataFrame) -> DataFrame:
-    """At most one pair per row: the most similar of the smaller ids of its small node, or the pivot of its large one."""
+def best_pairs(nodes: DataFrame) -> DataFrame:
+    """Each set with the most similar one of another component that its nodes offer: at most one pair per set."""
     best = F.aggregate(
-        F.filter("like", lambda y: y["id"] < F.col("x")["id"]), F.lit(None).cast("struct<bits:bigint,a:bigint>"),
-        lambda m, y: F.greatest(m, F.struct(_equal_bits(F.col("x"), y).cast("bigint").alias("bits"), (-y["id"]).alias("a"))),
+        "like", F.lit(None).cast("struct<bits:bigint,y:bigint>"),
+        lambda m, y: F.greatest(m, F.struct(_equal_bits(F.col("x"), y).cast("bigint").alias("bits"), (-y["id"]).alias("y"))),
     )
-    small = _met(nodes).select("x", best.alias("m")).where("m is not null").select((-F.col("m.a")).alias("a"), F.col("x.id").alias("b"), F.col("m.bits").cast("int").alias("bits"))
-    return small.unionByName(_stars(nodes).select("a", "b", F.col("bits").cast("int").alias("bits"))).distinct()
+    each = _met(nodes).select(F.col("x.id").alias("id"), best.alias("m")).where("m is not null").groupBy("id").agg(F.max("m").alias("m"))
+    return each.select(F.least("id", -F.col("m.y")).alias("a"), F.greatest("id", -F.col("m.y")).alias("b")).distinct()
 
 
 def all_pairs(nodes: DataFrame) -> DataFrame:
-    """Every pair of different components that few-set nodes propose, and the stars of large nodes."""
-    small = _met(nodes).select("x", F.explode("like").alias("y")).select(*_pair())
-    return small.unionByName(_stars(nodes)).distinct()
+    """Every pair of different components that the nodes propose."""
+    pairs = _met(nodes).select("x.id", F.explode("like").alias("y"))
+    return pairs.select(F.least("id", "y.id").alias("a"), F.greatest("id", "y.id").alias("b")).distinct()
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -232,24 +231,28 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
         for b in slices(it, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1))], pa.binary())], names=["id", "set"])
 
-    def confirmed(label: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
-        """Components with those of ``pairs`` that are links on full sets."""
-        if pairs.isEmpty():
-            return label
+    def full_sets(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         held = texts.hint("merge").join(ids, "id", "left_semi").mapInArrow(pack, "id bigint, set binary")
-        links = stored(linked(pairs, stored(held, "full-sets", drop_shuffle=True), percent), "links", drop_shuffle=True)
+        return stored(held, "full-sets", drop_shuffle=True)
+
+    def confirmed(label: DataFrame | None, pairs: DataFrame, sets: DataFrame) -> DataFrame | None:
+        """Components with those of ``pairs`` that are links on full sets."""
+        links = stored(linked(pairs, sets, percent), "links", drop_shuffle=True)
         if links.isEmpty():
             return label
         return components(links if label is None else links.unionByName(label.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
-    live = _dealt(reps, 0, ["id", "s1", "s2"])
-    nodes = _nodes(_labelled(live, None, "id", "comp"))
-    label = confirmed(None, stored(first_pairs(nodes), "pairs", drop_shuffle=True))
-    rows_at = nodes.select("tree", "node", "id", "s1", "s2")
+    rows_at, sets = stored(_dealt(reps, 0, ["id", "s1", "s2"]), "dealt"), None
+    for r in range(ROUNDS):
+        pairs = stored(best_pairs(_nodes(_labelled(rows_at, label, "id", "comp"), r)), "pairs", drop_shuffle=True)
+        if pairs.isEmpty():
+            break
+        sets = full_sets(pairs) if sets is None else sets  # later rounds take the pairs whose sets are there; the last comparison takes all
+        label = confirmed(label, pairs, sets)
     proposed = []
     for level in range(1, MAX_LEVELS + 1):
-        nodes = _nodes(_labelled(rows_at, label, "id", "comp"))
+        nodes = _nodes(_labelled(rows_at, label, "id", "comp"), ROUNDS + level)
         proposed.append(stored(all_pairs(nodes), "pairs", drop_shuffle=True))
         large = nodes.where(~F.col("few"))
         if large.isEmpty():
@@ -258,8 +261,10 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
     else:  # what no token tells apart: every pair that is left
         x, y = large.alias("x"), large.alias("y")
         apart = x.join(y, (F.col("x.tree") == F.col("y.tree")) & (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")))
-        proposed.append(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(LIKE).alias("bits")))
-    label = confirmed(label, stored(reduce(DataFrame.unionByName, proposed).select("a", "b").distinct(), "pairs", drop_shuffle=True))
+        proposed.append(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    pairs = stored(reduce(DataFrame.unionByName, proposed).distinct(), "pairs", drop_shuffle=True)
+    if not pairs.isEmpty():
+        label = confirmed(label, pairs, full_sets(pairs))
     group = _labelled(reps.select("id", "n", "d1", "d2"), label, "id", "component").select("n", "d1", "d2", "component")
     out = rows.where("n > 0 and id is not null").join(group, ["n", "d1", "d2"]).select("id", "n", "component")
     out = out.unionByName(rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component")))
