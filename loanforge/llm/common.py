@@ -60,7 +60,7 @@ def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(it: Iterator[pa.RecordBatch], column: int, rows: int = 512, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(it: Iterator[pa.RecordBatch], column: int, rows: int = 512, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows`` rows and about ``limit`` bytes of text in ``column``, one row at least."""
     for b in it:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
