@@ -6,9 +6,11 @@ the next lower one, and a character is scored at the longest context seen in tra
 The mean log ratio per character, compared with a limit calibrated on labelled URLs
 that were held back, is the verdict for URLs without a rule.
 
-DataFrame operations only. The model is one aggregation over character 4-grams; its
-scores are hashed into tables of fixed size (``BITS`` per order), so what travels with the
-scoring pass has a size that no input changes. Scoring is one narrow pass.
+DataFrame operations only. The model is one aggregation over character 4-grams and keeps
+one exact score per string and order in a table that grows with the corpus. URLs are
+scored by joins: different strings of the different URLs meet the score tables, then every
+URL meets its strings. Strings that hold at least one in ``HOT`` of all places are at most
+``HOT`` rows and travel with the pass, so no join has a hot key.
 
 Results: a null URL or one without ``://`` has empty host and path and no rule; the method
 reads whatever text there is, and an empty text scores 0. Without labelled URLs of
@@ -18,15 +20,17 @@ Repeated rows get repeated results; other columns pass through.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: log2 of the score table size for 1 to 4 characters.
-BITS = (10, 12, 14, 16)
+from loanforge.llm.common import stored
+
+HOT = 10_000
+#: Scores are summed as whole numbers of this unit, so the order of a sum does not matter.
+_UNIT = 1e-9
 LAMBDA = 2.0
 ALPHABET = 256
 _BINS = 20
@@ -66,61 +70,87 @@ def _characters(url: Column) -> Column:
 
 
 def _grams(chars: Column) -> Column:
-    """``c0`` to ``c3``: every character and the three before it."""
-    at = lambda i, k: F.get(chars, i - k).alias(f"c{k}")
+    """Every character with the three before it, as one string; only at the start it is shorter than four."""
     positions = F.when(F.size(chars) > 3, F.sequence(F.lit(3), F.size(chars) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(positions, lambda i: F.struct(*[at(i, k) for k in range(4)]))
+    return F.transform(positions, lambda i: F.concat(*[F.get(chars, i - k) for k in (3, 2, 1, 0)]))
+
+
+def _last(g: Column, order: int) -> Column:
+    return g if order == 4 else F.right(g, F.lit(order))
 
 
-def _slot(g: Column, order: int, size: int) -> Column:
-    return F.pmod(F.xxhash64(*[g[f"c{k}"] for k in range(order)]), F.lit(size)).cast("int")
+def _before(g: Column, order: int) -> Column:
+    """Context of the last character; shorter than ``order - 1`` only at the start."""
+    return F.expr("substring(g, 1, length(g) - 1)") if order == 4 else F.right(F.expr("substring(g, 1, length(g) - 1)"), F.lit(order - 1))
 
 
 @dataclass
 class Model:
-    """Score tables by order and the limit below which the method blocks."""
+    """Exact scores by order (string ``g``, ``r``) and the limit below which the method blocks."""
 
-    tables: list[list[float | None]]
+    tables: list[DataFrame]
     limit: float
 
-    def score(self, url: Column) -> Column:
-        tables = [F.from_json(F.lit(json.dumps(t)), "array<double>") for t in self.tables]
-        if not tables:
-            return F.lit(0.0)
-        each = lambda g: F.coalesce(*[F.get(tables[k - 1], _slot(g, k, len(self.tables[k - 1]))) for k in (4, 3, 2, 1)], F.lit(0.0))
-        sums = F.aggregate(_grams(F.col("__chars")), F.lit(0.0), lambda s, g: s + each(g))
-        return sums / F.greatest(F.size("__chars") - 3, F.lit(1))
+    def strings(self, grams: DataFrame) -> DataFrame:
+        """``g``, its number ``n`` and the score ``r`` of its longest ending seen in training; strings without one are left out."""
+        out = grams.groupBy("g").agg(F.count("*").alias("n"))
+        for k in (4, 3, 2, 1):
+            table = self.tables[k - 1].select(F.col("g").alias(f"g{k}"), F.col("r").alias(f"r{k}"))
+            out = out.join(table, _last(F.col("g"), k) == F.col(f"g{k}"), "left").drop(f"g{k}")
+        return out.select("g", "n", F.coalesce("r4", "r3", "r2", "r1").alias("r")).where("r is not null")
 
 
-def _scored(urls: DataFrame, url: str, model: Model) -> DataFrame:
-    return urls.withColumn("__chars", _characters(F.col(url))).withColumn("__score", model.score(F.col(url))).drop("__chars")
+def _ids(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("__a"), F.xxhash64(F.lit(17), text).alias("__b")]
 
 
-def fit(urls: DataFrame, url: str, verdict: str, bits: Sequence[int] = BITS) -> Model:
-    """Learn from rows whose ``verdict`` is allow or block; a quarter of the URLs, by checksum, sets the limit."""
+def _scored(urls: DataFrame, url: str, model: Model) -> DataFrame:
+    """``urls`` with ``__score``, the mean over the characters."""
+    if not model.tables:
+        return urls.withColumn("__score", F.lit(0.0))
+    text = F.coalesce(F.col(url), F.lit(""))
+    texts = stored(urls.select(text.alias("u")).distinct(), "urls")
+    chars = texts.select(*_ids(F.col("u")), _characters(F.col("u")).alias("__chars"))
+    grams = chars.select("__a", "__b", F.explode(_grams(F.col("__chars"))).alias("g"))
+    known = stored(model.strings(grams), "url-strings")
+    places = known.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT >= places
+    often, rest = known.where(hot).select("g", "r"), known.where(~hot).select("g", "r")
+    marked = grams.join(F.broadcast(often), "g", "left")
+    parts = marked.where("r is not null").unionByName(marked.where("r is null").drop("r").join(rest, "g"))
+    sums = stored(parts.groupBy("__a", "__b").agg(F.sum("r").alias("__sum")), "url-sums")
+    a, b = _ids(text)
+    rows = urls.withColumns({"__a": a, "__b": b}).join(sums, ["__a", "__b"], "left")
+    n = F.greatest(F.size(_characters(F.col(url))) - 3, F.lit(1))
+    return rows.withColumn("__score", F.coalesce("__sum", F.lit(0)) * _UNIT / n).drop("__a", "__b", "__sum")
+
+
+def fit(urls: DataFrame, url: str, verdict: str, bits: Sequence[int] = ()) -> Model:
+    """Learn from rows whose ``verdict`` is allow or block; a quarter of the URLs, by checksum, sets the limit.
+
+    ``bits`` sized hashed score tables and has no effect on exact ones.
+    """
     labelled = urls.where(F.col(verdict).isin("allow", "block") & F.col(url).isNotNull()).select(F.col(url).alias("u"), (F.col(verdict) == "allow").cast("int").alias("ok"))
     back = F.crc32(F.col("u").cast("binary")) % 4 == 0
-    rows = labelled.where(~back).select("ok", F.explode(_grams(_characters(F.col("u")))).alias("g")).select("ok", "g.*")
-    names = ["c3", "c2", "c1", "c0"]
-    grams = rows.groupBy(*names).agg(F.sum("ok").alias("a4"), F.sum(1 - F.col("ok")).alias("b4"))
+    chars = labelled.where(~back).select("ok", _characters(F.col("u")).alias("__chars"))
+    rows = chars.select("ok", F.explode(_grams(F.col("__chars"))).alias("g"))
+    grams = rows.groupBy("g").agg(F.sum("ok").alias("a4"), F.sum(1 - F.col("ok")).alias("b4"))
     sizes = grams.agg(F.sum("a4").alias("a"), F.sum("b4").alias("b")).first()
     if not sizes["a"] or not sizes["b"]:
         return Model([], 0.0)
     for k in (3, 2, 1):  # counts of shorter strings and of every context
-        own = Window.partitionBy(*names[4 - k :])
+        own = Window.partitionBy(_last(F.col("g"), k))
         grams = grams.withColumns({f"{x}{k}": F.sum(f"{x}4").over(own) for x in "ab"})
     for k in (4, 3, 2):
-        before = Window.partitionBy(*names[4 - k : 3])
+        before = Window.partitionBy(_before(F.col("g"), k))
         grams = grams.withColumns({f"{x}t{k}": F.sum(f"{x}4").over(before) for x in "ab"})
     for x in "ab":
         grams = grams.withColumn(f"{x}p1", (F.col(f"{x}1") + 1) / (sizes[x] + ALPHABET))
         for k in (2, 3, 4):
             grams = grams.withColumn(f"{x}p{k}", (F.col(f"{x}{k}") + LAMBDA * F.col(f"{x}p{k - 1}")) / (F.col(f"{x}t{k}") + LAMBDA))
-    g = F.struct(*names)
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _slot(g, k, 1 << bits[k - 1]).alias("i"), F.round(F.log(F.col(f"ap{k}") / F.col(f"bp{k}")), 4).alias("r")) for k in (1, 2, 3, 4)]))
-    tables: list[list[float | None]] = [[None] * (1 << b) for b in bits]
-    for r in grams.select(each.alias("e")).select("e.*").groupBy("k", "i").agg(F.max("r").alias("r")).collect():
-        tables[r["k"] - 1][r["i"]] = r["r"]
+    ratio = lambda k: F.round(F.log(F.col(f"ap{k}") / F.col(f"bp{k}")) / _UNIT).cast("bigint")
+    scores = stored(grams.select("g", *[ratio(k).alias(f"r{k}") for k in (1, 2, 3, 4)]), "url-scores")
+    tables = [scores.groupBy(_last(F.col("g"), k).alias("g")).agg(F.max(f"r{k}").alias("r")) for k in (1, 2, 3, 4)]
     model = Model(tables, 0.0)
     bins = F.floor(F.greatest(F.least(F.col("__score"), F.lit(5.0)), F.lit(-5.0)) * _BINS).cast("int")
     held = {r["b"]: (r["a"], r["r"]) for r in _scored(labelled.where(back), "u", model).groupBy(bins.alias("b")).agg(F.sum("ok").alias("a"), F.sum(1 - F.col("ok")).alias("r")).collect()}
@@ -131,7 +161,7 @@ def fit(urls: DataFrame, url: str, verdict: str, bits: Sequence[int] = BITS) ->
     return model
 
 
-def judge(urls: DataFrame, rules: Sequence[Rule], url: str = "url", bits: Sequence[int] = BITS) -> DataFrame:
+def judge(urls: DataFrame, rules: Sequence[Rule], url: str = "url", bits: Sequence[int] = ()) -> DataFrame:
     """All columns of ``urls`` and ``host``, ``path``, ``rule``, ``score``, ``verdict``, which replace columns of those names."""
     kept = [c for c in urls.columns if c not in ("host", "path", "rule", "score", "verdict")]
     host, path = host_path(F.col(url))

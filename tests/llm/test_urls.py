@@ -94,3 +94,30 @@ def test_without_examples(spark, pages):
     df = spark.createDataFrame(pages[:20], "page_id int, url string, bad boolean")
     assert {r.verdict for r in judge(df, []).collect()} == {"allow"}
     assert fit(df.selectExpr("url", "'allow' v"), "url", "v").tables == []
+
+
+def test_scores_are_exact_without_parameters(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60))
+    rows = [(i, f"http://{word()}.{('bad.com', 'good.com', 'x.net')[i % 3]}/{word()}", i % 3) for i in range(1500)]
+    rows += [(9000 + i, "http://same.x.net/aaaa", 2) for i in range(50)] + [(9999, None, 2)]
+    out = judge(spark.createDataFrame(rows, "page_id int, url string, kind int"), [Rule("block", "bad.com", "/"), Rule("allow", "good.com", "/")]).collect()
+    grams = lambda u: [tuple(["", "", "", *u.split("://", 1)[1]][i : i + 4]) for i in range(len(u.split("://", 1)[1]))]
+    counts = [Counter(), Counter()]
+    for _, u, kind in rows:
+        if kind < 2 and zlib.crc32(u.encode()) % 4:
+            for g in grams(u):
+                counts[kind].update([g[4 - k :] for k in range(1, 5)] + ["all"] + [("before", *g[4 - k : 3]) for k in (2, 3, 4)])
+    assert len({g for c in counts for g in c if len(g) == 4 and g[0] != "before"}) > 1 << 16  # more strings than the old table had slots
+
+    def p(c, g, k):
+        return (c[g[3:]] + 1) / (c["all"] + ALPHABET) if k == 1 else (c[g[4 - k :]] + LAMBDA * p(c, g, k - 1)) / (c["before", *g[4 - k : 3]] + LAMBDA)
+
+    def ratio(g):
+        seen = [k for k in (4, 3, 2, 1) if counts[0][g[4 - k :]] + counts[1][g[4 - k :]]]
+        return math.log(p(counts[1], g, seen[0]) / p(counts[0], g, seen[0])) if seen else 0.0
+
+    assert len(out) == len(rows)
+    for r in out:
+        gs = grams(r.url) if r.url else []
+        assert abs(r.score - sum(map(ratio, gs)) / max(len(gs), 1)) < 1e-6
