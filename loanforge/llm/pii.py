@@ -5,15 +5,15 @@ positions. The values found are the protected entities. Words within ``REACH`` c
 entity are counted with it over the corpus, and a word is measured by the information it
 gives: the share ``p(entity | word)`` of the documents with the word, and
 its ratio to ``p(entity)`` in bits. A word that is seen with an entity in at least ``SUPPORT``
-different surroundings and passes the limits is a disclosing term in every document that
+different texts and passes the limits is a disclosing term in every document that
 holds the entity: generalised from ``GENERALISE`` on, removed from ``REMOVE`` on.
 
 DataFrame operations only. Patterns use possessive quantifiers, which match the same
 strings without recursion. Pairs of entity and word are counted before they meet the
 document frequencies; texts are joined only with the terms found for them.
 
-Results: a null text is empty; rows with equal key and text share their terms; copies of
-a text are one surrounding; spans are sorted by kind, then start, end exclusive;
+Results: a null text is empty; rows with equal key and text share their terms; exact copies of
+a text are one text of the support; spans are sorted by kind, then start, end exclusive;
 other columns pass through ``sanitise``; an empty table gives none.
 """
 
@@ -119,9 +119,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", supp
     near = found.where("near is not null").select("__k", "__t", F.explode("near").alias("e")).select("__k", "__t", "e.*")
     near = near.groupBy("__k", "__t", *entity).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"))
     held = near.groupBy(*entity).agg(F.count("*").alias("n_entity"))
-    pairs = near.select(*entity, F.xxhash64("words").alias("place"), F.explode("words").alias("term"))
-    pairs = pairs.groupBy(*entity, "term", "place").agg(F.count("*").alias("n")).groupBy(*entity, "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("places"))
-    pairs = pairs.where(F.col("places") >= support)
+    pairs = near.select(*entity, "__t", F.explode("words").alias("term"))
+    pairs = pairs.groupBy(*entity, "term", "__t").agg(F.count("*").alias("n")).groupBy(*entity, "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
+    pairs = pairs.where(F.col("texts") >= support)
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)))
     seen = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.count()

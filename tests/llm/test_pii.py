@@ -65,6 +65,16 @@ def test_disclosing_terms(spark):
     assert "<term>" in out[50].text and out[60].text == dict(docs)[60]
 
 
+def test_shared_passage_counts_every_different_text(spark):
+    own = lambda i: " ".join(f"own{chr(97 + i % 26)}{chr(97 + j)}" for j in range(25))
+    rows = [(i, f"{own(i)} -- {' ' * 80} Ottoline Vandermeer zed@corp.com") for i in range(6)] + [(100 + i, own(i)) for i in range(60)]
+    rows += [(300, "Quagga once p@corp.com"), (301, "Quagga once p@corp.com")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.value, r.term): r for r in pii.disclosing_terms(df, pii.found_in(df)).collect()}
+    assert {("zed@corp.com", "ottoline"), ("zed@corp.com", "vandermeer")} <= set(got)
+    assert not any(v == "p@corp.com" for v, _ in got)  # exact copies are one text
+
+
 def test_query(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     out = REG.queries["op10_personal_data"](spark, sf).collect()
