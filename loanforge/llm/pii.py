@@ -1,16 +1,18 @@
 """Personal data: fixed patterns, and terms that give a protected entity away.
 
 Patterns find emails, IP addresses, card and phone numbers with their code point
-positions. The values found are the protected entities. Words within ``REACH`` characters of an
-entity are counted with it over the corpus, and a word is measured by the information it
+positions. The values found are the protected entities. Every word of a text that holds an
+entity, of any length and with letters or digits, is counted with it over the corpus, and a word is measured by the information it
 gives: the share ``p(entity | word)`` of the documents with the word, and
 its ratio to ``p(entity)`` in bits. A word that is seen with an entity in at least ``SUPPORT``
 different texts and passes the limits is a disclosing term in every document that
 holds the entity: generalised from ``GENERALISE`` on, removed from ``REMOVE`` on.
 
 DataFrame operations only. Patterns use possessive quantifiers, which match the same
-strings without recursion. Pairs of entity and word are counted before they meet the
-document frequencies; texts are joined only with the terms found for them.
+strings without recursion. Entities in fewer than ``SUPPORT`` different texts, or in too many
+documents for the bits limit, can have no disclosing term and drop out first. Each different
+text is then paired once, with its number of documents; pairs of entity and word are counted
+before they meet the document frequencies; texts are joined only with the terms found for them.
 
 Results: a null text is empty; rows with equal key and text share their terms; exact copies of
 a text are one text of the support; spans are sorted by kind, then start, end exclusive;
@@ -19,6 +21,8 @@ other columns pass through ``sanitise``; an empty table gives none.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +30,11 @@ from loanforge.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-REACH = 80
 SUPPORT = 2
 GENERALISE = 0.5
 REMOVE = 0.9
 LEAST_BITS = 3.0
-WORD = r"\p{L}{4,}"
+WORD = r"[\p{L}\p{N}]++"
 
 #: kind: (a character every match has, pattern). A match starts where its run of first characters starts or where the last match ended.
 PATTERNS = {
@@ -71,16 +74,18 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str, kind: str) -> Column:
-    """Matches of ``pattern`` with code point positions: the texts between matches say where they are."""
+def located(text: Column, pattern: str, kind: str, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """Matches of ``pattern``, of those ``wanted``, with code point positions: the texts between matches say where they are."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     both = F.zip_with(between, found, lambda p, f: F.struct(F.length(p).alias("skip"), f.alias("value")))
 
+    skip = lambda v: v.isNull() if wanted is None else v.isNull() | ~wanted(v)
+
     def add(acc: Column, x: Column) -> Column:
         start = (acc["at"] + x["skip"]).cast("int")
         stop = (start + F.length(x["value"])).cast("int")
         span = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), stop.alias("stop"), x["value"].alias("value")))
-        return F.struct(F.coalesce(stop, start).alias("at"), F.when(x["value"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], span)).alias("out"))
+        return F.struct(F.coalesce(stop, start).alias("at"), F.when(skip(x["value"]), acc["out"]).otherwise(F.concat(acc["out"], span)).alias("out"))
 
     return F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")), add, lambda a: a["out"])
 
@@ -96,35 +101,33 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of, KINDS))
 
 
-def _surroundings(text: Column, s: Column) -> Column:
-    """Different words near a span, cut words left out."""
-    left = F.substring(text, F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH)))
-    right = F.substring(text, s["stop"] + 1, F.lit(REACH))
-    left = F.when(s["start"] > REACH, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", left, right)), F.lit(WORD), F.lit(0)))
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
 def found_in(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key ``__k``, text hash ``__t``, pattern ``spans`` and the words near each."""
+    """Per row: key ``__k``, text hash ``__t``, pattern ``spans`` and, where there are any, the different words outside them."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("__k"), F.xxhash64(t).alias("__t"), t.alias("__text"), base_spans(t).alias("spans"))
-    near = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), _surroundings(F.col("__text"), s).alias("words")))
-    return stored(rows.select("__k", "__t", "spans", F.when(F.size("spans") > 0, near).alias("near")), "pii")
+    blank = F.transform("spans", lambda s: F.struct(F.lit(" ").alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit("").alias("value")))
+    cut = masked(F.col("__text"), blank)
+    return stored(rows.select("__k", "__t", "spans", F.when(F.size("spans") > 0, _words(cut)).alias("words")), "pii")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, least_bits: float = LEAST_BITS) -> DataFrame:
     """``kind``, ``value``, ``term``, ``share``, ``bits`` and ``action`` of terms that pass the limits."""
     entity = ["kind", "value"]
-    near = found.where("near is not null").select("__k", "__t", F.explode("near").alias("e")).select("__k", "__t", "e.*")
-    near = near.groupBy("__k", "__t", *entity).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"))
-    held = near.groupBy(*entity).agg(F.count("*").alias("n_entity"))
-    pairs = near.select(*entity, "__t", F.explode("words").alias("term"))
-    pairs = pairs.groupBy(*entity, "term", "__t").agg(F.count("*").alias("n")).groupBy(*entity, "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
-    pairs = pairs.where(F.col("texts") >= support)
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)))
-    seen = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.count()
+    with_any = found.where("words is not null")
+    copies = with_any.select("__k", "__t").distinct().groupBy("__t").agg(F.count("*").alias("m"))
+    texts = with_any.select("__t", F.explode("spans").alias("s")).select("__t", "s.kind", "s.value").distinct().join(copies, "__t")
+    held = texts.groupBy(*entity).agg(F.sum("m").alias("n_entity"), F.count("*").alias("texts"))
+    held = stored(held.where((F.col("texts") >= support) & (F.col("n_entity") <= total / 2.0**least_bits)).drop("texts"), "pii-entities")
+    wanted = texts.join(held.select(*entity), entity, "left_semi").groupBy("__t").agg(F.first("m").alias("m"), F.collect_list(F.struct(*entity)).alias("es"))
+    words = with_any.select("__t", "words").join(wanted.select("__t"), "__t", "left_semi").dropDuplicates(["__t"])
+    pairs = words.join(wanted, "__t").select("m", "es", F.explode("words").alias("term")).select("m", "term", F.explode("es").alias("e")).select("m", "term", "e.*")
+    pairs = pairs.groupBy(*entity, "term").agg(F.sum("m").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    seen = docs.select(F.explode(_words(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     share = F.col("n_both") / F.col("n_term")
     bits = F.log2(share * total / F.col("n_entity"))
     out = pairs.join(seen, "term").join(held, entity).withColumns({"share": share, "bits": bits}).where((F.col("share") >= generalise) & (F.col("bits") >= least_bits))
@@ -149,16 +152,16 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: boo
     docs = docs.drop("pii")
     found = found_in(docs, key, text)
     terms = disclosing_terms(docs, found, text, **limits)
-    held = found.where("near is not null").select("__k", "__t", F.explode("spans").alias("s")).select("__k", "__t", "s.kind", "s.value").distinct()
+    held = found.where("words is not null").select("__k", "__t", F.explode("spans").alias("s")).select("__k", "__t", "s.kind", "s.value").distinct()
     mine = held.join(terms, ["kind", "value"]).groupBy("__k", "__t", "term").agg(F.max("action").alias("action")).groupBy("__k", "__t").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("__terms"))
     extra = mine.select(F.col("__k").alias("__ek"), F.col("__t").alias("__et"), "__terms")
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumns({"__h": F.xxhash64(t), "__spans": base_spans(t)})
     rows = rows.join(extra, F.col(key).eqNullSafe(F.col("__ek")) & (F.col("__h") == F.col("__et")), "left")
     clear = lambda w: ~F.exists("__spans", lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"]))
-    action = lambda w: F.try_element_at("__terms", F.lower(w["value"]))
-    said = F.filter(located(t, r"\p{L}++", TERM), lambda w: action(w).isNotNull() & clear(w))
-    said = F.transform(said, lambda w: F.struct(w["kind"].alias("kind"), w["start"].alias("start"), w["stop"].alias("stop"), action(w).alias("value")))
+    action = lambda w: F.try_element_at("__terms", F.lower(w))
+    said = F.filter(located(t, WORD, TERM, lambda v: action(v).isNotNull()), clear)
+    said = F.transform(said, lambda w: F.struct(w["kind"].alias("kind"), w["start"].alias("start"), w["stop"].alias("stop"), action(w["value"]).alias("value")))
     rows = rows.withColumn("__pii", F.concat("__spans", F.when(F.col("__terms").isNotNull(), said).otherwise(F.array().cast(_SPANS))))
     cols = [F.when(F.size("__pii") > 0, masked(t, F.col("__pii"))).otherwise(F.col(c)).alias(c) if mask and c == text else F.col(c) for c in docs.columns]
     return rows.select(*cols, F.col("__pii").alias("pii"))

@@ -75,6 +75,19 @@ def test_shared_passage_counts_every_different_text(spark):
     assert not any(v == "p@corp.com" for v, _ in got)  # exact copies are one text
 
 
+def test_terms_of_whole_texts_of_any_length(spark):
+    body = lambda i: " ".join(f"f{chr(97 + (i * 7 + j * 3) % 26)}{chr(97 + (i + j * j) % 26)}" for j in range(60))
+    rows = [(i, f"Ng {body(i)} a@corp.com {body(i + 1)} K7-9021") for i in range(3)]
+    rows += [(100 + i, f"{body(i + 3)} q{i}@corp.com {body(i + 9)}") for i in range(60)] + [(200, f"{body(2)} b@corp.com")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.term: r.share for r in pii.disclosing_terms(df, pii.found_in(df)).where("value = 'a@corp.com'").collect()}
+    assert {"ng": 1.0, "k7": 1.0, "9021": 1.0}.items() <= got.items()
+    assert "a" not in got and "corp" not in got  # parts of the entity itself
+    text = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all(w not in text[1] for w in ("Ng", "K7", "9021", "@"))
+    assert "<email>" in text[1] and text[200].startswith(body(2))
+
+
 def test_query(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     out = REG.queries["op10_personal_data"](spark, sf).collect()
