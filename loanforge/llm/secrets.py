@@ -4,7 +4,7 @@ Credentials that the fixed patterns find are labelled strings. Per kind, a prefi
 tree of their character classes is built and its states are merged wherever their
 outgoing frequencies agree within a Hoeffding bound; the result is a probabilistic
 automaton. Every other token that could be a credential (``least`` or more characters of
-the credential alphabet, with letter and digit) is scored by its likelihood per
+the credential alphabet, as many as a labelled string has at least) is scored by its likelihood per
 character under each automaton and becomes a span when it is as likely as the
 labelled strings held back for calibration.
 
@@ -36,7 +36,7 @@ KINDS = ("assign", "access", "hex")
 LEARNED = "learned"
 SAMPLE = 400
 LONGEST = 256
-LEAST = 20
+LEAST = 6
 ALPHA = 0.05
 ENOUGH = 10
 
@@ -54,7 +54,7 @@ def base_spans(text: str, runs: bool = True) -> list[tuple[str, int, int, str]]:
     """``(kind, start, end, credential)`` of the fixed patterns; ``runs``: whether long hex or key runs are there."""
     out = []
     if "=" in text or ":" in text:
-        out += [("assign", *m.span(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        out += [("assign", *m.span(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST]
     if "AKIA" in text:
         out += [("access", *m.span(), m[0]) for m in ACCESS.finditer(text)]
     if runs:
@@ -187,19 +187,18 @@ def _runs(mask: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray
 
 
 def _flagged(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with a hex run, and rows with a token run that has letter and digit."""
+    """Rows with a hex run, and rows with a token run."""
     raw, offsets = joined_bytes(texts)
     inside = _TOKEN_BYTE[raw]
     a, b = _runs(inside, offsets, LEAST)
-    digit = np.concatenate(([0], np.cumsum((raw >= 48) & (raw <= 57))))
-    mixed = (digit[b] > digit[a]) & (digit[b] - digit[a] < b - a)
     row = np.searchsorted(offsets, a, side="right") - 1
     hexed = np.zeros(len(texts), bool)
-    for i, j, r in zip(a, b, row):
-        if j - i >= 24 and not hexed[r]:
+    long = b - a >= 24
+    for i, j, r in zip(a[long], b[long], row[long]):
+        if not hexed[r]:
             hexed[r] = bool(HEX.search(raw[i:j].tobytes().decode("ascii")))
     token = np.zeros(len(texts), bool)
-    token[row[mixed]] = True
+    token[row] = True
     return hexed, token
 
 
@@ -226,13 +225,17 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Formats:
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
 
 
-def spans_of(text: str, formats: Formats, hexed: bool = True, token: bool = True) -> list[tuple[str, int, int]]:
+def spans_of(text: str, formats: Formats, hexed: bool = True, token: bool = True, known: dict[str, bool] | None = None) -> list[tuple[str, int, int]]:
+    """All spans of a text; ``known`` remembers which tokens an automaton accepts."""
+    known = {} if known is None else known
     base = base_spans(text, hexed)
     out = [s[:3] for s in base]
     if token and formats.automata:
         for m in TOKEN.finditer(text):
             t = m[0]
-            if re.search("[0-9]", t) and re.search("[A-Za-z]", t) and not any(s[1] < m.end() and m.start() < s[2] for s in base) and formats.best(t) is not None:
+            if t not in known:
+                known[t] = formats.best(t) is not None
+            if known[t] and not any(s[1] < m.end() and m.start() < s[2] for s in base):
                 out.append((LEARNED, *m.span()))
     order = (*KINDS, LEARNED)
     return sorted(out, key=lambda s: (s[1], order.index(s[0])))
@@ -260,7 +263,8 @@ def scan(docs: DataFrame, formats: Formats, text: str = "text", keep: Sequence[s
         for b in slices(it, at):
             hexed, token = _flagged(b.column(at))
             texts = b.column(at).to_pylist()
-            found = [spans_of(t, shared.value, h, k) if t else [] for t, h, k in zip(texts, hexed, token)]
+            known: dict[str, bool] = {}
+            found = [spans_of(t, shared.value, h, k, known) if t else [] for t, h, k in zip(texts, hexed, token)]
             cols = [*b.columns[:at], pa.array([[{"kind": k, "start": x, "stop": y} for k, x, y in f] for f in found], kind)]
             if masked:
                 cols.append(pa.array([t and mask(t, f) for t, f in zip(texts, found)], pa.string()))

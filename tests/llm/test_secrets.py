@@ -42,6 +42,17 @@ def test_automaton_learns_a_format():
     assert secrets.mask("a token=abcdef b", secrets.spans_of("a token=abcdef b", f)) == "a <assign> b"
 
 
+def test_short_and_letter_only_tokens_are_scored(spark):
+    rnd = random.Random(4)
+    short = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(16))
+    letters = lambda: "".join(rnd.choice("GHJKQRTWXYZ") for _ in range(8))
+    f = secrets.learn({"assign": [short() for _ in range(200)], "access": [letters() for _ in range(200)]})
+    rows = [(i, f"row | {short() if i % 2 else letters()} | end") for i in range(40)]
+    out = secrets.scan(spark.createDataFrame(rows, "doc_id int, text string"), f).collect()
+    assert sum([s["kind"] for s in r.secrets] == ["learned"] for r in out) > 30
+    assert f.best("ordinary") is None and f.best("sentence-like") is None
+
+
 def test_query(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     out = REG.queries["op2_secret_scan"](spark, sf).collect()
