@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanforge.llm import bpe, decontaminate, language, lines, near, pii, repeats, secrets, urls, vafile
+from loanforge.llm import bpe, decontaminate, divergence, language, lines, near, pii, repeats, secrets, urls, vafile
 from loanforge.llm.common import table
 from loanforge.plans.registry import Registry
 
@@ -136,3 +136,27 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     of = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("bigint")
     base = F.filter("pii", lambda s: s["kind"] != pii.TERM)
     return out.select("doc_id", *[of(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+
+
+_OP13_SQL = f"""
+with d as (select coalesce(lang, '') lang, coalesce(source, '') source, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') t from documents),
+w as (select row_number() over () r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) term from d),
+k as (select lang, term, count(*) n from (select lang, term, count(*) c from (select row_number() over () r, * from d) x, unnest(list_distinct(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))) u(term) group by lang, term having count(*) >= 30) join w using (lang, term) group by lang, term),
+v as (select lang, count(*) v, cast(sum(n) as hugeint) total from k group by lang),
+s as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) n from w join k using (lang, term) group by all),
+g as (select s.lang, s.source, cast(coalesce(sum(c.n), 0) as hugeint) total from s left join c on c.lang = s.lang and c.source = s.source group by all),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) n, 1 + cast(1000000000 as hugeint) * (coalesce(c.n, 0) + 5) // (g.total + 5 * v.v) p,
+             1 + cast(1000000000 as hugeint) * (k.n + 5) // (v.total + 5 * v.v) q
+      from g join k on k.lang = g.lang join v on v.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+f as (select x.lang, x.source, y.source item, sum(abs(x.p - y.p)) f from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all),
+a as (select x.lang, x.source, 'pair' part, y.source item, cast(coalesce(f.f, 0) as bigint) as "value" from s x join s y on x.lang = y.lang and x.source <> y.source
+      left join f on f.lang = x.lang and f.source = x.source and f.item = y.source
+      union all select lang, source, 'term', term, cast(p - q as bigint) from p where n > 0 and p > q)
+select lang, source, part, item, "value", cast(row_number() over (partition by lang, source, part order by "value" desc, item) as int) rank
+from a qualify part = 'pair' or row_number() over (partition by lang, source, part order by "value" desc, item) <= 50"""
+
+
+@REG.query("op13_source_divergence", _OP13_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents").select("text", "lang", "source"))
