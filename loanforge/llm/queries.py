@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanforge.llm import bpe, decontaminate, divergence, language, lines, near, pii, repeats, secrets, urls, vafile
+from loanforge.llm import alignment, bpe, decontaminate, divergence, language, lines, near, pii, repeats, secrets, urls, vafile
 from loanforge.llm.common import table
 from loanforge.plans.registry import Registry
 
@@ -160,3 +160,9 @@ from a qualify part = 'pair' or row_number() over (partition by lang, source, pa
 @REG.query("op13_source_divergence", _OP13_SQL)
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.audit(table(spark, sf, "documents").select("text", "lang", "source"))
+
+
+@REG.query("op12_token_alignment")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf, "documents"), *paths, groups=False, digests=True)
