@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanforge.llm import alignment, bpe, decontaminate, divergence, language, lines, near, pii, repeats, secrets, urls, vafile
+from loanforge.llm import alignment, bpe, decontaminate, divergence, extract, language, lines, near, pii, repeats, secrets, urls, vafile
 from loanforge.llm.common import table
 from loanforge.plans.registry import Registry
 
@@ -166,3 +166,9 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.align(table(spark, sf, "documents"), *paths, groups=False, digests=True)
+
+
+@REG.query("op11_main_text")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return extract.extract(pages, extract.fit(pages))
