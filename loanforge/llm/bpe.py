@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 
 import public_tokenizers
@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanforge.llm.common import batches
+from loanforge.llm.common import slices
 
-#: Remembered encodings of short matches per Python worker; the memo starts anew when full.
-MEMO = 400_000
+#: Bytes of each memo of a task (encodings of matches, pairs of tokens, tokens of word starts); it starts anew when full, and the task's end frees it.
+MEMO = 24 << 20
+#: Bytes of an entry beside its text and ids.
+ENTRY = 160
 MEMO_BYTES = 64
 #: Last tokens of prefixes up to this long are shared by all words that start so.
 TAIL_BYTES = 12
@@ -80,7 +82,7 @@ class Vocabulary:
         key = left << 32 | right
         out = self.known.get(key)
         if out is None:
-            if len(self.known) >= MEMO:
+            if len(self.known) * ENTRY >= MEMO:
                 self.known.clear()
             out = self.known[key] = self.stay_apart(left, right)
         return out
@@ -128,7 +130,7 @@ class PrefixTable:
                 if not (v.apart(last[start], t) if ok is None else ok):
                     continue
             if prefix is not None:
-                if len(v.tails) >= MEMO:
+                if len(v.tails) * ENTRY >= MEMO:
                     v.tails.clear()
                 v.tails[prefix] = t
             return t
@@ -174,17 +176,25 @@ class Codec(dict):
         self.vocab, self.split = vocab, regex.compile(pattern).findall
         self.latin = pattern == public_tokenizers.PATTERN
         self.digits = {i: str(i) for i in vocab.bytes_of}
+        self.held = 0
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode("utf-8")
         whole = self.vocab.ranks.get(raw)
         ids = (whole,) if whole is not None else tuple(PrefixTable(self.vocab, raw).ids())
         if len(raw) <= MEMO_BYTES:
-            if len(self) >= MEMO:
-                self.clear()
+            self.held += ENTRY + len(raw) + 8 * len(ids)
+            if self.held >= MEMO:
+                self.forget()
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """Frees the memos; the vocabulary stays."""
+        self.held = 0
+        for memo in (self, self.vocab.known, self.vocab.tails):
+            memo.clear()
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -203,14 +213,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-_CODECS: dict[int, Codec] = {}
+def _sliced(fn: Callable[[Codec, pa.RecordBatch], pa.RecordBatch], shared, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``mapInArrow`` function that hands slices of the last column's bytes to ``fn`` with the task's codec."""
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(shared.value[1], pattern)
+        try:
+            for b in it:
+                for part in slices(iter([b]), b.num_columns - 1):
+                    yield fn(codec, part)
+        finally:
+            codec.forget()
 
-def _codec(shared, pattern: str) -> Codec:
-    """One codec per Python worker and vocabulary."""
-    if shared.value[0] not in _CODECS:
-        _CODECS[shared.value[0]] = Codec(shared.value[1], pattern)
-    return _CODECS[shared.value[0]]
+    return run
 
 
 def _share(spark: SparkSession, path: str, pattern: str):
@@ -226,8 +241,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: S
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids
     fields += [T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")] * digests
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        codec = _codec(shared, pattern)
+    def run(codec: Codec, b: pa.RecordBatch) -> pa.RecordBatch:
         lists, n, a, d = [], [], [], []
         for t in b.column(b.num_columns - 1).to_pylist():
             x = codec.encode(t)
@@ -241,7 +255,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: S
         cols += [pa.array(a, pa.string()), pa.array(d, pa.string())] if digests else []
         return pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return src.mapInArrow(batches(run), T.StructType(fields))
+    return src.mapInArrow(_sliced(run, shared, pattern), T.StructType(fields))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -250,9 +264,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", keep:
     src = encoded.select(*[F.col(c) for c in keep], F.col(ids).cast("array<int>").alias("__ids"))
     fields = [*src.schema.fields[:-1], T.StructField("decoded", T.BinaryType())]
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        codec = _codec(shared, pattern)
+    def run(codec: Codec, b: pa.RecordBatch) -> pa.RecordBatch:
         out = [codec.decode(x or ()) for x in b.column(b.num_columns - 1).to_pylist()]
         return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], names=[f.name for f in fields])
 
-    return src.mapInArrow(batches(run), T.StructType(fields))
+    return src.mapInArrow(_sliced(run, shared, pattern), T.StructType(fields))

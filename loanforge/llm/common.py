@@ -61,9 +61,11 @@ def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(it: Iterator[pa.RecordBatch], column: int, rows: int = 512, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows`` rows and about ``limit`` bytes of text in ``column``, one row at least."""
+    """The same rows in batches of at most ``rows`` rows and about ``limit`` bytes of text, or of listed integers, in ``column``, one row at least."""
     for b in it:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        x = b.column(column)
+        size = pc.multiply(pc.list_value_length(x), 4) if pa.types.is_list(x.type) else pc.binary_length(x)
+        ends = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         i = 0
         while i < b.num_rows:
             before = ends[i - 1] if i else 0
