@@ -80,11 +80,11 @@ _OP7_SQL = """
 with d as (select row_number() over () r, doc_id, source, text, string_split(text, chr(10)) ls from documents),
 l as (select r, source, i, ls[i] t, trim(ls[i], ' ') n from d, unnest(range(1, len(ls) + 1)) u(i)),
 b as (select n from l where n <> '' group by n having count(distinct source) >= 10),
-m as (select r, i, t, n in (select n from b) gone from l),
-g as (select r, sum(length(t)) total, coalesce(sum(length(t)) filter (gone), 0) lost, count(*) filter (gone) n_gone,
+m as (select r, i, t, n, n in (select n from b) gone from l),
+g as (select r, count(*) filter (gone) n_gone, count(*) filter (not gone and n <> '') own,
              string_agg(t, chr(10) order by i) filter (not gone) kept, count(*) c from m group by r)
-select doc_id, cast(coalesce(c, 0) as bigint) n_lines, cast(case when lost > 0.5 * total then 0 else coalesce(n_gone, 0) end as bigint) n_removed,
-       sha256(coalesce(case when lost > 0.5 * total or n_gone = 0 then text else coalesce(kept, '') end, '')) kept_sha256
+select doc_id, cast(coalesce(c, 0) as bigint) n_lines, cast(case when own > 0 then n_gone else 0 end as bigint) n_removed,
+       sha256(coalesce(case when own > 0 and n_gone > 0 then kept else text end, '')) kept_sha256
 from d left join g using (r)"""
 
 
