@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanforge.llm.common import joined_bytes, slices, stored, word_table
+from loanforge.llm.common import discard, joined_bytes, slices, stored, word_table
 
 SHINGLE = 5
 PERCENT = 75
@@ -42,7 +42,11 @@ SMALL = 64
 TOKENS = 128
 #: Equal sketch bits, of 128, that a pair must have: 112 are expected at similarity 0.75, with deviation 3.7.
 LIKE = 90
+#: One token in so many opens a second branch: 4/3 branches a set keep a pair at similarity 0.75 together in one node a level on average.
+SECOND = 3
 MAX_LEVELS = 24
+#: Rows of a node that one task compares with the others.
+SHARE = 512
 #: Sets of a large node that all others are compared with, and rounds in which every set looks for its most similar one.
 PIVOTS = 6
 ROUNDS = 3
@@ -119,14 +123,16 @@ def _token(which: Column) -> Column:
 
 
 def _dealt(rows: DataFrame, level: int, keep: list[str]) -> DataFrame:
-    """``rows`` at their nodes of the next level: one node per tree at first, two below each large node after that."""
+    """``rows`` at their nodes of the next level: one node per tree at first, below each large node one more and, for one token in ``SECOND``, a second."""
     order = F.array(*[F.array(*[F.lit(x) for x in o]) for o in _ORDER])
     if level == 0:
         each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, _token(order[t][0])).alias("node"))))
     else:
         at = lambda j: F.col("order")[F.pmod(F.lit(2 * level - 1 + j), F.lit(TOKENS))]
         rows = rows.withColumn("order", order[F.col("tree")])
-        each = F.explode(F.array(*[F.struct(F.col("tree"), F.xxhash64("node", F.lit(j), _token(at(j))).alias("node")) for j in (0, 1)]))
+        child = [F.struct(F.col("tree"), F.xxhash64("node", F.lit(j), _token(at(j))).alias("node")) for j in (0, 1)]
+        # Who shares the second child shares its hash, and so decides alike.
+        each = F.explode(F.when(F.pmod(F.xxhash64(child[1]["node"], F.lit(3)), F.lit(SECOND)) == 0, F.array(*child)).otherwise(F.array(child[0])))
     return rows.select(each.alias("e"), *keep).select("e.tree", "e.node", *keep)
 
 
@@ -150,8 +156,10 @@ def _nodes(rows: DataFrame, seed: int = 0) -> DataFrame:
 def _met(nodes: DataFrame) -> DataFrame:
     """``x`` with the sets of other components that look ``like`` it: small nodes in full; where one component holds nearly all, the others against all; large nodes with their pivots."""
     few = nodes.where("few")
-    some = few.where((F.col("size") <= SMALL) | (F.col("comp") != F.col("top.comp"))).groupBy("tree", "node").agg(F.collect_list(F.struct(*_ROW)).alias("others"))
-    met = few.select("tree", "node", F.struct(*_ROW).alias("x")).join(some, ["tree", "node"]).select("x", "others")
+    parts = F.ceil(F.col("size") / SHARE).cast("int")  # a node of many rows is dealt to several tasks, the few others go to each
+    some = few.where((F.col("size") <= SMALL) | (F.col("comp") != F.col("top.comp"))).groupBy("tree", "node").agg(F.collect_list(F.struct(*_ROW)).alias("others"), F.first(parts).alias("parts"))
+    some = some.select("tree", "node", "others", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = few.select("tree", "node", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.struct(*_ROW).alias("x")).join(some, ["tree", "node", "part"]).select("x", "others")
     star = nodes.where(~F.col("few")).select(F.struct(*_ROW).alias("x"), F.transform("pivots", lambda p: F.struct(*[p[c].alias(c) for c in _ROW])).alias("others"))
     like = F.filter("others", lambda y: (y["comp"] != F.col("x")["comp"]) & (y["id"] != F.col("x")["id"]) & (_equal_bits(F.col("x"), y) >= LIKE))
     return met.unionByName(star).select("x", like.alias("like"))
@@ -244,8 +252,11 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
         return components(links if label is None else links.unionByName(label.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
     rows_at, sets = stored(_dealt(reps, 0, ["id", "s1", "s2"]), "dealt"), None
+    before = rows_at
     for r in range(ROUNDS):
-        pairs = stored(best_pairs(_nodes(_labelled(rows_at, label, "id", "comp"), r)), "pairs", drop_shuffle=True)
+        nodes = _nodes(_labelled(rows_at, label, "id", "comp"), r)
+        pairs = stored(best_pairs(nodes), "pairs", drop_shuffle=True)
+        discard(nodes)
         if pairs.isEmpty():
             break
         sets = full_sets(pairs) if sets is None else sets  # later rounds take the pairs whose sets are there; the last comparison takes all
@@ -257,11 +268,18 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
         large = nodes.where(~F.col("few"))
         if large.isEmpty():
             break
-        rows_at = _dealt(large.join(reps.select("id", "tokens"), "id"), level, ["id", "s1", "s2"])
-    else:  # what no token tells apart: every pair that is left
-        x, y = large.alias("x"), large.alias("y")
-        apart = x.join(y, (F.col("x.tree") == F.col("y.tree")) & (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")))
-        proposed.append(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+        if level == MAX_LEVELS:  # what no token tells apart: every pair that is left and looks alike
+            x, y = large.alias("x"), large.alias("y")
+            same = (F.col("x.tree") == F.col("y.tree")) & (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
+            like = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2"))) <= 128 - LIKE
+            proposed.append(x.join(y, same & like).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+            break
+        # Tokens are fetched once per set, whatever the number of its nodes.
+        places = large.groupBy("id").agg(F.collect_list(F.struct("tree", "node")).alias("places"))
+        at = places.join(reps.select("id", "tokens", "s1", "s2"), "id").select("id", "tokens", "s1", "s2", F.explode("places").alias("p")).select("p.*", "id", "tokens", "s1", "s2")
+        rows_at = stored(_dealt(at, level, ["id", "s1", "s2"]), "dealt", drop_shuffle=True)
+        discard(nodes, before)
+        before = rows_at
     pairs = stored(reduce(DataFrame.unionByName, proposed).distinct(), "pairs", drop_shuffle=True)
     if not pairs.isEmpty():
         label = confirmed(label, pairs, full_sets(pairs))
