@@ -7,11 +7,14 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from loanforge.llm.alignment import Fragment, Tokenizers, Tokens, align, compose, finish, fragment
 from loanforge.llm.queries import REG
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+LIBRARY = Tokenizer.from_file(PATHS[0])
+LIBRARY.encode_special_tokens = True
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +27,7 @@ def whole(tok, text):
     if not text:
         return None
     raw, out = (" " + text).encode(), []
-    for ids, names in ((tok.a.encode(" " + text, add_special_tokens=False).ids, tok.a_bytes), (tok.b.encode(text), tok.b_bytes)):
+    for ids, names in ((LIBRARY.encode(" " + text, add_special_tokens=False).ids, tok.a_bytes), (tok.b.encode(text), tok.b_bytes)):
         if b"".join(names[i] for i in ids) != raw:
             return None
         at, side = 0, []
@@ -107,6 +110,14 @@ def test_fragments_compose_in_any_order():
         assert done.n_groups == len(np.intersect1d(a, b))
 
 
+def test_ids_of_both_libraries(tok):
+    rnd = random.Random(8)
+    entries = [x.decode("utf-8", "ignore") for x in tok.a_bytes]
+    for _ in range(3000):
+        text = " " + "".join(rnd.choices(entries, k=rnd.randint(1, 12)))
+        assert tok.a.encode_ordinary(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def test_query(spark, sf, tok):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
     out = {r.doc_id: r for r in REG.queries["op12_token_alignment"](spark, sf).collect()}
