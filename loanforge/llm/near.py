@@ -17,7 +17,7 @@ sets, those few are compared with all.
 A pair at similarity 0.75 misses all 20 trees with probability below 1e-11 where nodes
 are small at once, and below 1e-4 through four branchings of dense nodes.
 
-Results: documents without words or with null text have no set and stand alone; fewer
+Results: keys are whole numbers; documents without words or with null text have no set and stand alone; fewer
 words than a shingle are one shingle; rows without key stand alone with a null component;
 repeated rows share a component and are kept alike; other columns are left out of
 ``components_of``; an empty table gives none.

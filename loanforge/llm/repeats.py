@@ -9,12 +9,13 @@ are that round's Burrows-Wheeler transform, its stable order is the next round's
 suffix order, and common prefixes of neighbours follow from range minima of the round
 before. Neighbours with a common prefix of a whole window hold the same string.
 
-A bucket holds the share of about ``BUCKET`` bytes of text. Segments equal within
+Before they are sorted, segments go none of whose sides (the anchor and half a window's
+rest beside it) is found in another document. A bucket holds the share of about ``BUCKET`` bytes of text. Segments equal within
 a slice of the input are settled there, so a passage that a third of all documents hold
 reaches its bucket once per slice. Marked windows and texts meet in blocks of bounded
 size; a text is shuffled once.
 
-Results: a null text is empty; texts shorter than a window lose nothing; strings that
+Results: keys are whole numbers; a null text is empty; texts shorter than a window lose nothing; strings that
 repeat only inside one document stay; a null key comes after all others; rows with
 equal key are one document; lengths and spans count bytes of UTF-8; columns other than the
 key are left out.
@@ -32,14 +33,15 @@ from pyspark.sql import functions as F
 from loanforge.llm.common import joined_bytes, slices, stored
 
 WINDOW = 50
-SEED = 8
+SEED = 16
 SPAN = WINDOW - SEED + 1  # places of a seed in a window
 WIDTH = WINDOW + SPAN - 1  # columns of a segment: anchors stand at column SPAN - 1
 BUCKET = 8 << 20
 BLOCK = 8 << 20
 _SLICE = 4 << 20
 _LAST = np.iinfo(np.int64).max
-_ROW = np.dtype([("doc", "<i8"), ("twin", "<u2"), ("start", "<i4"), ("left", "u1"), ("count", "u1")])
+#: ``twin``: hash of the text, which tells rows of one key apart; ``block``: where the text meets its marks.
+_ROW = np.dtype([("doc", "<i8"), ("twin", "<i8"), ("block", "<i4"), ("start", "<i4"), ("left", "u1"), ("count", "u1")])
 _MIX = np.random.default_rng(11).integers(1, 2**63, WIDTH // 8 + 1, dtype=np.uint64) | np.uint64(1)
 
 
@@ -49,13 +51,15 @@ def _seed_hashes(raw: np.ndarray) -> np.ndarray:
     w = w[:-1] | (w[1:] << np.uint32(8))
     w = w[:-2] | (w[2:] << np.uint32(16))
     h = w[:-4] * np.uint32(0x9E3779B1) + w[4:] * np.uint32(0x85EBCA77)
+    h ^= h >> np.uint32(16)
+    h = h[:-8] * np.uint32(0xC2B2AE3D) + h[8:] * np.uint32(0x27D4EB2F)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     return h ^ (h >> np.uint32(13))
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Segments of joined texts and their bytes, one row of ``WIDTH`` columns each; ``rows`` has doc and twin."""
+    """Segments of joined texts and their bytes, one row of ``WIDTH`` columns each; ``rows`` has doc, twin and block."""
     n = len(raw)
     if n < WINDOW:
         return np.zeros(0, _ROW), np.zeros((0, WIDTH), np.uint8)
@@ -81,7 +85,7 @@ def segments(raw: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np
     p = anchor[a]
     out["left"], out["count"] = p - a, stop - a + 1
     out["start"] = a - offsets[row]
-    for f in ("doc", "twin"):
+    for f in ("doc", "twin", "block"):
         out[f] = rows[f][row]
     padded = np.concatenate((np.zeros(SPAN - 1, np.uint8), raw, np.zeros(WIDTH, np.uint8)))
     text = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[p]
@@ -95,6 +99,29 @@ def _anchor_hash(text: np.ndarray) -> np.ndarray:
     return _seed_hashes(np.ascontiguousarray(text[:, SPAN - 1 : SPAN - 1 + SEED]).ravel())[::SEED] if len(text) else np.zeros(0, np.uint32)
 
 
+def _shared(seg: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Segments that may hold a window of another document.
+
+    A window holds its anchor and the bytes around it, at least half of them on one side. So two
+    segments of one window have equal bytes there, and a segment none of whose sides is found in
+    another document holds no such window.
+    """
+    half = (WINDOW - SEED + 1) // 2
+    out = np.zeros(len(seg), bool)
+    for a, b in ((SPAN - 1, SPAN - 1 + SEED + half), (SPAN - 1 - half, SPAN - 1 + SEED)):
+        wide = np.zeros((len(seg), -(-(b - a) // 8) * 8), np.uint8)
+        wide[:, : b - a] = text[:, a:b]
+        key = (wide.view(np.uint64) * _MIX[: wide.shape[1] // 8]).sum(axis=1)
+        key ^= key >> np.uint64(29)
+        order = np.argsort(key, kind="stable")
+        k, doc = key[order], seg["doc"][order]
+        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else []
+        if len(k):
+            many = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
+            out[order] |= np.repeat(many, np.diff(np.append(starts, len(k))))
+    return out
+
+
 def settle(seg: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which segments are needed further, and which are repeats of an equal segment of a smaller document."""
     if not len(seg):
@@ -163,14 +190,10 @@ def _all_windows(seg: np.ndarray) -> np.ndarray:
     return (c >= first) & (c < first + seg["count"][:, None])
 
 
-_MARK = np.dtype([("doc", "<i8"), ("twin", "<u2"), ("start", "<i4"), ("stop", "<i4")])
-
-
-def _block(doc: np.ndarray, twin: np.ndarray, n: int) -> np.ndarray:
-    return np.where(doc == _LAST, twin, doc) % n
+_MARK = np.dtype([("doc", "<i8"), ("twin", "<i8"), ("start", "<i4"), ("stop", "<i4")])
 
 
-def _marked(seg: np.ndarray, marks: np.ndarray, n_blocks: int) -> list[tuple[int, bytes]]:
+def _marked(seg: np.ndarray, marks: np.ndarray) -> list[tuple[int, bytes]]:
     """Runs of marked windows as covered bytes, packed by block."""
     wide = np.zeros((len(seg), SPAN + 2), np.int8)
     wide[:, 1:-1] = marks
@@ -181,7 +204,7 @@ def _marked(seg: np.ndarray, marks: np.ndarray, n_blocks: int) -> list[tuple[int
     base = seg["start"].astype(np.int64) - (SPAN - 1 - seg["left"].astype(np.int64))
     out["doc"], out["twin"] = seg["doc"][row], seg["twin"][row]
     out["start"], out["stop"] = base[row] + a, base[row] + b - 1 + WINDOW
-    block = _block(out["doc"], out["twin"], n_blocks)
+    block = seg["block"][row]
     order = np.lexsort((out["start"], out["twin"], out["doc"], block))
     out, block = out[order], block[order]
     cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else []
@@ -211,17 +234,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes
     n_buckets, n_blocks = -(-total // bucket_bytes) + 1, -(-total // block_bytes) + 1
     order = F.coalesce(F.col(key).cast("bigint"), F.lit(_LAST))
     src = docs.select(F.col(key).alias("k"), order.alias("doc"), F.coalesce(text, F.lit("")).alias("t"))
-    src = src.select("*", F.pmod(F.xxhash64("t"), F.lit(1 << 16)).cast("int").alias("twin"))  # tells rows of one key with other texts apart
-    src = src.select("*", F.pmod(F.when(F.col("doc") == _LAST, F.col("twin")).otherwise(F.col("doc")), F.lit(n_blocks)).cast("int").alias("block"))
+    src = src.select("*", F.xxhash64("t").alias("twin"))
+    src = src.select("*", F.pmod(F.xxhash64("doc", F.when(F.col("doc") == _LAST, F.col("twin"))), F.lit(n_blocks)).cast("int").alias("block"))
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments by bucket; marks that a slice settles by itself, with the number of their block below zero."""
-        for b in slices(it, 2, 1 << 16, _SLICE):
-            rows = {f: b.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(("doc", "twin"))}
-            seg, body = segments(*joined_bytes(b.column(2)), rows)
+        for b in slices(it, 3, 1 << 16, _SLICE):
+            rows = {f: b.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(("doc", "twin", "block"))}
+            seg, body = segments(*joined_bytes(b.column(3)), rows)
             need, repeat = settle(seg, body)
             places, blobs = [], []
-            for block, blob in _marked(seg[repeat], _all_windows(seg[repeat]), n_blocks):
+            for block, blob in _marked(seg[repeat], _all_windows(seg[repeat])):
                 places.append(-1 - block)
                 blobs.append(blob)
             seg, body = seg[need], body[need]
@@ -241,18 +264,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes
         parts = [_unpack(x.as_py(), _ROW, WIDTH) for x in t.column("blob")]
         seg, body = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         del parts
-        h = _anchor_hash(body)
-        at = np.argsort(h, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], h[at][1:] != h[at][:-1])))
-        size = np.diff(np.append(starts, len(at)))
-        doc = seg["doc"][at]
-        shared = np.repeat(np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts), size)  # anchors of one document repeat nothing
-        seg, body = seg[at[shared]], body[at[shared]]
+        near = _shared(seg, body)
+        seg, body = seg[near], body[near]
         need, repeat = settle(seg, body)
-        found = [*_marked(seg[repeat], _all_windows(seg[repeat]), n_blocks), *_marked(seg[need], repeated_windows(seg[need], body[need]), n_blocks)]
+        found = [*_marked(seg[repeat], _all_windows(seg[repeat])), *_marked(seg[need], repeated_windows(seg[need], body[need]))]
         return pa.table({"block": pa.array([x for x, _ in found], pa.int32()), "blob": pa.array([x for _, x in found], pa.binary())})
 
-    marks = src.select("doc", "twin", "t").mapInArrow(deal, "place bigint, blob binary").groupBy("place").applyInArrow(meet, "block int, blob binary")
+    marks = src.select("doc", "twin", "block", "t").mapInArrow(deal, "place bigint, blob binary").groupBy("place").applyInArrow(meet, "block int, blob binary")
     marks = stored(marks, "repeats", drop_shuffle=True)
     kinds = {"n_bytes": "bigint", "spans": "array<struct<start:int,stop:int>>", "kept": "binary"}
     out_schema = docs.select(F.col(key), *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]).schema

@@ -45,6 +45,25 @@ def test_against_all_strings(spark):
     assert dedup(df.limit(0)).count() == 0
 
 
+def test_many_rows_without_key(spark):
+    rnd = random.Random(4)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(120))
+    text = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(0, 90)))
+    rows = [(None, text() + (passage[rnd.randint(0, 40) :] if rnd.random() < 0.5 else "") + text()) for _ in range(1000)]
+    rows += [(64 * i, passage[: rnd.randint(30, 120)] + text()) for i in range(40)] + [(None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got(dedup(df, bucket_bytes=20_000, block_bytes=5_000)) == brute(rows)
+
+
+def test_an_anchor_in_a_third_of_all_texts(spark):
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    common = text(24)
+    rows = [(i, text(60) + (common if i % 3 else "") + text(60)) for i in range(600)] + [(700, rows_text) for rows_text in [text(10) + common + text(40)]] + [(701, common * 8), (702, common * 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got(dedup(df)) == brute(rows)
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     out = REG.queries["op9_repeated_bytes"](spark, sf).collect()
