@@ -35,6 +35,9 @@ GENERALISE = 0.5
 REMOVE = 0.9
 LEAST_BITS = 3.0
 WORD = r"[\p{L}\p{N}]++"
+#: Numbers folded at a time, and code points of a piece of text, so that one long text costs time in proportion to it.
+FOLD = 256
+PIECE = 512
 
 #: kind: (a character every match has, pattern). A match starts where its run of first characters starts or where the last match ended.
 PATTERNS = {
@@ -74,20 +77,67 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(fn: Callable[[Column], Column], **values: Column) -> Column:
+    """``fn`` of a struct whose fields are computed once, also where ``fn`` uses them inside lambdas."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), fn)[0]
+
+
+def _before(values: Column, combine: Callable[[Column, Column], Column], zero: int) -> Column:
+    """For every number what ``combine`` makes of those before it, from ``zero`` on; by blocks, as an array that grows is copied each time."""
+
+    def fold(xs: Column, at: Column, step: Callable[[Column, Column], Column]) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, start, lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def by_blocks(t: Column) -> Column:
+        offsets = fold(t["b"], F.lit(zero), lambda at, b: F.aggregate(b, at, combine))
+        return F.flatten(F.zip_with(t["b"], offsets, lambda b, at: fold(b, at, combine)))
+
+    def cut(s: Column) -> Column:
+        last = F.greatest(F.floor((F.size(s["v"]) - 1) / FOLD), F.lit(0)).cast("int")
+        return _bound(by_blocks, b=F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(s["v"], k * FOLD + 1, F.lit(FOLD))))
+
+    return _bound(cut, v=values)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return (a + b).cast("int")
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _smaller(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
 def located(text: Column, pattern: str, kind: str, wanted: Callable[[Column], Column] | None = None) -> Column:
     """Matches of ``pattern``, of those ``wanted``, with code point positions: the texts between matches say where they are."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     both = F.zip_with(between, found, lambda p, f: F.struct(F.length(p).alias("skip"), f.alias("value")))
 
-    skip = lambda v: v.isNull() if wanted is None else v.isNull() | ~wanted(v)
+    def placed(s: Column) -> Column:
+        at = _before(F.transform(s["x"], lambda x: (x["skip"] + F.coalesce(F.length(x["value"]), F.lit(0))).cast("int")), _sum, 0)
+        span = lambda x, a: F.struct(F.lit(kind).alias("kind"), (a + x["skip"]).cast("int").alias("start"), (a + x["skip"] + F.length(x["value"])).cast("int").alias("stop"), x["value"].alias("value"))
+        keep = lambda y: y["value"].isNotNull() if wanted is None else y["value"].isNotNull() & wanted(y["value"])
+        return F.filter(F.zip_with(s["x"], at, span), keep)
 
-    def add(acc: Column, x: Column) -> Column:
-        start = (acc["at"] + x["skip"]).cast("int")
-        stop = (start + F.length(x["value"])).cast("int")
-        span = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), stop.alias("stop"), x["value"].alias("value")))
-        return F.struct(F.coalesce(stop, start).alias("at"), F.when(skip(x["value"]), acc["out"]).otherwise(F.concat(acc["out"], span)).alias("out"))
+    return _bound(placed, x=both)
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")), add, lambda a: a["out"])
+
+def _clear(words: Column, spans: Column) -> Column:
+    """Those of ``words`` that overlap none of ``spans``."""
+    event = lambda of_word: lambda s: F.struct(s["start"].alias("start"), F.lit(of_word).alias("word"), s["stop"].alias("stop"), s.alias("s"))
+    far = 2**31 - 1
+
+    def kept(t: Column) -> Column:
+        until = _before(F.transform(t["e"], lambda e: F.when(e["word"], 0).otherwise(e["stop"])), _larger, 0)
+        begin = F.reverse(_before(F.reverse(F.transform(t["e"], lambda e: F.when(e["word"], far).otherwise(e["start"]))), _smaller, far))
+        free = F.zip_with(t["e"], F.arrays_zip(until.alias("u"), begin.alias("b")), lambda e, n: F.when(e["word"] & (n["u"] <= e["start"]) & (n["b"] >= e["stop"]), e["s"]))
+        return F.filter(free, lambda s: s.isNotNull())
+
+    return _bound(kept, e=F.array_sort(F.concat(F.transform(spans, event(False)), F.transform(words, event(True)))))
 
 
 def base_spans(text: Column) -> Column:
@@ -123,14 +173,17 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", supp
     texts = with_any.select("__t", F.explode("spans").alias("s")).select("__t", "s.kind", "s.value").distinct().join(copies, "__t")
     held = texts.groupBy(*entity).agg(F.sum("m").alias("n_entity"), F.count("*").alias("texts"))
     held = stored(held.where((F.col("texts") >= support) & (F.col("n_entity") <= total / 2.0**least_bits)).drop("texts"), "pii-entities")
-    wanted = texts.join(held.select(*entity), entity, "left_semi").groupBy("__t").agg(F.first("m").alias("m"), F.collect_list(F.struct(*entity)).alias("es"))
+    most = held.agg(F.max("n_entity")).first()[0] or 0
+    # A term's share is at most n_entity / n_term: words too common for any entity go before words and entities are paired.
+    seen = docs.select(F.explode(_words(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") * generalise <= most)
+    wanted = texts.join(held, entity).groupBy("__t").agg(F.first("m").alias("m"), F.collect_list(F.struct(*entity, "n_entity")).alias("es"))
     words = with_any.select("__t", "words").join(wanted.select("__t"), "__t", "left_semi").dropDuplicates(["__t"])
-    pairs = words.join(wanted, "__t").select("m", "es", F.explode("words").alias("term")).select("m", "term", F.explode("es").alias("e")).select("m", "term", "e.*")
-    pairs = pairs.groupBy(*entity, "term").agg(F.sum("m").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    seen = docs.select(F.explode(_words(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    rare = words.select("__t", F.explode("words").alias("term")).join(seen, "term")
+    pairs = rare.join(wanted, "__t").select("m", "term", "n_term", F.explode(F.filter("es", lambda e: F.col("n_term") * generalise <= e["n_entity"])).alias("e")).select("m", "term", "n_term", "e.*")
+    pairs = pairs.groupBy(*entity, "term").agg(F.sum("m").alias("n_both"), F.count("*").alias("texts"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")).where(F.col("texts") >= support)
     share = F.col("n_both") / F.col("n_term")
     bits = F.log2(share * total / F.col("n_entity"))
-    out = pairs.join(seen, "term").join(held, entity).withColumns({"share": share, "bits": bits}).where((F.col("share") >= generalise) & (F.col("bits") >= least_bits))
+    out = pairs.withColumns({"share": share, "bits": bits}).where((F.col("share") >= generalise) & (F.col("bits") >= least_bits))
     return out.select(*entity, "term", "share", "bits", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
@@ -138,13 +191,19 @@ def masked(text: Column, spans: Column) -> Column:
     """``text`` with patterns and generalised terms named in angle brackets and removed terms left out."""
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value"))))
 
-    def add(acc: Column, s: Column) -> Column:
-        mark = F.when(s["value"] == "remove", "").otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark)
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+    def part(t: Column, a: Column, b: Column) -> Column:
+        """Code points ``a`` to ``b``: only the pieces around them are read."""
+        first = F.floor(a / PIECE).cast("int")
+        near = F.array_join(F.slice(t["pieces"], first + 1, F.greatest(F.ceil(b / PIECE).cast("int") - first, F.lit(0))), "")
+        return F.substring(near, (a - first * PIECE + 1).cast("int"), (b - a).cast("int"))
+
+    def joined(t: Column) -> Column:
+        mark = lambda s: F.when(s["value"] == "remove", "").otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
+        piece = lambda s, at: F.when(s["start"] >= at, F.concat(part(t, at, s["start"]), mark(s))).otherwise("")
+        end = F.coalesce(F.array_max(F.transform(t["s"], lambda s: s["stop"])), F.lit(0))
+        return F.concat(F.array_join(F.zip_with(t["s"], _before(F.transform(t["s"], lambda s: s["stop"]), _larger, 0), piece), ""), part(t, end, t["size"]))
 
-    end = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
-    return F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, end)
+    return _bound(joined, s=by_start, pieces=F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), size=F.length(text))
 
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: bool = True, **limits: float) -> DataFrame:
@@ -158,9 +217,8 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: boo
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumns({"__h": F.xxhash64(t), "__spans": base_spans(t)})
     rows = rows.join(extra, F.col(key).eqNullSafe(F.col("__ek")) & (F.col("__h") == F.col("__et")), "left")
-    clear = lambda w: ~F.exists("__spans", lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"]))
     action = lambda w: F.try_element_at("__terms", F.lower(w))
-    said = F.filter(located(t, WORD, TERM, lambda v: action(v).isNotNull()), clear)
+    said = _clear(located(t, WORD, TERM, lambda v: action(v).isNotNull()), F.col("__spans"))
     said = F.transform(said, lambda w: F.struct(w["kind"].alias("kind"), w["start"].alias("start"), w["stop"].alias("stop"), action(w["value"]).alias("value")))
     rows = rows.withColumn("__pii", F.concat("__spans", F.when(F.col("__terms").isNotNull(), said).otherwise(F.array().cast(_SPANS))))
     cols = [F.when(F.size("__pii") > 0, masked(t, F.col("__pii"))).otherwise(F.col(c)).alias(c) if mask and c == text else F.col(c) for c in docs.columns]

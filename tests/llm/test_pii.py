@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -88,6 +89,39 @@ def test_terms_of_whole_texts_of_any_length(spark):
     assert "<email>" in text[1] and text[200].startswith(body(2))
 
 
+def test_one_text_of_100_000_spans(spark):
+    n = 100_000
+    text = " ".join(f"q{i}@corp.com" if i % 2 else f"word{i % 50}" for i in range(2 * n))
+    rows = [(0, text), (1, "other text"), (2, None)]
+    begin = time.time()
+    out = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert time.time() - begin < 60
+    assert found(out[0].pii) == [("email", *m.span()) for m in re.finditer(r"q\d+@corp.com", text)]
+    assert out[0].text == re.sub(r"q\d+@corp.com", "<email>", text)
+
+
+def test_masked_and_clear_against_plain_code(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(300):
+        text = "".join(rnd.choice("ab 🙂é") for _ in range(rnd.choice([0, 5, 40, 1300])))
+        spans = sorted({(a, min(a + rnd.randint(1, 9), len(text))) for a in (rnd.randint(0, max(len(text) - 1, 0)) for _ in range(rnd.randint(0, 30))) if text})
+        words = sorted({(a, min(a + rnd.randint(1, 4), len(text))) for a in (rnd.randint(0, max(len(text) - 1, 0)) for _ in range(rnd.randint(0, 30))) if text})
+        rows.append((i, text, [("email", a, b, "v") for a, b in spans], [("term", a, b, rnd.choice(["remove", "generalise"])) for a, b in words]))
+    kind = "array<struct<kind:string,start:int,stop:int,value:string>>"
+    df = spark.createDataFrame(rows, f"i int, text string, spans {kind}, words {kind}")
+    out = df.select("i", pii._clear(F.col("words"), F.col("spans")).alias("clear"), pii.masked(F.col("text"), F.concat("spans", "words")).alias("masked")).collect()
+    for r in out:
+        _, text, spans, words = rows[r.i]
+        assert sorted(tuple(w) for w in r.clear) == sorted(w for w in words if not any(a < w[2] and w[1] < b for _, a, b, _ in spans))
+        at, want = 0, ""
+        for k, a, b, v in sorted(spans + words, key=lambda s: (s[1], s[2], s[0], s[3])):
+            if a >= at:
+                want += text[at:a] + ("" if v == "remove" else f"<{k}>")
+            at = max(at, b)
+        assert r.masked == want + text[at:]
+
+
 def test_query(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     out = REG.queries["op10_personal_data"](spark, sf).collect()
