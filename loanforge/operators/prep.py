@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loanforge.functions.dates import date_parts
 from loanforge.functions.expressions import bin_right_closed, corrected_skew
+from loanforge.operators.chained import ChainedPlan, apply_chained, fit_chained
 from loanforge.operators.features import EPS, woe_cells
 from loanforge.operators.ordering import exact_quantiles
 from loanforge.operators.profile import (
@@ -145,87 +146,6 @@ def fill_constants(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(v))) for c, v in values.items()})
 
 
-@dataclass(frozen=True)
-class ChainedPlan:
-    """Ridge coefficients per round and column of a chained imputation."""
-
-    cols: tuple[str, ...]
-    targets: tuple[str, ...]
-    means: dict[str, float]
-    rounds: tuple[dict[str, tuple[float, dict[str, float]]], ...]
-
-
-def _chain_step(df: DataFrame, plan_cols: Sequence[str], target: str, coef: tuple[float, dict[str, float]]) -> Column:
-    b0, b = coef
-    guess = F.lit(b0)
-    for c in plan_cols:
-        if c != target:
-            guess = guess + F.lit(b[c]) * F.col(f"__f_{c}")
-    return F.when(F.col(target).isNull(), guess).otherwise(F.col(f"__f_{target}"))
-
-
-def gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Moment matrix of ``[1, *cols]`` from one aggregate (null-free columns)."""
-    names = [F.lit(1.0), *[F.col(c) for c in cols]]
-    k = len(names)
-    aggs = [F.sum(names[i] * names[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    r = df.agg(*aggs).first()
-    m = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            m[i, j] = m[j, i] = r[f"g{i}_{j}"] or 0.0
-    return m
-
-
-def fit_chained(train: DataFrame, cols: Sequence[str], targets: Sequence[str], rounds: int = 10, alpha: float = 1e-3) -> ChainedPlan:
-    """Chained imputation: each round regresses every target on the other columns.
-
-    A round is one moment-matrix aggregate per target and a small solve on the
-    driver; the working frame is cut from its lineage after each round.
-    """
-    means_row = train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
-    means = {c: float(means_row[c] or 0.0) for c in cols}
-    sd_row = train.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in cols]).first()
-    sd = {c: float(sd_row[c] or 1.0) or 1.0 for c in cols}
-    work = train.select(
-        *[F.col(c).cast("double").alias(c) for c in cols],
-        *[F.coalesce(F.col(c).cast("double"), F.lit(means[c])).alias(f"__f_{c}") for c in cols],
-    )
-    history = []
-    for _ in range(rounds):
-        step: dict[str, tuple[float, dict[str, float]]] = {}
-        for t in targets:
-            others = [c for c in cols if c != t]
-            # centred and scaled moments keep the solve well conditioned
-            z = work.where(F.col(t).isNotNull()).select(
-                *[((F.col(f"__f_{c}") - means[c]) / sd[c]).alias(c) for c in [*others, t]]
-            )
-            m = gram(z, [*others, t])
-            a = m[:-1, :-1] + alpha * np.eye(len(others) + 1)
-            beta = np.linalg.solve(a, m[:-1, -1])
-            slope = {c: float(beta[i + 1] * sd[t] / sd[c]) for i, c in enumerate(others)}
-            const = float(means[t] + beta[0] * sd[t] - sum(slope[c] * means[c] for c in others))
-            step[t] = (const, slope)
-            work = work.withColumn(f"__f_{t}", _chain_step(work, cols, t, step[t]))
-        history.append(step)
-        work = cut_lineage(work)
-        if len(history) > 1:
-            prev = history[-2]
-            moved = max(abs(step[t][1][c] - prev[t][1][c]) * sd[c] / sd[t] for t in targets for c in step[t][1]) if len(cols) > 1 else 0
-            if moved < 1e-6:
-                break
-    return ChainedPlan(tuple(cols), tuple(targets), means, tuple(history))
-
-
-def apply_chained(df: DataFrame, plan: ChainedPlan) -> DataFrame:
-    """Replay the learned rounds on any split; only null cells change."""
-    work = df.withColumns({f"__f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(plan.means[c])) for c in plan.cols})
-    for step in plan.rounds:
-        for t in plan.targets:
-            work = work.withColumn(f"__f_{t}", _chain_step(work, plan.cols, t, step[t]))
-    return work.withColumns({t: F.col(f"__f_{t}") for t in plan.targets}).drop(*[f"__f_{c}" for c in plan.cols])
-
-
 # Rows of a donor block and of a query block of nearest-neighbour imputation; every pair of blocks is one group.
 DONORS_PER_BLOCK = 50_000
 QUERIES_PER_BLOCK = 10_000
@@ -413,32 +333,80 @@ def yeo_johnson(x: Column, lam: float | Column) -> Column:
     return F.when(x.isNull(), F.lit(None).cast("double")).when(x >= 0, up).otherwise(down)
 
 
-def fit_yeo_johnson(train: DataFrame, col: str, lo: float = -3.0, hi: float = 5.0, points: int = 17, refine: int = 3) -> float:
-    """Power by maximum likelihood: a grid of powers per scan, narrowed ``refine`` times."""
-    x = F.col("x")
-    base = train.select(F.col(col).cast("double").alias("x")).where(x.isNotNull())
-    best = 1.0
-    for _ in range(refine):
-        grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
-        rows = (
-            base.select("x", F.explode(F.array(*[F.lit(g) for g in grid])).alias("lam"))
-            .groupBy("lam")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("j"),
-                F.var_pop(yeo_johnson(x, F.col("lam"))).alias("v"),
+def _power_parts(x: Column, lam: float) -> tuple[Column, Column, Column]:
+    """The transform of ``x`` and its first two derivatives by the power."""
+    u = F.log1p(F.abs(x))
+
+    def g(m: float) -> tuple[Column, Column, Column]:
+        # (exp(m u) - 1) / m and its derivatives by m; near 0 by their series.
+        if abs(m) < 1e-3:
+            return (
+                u + u**2 * (m / 2) + u**3 * (m**2 / 6) + u**4 * (m**3 / 24),
+                u**2 / 2 + u**3 * (m / 3) + u**4 * (m**2 / 8) + u**5 * (m**3 / 30),
+                u**3 / 3 + u**4 * (m / 4) + u**5 * (m**2 / 10),
             )
-            .collect()  # one row per grid power
-        )
-        if not rows:
-            return 1.0
-        ll = {r["lam"]: -r["n"] / 2 * math.log(r["v"]) + (r["lam"] - 1) * r["j"] for r in rows if r["v"] and math.isfinite(r["v"])}
-        if not ll:
-            return 1.0
-        best = max(ll, key=ll.__getitem__)
-        step = (hi - lo) / (points - 1)
-        lo, hi = best - step, best + step
-    return best
+        e = F.exp(u * m)
+        return (e - 1) / m, (e * (u * m - 1) + 1) / m**2, (e * (u**2 * m**2 - u * (2 * m) + 2) - 2) / m**3
+
+    up, down = g(lam), g(2 - lam)
+    return tuple(F.when(x >= 0, a).otherwise(sign * b) for a, b, sign in zip(up, down, (-1, 1, -1)))
+
+
+def fit_yeo_johnson_all(train: DataFrame, cols: Sequence[str], tolerance: float = 1e-9, rounds: int = 100) -> dict[str, float]:
+    """Powers of maximum likelihood of all columns at once: every round is one aggregate and one Newton step per column.
+
+    A step that leaves the interval known to hold the maximum is replaced by halving it, and the
+    interval is widened until the slope changes sign, so there are no bounds. Constant or empty
+    columns and columns whose likelihood has no maximum keep 1.
+    """
+    lam = dict.fromkeys(cols, 1.0)
+    ends: dict[str, list[float | None]] = {c: [None, None] for c in cols}
+    open_ = list(cols)
+    for _ in range(rounds):
+        if not open_:
+            break
+        aggs = []
+        for i, c in enumerate(open_):
+            x = F.col(c).cast("double")
+            p, d, dd = _power_parts(x, lam[c])
+            aggs += [
+                F.count(x).alias(f"n{i}"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"j{i}"), F.var_pop(p).alias(f"v{i}"),
+                F.covar_pop(p, d).alias(f"a{i}"), F.var_pop(d).alias(f"b{i}"), F.covar_pop(p, dd).alias(f"c{i}"),
+            ]
+        r = train.agg(*aggs).first()
+        left = []
+        for i, c in enumerate(open_):
+            n, j, v, a, b, cc = (r[f"{k}{i}"] for k in "njvabc")
+            if not n or v is None or (v == 0 and lam[c] == 1.0):
+                lam[c] = 1.0
+                continue
+            now, (lo, hi) = lam[c], ends[c]
+            known = all(math.isfinite(q) for q in (v, a, b, cc)) and v > 0
+            if not known:  # too far out: back towards 1
+                side = now > 1
+            else:
+                slope = j - n * a / v
+                bend = -n * ((b + cc) / v - 2 * (a / v) ** 2)
+                side = slope < 0
+            ends[c] = [lo, now] if side else [now, hi]
+            lo, hi = ends[c]
+            new = now - slope / bend if known and bend < 0 else None
+            if new is None or (lo is not None and new <= lo) or (hi is not None and new >= hi):
+                new = (lo + hi) / 2 if lo is not None and hi is not None else (now + 2 * (abs(now - 1) + 1) if hi is None else now - 2 * (abs(now - 1) + 1))
+            if known and (slope == 0 or abs(new - now) < tolerance):
+                lam[c] = now if slope == 0 else new
+                continue
+            if abs(new) > 1e4:  # the likelihood rises for ever
+                lam[c] = 1.0
+                continue
+            lam[c] = new
+            left.append(c)
+        open_ = left
+    return lam
+
+
+def fit_yeo_johnson(train: DataFrame, col: str) -> float:
+    return fit_yeo_johnson_all(train, [col])[col]
 
 
 def recommend_transforms(df: DataFrame, cols: Sequence[str], family: str = "linear") -> dict[str, dict]:
@@ -455,6 +423,7 @@ def recommend_transforms(df: DataFrame, cols: Sequence[str], family: str = "line
     ).first()
     out: dict[str, dict] = {}
     trial: dict[str, tuple[str, Column]] = {}
+    power: list[str] = []
     for c in cols:
         n, s = r[f"n__{c}"], r[f"s__{c}"] or 0.0
         if n < 10:
@@ -466,7 +435,9 @@ def recommend_transforms(df: DataFrame, cols: Sequence[str], family: str = "line
         elif r[f"lo__{c}"] > 0:
             trial[c] = ("log1p", F.log1p(F.col(c).cast("double")))
         else:
-            trial[c] = ("yeo_johnson", yeo_johnson(F.col(c).cast("double"), fit_yeo_johnson(df, c)))
+            power.append(c)
+    lam = fit_yeo_johnson_all(df, power) if power else {}
+    trial.update({c: ("yeo_johnson", yeo_johnson(F.col(c).cast("double"), x)) for c, x in lam.items()})
     if trial:
         post = df.agg(*[corrected_skew(x).alias(c) for c, (_, x) in trial.items()]).first()
         for c, (name, _) in trial.items():
@@ -732,11 +703,15 @@ def fit_prep(
             z = exact_quantiles(train.select(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)), [c], [0.0, 0.99])[c]
             branches[c] = Branch(0.0, (z[0], z[1]))
         elif choices.get(c) == "yeo_johnson":
-            branches[c] = Branch(q[c][3], None, "yeo_johnson", fit_yeo_johnson(train.select(F.coalesce(F.col(c).cast("double"), F.lit(q[c][3])).alias(c)), c))
+            branches[c] = Branch(q[c][3], None, "yeo_johnson")
         else:
             branches[c] = Branch(q[c][3], None, choices.get(c) if choices.get(c) == "log1p" else None)
             if far.get(c) == "robust" and branches[c].power is None:
                 robust.append(c)
+    power = [c for c, b in branches.items() if b.power == "yeo_johnson"]
+    if power:
+        lam = fit_yeo_johnson_all(train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(branches[c].fill)).alias(c) for c in power]), power)
+        branches.update({c: replace(branches[c], lam=lam[c]) for c in power})
     # clip bounds after the median fill, for the branches that fill with the median
     late = [c for c, b in branches.items() if b.bounds is None and b.power != "yeo_johnson"]
     if late:

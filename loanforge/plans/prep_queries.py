@@ -179,11 +179,28 @@ def _(spark, d):
     return prep.apply_imputation(f, plan).select("key", *NUMERIC, *CATEGORICAL)
 
 
-@REG.query("f7_chained_imputation")
+def _chained_sql(rounds: int, alpha: str = "0.001::DOUBLE") -> str:
+    """Rounds of two-predictor ridge regressions on standardised columns, each target in turn, by Cramer's rule."""
+    out = [
+        "c AS MATERIALIZED (SELECT avg(acctbal) ma, stddev_pop(acctbal) da, avg(price) mp, stddev_pop(price) dp, avg(sparse) ms, stddev_pop(sparse) ds FROM feats)",
+        "s0 AS MATERIALIZED (SELECT key, acctbal IS NOT NULL oa, sparse IS NOT NULL os, coalesce((acctbal-ma)/da,0) a, (price-mp)/dp p, coalesce((sparse-ms)/ds,0) s FROM feats, c)",
+    ]
+    for i in range(2 * rounds):
+        t, v = ("a", "s") if i % 2 == 0 else ("s", "a")
+        out += [
+            f"m{i} AS MATERIALIZED (SELECT count(*)+{alpha} n, sum(p) u, sum({v}) v, sum(p*p)+{alpha} uu, sum(p*{v}) uv, sum({v}*{v})+{alpha} vv, sum({t}) t, sum(p*{t}) ut, sum({v}*{t}) vt FROM s{i} WHERE o{t})",
+            f"""b{i} AS MATERIALIZED (SELECT (t*(uu*vv-uv*uv)-u*(ut*vv-uv*vt)+v*(ut*uv-uu*vt))/d b0, (n*(ut*vv-vt*uv)-t*(u*vv-uv*v)+v*(u*vt-ut*v))/d b1,
+ (n*(uu*vt-uv*ut)-u*(u*vt-ut*v)+t*(u*uv-uu*v))/d b2 FROM (SELECT *, n*(uu*vv-uv*uv)-u*(u*vv-uv*v)+v*(u*uv-uu*v) d FROM m{i}))""",
+            f"s{i + 1} AS MATERIALIZED (SELECT key, oa, os, {'CASE WHEN oa THEN a ELSE b0+b1*p+b2*s END a, p, s' if t == 'a' else 'a, p, CASE WHEN os THEN s ELSE b0+b1*p+b2*a END s'} FROM s{i}, b{i})",
+        ]
+    return FT + ", " + ",\n ".join(out) + f" SELECT key, round(a*da+ma,2) AS acctbal, price, round(s*ds+ms,2) AS sparse FROM s{2 * rounds} JOIN feats USING (key), c"
+
+
+@REG.query("f7_chained_imputation", _chained_sql(10))
 def _(spark, d):
     f = feature_table(spark, d).select("key", "acctbal", "price", "sparse")
-    plan = prep.fit_chained(f, ["acctbal", "price", "sparse"], ["acctbal", "sparse"], rounds=10)
-    return prep.apply_chained(f, plan)
+    plan = prep.fit_chained(f, ["acctbal", "price", "sparse"], ["acctbal", "sparse"], rounds=10, tolerance=0.0)
+    return prep.apply_chained(f, plan).withColumns({c: F.round(c, 2) for c in ("acctbal", "sparse")})
 
 
 @REG.query(
@@ -282,12 +299,31 @@ def _(spark, d):
     return feature_table(spark, d).select("key", F.round(prep.log1p_clipped(F.col("acctbal")), 6).alias("acctbal_log"))
 
 
-@REG.query("f15_yeo_johnson")
+def _power_sql(cols, steps: int = 12) -> str:
+    """Newton steps for the power of each column, then the standardised transform."""
+    out, picked = [], []
+    for c in cols:
+        out.append(f"x_{c} AS MATERIALIZED (SELECT key, {c}::DOUBLE x, ln(1+abs({c}::DOUBLE)) u FROM feats)")
+        out.append(f"l_{c}_0 AS MATERIALIZED (SELECT 1.0::DOUBLE l)")
+        for i in range(steps):
+            out.append(
+                f"""l_{c}_{i + 1} AS MATERIALIZED (SELECT l-(j-n*a/v)/(-n*((b+k)/v-2*pow(a/v,2))) l FROM (
+ SELECT any_value(l) l, count(x) n, sum(sign(x)*u) j, var_pop(p) v, covar_pop(p,q) a, var_pop(q) b, covar_pop(p,r) k FROM (
+ SELECT x, u, l, CASE WHEN x>=0 THEN (e-1)/m ELSE -(e-1)/m END p, (e*(u*m-1)+1)/(m*m) q, CASE WHEN x>=0 THEN 1 ELSE -1 END*(e*(u*u*m*m-2*u*m+2)-2)/(m*m*m) r FROM (
+ SELECT *, exp(u*m) e FROM (SELECT *, CASE WHEN x>=0 THEN l ELSE 2-l END m FROM x_{c}, l_{c}_{i} WHERE x IS NOT NULL)))))"""
+            )
+        out.append(f"y_{c} AS MATERIALIZED (SELECT key, CASE WHEN x>=0 THEN (exp(l*u)-1)/l ELSE -(exp((2-l)*u)-1)/(2-l) END y FROM x_{c}, l_{c}_{steps})")
+        picked.append(f"round((y_{c}.y-(SELECT avg(y) FROM y_{c}))/(SELECT stddev_pop(y) FROM y_{c}),5) AS {c}")
+    return FT + ", " + ",\n ".join(out) + f" SELECT feats.key, {', '.join(picked)} FROM feats " + " ".join(f"JOIN y_{c} ON y_{c}.key=feats.key" for c in cols)
+
+
+@REG.query("f15_yeo_johnson", _power_sql(["acctbal", "late_count"]))
 def _(spark, d):
-    f = feature_table(spark, d).select("key", "acctbal", "late_count")
-    new = {c: prep.yeo_johnson(F.col(c).cast("double"), prep.fit_yeo_johnson(f, c)) for c in ("acctbal", "late_count")}
-    staged = f.select("key", *[v.alias(c) for c, v in new.items()])
-    return prep.scale(staged, prep.fit_standard(staged, list(new)))
+    cols = ["acctbal", "late_count"]
+    f = feature_table(spark, d).select("key", *cols)
+    lam = prep.fit_yeo_johnson_all(f, cols)
+    staged = f.select("key", *[prep.yeo_johnson(F.col(c).cast("double"), lam[c]).alias(c) for c in cols])
+    return prep.scale(staged, prep.fit_standard(staged, cols)).select("key", *[F.round(c, 5).alias(c) for c in cols])
 
 
 _SEG = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]

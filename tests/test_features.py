@@ -123,3 +123,64 @@ def test_constant_columns_do_not_break_correlations(spark):
     got = {(r["a"], r["b"]): r["corr"] for r in profile.correlation_pairs(df, ["a", "b", "c"]).collect()}
     assert got == {("a", "b"): 0.0, ("a", "c"): 0.0, ("b", "c"): 1.0}
     assert profile.leakage_columns(df, ["a", "b"], "c").count() == 1
+
+
+def chained_by_rows(x, targets, rounds, alpha=1e-3):
+    """The same regressions on the rows themselves."""
+    mean, sd = np.nanmean(x, 0), np.nanstd(x, 0)
+    z = (x - mean) / sd
+    seen = ~np.isnan(z)
+    f = np.where(seen, z, 0.0)
+    for _ in range(rounds):
+        for t in targets:
+            others = [c for c in range(x.shape[1]) if c != t]
+            a = np.column_stack([np.ones(len(f)), f[:, others]])
+            on = seen[:, t]
+            beta = np.linalg.solve(a[on].T @ a[on] + alpha * np.eye(a.shape[1]), a[on].T @ f[on, t])
+            f[~on, t] = a[~on] @ beta
+    return f * sd + mean
+
+
+def test_chained_moments_equal_rows(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(400, 2))
+    x = np.column_stack([1e6 + base[:, 0], base[:, 1] * 50, base.sum(1) + rng.normal(size=400) * 0.3, base[:, 0] - base[:, 1] + rng.normal(size=400)])
+    gone = rng.random(x.shape) < 0.25
+    gone[:, 1] = False
+    gone[0] = [True, False, True, True]
+    x[gone] = np.nan
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(i, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)], "i int, a double, b double, c double, d double")
+    want = chained_by_rows(x, [0, 2, 3], 6)
+    for cells in (4_000_000, 50):  # on the driver; as a distributed table
+        plan = prep.fit_chained(df, names, ["a", "c", "d"], rounds=6, tolerance=0.0, local_cells=cells)
+        got = np.array([r[1:] for r in prep.apply_chained(df, plan).orderBy("i").collect()], float)
+        assert np.abs((got - want) / np.nanstd(x, 0)).max() < 1e-6
+    one_scan = prep.fit_chained.__globals__["pattern_moments"](df, names)._jdf.queryExecution().executedPlan().toString()
+    assert one_scan.count("Scan") + one_scan.count("LocalTableScan") <= 2
+
+
+def test_yeo_johnson_powers_of_greatest_likelihood(spark):
+    rng = np.random.default_rng(5)
+    cols = {
+        "right": rng.exponential(2.0, 600), "left": -rng.exponential(2.0, 600), "far": np.exp(rng.normal(8, 2, 600)), "both": rng.standard_t(3, 600) * 10,
+        "counts": rng.integers(0, 4, 600).astype(float), "same": np.full(600, 7.0), "steep": 1 - rng.pareto(8, 600) ** 0.1,
+    }
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*cols.values())] + [(None,) * len(cols)], ", ".join(f"{c} double" for c in cols))
+    lam = prep.fit_yeo_johnson_all(df, list(cols))
+
+    def likelihood(x, m):
+        with np.errstate(all="ignore"):
+            up = np.log1p(x) if abs(m) < 1e-12 else ((x + 1) ** m - 1) / m
+            down = -np.log1p(-x) if abs(m - 2) < 1e-12 else -((1 - x) ** (2 - m) - 1) / (2 - m)
+            return -len(x) / 2 * np.log(np.where(x >= 0, up, down).var()) + (m - 1) * (np.sign(x) * np.log1p(abs(x))).sum()
+
+    assert lam["same"] == 1.0
+    for c, x in cols.items():
+        if c != "same":
+            best = likelihood(x, lam[c])
+            assert best >= max(likelihood(x, m) for m in np.linspace(lam[c] - 6, lam[c] + 6, 241)) - 1e-9
+            h = 1e-4
+            slope = (likelihood(x, lam[c] + h) - likelihood(x, lam[c] - h)) / (2 * h)
+            bend = (likelihood(x, lam[c] + h) + likelihood(x, lam[c] - h) - 2 * best) / h**2
+            assert abs(slope / bend) < 1e-5
