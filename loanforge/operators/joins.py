@@ -1,138 +1,14 @@
-"""Key discovery, relationship scoring, suffix-safe joins and join reports."""
+"""Suffix-safe joins and join reports."""
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loanforge.functions.expressions import name_key
-from loanforge.operators.profile import value_counts
-from loanforge.session import cut_lineage
-
-
-def primary_keys(tables: Mapping[str, DataFrame]) -> dict[str, list[tuple[str, int]]]:
-    """Columns without nulls whose values are all different, with the row count, per table.
-
-    Estimates rule out most columns; only close ones get an exact distinct count.
-    """
-    out: dict[str, list[tuple[str, int]]] = {}
-    for name, df in tables.items():
-        cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
-        aggs = [x for c in cols for x in (F.count(c).alias(f"n__{c}"), F.approx_count_distinct(c).alias(f"u__{c}"))]
-        r = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
-        n = r["n"]
-        near = [c for c in cols if n and r[f"n__{c}"] == n and r[f"u__{c}"] >= 0.6 * n]
-        out[name] = []
-        if near:
-            u = df.agg(*[F.count_distinct(c).alias(c) for c in near]).first()
-            out[name] = [(c, n) for c in near if u[c] == n]
-    return out
-
-
-def primary_key_table(tables: Mapping[str, DataFrame]) -> DataFrame:
-    rows = []
-    for t, keys in primary_keys(tables).items():
-        types = dict(tables[t].dtypes)
-        rows += [(t, c, n, n, 1.0, 0, types[c]) for c, n in keys]
-    spark = next(iter(tables.values())).sparkSession
-    return spark.createDataFrame(
-        rows, "table string, column string, row_count bigint, unique_count bigint, unique_pct double, missing_count bigint, dtype string"
-    )
-
-
-def name_similarity(a: str, b: str) -> float:
-    a, b = name_key(a), name_key(b)
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    if a in b or b in a:
-        return 0.85
-    return difflib.SequenceMatcher(None, a, b).ratio()
-
-
-def is_numeric(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, T.NumericType)
-
-
-def key_values(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Distinct values as text of every candidate column: ``(table, feature, value, n)``."""
-    parts = []
-    for name, df in tables.items():
-        cols = list((columns or {}).get(name) or [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)])
-        parts.append(value_counts(df, cols).withColumn("table", F.lit(name)))
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def foreign_key_scores(
-    tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], columns: Mapping[str, Sequence[str]] | None = None
-) -> DataFrame:
-    """Overlap, cardinality and confidence of every column against every shortlisted key of other tables.
-
-    One join on the value finds all overlaps at once. Each side holds a value once
-    per column, so the fan-out of a value is bounded by the number of columns.
-    """
-    spark = next(iter(tables.values())).sparkSession
-    values = cut_lineage(key_values(tables, columns))
-    stats = values.groupBy("table", "feature").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("rows"))
-    want = F.lit(False)
-    for t, cs in keys.items():
-        want = want | ((F.col("table") == t) & F.col("feature").isin(list(cs)))
-    pk = values.where(want).select(F.col("table").alias("pk_table"), F.col("feature").alias("pk_column"), "value")
-    hits = (
-        values.join(pk, "value")
-        .where(F.col("table") != F.col("pk_table"))
-        .groupBy("table", "feature", "pk_table", "pk_column")
-        .agg(F.count(F.lit(1)).alias("matched"))
-    )
-    names = []
-    for t, df in tables.items():
-        for c in df.columns:
-            for pt, pcs in keys.items():
-                names += [(t, c, pt, p, name_similarity(c, p), is_numeric(df, c) == is_numeric(tables[pt], p)) for p in pcs if pt != t]
-    sims = spark.createDataFrame(names, "table string, feature string, pk_table string, pk_column string, sim double, same_type boolean")
-    overlap = F.col("matched") / F.col("distinct")
-    score = 0.55 * overlap + 0.20 + F.when(F.col("same_type"), 0.15).otherwise(-0.15) + 0.10 * F.col("sim")
-    return (
-        hits.join(stats, ["table", "feature"])
-        .join(sims, ["table", "feature", "pk_table", "pk_column"])
-        .select(
-            F.col("table").alias("fk_table"),
-            F.col("feature").alias("fk_column"),
-            "pk_table",
-            "pk_column",
-            overlap.alias("overlap"),
-            F.when(F.col("rows") > F.col("distinct"), "1:many").otherwise("1:1").alias("cardinality"),
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("confidence"),
-        )
-    )
-
-
-def relationships(
-    tables: Mapping[str, DataFrame], min_confidence: float = 0.2, columns: Mapping[str, Sequence[str]] | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(key table with confidence, best key per foreign-key column)."""
-    spark = next(iter(tables.values())).sparkSession
-    found = primary_keys(tables)
-    keys = {t: [c for c, _ in v] for t, v in found.items() if v}
-    scored = foreign_key_scores(tables, keys, columns).where(F.col("confidence") >= min_confidence)
-    w = Window.partitionBy("fk_table", "fk_column").orderBy(F.round("confidence", 9).desc(), "pk_table", "pk_column")
-    best = scored.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
-    ref = scored.groupBy("pk_table", "pk_column").agg(F.max("overlap").alias("overlap"))
-    names = spark.createDataFrame([(t, c) for t, cs in keys.items() for c in cs], "pk_table string, pk_column string")
-    pk = names.join(ref, ["pk_table", "pk_column"], "left").select(
-        F.col("pk_table").alias("table"),
-        F.col("pk_column").alias("column"),
-        F.round(F.coalesce(F.least(F.lit(0.99), 0.80 + 0.19 * F.col("overlap")), F.lit(0.80)), 3).alias("confidence"),
-        F.col("overlap").isNotNull().alias("referenced"),
-    )
-    return pk, best.withColumns({"overlap": F.round("overlap", 4), "confidence": F.round("confidence", 3)})
 
 
 @dataclass(frozen=True)

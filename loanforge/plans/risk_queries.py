@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loanforge.operators import exposure as ex
 from loanforge.operators import joins as jn
-from loanforge.operators import macro, stress
+from loanforge.operators import keys, macro, stress
 from loanforge.plans.data_queries import union
 from loanforge.plans.evaluation_queries import _temporal, settle_sql
 from loanforge.plans.fixtures import LOANS, MACRO, SCORED, loans, macro_series, scored_loans
@@ -17,30 +17,32 @@ from loanforge.plans.registry import Registry
 from loanforge.sources.readers import load_table
 
 REG = Registry()
-STAR = ["region", "nation", "customer", "supplier", "part", "orders"]
-STAR_COLS = {
-    "region": ["r_regionkey", "r_name"],
-    "nation": ["n_nationkey", "n_name", "n_regionkey"],
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
-    "supplier": ["s_suppkey", "s_name", "s_nationkey"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
-}
-TEXT = {"r_name", "n_name", "c_name", "c_mktsegment", "s_name", "p_name", "p_brand", "p_type", "o_orderstatus", "o_orderpriority"}
+#: Whole tables with the types of all their columns.
+STAR_TYPES = {
+    "region": {"r_regionkey": "int", "r_name": "string"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
+    "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
+    "part": {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double"},
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"},
+    "lineitem": {
+        "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
+        "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz",
+    },
+}
+NUMBERS = ("int", "bigint", "double")
 
 
 def star(spark, d):
-    return {t: load_table(spark, d, t).select(*STAR_COLS[t]) for t in STAR}
+    return {t: load_table(spark, d, t) for t in STAR_TYPES}
 
 
-_ALL = [(t, c) for t in STAR for c in STAR_COLS[t]]
+_ALL = [(t, c) for t, cols in STAR_TYPES.items() for c in cols]
+_OF = {c: x for cols in STAR_TYPES.values() for c, x in cols.items()}
 _PK = union(
     f"SELECT '{t}' AS t, '{c}' AS c, count(*) AS n, count(DISTINCT {c}) AS u, count(*)-count({c}) AS m FROM {t}" for t, c in _ALL
 )
-_DTYPE = "CASE " + " ".join(
-    f"WHEN c='{c}' THEN '{'string' if c in TEXT else 'int' if c in ('r_regionkey', 'n_nationkey', 'n_regionkey', 'c_nationkey', 's_nationkey', 'p_size') else 'bigint'}'"
-    for _, c in _ALL
-) + " END"
+_DTYPE = "CASE " + " ".join(f"WHEN c='{c}' THEN '{x}'" for c, x in _OF.items()) + " END"
 
 
 @REG.query(
@@ -48,11 +50,11 @@ _DTYPE = "CASE " + " ".join(
     f"""WITH p AS ({_PK}) SELECT t AS "table", c AS "column", n AS row_count, u AS unique_count, 1.0::DOUBLE AS unique_pct, m AS missing_count, {_DTYPE} AS dtype FROM p WHERE m=0 AND u=n""",
 )
 def _(spark, d):
-    return jn.primary_key_table(star(spark, d))
+    return keys.primary_key_table(star(spark, d))
 
 
 _SIM = ",".join(
-    f"('{t}','{c}','{pt}','{p}',{jn.name_similarity(c, p)!r}::DOUBLE,{'true' if (c in TEXT) == (p in TEXT) else 'false'})"
+    f"('{t}','{c}','{pt}','{p}',{keys.name_similarity(c, p)!r}::DOUBLE,{'true' if (_OF[c] in NUMBERS) == (_OF[p] in NUMBERS) else 'false'})"
     for t, c in _ALL for pt, p in _ALL if pt != t
 )
 _REL = f"""WITH p AS ({_PK}), pk AS (SELECT t, c FROM p WHERE m=0 AND u=n),
@@ -70,8 +72,7 @@ _REL = f"""WITH p AS ({_PK}), pk AS (SELECT t, c FROM p WHERE m=0 AND u=n),
 @REG.query("d2_foreign_key_scores", _REL + "SELECT ft AS fk_table, fc AS fk_column, pt AS pk_table, pc AS pk_column, round(overlap,4) AS overlap, cardinality, round(conf,4) AS confidence FROM sc")
 def _(spark, d):
     tables = star(spark, d)
-    keys = {t: [c for c, _ in v] for t, v in jn.primary_keys(tables).items() if v}
-    s = jn.foreign_key_scores(tables, keys)
+    s = keys.foreign_key_scores(tables, {t: [c for c, _ in v] for t, v in keys.primary_keys(tables).items() if v})
     return s.withColumns({"overlap": F.round("overlap", 4), "confidence": F.round("confidence", 4)})
 
 
@@ -81,7 +82,7 @@ def _(spark, d):
  FROM (SELECT *, row_number() OVER (PARTITION BY ft, fc ORDER BY round(conf,9) DESC, pt, pc) AS rn FROM ok) WHERE rn=1""",
 )
 def _(spark, d):
-    return jn.relationships(star(spark, d))[1]
+    return keys.relationships(star(spark, d))[1]
 
 
 @REG.query(
@@ -90,7 +91,7 @@ def _(spark, d):
  FROM pk LEFT JOIN r ON r.pt=pk.t AND r.pc=pk.c""",
 )
 def _(spark, d):
-    return jn.relationships(star(spark, d))[0]
+    return keys.relationships(star(spark, d))[0]
 
 
 def _join_tables(spark, d):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loanforge.functions import finance as fin
 from loanforge.operators import exposure as ex
-from loanforge.operators import joins, macro, profile, roles
+from loanforge.operators import joins, keys, macro, profile, roles
 from loanforge.operators.splits import finalize_xy
 from loanforge.sources import readers, runlog, writers
 
@@ -80,12 +80,30 @@ def test_join_suffix_fan_out_and_nulls(spark):
 
 def test_key_shortlist(spark):
     t = {"a": spark.createDataFrame([(1, 5), (2, 5)], "id int, g int"), "b": spark.createDataFrame([(1,), (1,)], "a_id int")}
-    assert joins.primary_keys(t) == {"a": [("id", 2)], "b": []}
-    pk, fk = joins.relationships(t)
+    assert keys.primary_keys(t) == {"a": [("id", 2)], "b": []}
+    pk, fk = keys.relationships(t)
     assert [(r["fk_table"], r["fk_column"], r["pk_column"], r["cardinality"]) for r in fk.collect()] == [("b", "a_id", "id", "1:many")]
     assert pk.first()["confidence"] == 0.99
 
 
+def test_links_of_all_kinds_against_plain_sets(spark):
+    day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(days=i)
+    t = {
+        "k": spark.createDataFrame([(i, float(i) / 2, f"c{i}", str(i), day(i), i % 2 == 0) for i in range(1, 61)], "id int, half double, code string, digits string, day date, even boolean"),
+        "f": spark.createDataFrame([(i % 70, float(i % 9), f"c{i % 50}" if i % 3 else None, str(i % 100), day(i % 80), f"{day(i % 40)}", i + 1000, "zz") for i in range(300)], "a bigint, b double, c string, d string, e date, g string, far int, other string"),
+        "none": spark.createDataFrame([], "x int, y string"),
+    }
+    found = keys.sketches(t)
+    keyed = {n: [c for c, _ in v] for n, v in keys.primary_keys(t).items() if v}
+    assert keyed["k"] == ["id", "half", "code", "digits", "day"]
+    sets = {(n, c): {str(v) for v in (r[c] for r in df.collect()) if v is not None} for n, df in t.items() for c in df.columns}
+    want = {(n, c, m, k): len(a & sets[m, k]) / len(a) for (n, c), a in sets.items() for m, ks in keyed.items() for k in ks if n != m and a & sets[m, k]}
+    got = {tuple(r)[:4]: r["overlap"] for r in keys.foreign_key_scores(t, keyed).collect()}
+    assert got == pytest.approx(want)
+    pairs = {(s.table, s.column, k.table, k.column) for s, k in keys.candidate_pairs(found, keyed)}
+    assert set(want) <= pairs and not any("far" in p and "id" in p or "other" in p for p in pairs)
+
+
 def test_as_of_never_looks_ahead(spark):
     s = spark.createDataFrame([("gdp", dt.date(2020, 1, 15), 1.0), ("gdp", dt.date(2020, 4, 1), 2.0)], "series string, obs_date date, value double")
     d = spark.createDataFrame([(1, dt.date(2020, 1, 20)), (2, dt.date(2020, 2, 1)), (3, dt.date(2020, 4, 30)), (4, None)], "id int, d date")
