@@ -45,6 +45,8 @@ LIKE = 90
 #: One token in so many opens a second branch: 4/3 branches a set keep a pair at similarity 0.75 together in one node a level on average.
 SECOND = 3
 MAX_LEVELS = 24
+#: Members of a block of documents whose pairs are confirmed together.
+CELL = 64
 #: Rows of a node that one task compares with the others.
 SHARE = 512
 #: Sets of a large node that all others are compared with, and rounds in which every set looks for its most similar one.
@@ -136,7 +138,7 @@ def _dealt(rows: DataFrame, level: int, keep: list[str]) -> DataFrame:
     return rows.select(each.alias("e"), *keep).select("e.tree", "e.node", *keep)
 
 
-_ROW = ["id", "s1", "s2", "comp"]
+_ROW = ["id", "n", "s1", "s2", "comp"]
 
 
 def _nodes(rows: DataFrame, seed: int = 0) -> DataFrame:
@@ -145,15 +147,15 @@ def _nodes(rows: DataFrame, seed: int = 0) -> DataFrame:
     def least(j: int) -> Column:
         return F.min(F.struct(F.xxhash64(F.lit(seed * PIVOTS + j), "node", "id").alias("h"), *_ROW)).alias(f"p{j}")
 
-    parts = rows.groupBy("tree", "node", "comp").agg(F.count("*").alias("n"), *[least(j) for j in range(PIVOTS)])
-    nodes = parts.groupBy("tree", "node").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.max(F.struct("n", "comp")).alias("top"), *[F.min(f"p{j}").alias(f"p{j}") for j in range(PIVOTS)])
+    parts = rows.groupBy("tree", "node", "comp").agg(F.count("*").alias("rows"), *[least(j) for j in range(PIVOTS)])
+    nodes = parts.groupBy("tree", "node").agg(F.sum("rows").alias("size"), F.count("*").alias("parts"), F.max(F.struct("rows", "comp")).alias("top"), *[F.min(f"p{j}").alias(f"p{j}") for j in range(PIVOTS)])
     nodes = nodes.where("parts > 1").select("tree", "node", "size", "top", F.array(*[f"p{j}" for j in range(PIVOTS)]).alias("pivots"))
-    both = rows.join(nodes, ["tree", "node"]).withColumn("few", F.col("size") - F.col("top.n") <= SMALL)
+    both = rows.join(nodes, ["tree", "node"]).withColumn("few", F.col("size") - F.col("top.rows") <= SMALL)
     both = both.withColumn("pivots", F.when(~F.col("few"), F.col("pivots")))
     return stored(both.select("tree", "node", *_ROW, "size", "top", "pivots", "few"), "nodes", drop_shuffle=True)
 
 
-def _met(nodes: DataFrame) -> DataFrame:
+def _met(nodes: DataFrame, percent: int) -> DataFrame:
     """``x`` with the sets of other components that look ``like`` it: small nodes in full; where one component holds nearly all, the others against all; large nodes with their pivots."""
     few = nodes.where("few")
     parts = F.ceil(F.col("size") / SHARE).cast("int")  # a node of many rows is dealt to several tasks, the few others go to each
@@ -161,45 +163,66 @@ def _met(nodes: DataFrame) -> DataFrame:
     some = some.select("tree", "node", "others", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     met = few.select("tree", "node", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.struct(*_ROW).alias("x")).join(some, ["tree", "node", "part"]).select("x", "others")
     star = nodes.where(~F.col("few")).select(F.struct(*_ROW).alias("x"), F.transform("pivots", lambda p: F.struct(*[p[c].alias(c) for c in _ROW])).alias("others"))
-    like = F.filter("others", lambda y: (y["comp"] != F.col("x")["comp"]) & (y["id"] != F.col("x")["id"]) & (_equal_bits(F.col("x"), y) >= LIKE))
+    x = F.col("x")
+    size = lambda y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+    like = F.filter("others", lambda y: (y["comp"] != x["comp"]) & (y["id"] != x["id"]) & size(y) & (_equal_bits(x, y) >= LIKE))
     return met.unionByName(star).select("x", like.alias("like"))
 
 
-def best_pairs(nodes: DataFrame) -> DataFrame:
+def best_pairs(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Each set with the most similar one of another component that its nodes offer: at most one pair per set."""
     best = F.aggregate(
         "like", F.lit(None).cast("struct<bits:bigint,y:bigint>"),
         lambda m, y: F.greatest(m, F.struct(_equal_bits(F.col("x"), y).cast("bigint").alias("bits"), (-y["id"]).alias("y"))),
     )
-    each = _met(nodes).select(F.col("x.id").alias("id"), best.alias("m")).where("m is not null").groupBy("id").agg(F.max("m").alias("m"))
+    each = _met(nodes, percent).select(F.col("x.id").alias("id"), best.alias("m")).where("m is not null").groupBy("id").agg(F.max("m").alias("m"))
     return each.select(F.least("id", -F.col("m.y")).alias("a"), F.greatest("id", -F.col("m.y")).alias("b")).distinct()
 
 
-def all_pairs(nodes: DataFrame) -> DataFrame:
+def all_pairs(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Every pair of different components that the nodes propose."""
-    pairs = _met(nodes).select("x.id", F.explode("like").alias("y"))
+    pairs = _met(nodes, percent).select("x.id", F.explode("like").alias("y"))
     return pairs.select(F.least("id", "y.id").alias("a"), F.greatest("id", "y.id").alias("b")).distinct()
 
 
+def _in_cells(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the cell where each is confirmed: ``rep``, ``p``, ``q``.
+
+    Pairs that hang together by a common least neighbour share a ``rep``. Where that has many members they are
+    dealt into blocks, and a cell holds the pairs between two blocks; so the members of a dense group travel once per
+    pair of blocks and not once per pair.
+    """
+    ends = pairs.select("a", F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("o")))
+    least = ends.groupBy("a").agg(F.least(F.min("o"), F.first("a")).alias("m"))
+    named = pairs.join(least.select("a", F.col("m").alias("ma")), "a").join(least.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b")
+    named = named.select("a", "b", F.least("ma", "mb").alias("rep"))
+    members = named.select("rep", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("rep").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
+    return named.join(members, "rep").select("a", "b", "rep", F.least(block("a"), block("b")).alias("p"), F.greatest(block("a"), block("b")).alias("q"))
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose full sets (``id``, ``set``) have ``100 * intersection >= percent * union``."""
-    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in it:
-            ok = []
-            for x, y in zip(t.column(2), t.column(3)):
-                p, q = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                if min(len(p), len(q)) * 100 < percent * max(len(p), len(q)):
-                    ok.append(False)
-                    continue
-                small, big = (p, q) if len(p) < len(q) else (q, p)
-                at = np.minimum(np.searchsorted(big, small), len(big) - 1)
-                same = int((big[at] == small).sum())
-                ok.append(100 * same >= percent * (len(p) + len(q) - same))
-            yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    cell = ["rep", "p", "q"]
+    dealt = stored(_in_cells(pairs.select("a", "b")), "cells", drop_shuffle=True)
+    held = dealt.select(*cell, F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "set"), "id")
+
+    def run(key, asked: pa.Table, held: pa.Table) -> pa.Table:
+        of = {i: np.frombuffer(s.as_py(), np.uint64) for i, s in zip(held.column("id").to_pylist(), held.column("set"))}
+        ok = []
+        for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist()):
+            p, q = of.get(a), of.get(b)
+            if p is None or q is None or min(len(p), len(q)) * 100 < percent * max(len(p), len(q)):
+                ok.append(False)
+                continue
+            small, big = (p, q) if len(p) < len(q) else (q, p)
+            at = np.minimum(np.searchsorted(big, small), len(big) - 1)
+            same = int((big[at] == small).sum())
+            ok.append(100 * same >= percent * (len(p) + len(q) - same))
+        return asked.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    held = held.select(*[F.col(c).alias(f"of_{c}") for c in cell], "id", "set")
+    return dealt.groupBy(*cell).cogroup(held.groupBy(*held.columns[:3])).applyInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,6 +244,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _labelled(rows: DataFrame, label: DataFrame | None, column: str, name: str) -> DataFrame:
     """``rows`` with the component of ``column`` so far."""
+    rows = rows.drop(name, "size", "top", "pivots", "few") if name in rows.columns else rows
     if label is None:
         return rows.withColumn(name, F.col(column))
     of = label.select(F.col("id").alias(column), F.col("component").alias("__c"))
@@ -251,12 +275,15 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
             return label
         return components(links if label is None else links.unionByName(label.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
-    rows_at, sets = stored(_dealt(reps, 0, ["id", "s1", "s2"]), "dealt"), None
+    own = ["id", "n", "s1", "s2"]
+    rows_at, sets = stored(_dealt(reps, 0, own), "dealt"), None
     before = rows_at
     for r in range(ROUNDS):
         nodes = _nodes(_labelled(rows_at, label, "id", "comp"), r)
-        pairs = stored(best_pairs(nodes), "pairs", drop_shuffle=True)
-        discard(nodes)
+        pairs = stored(best_pairs(nodes, percent), "pairs", drop_shuffle=True)
+        # Components only grow: a node of one component is done, so later rounds read what this one found.
+        discard(before)
+        rows_at = before = nodes
         if pairs.isEmpty():
             break
         sets = full_sets(pairs) if sets is None else sets  # later rounds take the pairs whose sets are there; the last comparison takes all
@@ -264,7 +291,7 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
     proposed = []
     for level in range(1, MAX_LEVELS + 1):
         nodes = _nodes(_labelled(rows_at, label, "id", "comp"), ROUNDS + level)
-        proposed.append(stored(all_pairs(nodes), "pairs", drop_shuffle=True))
+        proposed.append(stored(all_pairs(nodes, percent), "pairs", drop_shuffle=True))
         large = nodes.where(~F.col("few"))
         if large.isEmpty():
             break
@@ -276,8 +303,8 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
             break
         # Tokens are fetched once per set, whatever the number of its nodes.
         places = large.groupBy("id").agg(F.collect_list(F.struct("tree", "node")).alias("places"))
-        at = places.join(reps.select("id", "tokens", "s1", "s2"), "id").select("id", "tokens", "s1", "s2", F.explode("places").alias("p")).select("p.*", "id", "tokens", "s1", "s2")
-        rows_at = stored(_dealt(at, level, ["id", "s1", "s2"]), "dealt", drop_shuffle=True)
+        at = places.join(reps.select(*own, "tokens"), "id").select(*own, "tokens", F.explode("places").alias("p")).select("p.*", *own, "tokens")
+        rows_at = stored(_dealt(at, level, own), "dealt", drop_shuffle=True)
         discard(nodes, before)
         before = rows_at
     pairs = stored(reduce(DataFrame.unionByName, proposed).distinct(), "pairs", drop_shuffle=True)
