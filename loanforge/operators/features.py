@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanforge.functions.expressions import bin_right_closed, name_key
+from loanforge.operators.codes import CodeTable, attach_all, detach_all, fit_code_table, wide_columns
 from loanforge.operators.ordering import exact_quantiles
 from loanforge.operators.profile import correlation_values, value_counts
 from loanforge.operators.roles import late_origin_columns, more_distinct_than, post_default_columns
@@ -24,7 +25,6 @@ EPS = 0.5
 MISSING_CODE = -2
 UNSEEN_CODE = -1
 MISSING_LABEL = "__MISSING__"
-MAX_LITERAL_CATEGORIES = 2000
 # Selection limits of the interaction search and the plan.
 TOP_FEATURES = 8
 MAX_INTERACTIONS = 10
@@ -32,8 +32,6 @@ MIN_INTERACTION_IV = 0.02
 LOW_IV = 0.02
 MAX_PAIR_CARDINALITY = 8
 REDUNDANT_CORR = 0.90
-MAX_WOE_FEATURES = 8
-BINNED_FEATURES = 5
 # Column-name parts of known banking interactions.
 DOMAIN_PAIRS = [
     (("ltv", "loantovalue"), ("creditscore", "ficoscore", "bureauscore", "cibil", "riskscore")),
@@ -52,9 +50,13 @@ class Bucketer:
     edges: tuple[float, ...] = ()
     values: tuple[float, ...] = ()
     categories: tuple[str, ...] = ()
+    #: Of a column with more categories than a list holds; its codes are there once the table is attached.
+    table: CodeTable | None = None
 
     def code(self, c: Column) -> Column:
         """Bucket number; -2 for missing numbers, -1 for values not seen in train."""
+        if self.table is not None:
+            return self.table.value("code", UNSEEN_CODE)
         if self.kind == "category":
             v = F.coalesce(c.cast("string"), F.lit(MISSING_LABEL))
             if not self.categories:
@@ -91,24 +93,25 @@ def fit_numeric_bucketers(df: DataFrame, cols: Sequence[str], max_bins: int = 5)
     return {c: out[c] for c in cols}
 
 
-def fit_category_bucketers(df: DataFrame, cols: Sequence[str]) -> dict[str, Bucketer]:
-    """Sorted train categories, nulls as a category of their own.
-
-    Raises for a column with more categories than fit in a plan; such columns
-    are encoded through :func:`encode_by_table`.
-    """
+def fit_category_bucketers(df: DataFrame, cols: Sequence[str], y: str | None = None) -> dict[str, Bucketer]:
+    """Sorted train categories, nulls as a category of their own; a code table for columns with many (with their weights, given ``y``)."""
     cols = list(cols)
     if not cols:
         return {}
-    filled = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LABEL)).alias(c) for c in cols])
-    vc = value_counts(filled, cols)
-    wide = [r["feature"] for r in vc.groupBy("feature").count().where(F.col("count") > MAX_LITERAL_CATEGORIES).collect()]
-    if wide:
-        raise ValueError(f"too many categories for a plan, encode by table first: {wide}")
-    found: dict[str, list[str]] = {c: [] for c in cols}
-    for r in vc.select("feature", "value").collect():
-        found[r["feature"]].append(r["value"])
-    return {c: Bucketer("category", categories=tuple(sorted(v))) for c, v in found.items()}
+    wide = wide_columns(df, cols)
+    out = {c: Bucketer("category", table=fit_code_table(df, c, MISSING_LABEL, y)[0]) for c in wide}
+    narrow = [c for c in cols if c not in wide]
+    if narrow:
+        filled = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LABEL)).alias(c) for c in narrow])
+        found: dict[str, list[str]] = {c: [] for c in narrow}
+        for r in value_counts(filled, narrow).select("feature", "value").collect():  # short lists
+            found[r["feature"]].append(r["value"])
+        out |= {c: Bucketer("category", categories=tuple(sorted(v))) for c, v in found.items()}
+    return {c: out[c] for c in cols}
+
+
+def tables_of(specs: Mapping[str, Bucketer]) -> list[CodeTable]:
+    return [s.table for s in specs.values() if s.table is not None]
 
 
 def fit_bucketers(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], max_bins: int = 5) -> dict[str, Bucketer]:
@@ -119,17 +122,23 @@ def bucketer_table(df: DataFrame, specs: Mapping[str, Bucketer]) -> DataFrame:
     """Learned edges and values as rows ``(feature, kind, position, edge)``; categories as text."""
     rows = []
     for c, s in specs.items():
+        if s.table is not None:
+            continue
         if s.kind == "category":
             rows += [(c, "category", i, None, k) for i, k in enumerate(s.categories)]
         elif s.edges:
             rows += [(c, "edge", i, round(float(e), 6), None) for i, e in enumerate(s.edges)]
         else:
             rows += [(c, "value", i, round(float(v), 6), None) for i, v in enumerate(s.values)]
-    return df.sparkSession.createDataFrame(rows, "feature string, kind string, position int, edge double, category string")
+    out = df.sparkSession.createDataFrame(rows, "feature string, kind string, position int, edge double, category string")
+    for t in tables_of(specs):
+        out = out.unionByName(t.rows.select(F.lit(t.column).alias("feature"), F.lit("category").alias("kind"), F.col("code").cast("int").alias("position"), F.lit(None).cast("double").alias("edge"), "category"))
+    return out
 
 
 def apply_bucketers(df: DataFrame, specs: Mapping[str, Bucketer], suffix: str = "_bin") -> DataFrame:
-    return df.withColumns({c + suffix: s.code(F.col(c)) for c, s in specs.items()})
+    tables = tables_of(specs)
+    return detach_all(attach_all(df, tables).withColumns({c + suffix: s.code(F.col(c)) for c, s in specs.items()}), tables)
 
 
 def woe_cells(df: DataFrame, buckets: Mapping[str, Column], y: str = "y") -> DataFrame:
@@ -305,6 +314,8 @@ class WoeMaps:
     maps: dict[str, dict[int, float]]
 
     def column(self, c: str) -> Column:
+        if self.specs[c].table is not None:
+            return self.specs[c].table.value("woe", 0.0)
         m = self.maps[c]
         if not m:
             return F.lit(0.0)
@@ -313,14 +324,17 @@ class WoeMaps:
 
 
 def fit_woe(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str = "y") -> tuple[WoeMaps, dict[str, float]]:
-    """WOE maps and IV of all columns from one grouped count."""
-    specs = fit_bucketers(df, numeric, categorical)
-    table = woe_table(woe_cells(df, {c: s.code(F.col(c)) for c, s in specs.items()}, y)).collect()  # columns x buckets
+    """WOE maps and IV of all columns: one grouped count, and one for each column with many categories."""
+    wide = {c: fit_code_table(df, c, MISSING_LABEL, y) for c in wide_columns(df, categorical)}
+    narrow = fit_bucketers(df, numeric, [c for c in categorical if c not in wide])
+    specs = {c: narrow.get(c) or Bucketer("category", table=wide[c][0]) for c in [*numeric, *categorical]}
     maps: dict[str, dict[int, float]] = {c: {} for c in specs}
-    iv: dict[str, float] = {c: 0.0 for c in specs}
-    for r in table:
-        maps[r["feature"]][int(r["bucket"])] = r["woe"]
-        iv[r["feature"]] += r["iv_part"]
+    iv: dict[str, float] = {c: wide[c][1] if c in wide else 0.0 for c in specs}
+    if narrow:
+        table = woe_table(woe_cells(df, {c: s.code(F.col(c)) for c, s in narrow.items()}, y)).collect()  # columns x buckets
+        for r in table:
+            maps[r["feature"]][int(r["bucket"])] = r["woe"]
+            iv[r["feature"]] += r["iv_part"]
     return WoeMaps(specs, maps), {c: round(max(v, 0.0), 5) for c, v in iv.items()}
 
 
@@ -381,13 +395,14 @@ def score_interactions(df: DataFrame, candidates: Sequence[Interaction], woe: Wo
     from loanforge.operators.evaluate import univariate_gini
 
     names = [i.name for i in candidates]
+    df = attach_all(df, tables_of(woe.specs))
     wide = df.select(y, *[interaction_column(i, woe).alias(i.name) for i in candidates])
     return information_value(wide, names, [], y).select("feature", "iv").join(univariate_gini(wide, names, y), "feature")
 
 
 def select_interactions(
     df: DataFrame, candidates: Sequence[Interaction], woe: WoeMaps, numeric: Sequence[str], y: str = "y",
-    min_iv: float = MIN_INTERACTION_IV, limit: int = MAX_INTERACTIONS, corr: float = REDUNDANT_CORR,
+    min_iv: float = MIN_INTERACTION_IV, limit: int | None = MAX_INTERACTIONS, corr: float = REDUNDANT_CORR,
 ) -> list[Interaction]:
     """IV gate, best by Gini, then a greedy redundancy filter against columns and kept pairs."""
     if not candidates:
@@ -397,6 +412,7 @@ def select_interactions(
     best = sorted(good, key=lambda i: (-(i.gini if i.gini is not None else i.iv), i.name))[:limit]
     if not best:
         return []
+    df = attach_all(df, tables_of(woe.specs))
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in numeric], *[interaction_column(i, woe).alias(i.name) for i in best])
     r = correlation_values(wide, [*numeric, *[i.name for i in best]])
     kept: list[Interaction] = []
@@ -449,41 +465,51 @@ class FeaturePlan:
 def fit_features(
     train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str = "y",
     transform_choices: Mapping[str, str] | None = None, woe_only: Sequence[str] = (),
+    binned: int | None = None, woe_features: int | None = None, interactions: int | None = None, interaction_pool: int | None = TOP_FEATURES,
 ) -> FeaturePlan:
-    """Learn all feature steps on train only; the columns in use are cached while learning."""
+    """Learn all feature steps on train only; the columns in use are cached while learning.
+
+    All wide numeric columns are binned, all columns of some value weighted and all interactions that
+    pass kept; ``binned``, ``woe_features`` and ``interactions`` keep only so many, the best by information value (by
+    Gini for interactions). Interactions are sought among the ``interaction_pool`` best columns (None: all; their pairs grow with the square).
+    """
     hidden = tuple(late_origin_columns([*numeric, *categorical]))
     num = [c for c in numeric if c not in hidden]
     cat = [c for c in categorical if c not in hidden]
     train = train.select(y, *num, *cat).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _fit_features(train, num, cat, y, transform_choices or {}, woe_only, hidden)
+        return _fit_features(train, num, cat, y, transform_choices or {}, woe_only, hidden, binned, woe_features, interactions, interaction_pool)
     finally:
         train.unpersist()
 
 
 def _fit_features(
-    train: DataFrame, num: list[str], cat: list[str], y: str, choices: Mapping[str, str], woe_only: Sequence[str], hidden: tuple[str, ...]
+    train: DataFrame, num: list[str], cat: list[str], y: str, choices: Mapping[str, str], woe_only: Sequence[str], hidden: tuple[str, ...],
+    n_binned: int | None, n_woe: int | None, n_interactions: int | None, pool: int | None,
 ) -> FeaturePlan:
     many = more_distinct_than(train, num, 20)
     woe, iv = fit_woe(train, num, cat, y)
     ranked = sorted(iv, key=lambda c: -iv[c])
     low = tuple(c for c in ranked if iv[c] < LOW_IV)
-    cardinality = {c: len([k for k in woe.specs[c].categories if k != MISSING_LABEL]) for c in cat}
-    cands = interaction_candidates(num, cat, iv, cardinality)
+    cardinality = {c: woe.specs[c].table.size if woe.specs[c].table else len([k for k in woe.specs[c].categories if k != MISSING_LABEL]) for c in cat}
+    cands = interaction_candidates(num, cat, iv, cardinality, top=len(iv) if pool is None else pool)
     freq: dict[str, dict[str, float]] = {}
     for c in cat:
-        if cardinality[c] > 8:
+        if woe.specs[c].table is not None:
+            freq[c] = {}  # shares are in the code table
+        elif cardinality[c] > 8:
             freq[c] = {r["category"]: r["share"] for r in frequency_table(train, c).collect()}
     pairs, v = multicollinearity(train, num)
     const = tuple(r["feature"] for r in near_constant(train, num).where("near_constant").select("feature").collect())
-    binned = [c for c in num if c in many][:BINNED_FEATURES]
+    binned = sorted((c for c in num if c in many), key=lambda c: -iv[c])[:n_binned]
+    binned = [c for c in num if c in binned]
     return FeaturePlan(
         log_cols=tuple(c for c in num if choices.get(c) == "log1p"),
-        interactions=tuple(select_interactions(train, cands, woe, num, y)),
+        interactions=tuple(select_interactions(train, cands, woe, num, y, limit=n_interactions)),
         bins={c: woe.specs[c] for c in binned},
         frequencies=freq,
         woe=woe,
-        woe_cols=tuple(c for c in ranked[:MAX_WOE_FEATURES] if c not in low),
+        woe_cols=tuple(c for c in ranked[:n_woe] if c not in low),
         iv=iv,
         low_iv=low,
         low_variance=const,
@@ -495,9 +521,11 @@ def _fit_features(
 
 
 def apply_features(df: DataFrame, plan: FeaturePlan) -> DataFrame:
-    """Replay the plan as one projection; valid on any split and on a stream."""
+    """Replay the plan: one projection, and a join for each column with many categories; valid on any split and on a stream."""
     have = set(df.columns)
-    hidden = set(plan.hidden) | set(late_origin_columns(df.columns)) | set(post_default_columns(df.columns))
+    columns = df.columns
+    df = attach_all(df, [t for t in tables_of(plan.woe.specs) if t.column in have])
+    hidden = set(plan.hidden) | set(late_origin_columns(columns)) | set(post_default_columns(columns))
     new: dict[str, Column] = {}
     for c in plan.log_cols:
         if c in have:
@@ -509,11 +537,13 @@ def apply_features(df: DataFrame, plan: FeaturePlan) -> DataFrame:
         if c in have:
             new[f"{c}_bin"] = s.code(F.col(c))
     for c, m in plan.frequencies.items():
-        if c in have and m:
+        if c in have and c in plan.woe.specs and plan.woe.specs[c].table is not None:
+            new[f"{c}_freq"] = F.when(F.col(c).isNotNull(), plan.woe.specs[c].table.value("share", 0.0)).otherwise(F.lit(0.0))
+        elif c in have and m:
             lut = F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(float(v)))])
             new[f"{c}_freq"] = F.coalesce(F.try_element_at(lut, F.col(c).cast("string")), F.lit(0.0))
     for c in plan.woe_cols:
         if c in have:
             new[f"{c}_woe"] = plan.woe.column(c)
-    gone = set(plan.dropped(df.columns)) | {c for c in plan.woe_only if c in have} | hidden
-    return df.select(*[F.col(c) for c in df.columns if c not in gone], *[v.alias(k) for k, v in new.items() if k not in gone])
+    gone = set(plan.dropped(columns)) | {c for c in plan.woe_only if c in have} | hidden
+    return df.select(*[F.col(c) for c in columns if c not in gone], *[v.alias(k) for k, v in new.items() if k not in gone])

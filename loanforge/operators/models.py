@@ -10,7 +10,7 @@ import itertools
 import json
 import math
 import random
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 
@@ -26,6 +26,7 @@ from loanforge.functions.expressions import safe_corr, with_totals
 from loanforge.operators import evaluate as ev
 from loanforge.operators import features as fe
 from loanforge.operators import prep
+from loanforge.operators.codes import CodeTable
 from loanforge.operators.features import binned_mutual_information
 from loanforge.operators.ordering import exact_quantiles
 from loanforge.operators.profile import correlation_values
@@ -105,45 +106,50 @@ class FittedModel:
     def save(self, path: str) -> None:
         spark = SparkSession.getActiveSession()
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        meta = {"name": self.name, "roles": asdict(self.roles), "plan": asdict(self.plan), "columns": self.columns, "features": plain(self.features)}
+        tables: list[DataFrame] = []
+        meta = {"name": self.name, "roles": asdict(self.roles), "plan": plain(self.plan, tables), "columns": self.columns, "features": plain(self.features, tables)}
+        for i, t in enumerate(tables):
+            t.write.mode("overwrite").parquet(f"{path}/codes/{i}")
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/plan")
 
 
-#: What a stored feature plan is made of.
-PLAN_PARTS = {c.__name__: c for c in (fe.FeaturePlan, fe.Bucketer, fe.Interaction, fe.WoeMaps)}
+#: What a stored plan is made of.
+PLAN_PARTS = {c.__name__: c for c in (fe.FeaturePlan, fe.Bucketer, fe.Interaction, fe.WoeMaps, prep.PrepPlan, prep.Branch, CodeTable)}
 
 
-def plain(v):
-    """Plan objects as JSON values: dataclasses by name, tuples and mappings marked."""
+def plain(v, tables: list[DataFrame]):
+    """Plan objects as JSON values: dataclasses by name, tuples and mappings marked; tables are gathered and named by their place."""
+    if isinstance(v, DataFrame):
+        tables.append(v)
+        return {"table": len(tables) - 1}
     if is_dataclass(v):
-        return {"part": type(v).__name__, "of": {f.name: plain(getattr(v, f.name)) for f in fields(v)}}
+        return {"part": type(v).__name__, "of": {f.name: plain(getattr(v, f.name), tables) for f in fields(v)}}
     if isinstance(v, Mapping):
-        return {"map": [[plain(k), plain(x)] for k, x in v.items()]}
+        return {"map": [[plain(k, tables), plain(x, tables)] for k, x in v.items()]}
     if isinstance(v, tuple):
-        return {"tuple": [plain(x) for x in v]}
-    return [plain(x) for x in v] if isinstance(v, list) else v
+        return {"tuple": [plain(x, tables) for x in v]}
+    return [plain(x, tables) for x in v] if isinstance(v, list) else v
 
 
-def revived(v):
+def revived(v, table: Callable[[int], DataFrame]):
     """The inverse of :func:`plain`."""
     if isinstance(v, list):
-        return [revived(x) for x in v]
+        return [revived(x, table) for x in v]
     if not isinstance(v, dict):
         return v
+    if "table" in v:
+        return table(v["table"])
     if "part" in v:
-        return PLAN_PARTS[v["part"]](**{k: revived(x) for k, x in v["of"].items()})
-    return tuple(map(revived, v["tuple"])) if "tuple" in v else {revived(k): revived(x) for k, x in v["map"]}
+        return PLAN_PARTS[v["part"]](**{k: revived(x, table) for k, x in v["of"].items()})
+    return tuple(revived(x, table) for x in v["tuple"]) if "tuple" in v else {revived(k, table): revived(x, table) for k, x in v["map"]}
 
 
 def load_model(spark: SparkSession, path: str) -> FittedModel:
-    """A saved model with its feature plan."""
+    """A saved model with its plans."""
     m = json.loads(spark.read.text(f"{path}/plan").first()["value"])
-    r = m["roles"]
-    roles = Roles(**{k: (tuple(v) if isinstance(v, list) else v) for k, v in r.items()})
-    p = m["plan"]
-    branch = lambda b: prep.Branch(**{k: (tuple(v) if isinstance(v, list) else v) for k, v in b.items()})
-    plan = prep.PrepPlan({c: branch(b) for c, b in p["numeric"].items()}, p["onehot"], p["ordinal"], tuple(p["boolean"]), tuple(p["datetime"]))
-    return FittedModel(m["name"], roles, plan, PipelineModel.load(f"{path}/pipeline"), m["columns"], revived(m["features"]))
+    table = lambda i: spark.read.parquet(f"{path}/codes/{i}")
+    roles = Roles(**{k: (tuple(v) if isinstance(v, list) else v) for k, v in m["roles"].items()})
+    return FittedModel(m["name"], roles, revived(m["plan"], table), PipelineModel.load(f"{path}/pipeline"), m["columns"], revived(m["features"], table))
 
 
 def _stages(name: str, columns: Sequence[str], params: Mapping | None, seed: int):

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanforge.functions.dates import date_parts
 from loanforge.functions.expressions import bin_right_closed, corrected_skew
 from loanforge.operators.chained import ChainedPlan, apply_chained, fit_chained
+from loanforge.operators.codes import CodeTable, attach_all, detach_all, fit_code_table, split_wide, wide_columns
 from loanforge.operators.features import EPS, woe_cells
 from loanforge.operators.ordering import exact_quantiles
 from loanforge.operators.profile import (
@@ -31,8 +34,6 @@ REDUNDANT_CORR = 0.60
 # Words read as true and false.
 TRUE_WORDS = ["yes", "y", "true", "t", "1"]
 FALSE_WORDS = ["no", "n", "false", "f", "0"]
-# Longer category lists are joined as tables instead of written into the plan.
-MAX_LITERAL_CATEGORIES = 2000
 
 
 # ---- treatment proposals -------------------------------------------------
@@ -460,21 +461,20 @@ def transform_table(df: DataFrame, cols: Sequence[str], family: str = "linear")
     )
 
 
-def fit_categories(train: DataFrame, cols: Sequence[str], fill: str = "Unknown") -> dict[str, list[str]]:
-    """Sorted train categories per column, nulls as ``fill``.
+Categories = Sequence[str] | CodeTable
 
-    A column with more categories than a plan may hold is an error: encode it
-    with a joined table (``features.encode_by_table``) before planning.
-    """
-    filled = train.select(*[F.coalesce(F.col(c).cast("string"), F.lit(fill)).alias(c) for c in cols])
-    vc = value_counts(filled, cols)
-    wide = [r["feature"] for r in vc.groupBy("feature").count().where(F.col("count") > MAX_LITERAL_CATEGORIES).collect()]
-    if wide:
-        raise ValueError(f"too many categories for a plan, encode by table first: {wide}")
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in vc.select("feature", "value").collect():
-        out[r["feature"]].append(r["value"])
-    return {c: sorted(v) for c, v in out.items()}
+
+def fit_categories(train: DataFrame, cols: Sequence[str], fill: str = "Unknown") -> dict[str, Categories]:
+    """Sorted train categories per column, nulls as ``fill``; a code table for columns with many."""
+    cols = list(cols)
+    wide = wide_columns(train, cols)
+    out: dict[str, Categories] = {c: fit_code_table(train, c, fill)[0] if c in wide else [] for c in cols}
+    narrow = [c for c in cols if c not in wide]
+    if narrow:
+        filled = train.select(*[F.coalesce(F.col(c).cast("string"), F.lit(fill)).alias(c) for c in narrow])
+        for r in value_counts(filled, narrow).select("feature", "value").collect():  # short lists
+            out[r["feature"]].append(r["value"])
+    return {c: v if isinstance(v, CodeTable) else sorted(v) for c, v in out.items()}
 
 
 def slug(value: str) -> str:
@@ -482,29 +482,56 @@ def slug(value: str) -> str:
 
 
 def one_hot_names(column: str, categories: Sequence[str]) -> list[str]:
-    """A column name per category; categories that read alike get their position as well."""
+    """A column name per category; categories that read alike get their position as well, and no name comes twice."""
     names = [f"{column}_{slug(k)}" for k in categories]
-    return [n if names.count(n) == 1 else f"{n}_{i}" for i, n in enumerate(names)]
+    often = Counter(names)
+    used = {n for n in names if often[n] == 1}
+    out = []
+    for i, n in enumerate(names):
+        if often[n] > 1:
+            n = f"{n}_{i}"
+            while n in used:
+                n += "_"
+            used.add(n)
+        out.append(n)
+    return out
+
+
+def _code_vector(df: DataFrame, tables: Sequence[CodeTable]) -> DataFrame:
+    """``<column>_onehot``: a sparse vector with a 1 at the code of each attached table; all zeros when unseen."""
+    for t in tables:
+        code, out = f"__code_{t.column}", f"{t.column}_onehot"
+        codes = df.sparkSession.range(t.size + 1).select(F.col("id").cast("double").alias(code))
+        model = OneHotEncoder(inputCol=code, outputCol=out, dropLast=True).fit(codes)
+        df = model.transform(df.withColumn(code, t.value("code", t.size).cast("double"))).drop(code)
+    return df
 
 
-def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]], fill: str = "Unknown") -> DataFrame:
-    """0/1 column per train category; unseen values give all zeros."""
+def one_hot(df: DataFrame, categories: Mapping[str, Categories], fill: str = "Unknown") -> DataFrame:
+    """0/1 column per train category; unseen values give all zeros. A column with many categories becomes one sparse vector."""
     new = {}
-    for c, cats in categories.items():
+    narrow, tables = split_wide(list(categories), categories)
+    for c in narrow:
         v = F.coalesce(F.col(c).cast("string"), F.lit(fill))
-        for k, n in zip(cats, one_hot_names(c, cats)):
+        for k, n in zip(categories[c], one_hot_names(c, categories[c])):
             new[n] = (v == F.lit(k)).cast("double")
-    return df.withColumns(new)
+    df = df.withColumns(new)
+    return detach_all(_code_vector(attach_all(df, tables), tables), tables)
 
 
-def ordinal(df: DataFrame, categories: Mapping[str, Sequence[str]], fill: str = "Unknown", suffix: str = "_ord") -> DataFrame:
+def _position(c: str, cats: Categories, fill: str = "Unknown") -> Column:
+    if isinstance(cats, CodeTable):
+        return cats.value("code", -1).cast("int")
+    if not cats:
+        return F.lit(-1)
+    codes = F.create_map(*[x for i, k in enumerate(cats) for x in (F.lit(k), F.lit(i))])
+    return F.coalesce(F.try_element_at(codes, F.coalesce(F.col(c).cast("string"), F.lit(fill))), F.lit(-1))
+
+
+def ordinal(df: DataFrame, categories: Mapping[str, Categories], fill: str = "Unknown", suffix: str = "_ord") -> DataFrame:
     """Position among sorted train categories, -1 when unseen."""
-    new = {}
-    for c, cats in categories.items():
-        v = F.coalesce(F.col(c).cast("string"), F.lit(fill))
-        codes = F.create_map(*[x for i, k in enumerate(cats) for x in (F.lit(k), F.lit(i))])
-        new[c + suffix] = F.coalesce(F.try_element_at(codes, v), F.lit(-1))
-    return df.withColumns(new)
+    _, tables = split_wide(list(categories), categories)
+    return detach_all(attach_all(df, tables).withColumns({c + suffix: _position(c, cats, fill) for c, cats in categories.items()}), tables)
 
 
 def boolean_to_number(c: Column) -> Column:
@@ -637,11 +664,11 @@ class Branch:
 
 @dataclass(frozen=True)
 class PrepPlan:
-    """Everything learned on train; :func:`apply_prep` turns it into one projection."""
+    """Everything learned on train; :func:`apply_prep` turns it into one projection, and a join for each column with many categories."""
 
     numeric: dict[str, Branch] = field(default_factory=dict)
     onehot: dict[str, list[str]] = field(default_factory=dict)
-    ordinal: dict[str, list[str]] = field(default_factory=dict)
+    ordinal: dict[str, Categories] = field(default_factory=dict)
     boolean: tuple[str, ...] = ()
     datetime: tuple[str, ...] = ()
 
@@ -730,24 +757,22 @@ def fit_prep(
     lists = fit_categories(train, cats) if cats else {}
     return PrepPlan(
         branches,
-        {c: v for c, v in lists.items() if len([k for k in v if k != "Unknown"]) <= 8},
-        {c: v for c, v in lists.items() if len([k for k in v if k != "Unknown"]) > 8},
+        {c: v for c, v in lists.items() if not isinstance(v, CodeTable) and len([k for k in v if k != "Unknown"]) <= 8},
+        {c: v for c, v in lists.items() if isinstance(v, CodeTable) or len([k for k in v if k != "Unknown"]) > 8},
         tuple(boolean),
         tuple(datetime),
     )
 
 
 def apply_prep(df: DataFrame, plan: PrepPlan, keep: Sequence[str] = ()) -> DataFrame:
-    """One projection over any split or stream: ``keep`` columns plus all prepared features."""
+    """``keep`` columns plus all prepared features, over any split or stream."""
+    df = attach_all(df, split_wide(list(plan.ordinal), plan.ordinal)[1])
     out = [F.col(c) for c in keep]
     out += [_branch_column(F.col(c), b).alias(c) for c, b in plan.numeric.items()]
     for c, cats in plan.onehot.items():
         v = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
         out += [(v == F.lit(k)).cast("double").alias(n) for k, n in zip(cats, one_hot_names(c, cats))]
-    for c, cats in plan.ordinal.items():
-        v = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
-        codes = F.create_map(*[x for i, k in enumerate(cats) for x in (F.lit(k), F.lit(i))])
-        out.append(F.coalesce(F.try_element_at(codes, v), F.lit(-1)).cast("double").alias(f"{c}_ord"))
+    out += [_position(c, cats).cast("double").alias(f"{c}_ord") for c, cats in plan.ordinal.items()]
     out += [boolean_to_number(F.col(c)).alias(c) for c in plan.boolean]
     types = dict(df.dtypes)
     for c in plan.datetime:
