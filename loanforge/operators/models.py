@@ -83,6 +83,8 @@ class FittedModel:
     columns: list[str]
     features: fe.FeaturePlan | None = None
     info: dict = field(default_factory=dict)
+    task: str = "binary"
+    classes: tuple[str, ...] = ()
 
     def prepared(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         # kept columns travel under a prefix, out of reach of the plans
@@ -94,10 +96,17 @@ class FittedModel:
         return out.select(*[f"__keep_{c}" for c in keep], *[F.col(c).alias(f"f_{c}") for c in names])
 
     def score(self, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
-        """``keep`` columns (default key and target) and the probability ``p`` of class 1."""
+        """``keep`` columns (default key and target) and the probability ``p`` of class 1; of other tasks the
+        ``prediction``, for several classes with their ``probabilities``."""
         keep = list(keep if keep is not None else [*self.roles.keys, self.roles.target])
         out = self.pipeline.transform(self.prepared(df, keep))
-        return out.select(*[F.col(f"__keep_{c}").alias(c) for c in keep], vector_to_array("probability")[1].alias("p"))
+        kept = [F.col(f"__keep_{c}").alias(c) for c in keep]
+        if self.task == "regression":
+            return out.select(*kept, "prediction")
+        if self.task == "multiclass":
+            names = F.array(*map(F.lit, self.classes))
+            return out.select(*kept, names[F.col("prediction").cast("int")].alias("prediction"), F.map_from_arrays(names, vector_to_array("probability")).alias("probabilities"))
+        return out.select(*kept, vector_to_array("probability")[1].alias("p"))
 
     def with_score(self, df: DataFrame) -> DataFrame:
         """The whole table plus ``p``."""
@@ -107,7 +116,7 @@ class FittedModel:
         spark = SparkSession.getActiveSession()
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
         tables: list[DataFrame] = []
-        meta = {"name": self.name, "roles": asdict(self.roles), "plan": plain(self.plan, tables), "columns": self.columns, "features": plain(self.features, tables)}
+        meta = {"name": self.name, "roles": asdict(self.roles), "plan": plain(self.plan, tables), "columns": self.columns, "features": plain(self.features, tables), "task": self.task, "classes": list(self.classes)}
         for i, t in enumerate(tables):
             t.write.mode("overwrite").parquet(f"{path}/codes/{i}")
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/plan")
@@ -149,7 +158,7 @@ def load_model(spark: SparkSession, path: str) -> FittedModel:
     m = json.loads(spark.read.text(f"{path}/plan").first()["value"])
     table = lambda i: spark.read.parquet(f"{path}/codes/{i}")
     roles = Roles(**{k: (tuple(v) if isinstance(v, list) else v) for k, v in m["roles"].items()})
-    return FittedModel(m["name"], roles, revived(m["plan"], table), PipelineModel.load(f"{path}/pipeline"), m["columns"], revived(m["features"], table))
+    return FittedModel(m["name"], roles, revived(m["plan"], table), PipelineModel.load(f"{path}/pipeline"), m["columns"], revived(m["features"], table), task=m["task"], classes=tuple(m["classes"]))
 
 
 def _stages(name: str, columns: Sequence[str], params: Mapping | None, seed: int):

@@ -8,6 +8,7 @@ from loanforge.operators import evaluate as ev
 from loanforge.operators import features as fe
 from loanforge.operators import models as md
 from loanforge.operators import rules as ru
+from loanforge.operators import tasks
 from loanforge.operators.splits import stratified_split
 from loanforge.plans.feature_queries import gini_sql, woe_sql
 from loanforge.plans.data_queries import union
@@ -91,6 +92,46 @@ def _(spark, d):
     return md.compare_models(feature_table(spark, d), ROLES, ["Logistic Regression", "Decision Tree", "Random Forest"])
 
 
+_AMOUNT = md.Roles("price", ("key",), ("acctbal", "late_count"))
+
+
+@REG.query(
+    "i4_regression_fit",
+    FT + """, tr AS (SELECT key, y, price, acctbal, late_count FROM feats WHERE key%4<>0),
+ m AS (SELECT quantile_cont(acctbal::DOUBLE,0.5) ma, quantile_cont(late_count::DOUBLE,0.5) ml FROM tr),
+ b AS (SELECT quantile_cont(a,0.01) la, quantile_cont(a,0.99) ha FROM (SELECT coalesce(acctbal::DOUBLE,ma) a FROM tr, m)),
+ z AS (SELECT quantile_cont(l,0.99) hl, min(l) ll FROM (SELECT coalesce(late_count::DOUBLE,0) l FROM tr)),
+ x AS (SELECT f.key, f.price, f.key%4<>0 AS tr, least(greatest(coalesce(f.acctbal::DOUBLE,ma),la),ha) a, least(greatest(coalesce(f.late_count::DOUBLE,0),ll),hl) l FROM feats f, m, b, z),
+ s AS (SELECT avg(price) p, avg(a) a, avg(l) l, var_pop(a) aa, var_pop(l) ll, covar_pop(a,l) al, covar_pop(a,price) ap, covar_pop(l,price) lp FROM x WHERE tr),
+ c AS (SELECT p, a, l, (ap*ll-lp*al)/(aa*ll-al*al) ba, (lp*aa-ap*al)/(aa*ll-al*al) bl FROM s)
+ SELECT x.key, round(c.p+ba*(x.a-c.a)+bl*(x.l-c.l),2) AS prediction FROM x, c WHERE NOT tr""",
+)
+def _(spark, d):
+    f = feature_table(spark, d)
+    m = tasks.fit_task_model(f.where("key % 4 <> 0"), _AMOUNT, "regression")
+    return m.score(f.where("key % 4 = 0"), ["key"]).select("key", F.round("prediction", 2).alias("prediction"))
+
+
+_STATUS = md.Roles("status", ("key",), ("price", "acctbal", "late_count"), ("prio", "segment"))
+
+
+@REG.query("i4_multiclass_fit")
+def _(spark, d):
+    f = feature_table(spark, d)
+    m = tasks.fit_task_model(f.where("key % 4 <> 0"), _STATUS, "multiclass")
+    return m.score(f.where("key % 4 = 0")).select("key", "prediction", *[F.round(F.col("probabilities")[c], 4).alias(f"p_{c}") for c in m.classes])
+
+
+@REG.query("i9_regression_comparison")
+def _(spark, d):
+    return tasks.compare_task_models(feature_table(spark, d), md.Roles("price", ("key",), ("acctbal", "late_count"), ("prio", "segment")), "regression")
+
+
+@REG.query("i9_multiclass_comparison")
+def _(spark, d):
+    return tasks.compare_task_models(feature_table(spark, d), _STATUS, "multiclass")
+
+
 def _challenger(spark, d):
     z = F.lit(-1.0) - F.col("acctbal") / F.lit(5000.0)
     return scored_loans(spark, d).withColumn("p", F.round(1.0 / (1.0 + F.exp(-z)), 6))
