@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanforge.llm.common import slices, stored
+from loanforge.llm.common import HELD, slices, stored
 
 CHUNK_BYTES = 4 << 20
 BATCH_BYTES = 8 << 20
@@ -257,6 +257,7 @@ def _tokenizers(shared) -> Tokenizers:
     if name not in _HELD:
         _HELD.clear()
         _HELD[name] = Tokenizers(a, b)
+    HELD["alignment"] = _HELD.clear
     return _HELD[name]
 
 
@@ -337,7 +338,7 @@ def units(docs: DataFrame, shared, text: str, keep: Sequence[str], groups: bool,
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizers(shared)
         held, size = [], 0
-        for b in slices(it, k + 1):
+        for b in slices(it, k + 1, operator="alignment"):
             long = pc.greater_equal(pc.fill_null(pc.binary_length(b.column(k + 1)), 0), chunk_bytes)
             for i in np.flatnonzero(long.to_numpy(zero_copy_only=False)).tolist():
                 raw = b" " + b.column(k + 1)[i].as_py().encode()
@@ -386,7 +387,7 @@ def range_fragments(ranges: DataFrame, shared) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizers(shared)
-        for b in slices(it, 5):
+        for b in slices(it, 5, operator="alignment"):
             for row, no, at, b_from, a_to, t in zip(*(c.to_pylist() for c in b.columns)):
                 tokens = chunk_tokens(tok, t, at, b_from, a_to)
                 f, inner = fragment(tokens or Tokens())

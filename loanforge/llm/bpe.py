@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanforge.llm.common import slices
+from loanforge.llm.common import HELD, slices
 
-#: Bytes of each memo of a task (encodings of matches, pairs of tokens, tokens of word starts); it starts anew when full, and the task's end frees it.
-MEMO = 24 << 20
+#: Bytes of the memos of a Python worker: encodings of matches; pairs of tokens, and tokens of word starts. They start
+#: anew when full, and are freed when the worker turns to another operator.
+MEMO = 80 << 20
+SIDE_MEMO = 48 << 20
 #: Bytes of an entry beside its text and ids.
 ENTRY = 160
 MEMO_BYTES = 64
@@ -82,7 +84,7 @@ class Vocabulary:
         key = left << 32 | right
         out = self.known.get(key)
         if out is None:
-            if len(self.known) * ENTRY >= MEMO:
+            if len(self.known) * ENTRY >= SIDE_MEMO:
                 self.known.clear()
             out = self.known[key] = self.stay_apart(left, right)
         return out
@@ -130,7 +132,7 @@ class PrefixTable:
                 if not (v.apart(last[start], t) if ok is None else ok):
                     continue
             if prefix is not None:
-                if len(v.tails) * ENTRY >= MEMO:
+                if len(v.tails) * ENTRY >= SIDE_MEMO:
                     v.tails.clear()
                 v.tails[prefix] = t
             return t
@@ -213,17 +215,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+_CODECS: dict[str, Codec] = {}
+
+
+def _codec(shared, pattern: str) -> Codec:
+    """The worker's codec of the latest vocabulary."""
+    name, vocab = shared.value
+    if name not in _CODECS:
+        _CODECS.clear()
+        _CODECS[name] = Codec(vocab, pattern)
+    HELD["bpe"] = _CODECS[name].forget
+    return _CODECS[name]
+
+
 def _sliced(fn: Callable[[Codec, pa.RecordBatch], pa.RecordBatch], shared, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``mapInArrow`` function that hands slices of the last column's bytes to ``fn`` with the task's codec."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value[1], pattern)
-        try:
-            for b in it:
-                for part in slices(iter([b]), b.num_columns - 1):
-                    yield fn(codec, part)
-        finally:
-            codec.forget()
+        codec = _codec(shared, pattern)
+        for b in it:
+            for part in slices(iter([b]), b.num_columns - 1, operator="bpe"):
+                yield fn(codec, part)
 
     return run
 

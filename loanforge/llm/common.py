@@ -48,10 +48,22 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: What this Python worker holds beyond a task, by operator, as the function that frees it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def working_for(operator: str | None = None) -> None:
+    """Frees what the worker holds for other operators: workers serve many stages, memory is for the one at work."""
+    for name, forget in HELD.items():
+        if name != operator:
+            forget()
+
+
 def batches(fn: Callable[[list], pa.RecordBatch], rows: int = 512) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``mapInArrow`` function that hands on slices of at most ``rows`` rows, so that long texts stay few in memory."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for()
         for b in it:
             for i in range(0, b.num_rows, rows):
                 yield fn(b.slice(i, rows))
@@ -70,8 +82,9 @@ def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(it: Iterator[pa.RecordBatch], column: int, rows: int = 512, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(it: Iterator[pa.RecordBatch], column: int, rows: int = 512, limit: int = 2 << 20, operator: str | None = None) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows`` rows and about ``limit`` bytes of text, or of listed integers, in ``column``, one row at least."""
+    working_for(operator)
     for b in it:
         x = b.column(column)
         size = pc.multiply(pc.list_value_length(x), 4) if pa.types.is_list(x.type) else pc.binary_length(x)
