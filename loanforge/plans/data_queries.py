@@ -248,12 +248,12 @@ def _dd(c: str, num: bool) -> str:
     )
 
 
-_DD = ["late_count", "has_card", "prio", "segment", "status", "nation", "opted_in"]
+_DD_NUMBERS = ["key", "y", "acctbal", "price", "sparse", "late_count", "has_card", "price_half"]
 
 
-@REG.query("c5_data_dictionary", FT + " " + union(_dd(c, c in ("late_count", "has_card")) for c in _DD))
+@REG.query("c5_data_dictionary", FT + " " + union(_dd(c, c in _DD_NUMBERS) for c in [*_DD_NUMBERS, "ts", "prio", "segment", "status", "nation", "opted_in"]))
 def _(spark, d):
-    return pf.data_dictionary(feature_table(spark, d), _DD)
+    return pf.data_dictionary(feature_table(spark, d))
 
 
 def corr_sql(cols, table="feats") -> str:
