@@ -6,9 +6,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanforge.session import cut_lineage
+
 
 
 @dataclass(frozen=True)
@@ -49,8 +51,14 @@ def join_report(left: DataFrame, right: DataFrame, spec: JoinSpec) -> DataFrame:
     Everything follows from rows per key on both sides, so the join itself is not
     run and a hot key is one row on each side.
     """
-    lk = left.groupBy(F.col(spec.left_key).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("nl"))
-    rk = right.groupBy(F.col(spec.right_key).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("nr"))
+    one = F.lit(1).alias("n")
+    return _report(left.select(F.col(spec.left_key).alias("k"), one), right.select(F.col(spec.right_key).alias("k"), one), spec)
+
+
+def _report(left: DataFrame, right: DataFrame, spec: JoinSpec) -> DataFrame:
+    """The report from keys ``k`` that stand for ``n`` rows each, on both sides."""
+    lk = left.groupBy(F.col("k").cast("string").alias("k")).agg(F.sum("n").alias("nl"))
+    rk = right.groupBy(F.col("k").cast("string").alias("k")).agg(F.sum("n").alias("nr"))
     both = lk.join(rk, "k", "full")
     nl, nr = F.coalesce("nl", F.lit(0)), F.coalesce("nr", F.lit(0))
     miss = F.sum(F.when(F.col("nr").isNull(), nl).otherwise(0))
@@ -88,10 +96,35 @@ def integrate(base: DataFrame, tables: Mapping[str, DataFrame], specs: Sequence[
 
 
 def integration_report(base: DataFrame, tables: Mapping[str, DataFrame], specs: Sequence[JoinSpec]) -> DataFrame:
-    """One report row per step of :func:`integrate`."""
-    out, acc = None, base
+    """One report row per step of :func:`integrate`, without running its joins.
+
+    What is carried from step to step is a table of row weights: the different values of the keys that later steps
+    use, each with the number of rows that have them. A step multiplies weights by the right side's
+    rows per key, so every table is scanned once and no step repeats the ones before it.
+    """
+    columns, needed = list(base.columns), [s.left_key for s in specs]
+
+    def weights(df: DataFrame, keep: Sequence[str], n: Column) -> DataFrame:
+        return cut_lineage(df.groupBy(*dict.fromkeys(keep)).agg(F.sum(n).cast("bigint").alias("__n")))
+
+    def checked(i: int) -> None:
+        if needed[i] not in columns:
+            raise ValueError(f"join key {needed[i]!r} not in the data built so far")
+
+    checked(0)
+    acc = weights(base, [c for c in needed if c in columns], F.lit(1))
+    out = []
     for i, s in enumerate(specs):
-        step = join_report(acc, tables[s.right_table], s).withColumn("step", F.lit(i + 1))
-        out = step if out is None else out.unionByName(step)
-        acc = join_step(acc, tables[s.right_table], s)
-    return out
+        checked(i)
+        right = tables[s.right_table]
+        later = set(needed[i + 1 :])
+        # The names that join_step gives to the right side's columns.
+        named = {c: f"{c}_{s.right_table}" if c in columns else c for c in right.columns}
+        own = {c: n for c, n in named.items() if n in later and not (c == s.right_key and s.left_key == s.right_key)}
+        side = weights(right.select(F.col(s.right_key).alias("__key"), *[F.col(c).alias(n) for c, n in own.items()]), ["__key", *own.values()], F.lit(1))
+        out.append(_report(acc.select(F.col(s.left_key).alias("k"), F.col("__n").alias("n")), side.select(F.col("__key").alias("k"), F.col("__n").alias("n")), s).withColumn("step", F.lit(i + 1)))
+        columns += [n for c, n in named.items() if not (c == s.right_key and s.left_key == s.right_key)]
+        if later:
+            met = acc.join(side.withColumnRenamed("__n", "__m"), acc[s.left_key] == F.col("__key"), s.how)
+            acc = weights(met, [c for c in needed[i + 1 :] if c in columns], F.col("__n") * F.coalesce("__m", F.lit(1)))
+    return reduce(DataFrame.unionByName, out)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loanforge.operators import exposure as ex
 from loanforge.operators import joins as jn
 from loanforge.operators import keys, macro, stress
+from loanforge import workflows
 from loanforge.plans.data_queries import union
 from loanforge.plans.evaluation_queries import _temporal, settle_sql
 from loanforge.plans.fixtures import LOANS, MACRO, SCORED, loans, macro_series, scored_loans
@@ -137,10 +138,50 @@ def _(spark, d):
     return jn.integrate(o, t, _SPECS)
 
 
-@REG.query("d6_integration_report")
+def _step_sql(step: int, left: str, lk: str, right: str, table: str, rk: str, named: str, how: str) -> str:
+    miss = "u" if how == "left" else "0"
+    return f"""SELECT '{named}' AS right_table, '{lk}' AS left_key, '{rk}' AS right_key, '{how}' AS how, CAST(rb AS BIGINT) AS rows_before, CAST(m+{miss} AS BIGINT) AS rows_after, CAST({miss} AS BIGINT) AS unmatched_left,
+ o AS orphan_right, CAST(dl AS BIGINT) AS duplicate_left_keys, CAST(dr AS BIGINT) AS duplicate_right_keys, m+{miss}>rb AS fan_out, {step} AS step FROM (
+ SELECT sum(coalesce(nl,0)) AS rb, sum(coalesce(nl,0)*coalesce(nr,0)) AS m, coalesce(sum(nl) FILTER (rk IS NULL),0) AS u, count(*) FILTER (lk IS NULL AND rk IS NOT NULL) AS o,
+  coalesce(sum(nl) FILTER (nl>1),0) AS dl, coalesce(sum(nr) FILTER (nr>1),0) AS dr FROM (SELECT {lk} AS lk, count(*) AS nl FROM {left} GROUP BY 1) l
+ FULL JOIN (SELECT {right} AS rk, count(*) AS nr FROM {table} GROUP BY 1) r ON lk=rk)"""
+
+
+_JOINED = """j0 AS (SELECT o_orderkey AS orderkey, o_custkey AS custkey, o_totalprice AS amount FROM orders),
+ j1 AS (SELECT j0.*, c_acctbal AS amount_customer, c_nationkey AS nationkey FROM j0 LEFT JOIN customer ON custkey=c_custkey),
+ j2 AS (SELECT j1.*, n_nationkey AS nkey, n_name AS name, n_regionkey AS regionkey FROM j1 LEFT JOIN nation ON nationkey=n_nationkey)"""
+_CHAIN = [*_SPECS[:2], jn.JoinSpec("region", "regionkey", "rkey", "inner")]
+
+
+@REG.query(
+    "d6_integration_report",
+    f"WITH {_JOINED} " + union([
+        _step_sql(1, "j0", "custkey", "c_custkey", "customer", "custkey", "customer", "left"), _step_sql(2, "j1", "nationkey", "n_nationkey", "nation", "nkey", "nation", "left"),
+        _step_sql(3, "j2", "regionkey", "r_regionkey", "region", "rkey", "region", "inner"),
+    ]),
+)
+def _(spark, d):
+    o, t = _join_tables(spark, d)
+    return jn.integration_report(o, t, _CHAIN)
+
+
+_JOB = ["orderkey", "custkey", "amount", "orderdate", "amount_customer", "nationkey", "nkey", "name", "regionkey", "rkey", "name_region", "macro_avg_price", "macro_order_count"]
+
+
+@REG.query(
+    "d6_integration_job",
+    "WITH " + MACRO + """, b AS (SELECT o_orderkey AS orderkey, o_custkey AS custkey, o_totalprice AS amount, o_orderdate AS orderdate, c_acctbal AS amount_customer, c_nationkey AS nationkey, n_nationkey AS nkey, n_name AS name,
+  n_regionkey AS regionkey, r_regionkey AS rkey, r_name AS name_region FROM orders LEFT JOIN customer ON o_custkey=c_custkey LEFT JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey),
+ mo AS (SELECT DISTINCT CAST(date_trunc('month', orderdate) AS DATE) AS mo FROM b),
+ a AS (SELECT mo, (SELECT arg_max(value, obs_date) FROM macro WHERE series='avg_price' AND obs_date<=mo) AS macro_avg_price, (SELECT arg_max(value, obs_date) FROM macro WHERE series='order_count' AND obs_date<=mo) AS macro_order_count FROM mo),
+ t AS (SELECT b.*, macro_avg_price, macro_order_count FROM b JOIN a ON mo=CAST(date_trunc('month', orderdate) AS DATE)) """
+    + union(f"SELECT '{c}' AS \"column\", count(*)-count({c}) AS missing, round((count(*)-count({c}))/count(*)::DOUBLE*100,2) AS missing_pct, count(DISTINCT {c}) AS \"unique\" FROM t" for c in _JOB),
+)
 def _(spark, d):
     o, t = _join_tables(spark, d)
-    return jn.integration_report(o, t, _SPECS)
+    o = load_table(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("custkey"), F.col("o_totalprice").alias("amount"), F.col("o_orderdate").alias("orderdate"))
+    made = workflows.integrate_sources(o, t, _CHAIN, macro_series(spark, d), ["avg_price", "order_count"], "orderdate", lookback_days=None)
+    return made["profile"].select("column", "missing", "missing_pct", "unique")
 
 
 _ASOF = "WITH " + MACRO + """, pr AS (SELECT obs_date, value FROM macro WHERE series='avg_price'), oc AS (SELECT obs_date, value FROM macro WHERE series='order_count'),

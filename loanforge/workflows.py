@@ -50,14 +50,15 @@ def profile_table(df: DataFrame, key: Sequence[str], target: str | None = None,
 
 def integrate_sources(
     base: DataFrame, tables: Mapping[str, DataFrame], specs: Sequence[joins.JoinSpec],
-    series: DataFrame | None = None, names: Sequence[str] = (), date_col: str | None = None,
+    series: DataFrame | None = None, names: Sequence[str] = (), date_col: str | None = None, lookback_days: int | None = 400,
 ) -> dict[str, DataFrame]:
-    """Joined table with its step report, macro series attached on request."""
+    """Joined table with its step report, macro series attached on request, and the profile of the result."""
     table = joins.integrate(base, tables, specs)
     date_col = date_col or roles.pick_date_column(table.columns)
     if series is not None and date_col:
-        table = macro.attach(table, date_col, series, names)
-    return {"table": table, "report": joins.integration_report(base, tables, specs)} if specs else {"table": table}
+        table = macro.attach(table, date_col, series, names, lookback_days)
+    out = {"table": table, "profile": profile.data_dictionary(table)}
+    return out | {"report": joins.integration_report(base, tables, specs)} if specs else out
 
 
 def evaluation_reports(scored: DataFrame, y: str = "y", p: str = "p", ts: str | None = None, threshold: float | None = None) -> dict[str, DataFrame]:

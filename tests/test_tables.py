@@ -180,3 +180,21 @@ def test_one_hot_names_stay_apart(spark):
     out = prep.one_hot(df, {"c": ["A-1", "A_1", "B"]})
     assert len(set(out.columns)) == 4 and "c_B" in out.columns
     assert [tuple(r)[1:] for r in out.collect()] == [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
+
+
+def test_integration_report_equals_the_joins(spark):
+    base = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "c"), (9, "d")], "k int, v string")
+    tables = {
+        "r": spark.createDataFrame([(1, 10, "x"), (1, 11, "y"), (2, 10, "z"), (7, 12, "w")], "k int, g int, v string"),
+        "s": spark.createDataFrame([(10, "p"), (10, "q"), (11, "p"), (99, "p")], "g int, v string"),
+        "t": spark.createDataFrame([("p", 1), ("x", 2), ("x", 3)], "v string, n int"),
+    }
+    specs = [joins.JoinSpec("r", "k", "k"), joins.JoinSpec("s", "g", "g", "inner"), joins.JoinSpec("t", "v_r", "v"), joins.JoinSpec("t", "v", "v")]
+    want, acc = [], base
+    for i, s in enumerate(specs):
+        want.append(joins.join_report(acc, tables[s.right_table], s).withColumn("step", F.lit(i + 1)).first())
+        acc = joins.join_step(acc, tables[s.right_table], s)
+    got = joins.integration_report(base, tables, specs).orderBy("step").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    with pytest.raises(ValueError, match="not in the data"):
+        joins.integration_report(base, tables, [joins.JoinSpec("r", "zz", "k")])
