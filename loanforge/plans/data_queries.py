@@ -177,6 +177,15 @@ def _(spark, d):
     return roles.bin_counts(readers.load_table(spark, d, "orders"), "o_totalprice", n_bins=5)
 
 
+@REG.query(
+    "b9_target_bins_equal_width",
+    """WITH q AS (SELECT min(o_totalprice) lo, max(o_totalprice) hi FROM orders), e AS (SELECT list_transform([1,2,3,4], lambda i: lo+(hi-lo)*i/5) AS q FROM q)
+ SELECT 'Band_'||(1+len(list_filter(q, lambda x: x < o_totalprice))) AS band, count(*) AS n FROM orders, e WHERE o_totalprice IS NOT NULL GROUP BY 1""",
+)
+def _(spark, d):
+    return roles.bin_counts(readers.load_table(spark, d, "orders"), "o_totalprice", n_bins=5, method="equal_width")
+
+
 @REG.query(
     "b9_target_bins_custom",
     """SELECT CASE WHEN o_totalprice<=100000 THEN 'low' WHEN o_totalprice<=250000 THEN 'mid' ELSE 'high' END AS band, count(*) AS n

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loanforge.operators.profile import leakage_columns
 from loanforge.operators import documents as dc
 from loanforge.operators import evaluate as ev
 from loanforge.operators import explain as xp
@@ -124,15 +125,19 @@ _MT = METRICS_SQL.replace("mt AS (SELECT grp, 'accuracy'", "mt AS (SELECT grp AS
 
 _N1 = "WITH " + FEATURES + ", mt AS (SELECT 'loans' AS entity, 'n_rows' AS metric, count(*)::DOUBLE AS value FROM feats UNION ALL SELECT 'loans','max_missing', greatest(" + ",".join(
     f"1-count({c})/count(*)::DOUBLE" for c in ("acctbal", "sparse", "late_count", "has_card", "prio")
-) + """) FROM feats UNION ALL SELECT 'loans','duplicate_rate', 0 UNION ALL SELECT 'loans','id_columns', 1 UNION ALL SELECT 'loans','macro_columns', 0
- UNION ALL SELECT 'loans','leakage_columns', CASE WHEN abs(corr(price_half, y))>0.95 THEN 1 ELSE 0 END FROM feats) """
+) + """) FROM feats UNION ALL SELECT 'loans','duplicate_rate', ((SELECT count(*) FROM feats)-(SELECT count(*) FROM (SELECT DISTINCT * FROM feats)))/(SELECT count(*) FROM feats)::DOUBLE
+ UNION ALL SELECT 'loans','id_columns', 1 UNION ALL SELECT 'loans','macro_columns', 0 UNION ALL SELECT 'loans','leakage_columns', """ + "+".join(
+    f"CASE WHEN abs(corr({c}, y))>0.95 THEN 1 ELSE 0 END" for c in [*NUMERIC, "(1-y)"]
+) + " FROM feats) "
 _COLS = ["entity", "rule_id", "source", "principle", "stage", "metric", "operator", "threshold", "severity", "value", "status"]
 
 
 @REG.query("n1_data_rules", _N1 + f"SELECT entity, rule_id, stage, severity, round(value,6) AS value FROM ({_flag_sql('data')})")
 def _(spark, d):
     f = feature_table(spark, d)
-    m = ru.data_metrics(f, "loans", ["key"], [])
+    f = f.withColumn("settled", 1 - F.col("y"))  # known only once the outcome is
+    leaks = [r["column"] for r in leakage_columns(f, [*NUMERIC, "settled"], "y").select("column").collect()]
+    m = ru.data_metrics(f, "loans", ["key"], leaks)
     return ru.flags(m, "data").select("entity", "rule_id", "stage", "severity", F.round("value", 6).alias("value"))
 
 
@@ -338,19 +343,31 @@ def _(spark, d):
     return c.select("doc_id", "chunk_index", "section", F.length("chunk").alias("n"), F.md5("chunk").alias("h"))
 
 
-@REG.query("o2_paragraph_chunks")
+_UNIT = "{{'done': CAST([] AS VARCHAR[]), 'cur': '', 's': {s}, 'sep': {sep}, 'force': {force}}}"
+_STRIP = "regexp_replace({0},'^\\s+|\\s+$','','g')"
+PARAGRAPHS = "WITH " + DOCS + f""", pa AS (SELECT doc_id, source, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text,'\\r\\n|\\r',chr(10),'g'),'\\n{{3,}}',chr(10)||chr(10),'g'),chr(10)||chr(10)), lambda x: {_STRIP.format("x")}), lambda x: length(x)>0) AS ps FROM docs),
+ un AS (SELECT doc_id, source, flatten(list_transform(ps, lambda p: CASE WHEN length(p)<=800 THEN [{_UNIT.format(s="p", sep="chr(10)||chr(10)", force="false")}]
+  ELSE list_transform(string_split(regexp_replace(p,'([.!?])\\s+','\\1'||chr(1),'g'),chr(1)), lambda x, i: {_UNIT.format(s="x", sep="' '", force="i=1")}) END)) AS us FROM pa),
+ pk AS (SELECT doc_id, source, list_reduce(us, lambda a, u: CASE WHEN NOT u.force AND length(a.cur)+length(u.s)+length(u.sep)<=800 THEN {{'done': a.done, 'cur': {_STRIP.format("a.cur||u.sep||u.s")}, 's': '', 'sep': '', 'force': false}}
+  ELSE {{'done': CASE WHEN a.cur<>'' THEN list_append(a.done,a.cur) ELSE a.done END, 'cur': u.s, 's': '', 'sep': '', 'force': false}} END, {_UNIT.format(s="''", sep="''", force="false")}) AS r FROM un),
+ cs AS (SELECT doc_id, source, CASE WHEN r.cur<>'' THEN list_append(r.done,r.cur) ELSE r.done END AS c FROM pk),
+ chunks AS (SELECT doc_id, source, CAST(i-1 AS INTEGER) AS chunk_index, CASE WHEN i=1 THEN c[i] ELSE {_STRIP.format("right(c[i-1],150)||chr(10)||chr(10)||c[i]")} END AS chunk FROM cs, unnest(range(1, len(c)+1)) AS t(i))"""
+
+
+@REG.query("o2_paragraph_chunks", PARAGRAPHS + " SELECT doc_id, chunk_index, length(chunk) AS n, md5(chunk) AS h FROM chunks")
 def _(spark, d):
-    return dc.paragraph_chunks(model_docs(spark, d))
+    c = dc.paragraph_chunks(model_docs(spark, d))
+    return c.select("doc_id", "chunk_index", F.length("chunk").cast("bigint").alias("n"), F.md5("chunk").alias("h"))
 
 
-_SCORE = CHUNKS + ", lo AS (SELECT *, lower(chunk) AS t FROM chunks), sc AS (SELECT *, round(greatest(0,least(CASE WHEN regexp_matches(chunk,'(?i)" + dc.OBLIGATION + "') THEN 0.45::DOUBLE ELSE 0 END + least(0.1::DOUBLE*(" + "+".join(
+_SCORE = PARAGRAPHS + ", lo AS (SELECT *, lower(chunk) AS t FROM chunks), sc AS (SELECT *, round(greatest(0,least(CASE WHEN regexp_matches(chunk,'(?i)" + dc.OBLIGATION + "') THEN 0.45::DOUBLE ELSE 0 END + least(0.1::DOUBLE*(" + "+".join(
     f"CASE WHEN regexp_matches(t,'\\b{k.replace('.', '[.]?')}\\b') THEN 1 ELSE 0 END" for k in dc.REGULATORY_KEYWORDS
 ) + "),0.55::DOUBLE) - CASE WHEN regexp_matches(chunk,'(?im)" + dc.NOISE + "') THEN 0.3::DOUBLE ELSE 0 END,1)),6) AS score FROM lo)"
 
 
 @REG.query("o3_relevant_chunks", _SCORE + " SELECT doc_id, chunk_index, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_index) AS INTEGER) AS rank FROM sc WHERE score>=0.45)")
 def _(spark, d):
-    s = dc.scored_chunks(dc.section_chunks(model_docs(spark, d)))
+    s = dc.scored_chunks(dc.paragraph_chunks(model_docs(spark, d)))
     return dc.relevant_chunks(s).select("doc_id", "chunk_index", "score", "rank")
 
 
