@@ -326,54 +326,88 @@ def stated_metrics(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 # ---- retrieval -----------------------------------------------------------
 
+#: Query vectors that travel with a task, and rows of a block of vectors that meets a block of queries.
 QUERIES_AT_ONCE = 1000
+VECTORS_PER_BLOCK = 50_000
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+class _Best:
+    """The ``k`` most similar ids per query, from batch to batch; ties to the smaller id."""
+
+    def __init__(self, q: np.ndarray, k: int) -> None:
+        self.q, self.k = q, k
+        self.ids, self.scores = [np.zeros(0, np.int64)] * len(q), [np.zeros(0)] * len(q)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        n, k, s = len(ids), self.k, _unit(x) @ self.q.T
+        for j in range(s.shape[1]):
+            new = np.flatnonzero(s[:, j] >= np.partition(s[:, j], n - k)[n - k]) if n > k else np.arange(n)
+            i, v = np.concatenate((self.ids[j], ids[new])), np.concatenate((self.scores[j], s[new, j]))
+            order = np.lexsort((i, -v))[:k]
+            self.ids[j], self.scores[j] = i[order], v[order]
+
+    def columns(self) -> list[np.ndarray]:
+        """Place of the query, id and similarity."""
+        at = np.repeat(np.arange(len(self.ids)), [len(x) for x in self.ids])
+        return [at, np.concatenate([np.zeros(0, np.int64), *self.ids]), np.concatenate([np.zeros(0), *self.scores])]
 
 
 def nearest(
-    vectors: DataFrame, queries: Sequence[tuple[object, Sequence[float]]], k: int = TOP_K, key: str = "vec_id", vec: str = "embedding"
+    vectors: DataFrame, queries: DataFrame | Sequence[tuple[object, Sequence[float]]], k: int = TOP_K, key: str = "vec_id", vec: str = "embedding", at_once: int = QUERIES_AT_ONCE
 ) -> DataFrame:
     """The ``k`` vectors of highest cosine similarity per query vector.
 
-    Queries travel with the task in blocks of at most ``QUERIES_AT_ONCE``, one pass
-    each. Every Arrow batch is one matrix product; a task carries its best ``k``
-    per query from batch to batch, so the final ranking sees ``k`` rows per
-    task and query.
+    ``queries`` are a list, or a table of any size (name and vector). Up to ``at_once`` of them travel with the
+    tasks: every Arrow batch of vectors is one matrix product, and a task carries its best ``k`` per query from batch to
+    batch. More are dealt into blocks that meet blocks of vectors, each pair of blocks with its own best ``k``.
     """
-    if len(queries) > QUERIES_AT_ONCE:
-        parts = [nearest(vectors, queries[i : i + QUERIES_AT_ONCE], k, key, vec) for i in range(0, len(queries), QUERIES_AT_ONCE)]
+    ranked = Window.partitionBy("query").orderBy(F.col("similarity").desc(), key)
+    done = lambda best: best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query", key, F.round("similarity", 6).alias("similarity"), "rank")
+    some = queries
+    if isinstance(queries, DataFrame):
+        name, of = queries.columns
+        table = queries.select(F.col(name).alias("query"), F.col(of).cast("array<double>").alias("v"))
+        some = [(r["query"], r["v"]) for r in table.limit(at_once + 1).collect()]
+    elif len(queries) > at_once:
+        parts = [nearest(vectors, queries[i : i + at_once], k, key, vec, at_once) for i in range(0, len(queries), at_once)]
         return reduce(DataFrame.unionByName, parts)
-    names = [q for q, _ in queries]
-    q = np.array([v for _, v in queries], dtype=float)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    dim = q.shape[1]
-
-    def local(batches):
-        best_i, best_s = [np.zeros(0, np.int64)] * len(names), [np.zeros(0)] * len(names)
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, dim)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            s = x @ q.T
-            for j in range(s.shape[1]):
-                new = np.flatnonzero(s[:, j] >= np.partition(s[:, j], n - k)[n - k]) if n > k else np.arange(n)
-                i, v = np.concatenate((best_i[j], ids[new])), np.concatenate((best_s[j], s[new, j]))
-                order = np.lexsort((i, -v))[:k]
-                best_i[j], best_s[j] = i[order], v[order]
-        j = np.repeat(np.arange(len(names)), [len(x) for x in best_i])
-        yield pa.RecordBatch.from_arrays([pa.array(j.astype("int32")), pa.array(np.concatenate(best_i)), pa.array(np.concatenate(best_s))], names=["__q", key, "similarity"])
-
+    dim = len(some[0][1]) if some else 0
     ok = vectors.where(F.size(vec) == dim).select(F.col(key).cast("bigint").alias(key), F.col(vec).cast("array<double>").alias(vec))
-    best = ok.mapInArrow(local, f"__q int, {key} bigint, similarity double")
-    w = Window.partitionBy("__q").orderBy(F.col("similarity").desc(), key)
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("__q") + 1)
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(label.alias("query"), key, F.round("similarity", 6).alias("similarity"), "rank")
-
-
-def centroids(vectors: DataFrame, group: str, vec: str = "embedding") -> list[tuple[object, list[float]]]:
-    """Mean vector per group as query vectors."""
+    if len(some) <= at_once:
+        names, q = [x for x, _ in some], _unit(np.array([v for _, v in some], dtype=float).reshape(len(some), dim))
+
+        def local(batches):
+            best = _Best(q, k)
+            for b in batches:
+                if b.num_rows:
+                    best.add(b.column(0).to_numpy(zero_copy_only=False), b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, dim))
+            at, ids, scores = best.columns()
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype("int32")), pa.array(ids), pa.array(scores)], names=["__q", key, "similarity"])
+
+        label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("__q") + 1) if names else F.lit(None)
+        return done(ok.mapInArrow(local, f"__q int, {key} bigint, similarity double").select(label.alias("query"), key, "similarity"))
+    q_blocks, v_blocks = -(-table.count() // at_once), max(1, -(-ok.count() // VECTORS_PER_BLOCK))
+    dealt = lambda df, own, n, other, m: df.select("*", F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+    kind = table.schema["query"].dataType.simpleString()
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = lambda t, c: np.array(t.column(c).to_pylist(), dtype=float).reshape(t.num_rows, dim)
+        best = _Best(_unit(rows(left, "v")), k)
+        if right.num_rows and left.num_rows:
+            best.add(right.column(key).to_numpy(), rows(right, vec))
+        at, ids, scores = best.columns()
+        return pa.table([left.column("query").take(pa.array(at)), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["query", key, "similarity"])
+
+    left = dealt(table.where(F.size("v") == dim), "b", q_blocks, "c", v_blocks).groupBy("b", "c")
+    right = dealt(ok, "c", v_blocks, "b", q_blocks).groupBy("b", "c")
+    return done(left.cogroup(right).applyInArrow(meet, f"query {kind}, {key} bigint, similarity double"))
+
+
+def centroids(vectors: DataFrame, group: str, vec: str = "embedding") -> DataFrame:
+    """Mean vector per group as query vectors: the group and ``centroid``."""
     parts = vectors.select(group, F.posexplode(vec).alias("i", "v")).groupBy(group, "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    rows = parts.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c")).collect()
-    return sorted((r[group], list(r["c"])) for r in rows)
+    return parts.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))

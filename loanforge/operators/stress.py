@@ -18,11 +18,17 @@ from loanforge.operators.profile import numeric_columns
 
 Scorer = Callable[[DataFrame], DataFrame]
 
-# Macro scenarios and pass limits.
-SCENARIOS = [
-    {"id": "6.2a", "name": "Adverse Scenario", "gdp_pct": -0.02, "unemployment_pp": 0.03, "house_price_pct": -0.10, "income_pct": 0.0, "pd_multiplier": 1.0},
-    {"id": "6.2b", "name": "Severe Scenario", "gdp_pct": -0.05, "unemployment_pp": 0.06, "house_price_pct": -0.25, "income_pct": 0.0, "pd_multiplier": 1.0},
-    {"id": "6.2c", "name": "COVID-style Shock", "gdp_pct": 0.0, "unemployment_pp": 0.0, "house_price_pct": 0.0, "income_pct": -0.25, "pd_multiplier": 2.5},
+# Shocks of the macro scenarios (id, scenario, driver, kind, size) and pass limits.
+# ``relative`` scales a driver by 1 + size, ``points`` adds percentage points, ``multiple`` scales the resulting PD.
+SHOCKS = [
+    ("6.2a", "Adverse Scenario", "gdp", "relative", -0.02),
+    ("6.2a", "Adverse Scenario", "unemployment", "points", 0.03),
+    ("6.2a", "Adverse Scenario", "house_price", "relative", -0.10),
+    ("6.2b", "Severe Scenario", "gdp", "relative", -0.05),
+    ("6.2b", "Severe Scenario", "unemployment", "points", 0.06),
+    ("6.2b", "Severe Scenario", "house_price", "relative", -0.25),
+    ("6.2c", "COVID-style Shock", "income", "relative", -0.25),
+    ("6.2c", "COVID-style Shock", "pd", "multiple", 2.5),
 ]
 DRIVER_WORDS = {
     "gdp": ["gdp"],
@@ -93,29 +99,30 @@ def feature_shocks(df: DataFrame, shocks: Sequence[tuple[str, str, float]], scor
 
 
 def macro_scenarios(
-    df: DataFrame, scorer: Scorer, scenarios: Sequence[Mapping] = SCENARIOS, fraction_limit: float = 1.5
+    df: DataFrame, scorer: Scorer, shocks: Sequence[tuple[str, str, str, str, float]] = SHOCKS, fraction_limit: float = 1.5
 ) -> DataFrame:
-    """Every scenario in one pass: drivers found by name are shifted, then rescored.
+    """Every scenario of a shock table in one pass: drivers found by name are shifted, then rescored.
 
     A percentage-point shift adds the points themselves to a fractional rate and
     a hundred times as much to a rate in percent; the unit is read off the maximum.
     """
-    d = driver_columns(df)
-    unit = 1.0
-    if d["unemployment"]:
-        top = df.agg(F.max(F.abs(F.col(d["unemployment"])))).first()[0]
-        unit = 1.0 if top is None or top <= fraction_limit else 100.0
-    variants: list[tuple[str, Mapping[str, object]]] = [("base", {})]
-    for s in scenarios:
-        m: dict[str, object] = {}
-        for k in ("gdp", "house_price", "income"):
-            if d[k] and s[f"{k}_pct"]:
-                m[d[k]] = F.col(d[k]) * F.lit(1 + s[f"{k}_pct"])
-        if d["unemployment"] and s["unemployment_pp"]:
-            m[d["unemployment"]] = F.col(d["unemployment"]) + F.lit(s["unemployment_pp"] * unit)
-        variants.append((s["name"], m))
-    means = score_variants(df, variants, scorer)
-    return _report(_against_base(means, {s["name"]: s["pd_multiplier"] for s in scenarios}), "scenario")
+    found = driver_columns(df)
+    in_points = sorted({found[driver] for _, _, driver, kind, _ in shocks if kind == "points" and found.get(driver)})
+    tops = df.agg(*[F.max(F.abs(F.col(c))).alias(c) for c in in_points]).first() if in_points else {}
+    variants: dict[str, dict[str, object]] = {"base": {}}
+    multiples: dict[str, float] = {}
+    for _, scenario, driver, kind, size in shocks:
+        moved = variants.setdefault(scenario, {})
+        multiples.setdefault(scenario, 1.0)
+        column = found.get(driver)
+        if kind == "multiple":
+            multiples[scenario] *= size
+        elif column and kind == "relative":
+            moved[column] = moved.get(column, F.col(column)) * F.lit(1 + size)
+        elif column and kind == "points":
+            percent = tops[column] is not None and tops[column] > fraction_limit
+            moved[column] = moved.get(column, F.col(column)) + F.lit(size * (100.0 if percent else 1.0))
+    return _report(_against_base(score_variants(df, list(variants.items()), scorer), multiples), "scenario")
 
 
 def directional_tests(df: DataFrame, scorer: Scorer, tests: Sequence[Mapping] = DIRECTIONAL_TESTS) -> DataFrame:

@@ -451,7 +451,7 @@ def _scenario_sql(parts) -> str:
 
 @REG.query("l2_macro_scenario", _scenario_sql(_SCN[:1]))
 def _(spark, d):
-    return stress.macro_scenarios(driver_table(spark, d), formula_score, stress.SCENARIOS[:1])
+    return stress.macro_scenarios(driver_table(spark, d), formula_score, stress.SHOCKS[:3])
 
 
 @REG.query("l3_all_scenarios", _scenario_sql(_SCN))

@@ -75,11 +75,13 @@ def test_nearest_matches_brute_force(spark, sf):
     x = np.array([r["embedding"] for r in rows], dtype=float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     q = dc.centroids(e, "label")
-    got = dc.nearest(e.repartition(5), q, 4).collect()
-    for label, v in q:
-        s = x @ (np.array(v) / np.linalg.norm(v))
-        want = [rows[i]["vec_id"] for i in np.argsort(-s)[:4]]
-        assert [r["vec_id"] for r in sorted((r for r in got if r["query"] == label), key=lambda r: r["rank"])] == want
+    for found in (dc.nearest(e.repartition(5), q, 4), dc.nearest(e.repartition(5), q, 4, at_once=3), dc.nearest(e, [tuple(r) for r in q.collect()], 4, at_once=4)):
+        got = found.collect()
+        for label, v in q.collect():
+            s = x @ (np.array(v) / np.linalg.norm(v))
+            want = [rows[i]["vec_id"] for i in np.argsort(-s)[:4]]
+            assert [r["vec_id"] for r in sorted((r for r in got if r["query"] == label), key=lambda r: r["rank"])] == want
+    assert dc.nearest(e, q.limit(0), 4).count() == 0
 
 
 @pytest.mark.parametrize(

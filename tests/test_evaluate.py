@@ -67,7 +67,7 @@ def test_psi_empty_bin_uses_floor(spark):
 def test_percent_unemployment_is_shifted_by_points(spark):
     df = spark.createDataFrame([(5.0,), (7.0,)], "unemployment_rate double")
     score = lambda t: t.withColumn("p", F.col("unemployment_rate") / 100)
-    r = stress.macro_scenarios(df, score, stress.SCENARIOS[:1]).first()
+    r = stress.macro_scenarios(df, score, stress.SHOCKS[:3]).first()
     assert r["pd_change"] == pytest.approx(0.03)
 
 
