@@ -1,14 +1,16 @@
 """URL filter: prefix rules, and for other URLs the ratio of two character language models.
 
 URLs that an allow or block rule decides are the labelled examples. From them two
-variable-order Markov models of characters are counted; each order is smoothed with
-the next lower one, and a character is scored at the longest context seen in training.
-The mean log ratio per character, compared with a limit calibrated on labelled URLs
+variable-order Markov models of characters are counted. Each order is smoothed with the next
+lower one by the number of times its context was seen, ``(count + LAMBDA * lower) / (context +
+LAMBDA)``, down to counts of single characters plus one over ``ALPHABET``. So a character never seen
+after a context that is common in one class speaks against that class, and an unseen context
+leaves the lower order as it is. The mean log ratio per character, compared with a limit calibrated on labelled URLs
 that were held back, is the verdict for URLs without a rule.
 
 DataFrame operations only. The model is one aggregation over character 4-grams and keeps
-one exact score per string and order in a table that grows with the corpus. URLs are
-scored by joins: different strings of the different URLs meet the score tables, then every
+exact counts per string and per context of every order in a table that grows with the corpus. URLs
+are scored by joins: different strings of the different URLs meet the counts, then every
 URL meets its strings. Strings that hold at least one in ``HOT`` of all places are at most
 ``HOT`` rows and travel with the pass, so no join has a hot key.
 
@@ -23,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanforge.llm.common import stored
@@ -84,20 +86,32 @@ def _before(g: Column, order: int) -> Column:
     return F.expr("substring(g, 1, length(g) - 1)") if order == 4 else F.right(F.expr("substring(g, 1, length(g) - 1)"), F.lit(order - 1))
 
 
+#: Parts of a 4-gram that are counted: endings of 1 to 4 characters, and the contexts of the last character.
+_KINDS = {f"s{k}": lambda g, k=k: _last(g, k) for k in (1, 2, 3, 4)} | {f"c{k}": lambda g, k=k: _before(g, k) for k in (2, 3, 4)}
+
+
 @dataclass
 class Model:
-    """Exact scores by order (string ``g``, ``r``) and the limit below which the method blocks."""
+    """Counts by class (``kind``: s1 to s4 for strings, c2 to c4 for contexts; ``g``, ``a``, ``b``), their totals, and the limit below which the method blocks."""
 
-    tables: list[DataFrame]
+    counts: DataFrame | None
+    totals: tuple[int, int]
     limit: float
 
     def strings(self, grams: DataFrame) -> DataFrame:
-        """``g``, its number ``n`` and the score ``r`` of its longest ending seen in training; strings without one are left out."""
+        """``g``, its number ``n`` and the log ratio ``r`` of its last character's probabilities."""
         out = grams.groupBy("g").agg(F.count("*").alias("n"))
-        for k in (4, 3, 2, 1):
-            table = self.tables[k - 1].select(F.col("g").alias(f"g{k}"), F.col("r").alias(f"r{k}"))
-            out = out.join(table, _last(F.col("g"), k) == F.col(f"g{k}"), "left").drop(f"g{k}")
-        return out.select("g", "n", F.coalesce("r4", "r3", "r2", "r1").alias("r")).where("r is not null")
+        for kind, part in _KINDS.items():
+            own = self.counts.where(F.col("kind") == kind).select(F.col("g").alias("__s"), F.col("a").alias(f"a_{kind}"), F.col("b").alias(f"b_{kind}"))
+            out = out.join(own, part(F.col("g")) == F.col("__s"), "left").drop("__s")
+        p = []
+        for x, total in zip("ab", self.totals):
+            n = lambda kind: F.coalesce(F.col(f"{x}_{kind}"), F.lit(0))  # noqa: B023, E731
+            q = (n("s1") + 1) / F.lit(float(total + ALPHABET))
+            for k in (2, 3, 4):
+                q = (n(f"s{k}") + LAMBDA * q) / (n(f"c{k}") + LAMBDA)
+            p.append(q)
+        return out.select("g", "n", F.round(F.log(p[0] / p[1]) / _UNIT).cast("bigint").alias("r"))
 
 
 def _ids(text: Column) -> list[Column]:
@@ -106,7 +120,7 @@ def _ids(text: Column) -> list[Column]:
 
 def _scored(urls: DataFrame, url: str, model: Model) -> DataFrame:
     """``urls`` with ``__score``, the mean over the characters."""
-    if not model.tables:
+    if model.counts is None:
         return urls.withColumn("__score", F.lit(0.0))
     text = F.coalesce(F.col(url), F.lit(""))
     texts = stored(urls.select(text.alias("u")).distinct(), "urls")
@@ -125,11 +139,8 @@ def _scored(urls: DataFrame, url: str, model: Model) -> DataFrame:
     return rows.withColumn("__score", F.coalesce("__sum", F.lit(0)) * _UNIT / n).drop("__a", "__b", "__sum")
 
 
-def fit(urls: DataFrame, url: str, verdict: str, bits: Sequence[int] = ()) -> Model:
-    """Learn from rows whose ``verdict`` is allow or block; a quarter of the URLs, by checksum, sets the limit.
-
-    ``bits`` sized hashed score tables and has no effect on exact ones.
-    """
+def fit(urls: DataFrame, url: str, verdict: str) -> Model:
+    """Learn from rows whose ``verdict`` is allow or block; a quarter of the URLs, by checksum, sets the limit."""
     labelled = urls.where(F.col(verdict).isin("allow", "block") & F.col(url).isNotNull()).select(F.col(url).alias("u"), (F.col(verdict) == "allow").cast("int").alias("ok"))
     back = F.crc32(F.col("u").cast("binary")) % 4 == 0
     chars = labelled.where(~back).select("ok", _characters(F.col("u")).alias("__chars"))
@@ -137,21 +148,10 @@ def fit(urls: DataFrame, url: str, verdict: str, bits: Sequence[int] = ()) -> Mo
     grams = rows.groupBy("g").agg(F.sum("ok").alias("a4"), F.sum(1 - F.col("ok")).alias("b4"))
     sizes = grams.agg(F.sum("a4").alias("a"), F.sum("b4").alias("b")).first()
     if not sizes["a"] or not sizes["b"]:
-        return Model([], 0.0)
-    for k in (3, 2, 1):  # counts of shorter strings and of every context
-        own = Window.partitionBy(_last(F.col("g"), k))
-        grams = grams.withColumns({f"{x}{k}": F.sum(f"{x}4").over(own) for x in "ab"})
-    for k in (4, 3, 2):
-        before = Window.partitionBy(_before(F.col("g"), k))
-        grams = grams.withColumns({f"{x}t{k}": F.sum(f"{x}4").over(before) for x in "ab"})
-    for x in "ab":
-        grams = grams.withColumn(f"{x}p1", (F.col(f"{x}1") + 1) / (sizes[x] + ALPHABET))
-        for k in (2, 3, 4):
-            grams = grams.withColumn(f"{x}p{k}", (F.col(f"{x}{k}") + LAMBDA * F.col(f"{x}p{k - 1}")) / (F.col(f"{x}t{k}") + LAMBDA))
-    ratio = lambda k: F.round(F.log(F.col(f"ap{k}") / F.col(f"bp{k}")) / _UNIT).cast("bigint")
-    scores = stored(grams.select("g", *[ratio(k).alias(f"r{k}") for k in (1, 2, 3, 4)]), "url-scores")
-    tables = [scores.groupBy(_last(F.col("g"), k).alias("g")).agg(F.max(f"r{k}").alias("r")) for k in (1, 2, 3, 4)]
-    model = Model(tables, 0.0)
+        return Model(None, (0, 0), 0.0)
+    parts = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), part(F.col("g")).alias("g")) for kind, part in _KINDS.items()]))
+    counts = grams.select(parts.alias("s"), "a4", "b4").groupBy("s.kind", "s.g").agg(F.sum("a4").alias("a"), F.sum("b4").alias("b"))
+    model = Model(stored(counts, "url-counts"), (sizes["a"], sizes["b"]), 0.0)
     bins = F.floor(F.greatest(F.least(F.col("__score"), F.lit(5.0)), F.lit(-5.0)) * _BINS).cast("int")
     held = {r["b"]: (r["a"], r["r"]) for r in _scored(labelled.where(back), "u", model).groupBy(bins.alias("b")).agg(F.sum("ok").alias("a"), F.sum(1 - F.col("ok")).alias("r")).collect()}
     good, bad = (sum(v[j] for v in held.values()) for j in (0, 1))
@@ -161,14 +161,14 @@ def fit(urls: DataFrame, url: str, verdict: str, bits: Sequence[int] = ()) -> Mo
     return model
 
 
-def judge(urls: DataFrame, rules: Sequence[Rule], url: str = "url", bits: Sequence[int] = ()) -> DataFrame:
+def judge(urls: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataFrame:
     """All columns of ``urls`` and ``host``, ``path``, ``rule``, ``score``, ``verdict``, which replace columns of those names."""
     kept = [c for c in urls.columns if c not in ("host", "path", "rule", "score", "verdict")]
     host, path = host_path(F.col(url))
     parts = urls.withColumns({"__host": host, "__path": path})
     rule, verdict = matching_rule(F.col("__host"), F.col("__path"), rules)
     ruled = parts.withColumns({"__rule": rule, "__verdict": verdict})
-    model = fit(ruled, url, "__verdict", bits)
+    model = fit(ruled, url, "__verdict")
     method = F.when(F.col("__score") < model.limit, "block").otherwise("allow")
     out = _scored(ruled, url, model)
     return out.select(*kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__score").alias("score"), F.coalesce("__verdict", method).alias("verdict"))

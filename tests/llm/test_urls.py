@@ -56,7 +56,7 @@ def pages(spark):
 def test_models_against_plain_counts(spark, pages):
     rules = [Rule("block", "bad.com", "/"), Rule("allow", "good.com", "/")]
     df = spark.createDataFrame(pages, "page_id int, url string, bad boolean")
-    out = judge(df, rules, bits=(14, 16, 18, 20)).collect()  # large tables: hardly any string shares a slot
+    out = judge(df, rules).collect()
     counts = {True: Counter(), False: Counter()}
 
     def grams(u):
@@ -77,23 +77,18 @@ def test_models_against_plain_counts(spark, pages):
         return (c[g[4 - k :]] + LAMBDA * p(c, g, k - 1)) / (c["before", *g[4 - k : 3]] + LAMBDA)
 
     def ratio(g):
-        for k in (4, 3, 2, 1):
-            if counts[True][g[4 - k :]] + counts[False][g[4 - k :]]:
-                return math.log(p(counts[False], g, k) / p(counts[True], g, k))
-        return 0.0
+        return math.log(p(counts[False], g, 4) / p(counts[True], g, 4))
 
-    near = 0
     for r in out:
         gs = grams(r.url)
-        near += abs(r.score - sum(map(ratio, gs)) / len(gs)) < 0.001
-    assert near > 0.9 * len(out)  # about 6,000 strings in 2^20 slots: one in 170 shares, so about a tenth of URLs of 18 characters may
+        assert abs(r.score - sum(map(ratio, gs)) / len(gs)) < 1e-6
     assert all(r.verdict == ("block" if r.bad else "allow") for r in out)
 
 
 def test_without_examples(spark, pages):
     df = spark.createDataFrame(pages[:20], "page_id int, url string, bad boolean")
     assert {r.verdict for r in judge(df, []).collect()} == {"allow"}
-    assert fit(df.selectExpr("url", "'allow' v"), "url", "v").tables == []
+    assert fit(df.selectExpr("url", "'allow' v"), "url", "v").counts is None
 
 
 def test_scores_are_exact_without_parameters(spark):
@@ -114,10 +109,32 @@ def test_scores_are_exact_without_parameters(spark):
         return (c[g[3:]] + 1) / (c["all"] + ALPHABET) if k == 1 else (c[g[4 - k :]] + LAMBDA * p(c, g, k - 1)) / (c["before", *g[4 - k : 3]] + LAMBDA)
 
     def ratio(g):
-        seen = [k for k in (4, 3, 2, 1) if counts[0][g[4 - k :]] + counts[1][g[4 - k :]]]
-        return math.log(p(counts[1], g, seen[0]) / p(counts[0], g, seen[0])) if seen else 0.0
+        return math.log(p(counts[1], g, 4) / p(counts[0], g, 4))
 
     assert len(out) == len(rows)
     for r in out:
         gs = grams(r.url) if r.url else []
         assert abs(r.score - sum(map(ratio, gs)) / max(len(gs), 1)) < 1e-6
+
+
+def test_unseen_characters_after_seen_contexts(spark):
+    """A context that only one class has speaks for it, whatever comes after; each class's probabilities sum to one."""
+    rows = [(i, f"http://b{i}.bad.com/qqq{i % 10}") for i in range(200)] + [(1000 + i, f"http://g{i}.good.com/eee{i % 10}") for i in range(200)]
+    rows += [(5000, "http://x.net/qqq~"), (5001, "http://x.net/eee~")]
+    df = spark.createDataFrame(rows, "page_id int, url string")
+    rules = [Rule("block", "bad.com", "/"), Rule("allow", "good.com", "/")]
+    out = {r.page_id: r for r in judge(df, rules).collect()}
+    assert out[5000].score < out[5001].score
+    model = fit(df.selectExpr("url", "case when url like '%bad%' then 'block' when url like '%good%' then 'allow' end v"), "url", "v")
+    letters = spark.createDataFrame([("qqq" + chr(c),) for c in range(33, 127)], "g string")
+    kinds = {(r.kind, r.g): (r.a, r.b) for r in model.counts.collect()}
+
+    def p(g, k, x):
+        n = lambda kind, t: kinds.get((kind, t), (0, 0))[x]
+        return (n("s1", g[-1]) + 1) / (model.totals[x] + ALPHABET) if k == 1 else (n(f"s{k}", g[-k:]) + LAMBDA * p(g, k - 1, x)) / (n(f"c{k}", g[-k:-1]) + LAMBDA)
+
+    for x in (0, 1):
+        total = sum(p("qqq" + chr(c), 4, x) for c in range(ALPHABET))
+        assert abs(total - 1) < 1e-9
+    got = {r.g: r.r * 1e-9 for r in model.strings(letters).collect()}
+    assert all(abs(v - math.log(p(g, 4, 0) / p(g, 4, 1))) < 1e-6 for g, v in got.items())
