@@ -9,9 +9,9 @@ The automaton's first two levels (which words and which neighbouring pairs occur
 are arrays, so that most text is passed over by array operations; only runs of
 known pairs as long as the shortest window go through the states word by word.
 
-Items are taken in blocks of at most ``block_words`` words, one broadcast automaton
-and one narrow pass each, so memory does not grow with the benchmark; documents
-are never shuffled.
+Items are taken in blocks of at most ``block_words`` words, one broadcast automaton and one
+narrow pass each. What a pass found is written before the next block's automaton is made and the
+last one is dropped, so memory does not grow with the benchmark; documents are never shuffled.
 
 Results: null and empty texts have no words and no hits; null or empty items have
 no windows; items without an id hit words but are not listed; rows with equal
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanforge.llm.common import joined_bytes, slices, word_table
+from loanforge.llm.common import discard, joined_bytes, slices, stored, word_table
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -241,12 +241,19 @@ def _scan(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text:
                     [*b.columns[: len(names) - 5], pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, pairs), pa.array(runs, pairs), pa.array(ids, pa.list_(pa.string()))], names=names
                 )
 
-        return run
+        return run, shared
 
-    out = empty
+    out, before, held = empty, None, []
     for block in _blocks(items, item_id, item_text, block_words) if items is not None else ():
-        out = out.mapInArrow(step(block), empty.schema)
-    return out.mapInArrow(step([]), empty.schema) if out is empty else out
+        if before is not None:  # what the blocks before this one found is written; one automaton at a time is in memory
+            out = stored(out, "scan")
+            held.append(out)
+            before.destroy()
+            if len(held) > 1:
+                discard(held[-2])
+        run, before = step(block)
+        out = out.mapInArrow(run, empty.schema)
+    return out.mapInArrow(step([])[0], empty.schema) if out is empty else out
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
