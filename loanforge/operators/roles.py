@@ -24,10 +24,8 @@ TARGET_NAMES = {
     "arrears", "npl", "chargedoff", "chargeoff", "writeoff", "writtenoff", "nonperforming", "churn", "fraud",
     "outcome", "dpdflg", "dpdflag", "dpd90", "dpd90flag", "ever90", "forbearance",
 }
-LATE_ORIGIN_NAMES = [
-    "dpd", "dayspastdue", "origpd", "originationpd", "pdorig", "pdatorigination", "pdorigination", "initialpd",
-    "basepd", "originalpd", "pdinitial",
-]
+PAST_DUE_NAMES = ["dpd", "dayspastdue"]
+ORIGINATION_PD_NAMES = ["origpd", "originationpd", "pdorig", "pdatorigination", "pdorigination", "initialpd", "basepd", "originalpd", "pdinitial"]
 POST_DEFAULT_NAMES = [
     "recoveryrate", "recoveryamount", "recoveryamt", "recoveredamount", "recovery", "lgd", "lossgivendefault",
     "lossseverity", "realizedlgd", "eadatdefault", "exposureatdefault", "balanceatdefault", "defaultbalance", "ccf",
@@ -50,7 +48,7 @@ def is_id_name(name: str) -> bool:
 
 def late_origin_columns(columns: Sequence[str]) -> list[str]:
     """Days-past-due and origination-PD columns: known by definition of the outcome."""
-    return [c for c in columns if any(s in name_key(c) for s in LATE_ORIGIN_NAMES)]
+    return [c for c in columns if any(s in name_key(c) for s in (*PAST_DUE_NAMES, *ORIGINATION_PD_NAMES))]
 
 
 def post_default_columns(columns: Sequence[str]) -> list[str]:
