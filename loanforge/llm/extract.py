@@ -70,8 +70,10 @@ OTHER_WORDS = {
     "recommended", "related", "replies", "reply", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
 HEADER_WORDS = {"header"}
-#: Names of frames around a whole page, whatever else they name.
-FRAME_WORDS = {"container", "has", "layout", "page", "site", "with", "wrap", "wrapper"}
+#: A frame around text and other parts names both, as in has-sidebar or content-sidebar-wrap.
+WITH_WORDS = {"has", "with"}
+FRAME_WORDS = {"container", "layout", "wrap", "wrapper"}
+FRAMED_WORDS = {"content", "main"}
 #: Elements that a start tag of the same group ends, up to the element that holds the group.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), **{x: ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}) for x in ("thead", "tbody", "tfoot")}}
 
@@ -101,7 +103,8 @@ def _says(tag: str, attributes: str, within: float) -> float:
                 words.update(w.lower() for w in _NAME_WORD.findall(value))
     if within == -SEED:
         return within
-    if tag in OTHER_TAGS or roles & OTHER_ROLES or (words & OTHER_WORDS and not words & FRAME_WORDS):
+    frame = words & WITH_WORDS or words & FRAME_WORDS and words & FRAMED_WORDS
+    if tag in OTHER_TAGS or roles & OTHER_ROLES or (words & OTHER_WORDS and not frame):
         return -SEED * LOOSE if within < SEED and (tag == "form" or tag in BLOCK - OTHER_TAGS and not roles) else -SEED
     if tag == "main" or "main" in roles or within != -SEED * LOOSE and (tag in CONTENT_TAGS or roles & CONTENT_ROLES):
         return SEED

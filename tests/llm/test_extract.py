@@ -60,6 +60,16 @@ def test_hand_made_pages():
     assert main_text(deep, PRIOR) == "deep"
 
 
+def test_frames_and_parts_by_class_name():
+    text = "<p>A sentence of the text, which is long enough, and has commas, as texts have.</p>" * 3
+    other = "".join(f'<div class="{c}"><p>Something that is no text at all, though it reads like one, and goes on.</p></div>' for c in ("site-footer", "ad-container", "page_sidebar", "commentsWrapper", "NavWrapper", "cookie notice"))
+    for frame in ("content-sidebar-wrap", "page with-sidebar", "layout main-sidebar-container"):
+        got = main_text(f'<body class="search form"><div class="{frame}"><article>{text}</article>{other}</div></body>', PRIOR)
+        assert got.split("\n\n") == ["A sentence of the text, which is long enough, and has commas, as texts have."] * 3
+    wrapped = main_text(f'<form id="aspnetForm"><header><p>Site</p></header><main>{text}</main></form>', PRIOR)
+    assert wrapped.count("\n\n") == 2
+
+
 def plain(page):
     """The article of a given page by its known shape."""
     body = re.search(r"<article>(.*?)(?:</article>|$)", page, re.S).group(1)
