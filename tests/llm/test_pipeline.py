@@ -46,7 +46,7 @@ def test_run_equals_plain_code(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     judged = language.identify(docs, language.fit(docs)).collect()
     rows = [(r.doc_id, r.text, r.source, 0) for r in judged if not r.rejected]
-    rows = [r[:2] for r in helper("lines")(rows, 10, 0.5)]
+    rows = [r[:2] for r in helper("lines")(rows, 10)]
     keep = {k for k, _, c in helper("near")(rows) if k == c}
     items = [words_of(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     want = {k: without_windows(t, items) for k, t in rows if k in keep}
