@@ -126,9 +126,11 @@ class FittedModel:
 PLAN_PARTS = {c.__name__: c for c in (fe.FeaturePlan, fe.Bucketer, fe.Interaction, fe.WoeMaps, prep.PrepPlan, prep.Branch, CodeTable)}
 
 
-def plain(v, tables: list[DataFrame]):
+def plain(v, tables: list[DataFrame] | None = None):
     """Plan objects as JSON values: dataclasses by name, tuples and mappings marked; tables are gathered and named by their place."""
     if isinstance(v, DataFrame):
+        if tables is None:
+            raise ValueError("a plan with code tables needs a place for them")
         tables.append(v)
         return {"table": len(tables) - 1}
     if is_dataclass(v):
@@ -140,7 +142,7 @@ def plain(v, tables: list[DataFrame]):
     return [plain(x, tables) for x in v] if isinstance(v, list) else v
 
 
-def revived(v, table: Callable[[int], DataFrame]):
+def revived(v, table: Callable[[int], DataFrame] | None = None):
     """The inverse of :func:`plain`."""
     if isinstance(v, list):
         return [revived(x, table) for x in v]
