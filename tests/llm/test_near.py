@@ -3,8 +3,6 @@
 import random
 import re
 
-import numpy as np
-
 from loanforge.llm import near
 
 
@@ -77,26 +75,3 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     out = {r.id: r.component for r in near.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert {x: out.get(x, x) for x in label} == label
-
-
-def test_dense_group_near_the_limit(spark):
-    """2,000 edits of one text, median similarity about 0.6: components against all pairs."""
-    rnd = random.Random(7)
-    base = [f"w{i}" for i in range(104)]
-    docs, kept = [], np.zeros((2000, 100), bool)
-    for i in range(2000):
-        at = rnd.sample(range(104), rnd.choice([1, 2, 2, 3, 3, 4]))
-        docs.append((3 * i + 1, " ".join(f"x{i}_{j}" if j in at else w for j, w in enumerate(base))))
-        kept[i] = [not any(s <= j < s + 5 for j in at) for s in range(100)]
-    both = kept.astype(int) @ kept.T.astype(int)  # changed strings are in one text only
-    links = 100 * both >= 75 * (200 - both)
-    assert 0.5 < np.median(both / (200 - both)) < 0.7
-    label = np.arange(2000)
-    while True:
-        low = np.array([label[r].min() for r in links | np.eye(2000, dtype=bool)])
-        if (low == label).all():
-            break
-        label = low
-    out = {r.doc_id: r.component_id for r in near.components_of(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
-    right = sum(out[3 * i + 1] == 3 * label[i] + 1 for i in range(2000))
-    assert right >= 0.99 * 2000
