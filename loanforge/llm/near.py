@@ -12,11 +12,17 @@ below the limit; what remains is confirmed on full sets.
 Pairs already in one component need no comparing. So ``ROUNDS`` rounds first ask each set
 only for its most similar one in another component, which joins groups by a number of
 pairs that grows with the sets; after that all pairs across the components that then stand
-are compared: a node of one component is done, and where one holds all but ``SMALL``
-sets, those few are compared with all.
+are compared: a node of one component is done, a small node proposes its pairs.
+
+Dense nodes propose no pairs. Nodes that share sets, over all trees, are one group, and
+the full sets of a group are compared block by block: a cell holds two blocks, counts all
+intersections and returns the components that links join, at most one row per set. The
+largest component fills blocks of its own, which do not meet each other. A set travels once
+per block of sets outside that component, at most ``JOINT_BLOCKS`` times; of a group with more
+of them, each node is a group of its own up to ``NODE_BLOCKS``, and larger nodes branch.
 
 A pair at similarity 0.75 misses all 20 trees with probability below 1e-11 where nodes
-are small at once, below 1e-4 through four branchings of dense nodes, and below 2e-3 through eight;
+are small at once or in groups compared as a whole, below 1e-4 through four branchings of larger nodes, and below 2e-3 through eight;
 pivots and the components that stand by then make up for most of that.
 
 Results: keys are whole numbers; documents without words or with null text have no set and stand alone; fewer
@@ -51,6 +57,13 @@ MAX_LEVELS = 24
 CELL = 64
 #: Rows of a node that one task compares with the others.
 SHARE = 512
+#: Sets and shingles of a block whose full sets are compared with those of another; blocks outside the largest component up to which a group, and a node alone, is compared in full.
+BLOCK_SETS = 512
+BLOCK_SHINGLES = 1 << 18
+JOINT_BLOCKS = 32
+NODE_BLOCKS = 2
+#: Shingles that a cell counts at once.
+COLUMNS = 4096
 #: Sets of a large node that all others are compared with, and rounds in which every set looks for its most similar one.
 PIVOTS = 6
 ROUNDS = 3
@@ -149,25 +162,30 @@ def _nodes(rows: DataFrame, seed: int = 0) -> DataFrame:
     def least(j: int) -> Column:
         return F.min(F.struct(F.xxhash64(F.lit(seed * PIVOTS + j), "node", "id").alias("h"), *_ROW)).alias(f"p{j}")
 
-    parts = rows.groupBy("tree", "node", "comp").agg(F.count("*").alias("rows"), *[least(j) for j in range(PIVOTS)])
-    nodes = parts.groupBy("tree", "node").agg(F.sum("rows").alias("size"), F.count("*").alias("parts"), F.max(F.struct("rows", "comp")).alias("top"), *[F.min(f"p{j}").alias(f"p{j}") for j in range(PIVOTS)])
-    nodes = nodes.where("parts > 1").select("tree", "node", "size", "top", F.array(*[f"p{j}" for j in range(PIVOTS)]).alias("pivots"))
+    parts = rows.groupBy("tree", "node", "comp").agg(F.count("*").alias("rows"), F.min("id").alias("head"), *[least(j) for j in range(PIVOTS)])
+    nodes = parts.groupBy("tree", "node").agg(F.sum("rows").alias("size"), F.count("*").alias("parts"), F.max(F.struct("rows", "comp")).alias("top"), F.min("head").alias("head"), *[F.min(f"p{j}").alias(f"p{j}") for j in range(PIVOTS)])
+    nodes = nodes.where("parts > 1").select("tree", "node", "size", "top", "head", F.array(*[f"p{j}" for j in range(PIVOTS)]).alias("pivots"))
     both = rows.join(nodes, ["tree", "node"]).withColumn("few", F.col("size") - F.col("top.rows") <= SMALL)
     both = both.withColumn("pivots", F.when(~F.col("few"), F.col("pivots")))
-    return stored(both.select("tree", "node", *_ROW, "size", "top", "pivots", "few"), "nodes", drop_shuffle=True)
+    return stored(both.select("tree", "node", *_ROW, "size", "top", "head", "pivots", "few"), "nodes", drop_shuffle=True)
 
 
 def _met(nodes: DataFrame, percent: int) -> DataFrame:
-    """``x`` with the sets of other components that look ``like`` it: small nodes in full; where one component holds nearly all, the others against all; large nodes with their pivots."""
+    """``x`` with the sets of other components that look ``like`` it: small nodes in full; where one component holds nearly all, the others against all; large nodes with their pivots.
+
+    Sets with the same ``met``, where there is such a column, have been compared elsewhere.
+    """
+    row = [*_ROW, "met"] if "met" in nodes.columns else _ROW
     few = nodes.where("few")
     parts = F.ceil(F.col("size") / SHARE).cast("int")  # a node of many rows is dealt to several tasks, the few others go to each
-    some = few.where((F.col("size") <= SMALL) | (F.col("comp") != F.col("top.comp"))).groupBy("tree", "node").agg(F.collect_list(F.struct(*_ROW)).alias("others"), F.first(parts).alias("parts"))
+    some = few.where((F.col("size") <= SMALL) | (F.col("comp") != F.col("top.comp"))).groupBy("tree", "node").agg(F.collect_list(F.struct(*row)).alias("others"), F.first(parts).alias("parts"))
     some = some.select("tree", "node", "others", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    met = few.select("tree", "node", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.struct(*_ROW).alias("x")).join(some, ["tree", "node", "part"]).select("x", "others")
-    star = nodes.where(~F.col("few")).select(F.struct(*_ROW).alias("x"), F.transform("pivots", lambda p: F.struct(*[p[c].alias(c) for c in _ROW])).alias("others"))
+    met = few.select("tree", "node", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.struct(*row).alias("x")).join(some, ["tree", "node", "part"]).select("x", "others")
+    star = nodes.where(~F.col("few")).select(F.struct(*row).alias("x"), F.transform("pivots", lambda p: F.struct(*[(p[c] if c in _ROW else F.lit(None).cast("bigint")).alias(c) for c in row])).alias("others"))
     x = F.col("x")
     size = lambda y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
-    like = F.filter("others", lambda y: (y["comp"] != x["comp"]) & (y["id"] != x["id"]) & size(y) & (_equal_bits(x, y) >= LIKE))
+    apart = lambda y: F.coalesce(y["met"] != x["met"], F.lit(True)) if "met" in row else F.lit(True)
+    like = F.filter("others", lambda y: (y["comp"] != x["comp"]) & (y["id"] != x["id"]) & apart(y) & size(y) & (_equal_bits(x, y) >= LIKE))
     return met.unionByName(star).select("x", like.alias("like"))
 
 
@@ -244,9 +262,92 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _sized(members: DataFrame) -> DataFrame:
+    """Per group (``tree``, ``node``) its ``main``, the largest component, and the blocks of it (``mains``) and of the other sets (``others``)."""
+    parts = members.groupBy("tree", "node", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    sums = parts.groupBy("tree", "node").agg(F.max(F.struct("rows", "comp", "n")).alias("top"), F.sum("rows").alias("rows"), F.sum("n").alias("n"))
+    blocks = lambda rows, n: F.ceil(F.greatest(rows / BLOCK_SETS, n / BLOCK_SHINGLES)).cast("int")
+    rest = F.col("rows") - F.col("top.rows")
+    return sums.select("tree", "node", F.col("top.comp").alias("main"), rest.alias("rest"), blocks(rest, F.col("n") - F.col("top.n")).alias("others"), blocks(F.col("top.rows"), F.col("top.n")).alias("mains"))
+
+
+def _groups(dense: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
+    """The sets (``id``, ``comp``) of the groups to compare in full, with their blocks, and the rows of nodes that are too large for that.
+
+    A group of several nodes has tree -1. ``every``: no group is too large.
+    """
+    joint = components(dense.select(F.col("id").alias("a"), F.col("head").alias("b"))).withColumnRenamed("component", "joint")
+    dense = stored(dense.join(joint, "id", "left").withColumn("joint", F.coalesce("joint", "id")), "dense", drop_shuffle=True)
+    whole = dense.select(F.lit(-1).alias("tree"), F.col("joint").alias("node"), "id", "comp", "n").distinct()
+    fits = _sized(whole)
+    if not every:
+        fits = fits.where(F.col("others") <= JOINT_BLOCKS)
+    fits = stored(fits, "groups", drop_shuffle=True)
+    rest = dense.join(fits.select(F.col("node").alias("joint")), "joint", "left_anti")
+    alone = stored(_sized(rest).where((F.col("others") <= NODE_BLOCKS) | (F.col("rest") <= SMALL)), "groups", drop_shuffle=True)
+    members = whole.unionByName(rest.select(*whole.columns)).drop("n").distinct().join(fits.unionByName(alone), ["tree", "node"])
+    large = rest.join(alone.select("tree", "node"), ["tree", "node"], "left_anti").drop("joint")
+    return stored(members, "members", drop_shuffle=True), stored(large, "large", drop_shuffle=True)
+
+
+def joined(groups: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Components of ``groups`` (``a``, ``b``) that hang together by links on full sets (``id``, ``set``): cells of two blocks are compared in full."""
+    cell = ["tree", "node", "p", "q"]
+    main = F.col("comp") == F.col("main")
+    hashed = F.xxhash64("id")
+    block = F.when(main, F.col("others") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int")
+    # A block of the main component meets the others only.
+    with_ = F.sequence(F.lit(0), F.when(main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
+    rows = groups.withColumn("block", block).select("tree", "node", "id", "comp", "block", F.explode(with_).alias("with"))
+    rows = rows.select("tree", "node", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "id", "comp", "block")
+
+    def run(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
+        of = [np.frombuffer(s.as_py(), np.uint64) for s in held.column("set")]
+        n = np.array([len(s) for s in of])
+        comp, block = held.column("comp").to_numpy(), held.column("block").to_numpy()
+        left, right = np.flatnonzero(block == key[2].as_py()), np.flatnonzero(block == key[3].as_py())
+        word, owner = np.unique(np.concatenate(of), return_inverse=True)[1], np.repeat(np.arange(len(of)), n)
+        both = np.zeros((len(left), len(right)))
+        sides = []
+        for side in (left, right):
+            place = np.full(len(of), -1)
+            place[side] = np.arange(len(side))
+            here = place[owner] >= 0
+            sides.append((word[here], place[owner[here]], len(side)))
+        shared = np.zeros(len(word) + 1, bool)
+        shared[np.intersect1d(sides[0][0], sides[1][0])] = True
+        if key[2] == key[3]:  # what only one set holds is in no intersection of two
+            shared[: len(word)] &= np.bincount(word, minlength=len(word)) > 1
+        column = np.cumsum(shared) - 1
+        last = int(shared.sum())
+        sides = [(column[w[shared[w]]], r[shared[w]], k) for w, r, k in sides]
+        sides = [(c[o], r[o], k) for c, r, k in sides for o in (np.argsort(c, kind="stable"),)]
+        for i in range(0, last, COLUMNS):
+            parts = []
+            for c, r, k in sides:
+                a, b = np.searchsorted(c, (i, i + COLUMNS))
+                part = np.zeros((k, min(COLUMNS, last - i)), np.float32)
+                part[r[a:b], c[a:b] - i] = 1
+                parts.append(part)
+            both += parts[0] @ parts[1].T
+        link = (100 * both >= percent * (n[left][:, None] + n[right] - both)) & (comp[left][:, None] != comp[right])
+        x, y, none = comp[left], comp[right], np.iinfo(np.int64).max
+        while True:
+            least_x = np.minimum(x, np.where(link, y, none).min(axis=1, initial=none))
+            least_y = np.minimum(y, np.where(link, least_x[:, None], none).min(axis=0, initial=none))
+            if (least_x == x).all() and (least_y == y).all():
+                break
+            x, y = least_x, least_y
+        edges = np.unique(np.stack([np.concatenate([comp[left], comp[right]]), np.concatenate([x, y])], axis=1), axis=0)
+        edges = edges[edges[:, 0] != edges[:, 1]]
+        return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
+
+    return rows.join(sets.select("id", "set"), "id").groupBy(*cell).applyInArrow(run, "a bigint, b bigint")
+
+
 def _labelled(rows: DataFrame, label: DataFrame | None, column: str, name: str) -> DataFrame:
     """``rows`` with the component of ``column`` so far."""
-    rows = rows.drop(name, "size", "top", "pivots", "few") if name in rows.columns else rows
+    rows = rows.drop(name, "size", "top", "head", "pivots", "few") if name in rows.columns else rows
     if label is None:
         return rows.withColumn(name, F.col(column))
     of = label.select(F.col("id").alias(column), F.col("component").alias("__c"))
@@ -265,14 +366,16 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
         for b in slices(it, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1))], pa.binary())], names=["id", "set"])
 
-    def full_sets(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        held = texts.hint("merge").join(ids, "id", "left_semi").mapInArrow(pack, "id bigint, set binary")
+    def full_sets(ids: DataFrame) -> DataFrame:
+        held = texts.hint("merge").join(ids.distinct(), "id", "left_semi").mapInArrow(pack, "id bigint, set binary")
         return stored(held, "full-sets", drop_shuffle=True)
 
-    def confirmed(label: DataFrame | None, pairs: DataFrame, sets: DataFrame) -> DataFrame | None:
-        """Components with those of ``pairs`` that are links on full sets."""
-        links = stored(linked(pairs, sets, percent), "links", drop_shuffle=True)
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+    def grown(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
+        """Components with those that ``links`` join."""
+        links = stored(links, "links", drop_shuffle=True)
         if links.isEmpty():
             return label
         return components(links if label is None else links.unionByName(label.select(F.col("id").alias("a"), F.col("component").alias("b"))))
@@ -288,20 +391,29 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
         rows_at = before = nodes
         if pairs.isEmpty():
             break
-        sets = full_sets(pairs) if sets is None else sets  # later rounds take the pairs whose sets are there; the last comparison takes all
-        label = confirmed(label, pairs, sets)
-    proposed = []
+        sets = full_sets(ends(pairs)) if sets is None else sets  # later rounds take the pairs whose sets are there; the last comparison takes all
+        label = grown(label, linked(pairs, sets, percent))
     for level in range(1, MAX_LEVELS + 1):
         nodes = _nodes(_labelled(rows_at, label, "id", "comp"), ROUNDS + level)
-        proposed.append(stored(all_pairs(nodes, percent), "pairs", drop_shuffle=True))
-        large = nodes.where(~F.col("few"))
-        if large.isEmpty():
-            break
-        if level == MAX_LEVELS:  # what no token tells apart: every pair that is left and looks alike
-            x, y = large.alias("x"), large.alias("y")
-            same = (F.col("x.tree") == F.col("y.tree")) & (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
-            like = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2"))) <= 128 - LIKE
-            proposed.append(x.join(y, same & like).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+        small, dense, large = nodes.where(F.col("size") <= SMALL), nodes.where(F.col("size") > SMALL), None
+        dense = None if dense.isEmpty() else dense
+        if dense is not None:
+            groups, large = _groups(dense, level == MAX_LEVELS)
+            # All sets of a joint group are compared, whatever their nodes.
+            met = groups.where("tree = -1").select("id", F.col("node").alias("met")).distinct()
+            small = small.join(met, "id", "left").unionByName(large.withColumn("met", F.lit(None).cast("bigint")))
+        pairs = stored(all_pairs(small, percent), "pairs", drop_shuffle=True)
+        found, ids = [], []
+        if not pairs.isEmpty():
+            found.append(lambda sets: linked(pairs, sets, percent))
+            ids.append(ends(pairs))
+        if dense is not None:
+            found.append(lambda sets: joined(groups, sets, percent))
+            ids.append(groups.select("id"))
+        if found:
+            sets = full_sets(reduce(DataFrame.unionByName, ids))
+            label = grown(label, reduce(DataFrame.unionByName, [links(sets) for links in found]))
+        if large is None or large.isEmpty():
             break
         # Tokens are fetched once per set, whatever the number of its nodes.
         places = large.groupBy("id").agg(F.collect_list(F.struct("tree", "node")).alias("places"))
@@ -309,9 +421,6 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
         rows_at = stored(_dealt(at, level, own), "dealt", drop_shuffle=True)
         discard(nodes, before)
         before = rows_at
-    pairs = stored(reduce(DataFrame.unionByName, proposed).distinct(), "pairs", drop_shuffle=True)
-    if not pairs.isEmpty():
-        label = confirmed(label, pairs, full_sets(pairs))
     group = _labelled(reps.select("id", "n", "d1", "d2"), label, "id", "component").select("n", "d1", "d2", "component")
     out = rows.where("n > 0 and id is not null").join(group, ["n", "d1", "d2"]).select("id", "n", "component")
     out = out.unionByName(rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component")))
