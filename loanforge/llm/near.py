@@ -38,7 +38,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanforge.llm.common import discard, joined_bytes, slices, stored, word_table
@@ -212,11 +212,10 @@ def _in_cells(pairs: DataFrame) -> DataFrame:
     dealt into blocks, and a cell holds the pairs between two blocks; so the members of a dense group travel once per
     pair of blocks and not once per pair.
     """
-    ends = pairs.select("a", F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("o")))
-    least = ends.groupBy("a").agg(F.least(F.min("o"), F.first("a")).alias("m"))
-    named = pairs.join(least.select("a", F.col("m").alias("ma")), "a").join(least.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b")
-    named = named.select("a", "b", F.least("ma", "mb").alias("rep"))
-    members = named.select("rep", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("rep").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    end = lambda x, o: F.struct(F.col(x).alias("x"), F.col(o).alias("o"))
+    ends = pairs.select("a", "b", F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).select("a", "b", F.least(F.min("e.o").over(Window.partitionBy("e.x")), "e.x").alias("m"))
+    named = ends.groupBy("a", "b").agg(F.min("m").alias("rep"))
+    members = named.select("rep", F.explode(F.array("a", "b")).alias("id")).groupBy("rep").agg(F.ceil(F.approx_count_distinct("id") / CELL).cast("int").alias("blocks"))
     block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
     return named.join(members, "rep").select("a", "b", "rep", F.least(block("a"), block("b")).alias("p"), F.greatest(block("a"), block("b")).alias("q"))
 
@@ -246,20 +245,23 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``id`` and the smallest id of its component, for every id of an edge, by alternating large and small stars."""
-    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", drop_shuffle=True)
-    before = None
+    """``id`` and the smallest id of its component, for every id of an edge, by alternating large and small stars.
+
+    A star is a window over the neighbours of an id, so an iteration shuffles the edges twice; every edge gives one edge.
+    """
+    least = F.min("v").over(Window.partitionBy("u"))
+    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().withColumn("moved", F.lit(True)), "edges", drop_shuffle=True)
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = stored(small, "edges", drop_shuffle=True)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = now
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        large = both.withColumn("m", F.least(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") < F.col("u")).alias("moved"))
+        low = large.repartition("u").groupBy("u", "v").agg(F.max("moved").alias("moved")).withColumn("m", least)
+        small = low.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (F.col("moved") | (F.col("v") > F.col("m"))).alias("moved"))
+        before, e = e, stored(small, "edges", drop_shuffle=True)
+        discard(before)
+        if e.where("moved").isEmpty():
+            out = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out._stored_at = e._stored_at
+            return out
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -276,8 +278,9 @@ def _groups(dense: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
 
     A group of several nodes has tree -1. ``every``: no group is too large.
     """
-    joint = components(dense.select(F.col("id").alias("a"), F.col("head").alias("b"))).withColumnRenamed("component", "joint")
-    dense = stored(dense.join(joint, "id", "left").withColumn("joint", F.coalesce("joint", "id")), "dense", drop_shuffle=True)
+    joint = components(dense.select(F.col("id").alias("a"), F.col("head").alias("b")))
+    dense = stored(dense.join(joint.withColumnRenamed("component", "joint"), "id", "left").withColumn("joint", F.coalesce("joint", "id")), "dense", drop_shuffle=True)
+    discard(joint)
     whole = dense.select(F.lit(-1).alias("tree"), F.col("joint").alias("node"), "id", "comp", "n").distinct()
     fits = _sized(whole)
     if not every:
@@ -287,7 +290,9 @@ def _groups(dense: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
     alone = stored(_sized(rest).where((F.col("others") <= NODE_BLOCKS) | (F.col("rest") <= SMALL)), "groups", drop_shuffle=True)
     members = whole.unionByName(rest.select(*whole.columns)).drop("n").distinct().join(fits.unionByName(alone), ["tree", "node"])
     large = rest.join(alone.select("tree", "node"), ["tree", "node"], "left_anti").drop("joint")
-    return stored(members, "members", drop_shuffle=True), stored(large, "large", drop_shuffle=True)
+    members, large = stored(members, "members", drop_shuffle=True), stored(large, "large", drop_shuffle=True)
+    discard(dense, fits, alone)
+    return members, large
 
 
 def joined(groups: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -376,9 +381,13 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
     def grown(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
         """Components with those that ``links`` join."""
         links = stored(links, "links", drop_shuffle=True)
+        old = [links] if label is None else [links, label]
         if links.isEmpty():
+            discard(links)
             return label
-        return components(links if label is None else links.unionByName(label.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        label = components(links if label is None else links.unionByName(label.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        discard(*old)
+        return label
 
     own = ["id", "n", "s1", "s2"]
     rows_at, sets = stored(_dealt(reps, 0, own), "dealt"), None
@@ -393,6 +402,7 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
             break
         sets = full_sets(ends(pairs)) if sets is None else sets  # later rounds take the pairs whose sets are there; the last comparison takes all
         label = grown(label, linked(pairs, sets, percent))
+        discard(pairs)
     for level in range(1, MAX_LEVELS + 1):
         nodes = _nodes(_labelled(rows_at, label, "id", "comp"), ROUNDS + level)
         small, dense, large = nodes.where(F.col("size") <= SMALL), nodes.where(F.col("size") > SMALL), None
@@ -411,15 +421,17 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
             found.append(lambda sets: joined(groups, sets, percent))
             ids.append(groups.select("id"))
         if found:
+            discard(*([] if sets is None else [sets]))
             sets = full_sets(reduce(DataFrame.unionByName, ids))
             label = grown(label, reduce(DataFrame.unionByName, [links(sets) for links in found]))
+        discard(pairs, *([] if dense is None else [groups]))
         if large is None or large.isEmpty():
             break
         # Tokens are fetched once per set, whatever the number of its nodes.
         places = large.groupBy("id").agg(F.collect_list(F.struct("tree", "node")).alias("places"))
         at = places.join(reps.select(*own, "tokens"), "id").select(*own, "tokens", F.explode("places").alias("p")).select("p.*", *own, "tokens")
         rows_at = stored(_dealt(at, level, own), "dealt", drop_shuffle=True)
-        discard(nodes, before)
+        discard(nodes, before, large)
         before = rows_at
     group = _labelled(reps.select("id", "n", "d1", "d2"), label, "id", "component").select("n", "d1", "d2", "component")
     out = rows.where("n > 0 and id is not null").join(group, ["n", "d1", "d2"]).select("id", "n", "component")
