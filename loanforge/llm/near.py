@@ -62,6 +62,9 @@ BLOCK_SETS = 512
 BLOCK_SHINGLES = 1 << 18
 JOINT_BLOCKS = 32
 NODE_BLOCKS = 2
+#: Rows of edges, pairs or members of nodes that one task takes at most: these tables have the tasks and files that their
+#: rows need, where a shuffle has as many as the session says.
+TASK_ROWS = 50_000
 #: Shingles that a cell counts at once.
 COLUMNS = 4096
 #: Sets of a large node that all others are compared with, and rounds in which every set looks for its most similar one.
@@ -153,21 +156,25 @@ def _dealt(rows: DataFrame, level: int, keep: list[str]) -> DataFrame:
     return rows.select(each.alias("e"), *keep).select("e.tree", "e.node", *keep)
 
 
+def _tasks(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
+
+
 _ROW = ["id", "n", "s1", "s2", "comp"]
 
 
-def _nodes(rows: DataFrame, seed: int = 0) -> DataFrame:
+def _nodes(rows: DataFrame, seed: int, tasks: int) -> DataFrame:
     """``rows`` of nodes that hold more than one component, with what a node decides by; ``seed`` picks the pivots."""
 
     def least(j: int) -> Column:
         return F.min(F.struct(F.xxhash64(F.lit(seed * PIVOTS + j), "node", "id").alias("h"), *_ROW)).alias(f"p{j}")
 
-    parts = rows.groupBy("tree", "node", "comp").agg(F.count("*").alias("rows"), F.min("id").alias("head"), *[least(j) for j in range(PIVOTS)])
+    parts = rows.groupBy("tree", "node", "comp").agg(F.count("*").alias("rows"), F.min("id").alias("head"), *[least(j) for j in range(PIVOTS)]).coalesce(tasks)
     nodes = parts.groupBy("tree", "node").agg(F.sum("rows").alias("size"), F.count("*").alias("parts"), F.max(F.struct("rows", "comp")).alias("top"), F.min("head").alias("head"), *[F.min(f"p{j}").alias(f"p{j}") for j in range(PIVOTS)])
-    nodes = nodes.where("parts > 1").select("tree", "node", "size", "top", "head", F.array(*[f"p{j}" for j in range(PIVOTS)]).alias("pivots"))
+    nodes = nodes.where("parts > 1").select("tree", "node", "size", "top", "head", F.array(*[f"p{j}" for j in range(PIVOTS)]).alias("pivots")).coalesce(tasks)
     both = rows.join(nodes, ["tree", "node"]).withColumn("few", F.col("size") - F.col("top.rows") <= SMALL)
     both = both.withColumn("pivots", F.when(~F.col("few"), F.col("pivots")))
-    return stored(both.select("tree", "node", *_ROW, "size", "top", "head", "pivots", "few"), "nodes", drop_shuffle=True)
+    return stored(both.select("tree", "node", *_ROW, "size", "top", "head", "pivots", "few").coalesce(tasks), "nodes", drop_shuffle=True)
 
 
 def _met(nodes: DataFrame, percent: int) -> DataFrame:
@@ -205,26 +212,28 @@ def all_pairs(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return pairs.select(F.least("id", "y.id").alias("a"), F.greatest("id", "y.id").alias("b")).distinct()
 
 
-def _in_cells(pairs: DataFrame) -> DataFrame:
+def _in_cells(pairs: DataFrame, tasks: int | None = None) -> DataFrame:
     """``pairs`` with the cell where each is confirmed: ``rep``, ``p``, ``q``.
 
     Pairs that hang together by a common least neighbour share a ``rep``. Where that has many members they are
     dealt into blocks, and a cell holds the pairs between two blocks; so the members of a dense group travel once per
     pair of blocks and not once per pair.
     """
+    tasks = tasks or _tasks(pairs.count())
     end = lambda x, o: F.struct(F.col(x).alias("x"), F.col(o).alias("o"))
-    ends = pairs.select("a", "b", F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).select("a", "b", F.least(F.min("e.o").over(Window.partitionBy("e.x")), "e.x").alias("m"))
-    named = ends.groupBy("a", "b").agg(F.min("m").alias("rep"))
-    members = named.select("rep", F.explode(F.array("a", "b")).alias("id")).groupBy("rep").agg(F.ceil(F.approx_count_distinct("id") / CELL).cast("int").alias("blocks"))
+    ends = pairs.coalesce(tasks).select("a", "b", F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).select("a", "b", F.least(F.min("e.o").over(Window.partitionBy("e.x")), "e.x").alias("m"))
+    named = ends.coalesce(tasks).groupBy("a", "b").agg(F.min("m").alias("rep")).coalesce(tasks)
+    members = named.select("rep", F.explode(F.array("a", "b")).alias("id")).groupBy("rep").agg(F.ceil(F.approx_count_distinct("id") / CELL).cast("int").alias("blocks")).coalesce(tasks)
     block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
-    return named.join(members, "rep").select("a", "b", "rep", F.least(block("a"), block("b")).alias("p"), F.greatest(block("a"), block("b")).alias("q"))
+    return named.join(members, "rep").select("a", "b", "rep", F.least(block("a"), block("b")).alias("p"), F.greatest(block("a"), block("b")).alias("q")).coalesce(tasks)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose full sets (``id``, ``set``) have ``100 * intersection >= percent * union``."""
     cell = ["rep", "p", "q"]
-    dealt = stored(_in_cells(pairs.select("a", "b")), "cells", drop_shuffle=True)
-    held = dealt.select(*cell, F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "set"), "id")
+    tasks = _tasks(pairs.count())
+    dealt = stored(_in_cells(pairs.select("a", "b"), tasks), "cells", drop_shuffle=True)
+    held = dealt.coalesce(tasks).select(*cell, F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "set"), "id")
 
     def run(key, asked: pa.Table, held: pa.Table) -> pa.Table:
         of = {i: np.frombuffer(s.as_py(), np.uint64) for i, s in zip(held.column("id").to_pylist(), held.column("set"))}
@@ -248,15 +257,17 @@ def components(edges: DataFrame) -> DataFrame:
     """``id`` and the smallest id of its component, for every id of an edge, by alternating large and small stars.
 
     A star is a window over the neighbours of an id, so an iteration shuffles the edges twice; every edge gives one edge.
+    Edges that one task takes are not shuffled.
     """
+    tasks = _tasks(edges.count())
     least = F.min("v").over(Window.partitionBy("u"))
-    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().withColumn("moved", F.lit(True)), "edges", drop_shuffle=True)
+    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").coalesce(tasks).distinct().withColumn("moved", F.lit(True)).coalesce(tasks), "edges", drop_shuffle=True)
     while True:
-        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
-        large = both.withColumn("m", F.least(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") < F.col("u")).alias("moved"))
-        low = large.repartition("u").groupBy("u", "v").agg(F.max("moved").alias("moved")).withColumn("m", least)
+        both = e.coalesce(tasks).select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        large = both.withColumn("m", F.least(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") < F.col("u")).alias("moved")).coalesce(tasks)
+        low = (large if tasks == 1 else large.repartition("u")).groupBy("u", "v").agg(F.max("moved").alias("moved")).withColumn("m", least)
         small = low.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (F.col("moved") | (F.col("v") > F.col("m"))).alias("moved"))
-        before, e = e, stored(small, "edges", drop_shuffle=True)
+        before, e = e, stored(small.coalesce(tasks), "edges", drop_shuffle=True)
         discard(before)
         if e.where("moved").isEmpty():
             out = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -264,10 +275,10 @@ def components(edges: DataFrame) -> DataFrame:
             return out
 
 
-def _sized(members: DataFrame) -> DataFrame:
+def _sized(members: DataFrame, tasks: int) -> DataFrame:
     """Per group (``tree``, ``node``) its ``main``, the largest component, and the blocks of it (``mains``) and of the other sets (``others``)."""
-    parts = members.groupBy("tree", "node", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-    sums = parts.groupBy("tree", "node").agg(F.max(F.struct("rows", "comp", "n")).alias("top"), F.sum("rows").alias("rows"), F.sum("n").alias("n"))
+    parts = members.groupBy("tree", "node", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).coalesce(tasks)
+    sums = parts.groupBy("tree", "node").agg(F.max(F.struct("rows", "comp", "n")).alias("top"), F.sum("rows").alias("rows"), F.sum("n").alias("n")).coalesce(tasks)
     blocks = lambda rows, n: F.ceil(F.greatest(rows / BLOCK_SETS, n / BLOCK_SHINGLES)).cast("int")
     rest = F.col("rows") - F.col("top.rows")
     return sums.select("tree", "node", F.col("top.comp").alias("main"), rest.alias("rest"), blocks(rest, F.col("n") - F.col("top.n")).alias("others"), blocks(F.col("top.rows"), F.col("top.n")).alias("mains"))
@@ -278,18 +289,20 @@ def _groups(dense: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
 
     A group of several nodes has tree -1. ``every``: no group is too large.
     """
+    tasks = _tasks(dense.count())
     joint = components(dense.select(F.col("id").alias("a"), F.col("head").alias("b")))
-    dense = stored(dense.join(joint.withColumnRenamed("component", "joint"), "id", "left").withColumn("joint", F.coalesce("joint", "id")), "dense", drop_shuffle=True)
+    dense = dense.join(joint.withColumnRenamed("component", "joint"), "id", "left").withColumn("joint", F.coalesce("joint", "id"))
+    dense = stored(dense.coalesce(tasks), "dense", drop_shuffle=True)
     discard(joint)
-    whole = dense.select(F.lit(-1).alias("tree"), F.col("joint").alias("node"), "id", "comp", "n").distinct()
-    fits = _sized(whole)
+    whole = dense.select(F.lit(-1).alias("tree"), F.col("joint").alias("node"), "id", "comp", "n").coalesce(tasks).distinct().coalesce(tasks)
+    fits = _sized(whole, tasks)
     if not every:
         fits = fits.where(F.col("others") <= JOINT_BLOCKS)
     fits = stored(fits, "groups", drop_shuffle=True)
-    rest = dense.join(fits.select(F.col("node").alias("joint")), "joint", "left_anti")
-    alone = stored(_sized(rest).where((F.col("others") <= NODE_BLOCKS) | (F.col("rest") <= SMALL)), "groups", drop_shuffle=True)
-    members = whole.unionByName(rest.select(*whole.columns)).drop("n").distinct().join(fits.unionByName(alone), ["tree", "node"])
-    large = rest.join(alone.select("tree", "node"), ["tree", "node"], "left_anti").drop("joint")
+    rest = dense.join(fits.select(F.col("node").alias("joint")), "joint", "left_anti").coalesce(tasks)
+    alone = stored(_sized(rest, tasks).where((F.col("others") <= NODE_BLOCKS) | (F.col("rest") <= SMALL)), "groups", drop_shuffle=True)
+    members = whole.unionByName(rest.select(*whole.columns)).drop("n").coalesce(tasks).distinct().coalesce(tasks).join(fits.unionByName(alone), ["tree", "node"]).coalesce(tasks)
+    large = rest.join(alone.select("tree", "node"), ["tree", "node"], "left_anti").drop("joint").coalesce(tasks)
     members, large = stored(members, "members", drop_shuffle=True), stored(large, "large", drop_shuffle=True)
     discard(dense, fits, alone)
     return members, large
@@ -393,7 +406,7 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
     rows_at, sets = stored(_dealt(reps, 0, own), "dealt"), None
     before = rows_at
     for r in range(ROUNDS):
-        nodes = _nodes(_labelled(rows_at, label, "id", "comp"), r)
+        nodes = _nodes(_labelled(rows_at, label, "id", "comp"), r, _tasks(rows_at.count()))
         pairs = stored(best_pairs(nodes, percent), "pairs", drop_shuffle=True)
         # Components only grow: a node of one component is done, so later rounds read what this one found.
         discard(before)
@@ -404,7 +417,7 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
         label = grown(label, linked(pairs, sets, percent))
         discard(pairs)
     for level in range(1, MAX_LEVELS + 1):
-        nodes = _nodes(_labelled(rows_at, label, "id", "comp"), ROUNDS + level)
+        nodes = _nodes(_labelled(rows_at, label, "id", "comp"), ROUNDS + level, _tasks(rows_at.count()))
         small, dense, large = nodes.where(F.col("size") <= SMALL), nodes.where(F.col("size") > SMALL), None
         dense = None if dense.isEmpty() else dense
         if dense is not None:
