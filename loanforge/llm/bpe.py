@@ -224,10 +224,17 @@ def _codec(shared, pattern: str) -> Codec:
     if name not in _CODECS:
         _CODECS.clear()
         _CODECS[name] = Codec(vocab, pattern)
-    HELD["bpe"] = _CODECS[name].forget
+    HELD["bpe"] = _forget
     return _CODECS[name]
 
 
+def _forget() -> None:
+    """Frees the codecs with their memos; the vocabulary comes again with the broadcast."""
+    for codec in _CODECS.values():
+        codec.forget()
+    _CODECS.clear()
+
+
 def _sliced(fn: Callable[[Codec, pa.RecordBatch], pa.RecordBatch], shared, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``mapInArrow`` function that hands slices of the last column's bytes to ``fn`` with the task's codec."""
 

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from loanforge.llm.common import joined_bytes, slices, stored
 
 BUCKETS = 4096
+#: Bytes of text, one row at least, that are counted at once: the arrays for them take some 70 times as many.
+COUNT_BYTES = 256 << 10
 PER_LANGUAGE = 1000
 CENTROIDS = 3
 #: Share of the lowest cosine of labelled texts of the same length class below which a text is rejected.
@@ -45,12 +47,24 @@ for _c in range(0x41, 0x5B):
 
 def counts(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-gram counts per row and the bytes counted."""
+    out, n, at, inside = np.zeros((len(texts), buckets), np.float32), np.zeros(len(texts), np.int64), 0, False
+    for b in slices(iter([pa.record_batch([texts], names=["text"])]), 0, limit=COUNT_BYTES):
+        n[at : at + b.num_rows], inside = _add_counts(b.column(0), out[at : at + b.num_rows], inside)
+        at += b.num_rows
+    return out, n
+
+
+def _add_counts(texts: pa.Array, out: np.ndarray, inside: bool) -> tuple[np.ndarray, bool]:
+    """Adds the counts of each row to ``out``; the bytes counted. ``inside``: whether the byte before the texts, and then their last one, is no blank."""
+    buckets = out.shape[1]
     raw, offsets = joined_bytes(texts)
     low = _FOLD[raw]
     if len(raw) > 1:  # capitals of the Latin-1 letters: second byte after C3
         low[1:][(raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)] += 32
     keep = low != 32
+    last = bool(keep[-1]) if len(keep) else inside
     keep[1:] |= keep[:-1]  # the first blank of a run stays
+    keep[:1] |= inside
     kept = np.concatenate(([0], np.cumsum(keep)))[offsets]
     low = low[keep].astype(np.uint32)
     n = len(low)
@@ -60,13 +74,12 @@ def counts(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndar
     three[2:] = (low[2:] + (low[1:-1] << np.uint32(8)) + (low[:-2] << np.uint32(16)) + np.uint32(1 << 25)) * np.uint32(3266489917)
     shift = np.uint32(32 - int(buckets).bit_length() + 1)
     grams = [(g >> shift).astype(np.int64) for g in (one, two, three)]
-    out = np.zeros((len(texts), buckets), np.float32)
     for r in range(len(texts)):
         a, b = int(kept[r]), int(kept[r + 1])
         for k, g in enumerate(grams):
             if b - a > k:
                 out[r] += np.bincount(g[a + k : b], minlength=buckets)
-    return out, np.diff(kept)
+    return np.diff(kept), last
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

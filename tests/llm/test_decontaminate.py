@@ -58,3 +58,11 @@ def test_removal_and_empty_tables(spark):
     assert {r.n_hit for r in contamination(d, b.limit(0)).collect()} == {0}
     long = "filler " * 100_000 + passage
     assert contamination(spark.createDataFrame([(1, long)], "doc_id int, text string"), b).first().n_hit == 11
+
+
+def test_removal_takes_one_python_worker_a_task(spark):
+    d = spark.createDataFrame([(1, "Ünd one two, three ß one two three", "e"), (2, "\u4e00 x one Two  three\n", None)], "doc_id bigint, text string, lang string")
+    b = spark.createDataFrame([(1, "one two three")], "item_id int, text string")
+    out = decontaminate(d, b, max_coverage=1.0)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "Ünd  ß ", "e"), (2, "\u4e00 x \n", None)]
