@@ -3,6 +3,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from loanforge.llm import secrets
 from loanforge.llm.queries import REG
 
@@ -53,6 +55,27 @@ def test_short_and_letter_only_tokens_are_scored(spark):
     assert f.best("ordinary") is None and f.best("sentence-like") is None
 
 
+def test_batches_give_the_spans_of_texts_and_score_a_token_once(monkeypatch):
+    rnd = random.Random(5)
+    key = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(18))
+    f = secrets.learn({"assign": [key() for _ in range(100)], "access": ["AKIA" + "".join(rnd.choice("QRSTUV789") for _ in range(16)) for _ in range(100)]})
+    bits = [key() for _ in range(6)] + ["token", "SECRET", "api_key", "paſſword", "to\u212aen", "=", ":", " ", " ", '"', "AKIA", "Z9" * 8, "0f" * 12, "é🙂", "\n", "ordinary", "sentence-like"]
+    texts = [None if i % 40 == 0 else "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14))) for i in range(600)]
+    asked, accepts, known, out = [], f.accepting(), {}, []
+    for i in range(0, len(texts), 100):
+        out += secrets.found_in(pa.array(texts, pa.string()).slice(i, 100), lambda t: asked.append(t) or accepts(t), known)
+    assert out == [secrets.spans_of(t, f) if t else [] for t in texts]
+    assert sum(s[0] == secrets.LEARNED for spans in out for s in spans) > 100
+    short = [t for t in asked if len(t) <= secrets.MEMO_LENGTH]
+    assert len(short) == len(set(short)) > 200
+    assert all(accepts(t) == (f.best(t) is not None) for t in asked)
+    # No label, no search: a text with a colon but none of the words is passed over.
+    searched = []
+    monkeypatch.setattr(secrets, "ASSIGN", type("Counted", (), {"finditer": lambda self, t: searched.append(t) or iter(())})())
+    secrets.found_in(pa.array(["plain: text", "a Token: abcdefgh", "ap: x", ""]), None, {})
+    assert searched == ["a Token: abcdefgh"]
+
+
 def test_query(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     out = REG.queries["op2_secret_scan"](spark, sf).collect()
