@@ -164,17 +164,27 @@ _ROW = ["id", "n", "s1", "s2", "comp"]
 
 
 def _nodes(rows: DataFrame, seed: int, tasks: int) -> DataFrame:
-    """``rows`` of nodes that hold more than one component, with what a node decides by; ``seed`` picks the pivots."""
+    """``rows`` of nodes that hold more than one component, with what a node decides by, and the pivots of large ones; ``seed`` picks those."""
 
     def least(j: int) -> Column:
         return F.min(F.struct(F.xxhash64(F.lit(seed * PIVOTS + j), "node", "id").alias("h"), *_ROW)).alias(f"p{j}")
 
-    parts = rows.groupBy("tree", "node", "comp").agg(F.count("*").alias("rows"), F.min("id").alias("head"), *[least(j) for j in range(PIVOTS)]).coalesce(tasks)
-    nodes = parts.groupBy("tree", "node").agg(F.sum("rows").alias("size"), F.count("*").alias("parts"), F.max(F.struct("rows", "comp")).alias("top"), F.min("head").alias("head"), *[F.min(f"p{j}").alias(f"p{j}") for j in range(PIVOTS)])
-    nodes = nodes.where("parts > 1").select("tree", "node", "size", "top", "head", F.array(*[f"p{j}" for j in range(PIVOTS)]).alias("pivots")).coalesce(tasks)
+    parts = rows.groupBy("tree", "node", "comp").agg(F.count("*").alias("rows"), F.min("id").alias("head")).coalesce(tasks)
+    nodes = parts.groupBy("tree", "node").agg(F.sum("rows").alias("size"), F.count("*").alias("parts"), F.max(F.struct("rows", "comp")).alias("top"), F.min("head").alias("head"))
+    nodes = nodes.where("parts > 1").select("tree", "node", "size", "top", "head").coalesce(tasks)
     both = rows.join(nodes, ["tree", "node"]).withColumn("few", F.col("size") - F.col("top.rows") <= SMALL)
-    both = both.withColumn("pivots", F.when(~F.col("few"), F.col("pivots")))
-    return stored(both.select("tree", "node", *_ROW, "size", "top", "head", "pivots", "few").coalesce(tasks), "nodes", drop_shuffle=True)
+    open_ = stored(both.select("tree", "node", *_ROW, "size", "top", "head", "few").coalesce(tasks), "open", drop_shuffle=True)
+    # Pivots are six rows for each row of a node until the last shuffle: only large nodes, which use them, are asked.
+    large = open_.where(~F.col("few"))
+    some = _tasks(rows_of := large.count())
+    pivots = large.groupBy("tree", "node").agg(*[least(j) for j in range(PIVOTS)]).select("tree", "node", F.array(*[f"p{j}" for j in range(PIVOTS)]).alias("pivots")).coalesce(some)
+    out = open_.where("few").withColumn("pivots", F.lit(None).cast(pivots.schema["pivots"].dataType))
+    if rows_of == 0:
+        out._stored_at = open_._stored_at
+        return out
+    out = stored(out.unionByName(large.join(pivots, ["tree", "node"])).coalesce(tasks), "nodes", drop_shuffle=True)
+    discard(open_)
+    return out
 
 
 def _met(nodes: DataFrame, percent: int) -> DataFrame:
@@ -406,8 +416,9 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
     rows_at, sets = stored(_dealt(reps, 0, own), "dealt"), None
     before = rows_at
     for r in range(ROUNDS):
-        nodes = _nodes(_labelled(rows_at, label, "id", "comp"), r, _tasks(rows_at.count()))
-        pairs = stored(best_pairs(nodes, percent), "pairs", drop_shuffle=True)
+        tasks = _tasks(rows_at.count())
+        nodes = _nodes(_labelled(rows_at, label, "id", "comp"), r, tasks)
+        pairs = stored(best_pairs(nodes, percent).coalesce(tasks), "pairs", drop_shuffle=True)
         # Components only grow: a node of one component is done, so later rounds read what this one found.
         discard(before)
         rows_at = before = nodes
@@ -417,7 +428,8 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
         label = grown(label, linked(pairs, sets, percent))
         discard(pairs)
     for level in range(1, MAX_LEVELS + 1):
-        nodes = _nodes(_labelled(rows_at, label, "id", "comp"), ROUNDS + level, _tasks(rows_at.count()))
+        tasks = _tasks(rows_at.count())
+        nodes = _nodes(_labelled(rows_at, label, "id", "comp"), ROUNDS + level, tasks)
         small, dense, large = nodes.where(F.col("size") <= SMALL), nodes.where(F.col("size") > SMALL), None
         dense = None if dense.isEmpty() else dense
         if dense is not None:
@@ -425,7 +437,7 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
             # All sets of a joint group are compared, whatever their nodes.
             met = groups.where("tree = -1").select("id", F.col("node").alias("met")).distinct()
             small = small.join(met, "id", "left").unionByName(large.withColumn("met", F.lit(None).cast("bigint")))
-        pairs = stored(all_pairs(small, percent), "pairs", drop_shuffle=True)
+        pairs = stored(all_pairs(small, percent).coalesce(tasks), "pairs", drop_shuffle=True)
         found, ids = [], []
         if not pairs.isEmpty():
             found.append(lambda sets: linked(pairs, sets, percent))

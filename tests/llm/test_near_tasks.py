@@ -55,3 +55,22 @@ def test_groups_and_cells_in_one_task_or_several(spark, many_partitions, files,
     if rows == 50_000:
         of = ("nodes", "cells", "edges", "groups", "members", "dense", "large")
         assert max(n for name, n in files if name in of) == 1
+
+
+def test_only_large_nodes_are_asked_for_pivots(spark, monkeypatch):
+    plans, real = [], near.stored
+    monkeypatch.setattr(near, "stored", lambda df, *args, **more: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, *args, **more))
+    schema = "tree int, node bigint, id bigint, n bigint, s1 bigint, s2 bigint, comp bigint"
+    row = lambda node, i: (0, node, i, 9, i * 7, i * 11, i)
+    small = [row(node, 10 * node + i) for node in range(1, 20) for i in range(3)] + [row(50, 900), row(51, 901)]
+    out = near._nodes(spark.createDataFrame(small, schema), 1, 1).collect()
+    assert len(out) == 57 and all(r.few and r.pivots is None and r.size == 3 for r in out)
+    assert plans and not any("xxhash64" in p for p in plans)
+    size = near.SMALL + 30
+    df = spark.createDataFrame(small + [row(99, 1000 + i) for i in range(size)], schema)
+    out = near._nodes(df, 1, 1).collect()
+    large = [r for r in out if r.node == 99]
+    assert len(out) == 57 + size and len(large) == size and all(r.pivots is None for r in out if r.node != 99)
+    hashed = df.where("node = 99").select("id", *[near.F.xxhash64(near.F.lit(near.PIVOTS + j), "node", "id").alias(f"h{j}") for j in range(near.PIVOTS)]).collect()
+    want = [min((r[f"h{j}"], r.id) for r in hashed)[1] for j in range(near.PIVOTS)]
+    assert all([p.id for p in r.pivots] == want and r.size == size and not r.few for r in large)
