@@ -20,7 +20,7 @@ from loanforge.operators.ordering import (
     typed_order_statistic,
     average_ranks,
     exact_quantiles,
-    feature_ladder,
+    feature_aucs,
     order_statistics,
     score_ladder,
 )
@@ -474,10 +474,8 @@ def univariate_gini(df: DataFrame, numeric_cols: Sequence[str], y: str = "y") ->
     filled = df.select(
         F.col(y), *[F.coalesce(F.col(c).cast("double"), F.lit(medians[c][0] if medians[c][0] is not None else 0.0)).alias(c) for c in numeric_cols]
     )
-    lad = feature_ladder(filled, list(numeric_cols), y)
-    if len(numeric_cols) == 1 and "feature" not in lad.columns:
-        lad = lad.withColumn("feature", F.lit(numeric_cols[0]))
-    return lad.groupBy("feature").agg(auc_column().alias("auc")).select(
+    rows = list(feature_aucs(filled, list(numeric_cols), y).items())
+    return df.sparkSession.createDataFrame(rows, "feature string, auc double").select(
         "feature", F.round(F.abs(2 * F.col("auc") - 1), 4).alias("gini")
     )
 

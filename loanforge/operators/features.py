@@ -6,11 +6,13 @@ Column expressions on any other frame.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,16 +143,69 @@ def apply_bucketers(df: DataFrame, specs: Mapping[str, Bucketer], suffix: str =
     return detach_all(attach_all(df, tables).withColumns({c + suffix: s.code(F.col(c)) for c, s in specs.items()}), tables)
 
 
-def woe_cells(df: DataFrame, buckets: Mapping[str, Column], y: str = "y") -> DataFrame:
-    """``(feature, bucket, good, bad)`` of many columns: one unpivot, one shuffle of bucket counts."""
-    items = [F.struct(F.lit(c).alias("feature"), b.cast("string").alias("bucket")) for c, b in buckets.items()]
-    return (
-        df.where(F.col(y).isNotNull())
-        .select(F.col(y).cast("int").alias("__y"), F.explode(F.array(*items)).alias("s"))
-        .select("__y", "s.*")
-        .groupBy("feature", "bucket")
-        .agg(F.sum(1 - F.col("__y")).alias("good"), F.sum("__y").alias("bad"))
-    )
+def woe_cells(df: DataFrame, buckets: Mapping[str, Column | Bucketer], y: str = "y") -> DataFrame:
+    """``(feature, bucket, good, bad)`` of many columns.
+
+    Bucket expressions are unpivoted and grouped in one shuffle of bucket counts. Bucketers without a code table
+    are counted batch by batch instead, so only their cells leave a task.
+    """
+    coded = {c: b for c, b in buckets.items() if isinstance(b, Bucketer) and b.table is None}
+    items = [F.struct(F.lit(c).alias("feature"), (b.code(F.col(c)) if isinstance(b, Bucketer) else b).cast("string").alias("bucket")) for c, b in buckets.items() if c not in coded]
+    parts = [bucketer_cells(df, coded, y)] if coded else []
+    if items:
+        parts.append(
+            df.where(F.col(y).isNotNull())
+            .select(F.col(y).cast("int").alias("__y"), F.explode(F.array(*items)).alias("s"))
+            .select("__y", "s.*")
+            .groupBy("feature", "bucket")
+            .agg(F.sum(1 - F.col("__y")).alias("good"), F.sum("__y").alias("bad"))
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def bucketer_cells(df: DataFrame, specs: Mapping[str, Bucketer], y: str = "y") -> DataFrame:
+    """Cells of bucketers as :func:`woe_cells` gives them: codes of an Arrow batch at once, as :meth:`Bucketer.code` gives them."""
+    names, kinds = list(specs), list(specs.values())
+
+    def handed(c: str, s: Bucketer) -> Column:
+        if s.kind == "category":
+            return s.code(F.col(c))
+        x = F.col(c).cast("double")
+        return x if s.edges else F.round(x, 6)
+
+    def codes(x: pa.Array, s: Bucketer) -> np.ndarray:
+        missing = x.is_null().to_numpy(zero_copy_only=False)
+        v = x.to_numpy(zero_copy_only=False)
+        if s.kind == "category":
+            return v
+        if s.edges:
+            out = np.searchsorted(np.array(s.edges[1:-1], dtype=float), v, side="left")
+        else:
+            out = np.full(len(v), UNSEEN_CODE)
+            for i, k in reversed(list(enumerate(s.values))):
+                out[np.isnan(v) if k != k else v == k] = i
+        return np.where(missing, MISSING_CODE, out)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [np.zeros(0) for _ in names]
+        bad = [np.zeros(0) for _ in names]
+        for batch in batches:
+            target = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, s in enumerate(kinds):
+                at = codes(batch.column(i + 1), s) - MISSING_CODE
+                size = max(len(n[i]), int(at.max(initial=0)) + 1)
+                n[i], bad[i] = (np.pad(x, (0, size - len(x))) for x in (n[i], bad[i]))
+                n[i] += np.bincount(at, minlength=size)
+                bad[i] += np.bincount(at, weights=target, minlength=size)
+        held = [np.flatnonzero(x) for x in n]
+        f = np.repeat(np.arange(len(names), dtype=np.int32), [len(h) for h in held])
+        pick = lambda xs: np.concatenate([x[h] for x, h in zip(xs, held)]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array((np.concatenate(held) + MISSING_CODE).astype(np.int32)), pa.array(pick(n)), pa.array(pick(bad))], names=["f", "b", "n", "bad"])
+
+    rows = df.where(F.col(y).cast("int").isNotNull()).select(F.col(y).cast("int").alias("__y"), *[handed(c, s).alias(f"v{i}") for i, (c, s) in enumerate(specs.items())])
+    cells = rows.mapInArrow(counted, "f int, b int, n bigint, bad bigint").groupBy("f", "b").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    feature = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("f") + 1)
+    return cells.select(feature.alias("feature"), F.col("b").cast("string").alias("bucket"), (F.col("n") - F.col("bad")).alias("good"), "bad")
 
 
 def woe_table(cells: DataFrame) -> DataFrame:
@@ -175,7 +230,7 @@ def information_value(
 ) -> DataFrame:
     """IV of every column; categories need no list, so any cardinality works."""
     specs = fit_numeric_bucketers(df, numeric, max_bins)
-    buckets = {c: s.code(F.col(c)) for c, s in specs.items()}
+    buckets: dict[str, Column | Bucketer] = dict(specs)
     buckets |= {c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LABEL)) for c in categorical}
     return iv_table(woe_cells(df, buckets, y))
 
@@ -196,7 +251,7 @@ def information_value_unsmoothed(df: DataFrame, numeric: Sequence[str], y: str =
 def binned_mutual_information(df: DataFrame, numeric: Sequence[str], y: str = "y", max_bins: int = 5) -> DataFrame:
     """Plug-in mutual information on quantile buckets (not the nearest-neighbour estimate)."""
     specs = fit_numeric_bucketers(df, numeric, max_bins)
-    cells = woe_cells(df, {c: s.code(F.col(c)) for c, s in specs.items()}, y)
+    cells = woe_cells(df, specs, y)
     w = Window.partitionBy("feature")
     whole = cells.withColumns({"tg": F.sum("good").over(w), "tb": F.sum("bad").over(w)})
     sides = [
@@ -331,7 +386,7 @@ def fit_woe(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y
     maps: dict[str, dict[int, float]] = {c: {} for c in specs}
     iv: dict[str, float] = {c: wide[c][1] if c in wide else 0.0 for c in specs}
     if narrow:
-        table = woe_table(woe_cells(df, {c: s.code(F.col(c)) for c, s in narrow.items()}, y)).collect()  # columns x buckets
+        table = woe_table(woe_cells(df, narrow, y)).collect()  # columns x buckets
         for r in table:
             maps[r["feature"]][int(r["bucket"])] = r["woe"]
             iv[r["feature"]] += r["iv_part"]

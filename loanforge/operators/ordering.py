@@ -11,17 +11,22 @@ one row by the time anything is ordered.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Values one task may order by itself; below it a single bucket is enough.
 ROWS_PER_BUCKET = 1_000_000
+# Values about a wanted rank that are ordered, when a column has more than ten times as many.
+ROWS_PER_RANK = 20_000
 MAX_BUCKETS = 8192
 # Values (rows x columns) for which Spark's own exact percentile is used.
-DIRECT_PERCENTILE_VALUES = 4_000_000
+DIRECT_PERCENTILE_VALUES = 500_000
 SAMPLE_PER_BUCKET = 200
 
 
@@ -72,6 +77,30 @@ def non_null_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     return df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first().asDict()
 
 
+def _column_values(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    """Non-null values of a float column; NaN stays."""
+    return batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+
+
+def _rows_of_ranges(values: DataFrame, edges: Sequence[np.ndarray]) -> dict[int, dict[int, int]]:
+    """Non-null values per column and range, counted batch by batch; one small row per task, column and range."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = [np.zeros(len(e) + 1, dtype=np.int64) for e in edges]
+        for batch in batches:
+            for i, e in enumerate(edges):
+                sizes[i] += np.bincount(np.searchsorted(e, _column_values(batch, i), side="right"), minlength=len(e) + 1)
+        held = [np.flatnonzero(n) for n in sizes]
+        f = np.repeat(np.arange(len(edges), dtype=np.int32), [len(b) for b in held])
+        n = np.concatenate([n[b] for n, b in zip(sizes, held)])
+        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.concatenate(held).astype(np.int32)), pa.array(n)], names=["f", "b", "n"])
+
+    out: dict[int, dict[int, int]] = {i: {} for i in range(len(edges))}
+    for r in values.mapInArrow(counted, "f int, b int, n bigint").groupBy("f", "b").agg(F.sum("n").alias("n")).collect():  # at most columns x MAX_BUCKETS rows
+        out[r["f"]][r["b"]] = r["n"]
+    return out
+
+
 def order_statistics(
     df: DataFrame,
     ranks: Mapping[str, Sequence[int]],
@@ -80,62 +109,61 @@ def order_statistics(
 ) -> dict[tuple[str, int], float]:
     """Exact value at each 0-based rank of each column (nulls excluded).
 
-    Two narrow scans and no full shuffle: rows per bucket are counted, then only
-    the buckets that hold a wanted rank are grouped by value and ranked.
+    Two narrow scans and no full shuffle: values per range are counted, then only
+    the ranges that hold a wanted rank leave the scan, to be grouped by value and
+    ranked. Ranges are looked up per Arrow batch, so the work per value does not
+    grow with the number of columns and ranks asked for.
     """
     cols = [c for c in ranks if ranks[c]]
     if not cols:
         return {}
     counts = counts or non_null_counts(df, cols)
-    cuts = order_cuts(df.select(*cols), cols, counts, rows_per_bucket)
-    bucketed = with_buckets(df.select(*cols), cuts)
-    longest = max(len(v) for v in cuts.values()) + 1
-    long = bucketed.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v"), F.col(c + "__b").alias("b"))
-                    for c in cols
-                ]
-            )
-        ).alias("s")
-    ).select("s.*").where("v is not null")
-    if longest > 1:
-        sizes: dict[str, dict[int, int]] = {c: {} for c in cols}
-        for r in long.groupBy("f", "b").count().collect():  # at most columns x MAX_BUCKETS rows
-            sizes[r["f"]][r["b"]] = r["count"]
-    else:
-        sizes = {c: {0: counts[c]} for c in cols}
-    base: dict[tuple[str, int], int] = {}
+    if rows_per_bucket is None and max(counts[c] for c in cols) > 10 * ROWS_PER_RANK:
+        rows_per_bucket = ROWS_PER_RANK
+    cuts = order_cuts(df.select(*cols), cols, {c: counts[c] for c in cols}, rows_per_bucket)
+    values = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    edges = [np.array(cuts[c], dtype=float) for c in cols]
+    sizes = _rows_of_ranges(values, edges) if any(map(len, edges)) else {i: {0: counts[c]} for i, c in enumerate(cols)}
+    base: dict[tuple[int, int], int] = {}
     wanted = []
-    for c in cols:
+    for i, c in enumerate(cols):
         done = 0
-        for b in sorted(sizes[c]):
-            size = sizes[c][b]
-            hits = [r for r in set(ranks[c]) if done <= r < done + size]
+        for b in sorted(sizes[i]):
+            size = sizes[i][b]
+            hits = sorted(r - done for r in set(ranks[c]) if done <= r < done + size)
             if hits:
-                base[(c, b)] = done
-                wanted.append((c, b, [r - done for r in hits]))
+                base[(i, b)] = done
+                wanted.append((i, b, hits))
             done += size
     if not wanted:
         return {}
-    keep = F.lit(False)
-    local: Column = F.lit(None).cast("array<bigint>")
-    for c, b, hits in wanted:
-        match = (F.col("f") == c) & (F.col("b") == b)
-        keep = keep | match
-        local = F.when(match, F.array(*[F.lit(int(h)).cast("bigint") for h in hits])).otherwise(local)
+    asked = [np.zeros(len(e) + 1, dtype=bool) for e in edges]
+    for i, b, _ in wanted:
+        asked[i][b] = True
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, e in enumerate(edges):
+                v = _column_values(batch, i)
+                b = np.searchsorted(e, v, side="right")
+                keep = asked[i][b]
+                if keep.any():
+                    b = b[keep].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), i, dtype=np.int32)), pa.array(b), pa.array(v[keep])], names=["f", "b", "v"])
+
     w = Window.partitionBy("f", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = df.sparkSession.createDataFrame(wanted, "f int, b int, hits array<bigint>")
     found = (
-        long.where(keep)
+        values.mapInArrow(held, "f int, b int, v double")
         .groupBy("f", "b", "v")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", F.sum("n").over(w))
-        .withColumn("hit", F.explode(F.filter(local, lambda h: (h < F.col("upto")) & (h >= F.col("upto") - F.col("n")))))
+        .join(F.broadcast(local), ["f", "b"])  # one row per range that holds a wanted rank
+        .withColumn("hit", F.explode(F.filter("hits", lambda h: (h < F.col("upto")) & (h >= F.col("upto") - F.col("n")))))
         .select("f", "b", "hit", "v")
         .collect()  # one row per wanted rank
     )
-    return {(r["f"], base[(r["f"], r["b"])] + r["hit"]): r["v"] for r in found}
+    return {(cols[r["f"]], base[(r["f"], r["b"])] + r["hit"]): r["v"] for r in found}
 
 
 def typed_order_statistic(df: DataFrame, col: str, rank: int, rows_at_once: int = 1_000_000, cuts: int = 100):
@@ -303,6 +331,82 @@ def feature_ladder(
     return out.select(*keys, "score", "pos", "neg", "cum_pos", "cum_neg", "tot_pos", "tot_neg")
 
 
+# Rows that a task sorts and merges at once before values leave it.
+ROWS_PER_BLOB = 200_000
+
+
+def feature_aucs(df: DataFrame, cols: Sequence[str], y: str = "y", rows_per_bucket: int | None = None) -> dict[str, float | None]:
+    """Rank AUC of several numeric columns over their non-null values, ties counted half; None for a single class.
+
+    The same numbers as :func:`feature_ladder` gives. Values travel as sorted
+    arrays with equal values merged, one per task, column and order bucket;
+    buckets are merged by themselves and meet on the driver as three counts each.
+    """
+    cols = list(cols)
+    if not cols:
+        return {}
+    slim = df.where(F.col(y).cast("int").isNotNull()).select(F.col(y).cast("int").alias("__y"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    places = [f"v{i}" for i in range(len(cols))]
+    cuts = order_cuts(slim, places, non_null_counts(slim, places), rows_per_bucket)
+    edges = [np.array(cuts[c], dtype=float) for c in places]
+
+    def merged(v: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(v)  # NaN last
+        v = v[order]
+        new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))])
+        return v[new], np.add.reduceat(pos[order], new), np.add.reduceat(n[order], new)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blobs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            whole = t.column(0).to_numpy().astype(np.int64)
+            rows: dict[str, list] = {"f": [], "b": [], "v": [], "pos": [], "n": []}
+            for i, e in enumerate(edges):
+                c = t.column(i + 1).combine_chunks()
+                v = c.drop_null().to_numpy(zero_copy_only=False)
+                if not len(v):
+                    continue
+                pos = whole if len(v) == len(whole) else whole[c.is_valid().to_numpy(zero_copy_only=False)]
+                v, pos, n = merged(v, pos, np.ones(len(v), dtype=np.int64))
+                ends = [0, *np.searchsorted(v, e, side="left"), len(v)]
+                for b, (lo, hi) in enumerate(zip(ends, ends[1:])):
+                    if lo < hi:
+                        for k, x in zip(("f", "b", "v", "pos", "n"), (i, b, v[lo:hi].tobytes(), pos[lo:hi].tobytes(), n[lo:hi].tobytes())):
+                            rows[k].append(x)
+            return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("f", pa.int32()), ("b", pa.int32()), ("v", pa.binary()), ("pos", pa.binary()), ("n", pa.binary())]))
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= ROWS_PER_BLOB:
+                yield blobs(held)
+                held = []
+        if held:
+            yield blobs(held)
+
+    def met(part: pd.DataFrame) -> pd.DataFrame:
+        v = np.frombuffer(b"".join(part["v"]), dtype=float)
+        pos, n = (np.frombuffer(b"".join(part[k]), dtype=np.int64) for k in ("pos", "n"))
+        _, pos, n = merged(v, pos, n)
+        neg = n - pos
+        above = np.cumsum(pos[::-1])[::-1]
+        won = float(np.sum(neg * (above - pos * 0.5)))
+        return pd.DataFrame({"f": [part["f"].iat[0]], "b": [part["b"].iat[0]], "pos": [int(pos.sum())], "neg": [int(neg.sum())], "won": [won]})
+
+    blobs = slim.mapInArrow(packed, "f int, b int, v binary, pos binary, n binary")
+    found = blobs.groupBy("f", "b").applyInPandas(met, "f int, b int, pos bigint, neg bigint, won double").collect()  # columns x buckets
+    out: dict[str, float | None] = {}
+    for i in sorted({r["f"] for r in found}):
+        above, pairs_neg, won = 0, 0, 0.0
+        for r in sorted((r for r in found if r["f"] == i), key=lambda r: -r["b"]):
+            won += r["won"] + float(r["neg"]) * above
+            above += r["pos"]
+            pairs_neg += r["neg"]
+        pairs = float(above) * pairs_neg
+        out[cols[i]] = won / pairs if pairs > 0 else None
+    return out
+
+
 def average_ranks(df: DataFrame, col: str, n: str = "n", rows_per_bucket: int | None = None) -> DataFrame:
     """``(col, avg_rank, tot_n)`` per distinct value of a frame holding (col, n) counts, ties at mid-rank."""
     counts = {col: df.agg(F.count(col)).first()[0]}

@@ -7,9 +7,12 @@ report; per-value work goes through one map-side-combined ``groupBy(feature, val
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -171,16 +174,85 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], digits: int = 4, chunk
     return out
 
 
+class PairMoments:
+    """Counts, means and centred second moments of every column pair over the rows where both are present."""
+
+    def __init__(self, d: int):
+        self.n, self.mean, self.m2, self.c = (np.zeros((d, d)) for _ in range(4))  # mean and m2 of the row's column
+
+    def add(self, n: np.ndarray, mean: np.ndarray, m2: np.ndarray, c: np.ndarray, back: np.ndarray | None = None, other: np.ndarray | None = None) -> None:
+        """Merge moments of other rows; ``other`` and ``back`` are the means of the column's column here and there (default: transposed)."""
+        total = self.n + n
+        share = n / np.maximum(total, 1.0)
+        delta = np.where(self.n > 0, mean - self.mean, 0.0)
+        across = delta.T if back is None else np.where(self.n > 0, back - other, 0.0)
+        self.c = self.c + c + delta * across * self.n * share
+        self.m2 = self.m2 + m2 + delta * delta * self.n * share
+        self.mean = np.where(self.n > 0, self.mean + delta * share, mean)
+        self.n = total
+
+    def add_rows(self, x: np.ndarray, there: np.ndarray) -> None:
+        """Merge the rows of a block; ``there`` is false for nulls."""
+        odd = there & ~np.isfinite(x)
+        fine = np.where(there & ~odd, x, np.nan)
+        shift = np.array([np.median(v[~np.isnan(v)]) if (~np.isnan(v)).any() else 0.0 for v in fine.T])
+        z, m = np.nan_to_num(fine - shift), there.astype(float)
+        n, s, q = m.T @ m, z.T @ m, (z * z).T @ m
+        at = np.maximum(n, 1.0)
+        mean, m2, c = shift[:, None] + s / at, np.maximum(q - s * s / at, 0.0), z.T @ z - s * s.T / at
+        for i, j in zip(*np.nonzero((m2 <= 1e-9 * q) & (q > 0))):  # one value on the rows of the pair has no spread at all
+            v = x[there[:, i] & there[:, j], i]
+            if (v == v[0]).all():
+                mean[i, j], m2[i, j], c[i, j], c[j, i] = v[0], 0.0, 0.0, 0.0
+        if odd.any():
+            bad = (odd.T.astype(float) @ m) > 0
+            m2[bad] = np.nan
+            c[bad | bad.T] = np.nan
+        self.add(n, mean, m2, c)
+
+
 def correlation_values(df: DataFrame, cols: Sequence[str]) -> dict[tuple[str, str], float | None]:
-    """Unrounded correlations as driver values (columns squared, not rows)."""
-    pairs = list(combinations(cols, 2))
-    out: dict[tuple[str, str], float | None] = {}
-    for i in range(0, len(pairs), 300):
-        part = pairs[i : i + 300]
-        r = df.agg(*[safe_corr(F.col(x).cast("double"), F.col(y).cast("double")).alias(f"r{j}") for j, (x, y) in enumerate(part)]).first()
-        for j, (x, y) in enumerate(part):
-            v = r[j]
-            out[(x, y)] = out[(y, x)] = None if v is None or v != v else v
+    """Unrounded correlations as driver values (columns squared, not rows); pairwise complete, None for a column without spread.
+
+    One scan: the moments of all pairs are matrix products per Arrow batch, a task hands on one row per column, and
+    these rows are merged column by column.
+    """
+    cols = list(cols)
+    d = len(cols)
+    out: dict[tuple[str, str], float | None] = {(x, y): None for x in cols for y in cols if x != y}
+    if d < 2:
+        return out
+    parts = ("n", "mean", "back", "m2", "away", "c")
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = PairMoments(d)
+        for b in batches:
+            if b.num_rows:
+                x = np.column_stack([v.to_numpy(zero_copy_only=False) for v in b.columns])
+                whole.add_rows(x, np.column_stack([v.is_valid().to_numpy(zero_copy_only=False) for v in b.columns]))
+        if whole.n.any():
+            found = (whole.n, whole.mean, whole.mean.T, whole.m2, whole.m2.T, whole.c)
+            yield pa.RecordBatch.from_pydict({"i": pa.array(range(d), pa.int32())} | {k: pa.array([list(r) for r in v], pa.list_(pa.float64())) for k, v in zip(parts, found)})
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        one, two = PairMoments(1), PairMoments(1)  # of the row's column and of the others; arrays of pairs
+        for _, r in rows.iterrows():
+            n, mean, back, m2, away, c = (np.asarray(r[k], dtype=float) for k in parts)
+            here, there = one.mean, two.mean
+            one.add(n, mean, m2, c, back, there)
+            two.add(n, back, away, c, mean, here)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread = np.sqrt(one.m2 / one.n * (two.m2 / two.n))
+            r = np.where(spread == 0, np.nan, one.c / one.n / spread)
+        return pd.DataFrame({"i": [rows["i"].iat[0]], "r": [r.reshape(-1)]})
+
+    values = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    moments = values.mapInArrow(gathered, "i int, " + ", ".join(f"{k} array<double>" for k in parts))
+    for row in moments.groupBy("i").applyInPandas(merged, "i int, r array<double>").collect():
+        for j, v in enumerate(row["r"]):
+            if row["i"] < j:
+                x, y = cols[row["i"]], cols[j]
+                out[(x, y)] = out[(y, x)] = None if v is None or v != v else v
     return out
 
 

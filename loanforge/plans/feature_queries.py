@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loanforge.operators import features as fe
 from loanforge.operators import splits
 from loanforge.operators.evaluate import univariate_gini
+from loanforge.operators.models import cached
 from loanforge.operators.profile import high_correlation
 from loanforge.plans.data_queries import corr_sql, union
 from loanforge.plans.fixtures import CATEGORICAL, FEATURES, NUMERIC, feature_table
@@ -201,10 +202,10 @@ def _(spark, d):
 
 @REG.query("g14_redundancy_filter")
 def _(spark, d):
-    f = feature_table(spark, d)
-    woe, iv = fe.fit_woe(f, NUMERIC, CATEGORICAL)
-    cands = fe.interaction_candidates(NUMERIC, CATEGORICAL, iv, {c: len(woe.specs[c].categories) for c in CATEGORICAL})
-    kept = fe.select_interactions(f, cands, woe, NUMERIC, min_iv=0.0)
+    with cached(feature_table(spark, d).select("y", *NUMERIC, *CATEGORICAL)) as f:
+        woe, iv = fe.fit_woe(f, NUMERIC, CATEGORICAL)
+        cands = fe.interaction_candidates(NUMERIC, CATEGORICAL, iv, {c: len(woe.specs[c].categories) for c in CATEGORICAL})
+        kept = fe.select_interactions(f, cands, woe, NUMERIC, min_iv=0.0)
     rows = [(i.name, i.a, i.b, i.kind, float(i.iv), float(i.gini or 0.0)) for i in kept]
     return spark.createDataFrame(rows, "name string, feature_a string, feature_b string, kind string, iv double, gini double")
 
