@@ -7,8 +7,6 @@ from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +16,7 @@ from loanforge.functions.expressions import bin_right_closed, corrected_skew
 from loanforge.operators.chained import ChainedPlan, apply_chained, fit_chained
 from loanforge.operators.codes import CodeTable, attach_all, detach_all, fit_code_table, split_wide, wide_columns
 from loanforge.operators.features import EPS, woe_cells
+from loanforge.operators.neighbours import nearest_by_vector
 from loanforge.operators.ordering import exact_quantiles
 from loanforge.operators.profile import (
     categorical_analysis,
@@ -147,11 +146,6 @@ def fill_constants(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(v))) for c, v in values.items()})
 
 
-# Rows of a donor block and of a query block of nearest-neighbour imputation; every pair of blocks is one group.
-DONORS_PER_BLOCK = 50_000
-QUERIES_PER_BLOCK = 10_000
-
-
 @dataclass(frozen=True)
 class KnnPlan:
     """Standardising constants and the train table whose rows are the donors."""
@@ -177,72 +171,24 @@ def fit_knn(train: DataFrame, cols: Sequence[str], targets: Sequence[str], k: in
     return KnnPlan(tuple(cols), tuple(targets), mean, sd, train.select(*cols), k)
 
 
-def nearest_donors(q: np.ndarray, donors: np.ndarray, target: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distance over shared coordinates and target of the ``k`` nearest donors; infinite when not comparable."""
-    ok = donors[~np.isnan(donors[:, target])]
-    m = min(k, len(ok))
-    dist, value = np.full((len(q), m), np.inf), np.zeros((len(q), m))
-    block = max(1, 2_000_000 // max(1, len(ok)))
-    for i in range(0, len(q) if m else 0, block):
-        part = q[i : i + block]
-        d2, shared = np.zeros((len(part), len(ok))), np.zeros((len(part), len(ok)))
-        for c in range(q.shape[1]):
-            d = part[:, c, None] - ok[None, :, c]
-            both = ~np.isnan(d)
-            d2 += np.where(both, d * d, 0.0)
-            shared += both
-        d2 = np.where(shared > 0, d2 * q.shape[1] / np.maximum(shared, 1.0), np.inf)
-        near = np.argpartition(d2, m - 1, axis=1)[:, :m]
-        dist[i : i + block], value[i : i + block] = np.take_along_axis(d2, near, axis=1), ok[near, target]
-    return dist, value
-
-
 def apply_knn(df: DataFrame, plan: KnnPlan) -> DataFrame:
-    """Fill the null targets with the mean of the nearest donors.
+    """Fill the null targets with the mean of the nearest donors, of equally near ones those of smallest value.
 
-    Different value vectors with a gap are dealt into blocks, the donors into
-    others; each pair of blocks keeps its own best, and the best of all donor
-    blocks are merged per vector. No side is collected or bounded in size.
+    Different value vectors with a gap are searched once each, against the cells
+    of donors that can hold a nearest one. No side is collected or bounded in size.
     """
     targets, k = plan.targets, plan.k
-    at = {t: plan.cols.index(t) for t in targets}
     gap = F.lit(False)
     for t in targets:
         gap = gap | F.col(t).isNull()
-    vectors = df.where(gap).select(plan.standardised(df).alias("q")).distinct()
-    # Of equal donors no more than k can be among the nearest k.
-    donors = plan.donors.select(plan.standardised(plan.donors).alias("d")).groupBy("d").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"))
-    donors = donors.select("d", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    n_q, n_d = vectors.count(), donors.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    q_blocks = max(1, -(-n_q // QUERIES_PER_BLOCK), min(cores, n_q // 200))
-    d_blocks = max(1, -(-n_d // DONORS_PER_BLOCK))
-
-    def dealt(x: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        block = F.pmod(F.xxhash64(*x.columns), F.lit(n)).cast("int")
-        return x.select(x.columns[0], block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
-
-    def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"q": [], "t": [], "best": []}
-        if len(q) and len(d):
-            mq, md = np.array(q["q"].tolist(), dtype=float), np.array(d["d"].tolist(), dtype=float)
-            for t, j in at.items():
-                rows = np.flatnonzero(np.isnan(mq[:, j]))
-                dist, value = nearest_donors(mq[rows], md, j, k)
-                out["q"] += [mq[r].tolist() for r in rows]
-                out["t"] += [t] * len(rows)
-                out["best"] += [[{"d": float(a), "v": float(b)} for a, b in zip(x, y) if np.isfinite(a)] for x, y in zip(dist, value)]
-        return pd.DataFrame(out)
-
-    cells = dealt(vectors, "b", q_blocks, "c", d_blocks).groupBy("b", "c").cogroup(dealt(donors, "c", d_blocks, "b", q_blocks).groupBy("b", "c"))
-    best = cells.applyInPandas(meet, "q array<double>, t string, best array<struct<d:double,v:double>>")
-    best = best.withColumn("q", F.transform("q", lambda x: F.coalesce(x, F.lit(float("nan")))))  # pandas hands NaN back as null
-    near = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
+    places = range(len(plan.cols))
+    vectors = df.where(gap).select(plan.standardised(df).alias("q")).distinct().select(*[F.col("q")[i].alias(f"q{i}") for i in places])
+    donors = plan.donors.select(*[plan.standardised(plan.donors)[i].alias(f"d{i}") for i in places])
+    found = nearest_by_vector(vectors, donors, len(plan.cols), [plan.cols.index(t) for t in targets], k)
     mean = F.when(F.size("near") > 0, F.aggregate("near", F.lit(0.0), lambda s, x: s + x["v"]) / F.size("near")).otherwise(F.lit(0.0))
-    found = best.groupBy("q", "t").agg(near.alias("near")).select("q", "t", mean.alias("z"))
-    wide = found.groupBy("q").agg(*[F.max(F.when(F.col("t") == t, F.col("z"))).alias(f"__z_{t}") for t in targets])
+    wide = found.groupBy("w").agg(*[F.max(F.when(F.col("t") == plan.cols.index(t), mean)).alias(f"__z_{t}") for t in targets])
     typed = df.select(*[F.col(c).cast("double").alias(c) if c in plan.cols else F.col(c) for c in df.columns])
-    joined = typed.withColumn("__q", plan.standardised(typed)).join(wide.withColumnRenamed("q", "__w"), gap & (F.col("__q") == F.col("__w")), "left")
+    joined = typed.withColumn("__q", plan.standardised(typed)).join(wide.withColumnRenamed("w", "__w"), gap & (F.col("__q") == F.col("__w")), "left")
     fill = {t: F.coalesce(F.col(t), F.coalesce(F.col(f"__z_{t}"), F.lit(0.0)) * plan.sd[t] + plan.mean[t]) for t in targets}
     return joined.select(*[fill[c].alias(c) if c in fill else F.col(c) for c in df.columns])
 
