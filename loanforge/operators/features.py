@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanforge.functions.expressions import bin_right_closed, name_key
 from loanforge.operators.codes import CodeTable, attach_all, detach_all, fit_code_table, wide_columns
-from loanforge.operators.ordering import exact_quantiles
+from loanforge.operators.ordering import exact_quantiles, value_shares
 from loanforge.operators.profile import correlation_values, value_counts
 from loanforge.operators.roles import late_origin_columns, more_distinct_than, post_default_columns
 
@@ -310,7 +311,12 @@ def vif_table(df: DataFrame, cols: Sequence[str], flag_above: float = 10.0) -> D
 
 def near_constant(df: DataFrame, numeric: Sequence[str], above: float = 0.99) -> DataFrame:
     """Columns of at most one distinct value or one value on more than 99% of non-null rows."""
-    vc = value_counts(df, numeric).groupBy("feature").agg(F.count(F.lit(1)).alias("unique"), (F.max("n") / F.sum("n")).alias("share"))
+    # numbers that a double holds exactly travel as such, others as text
+    plain = [f.name for f in df.select(*numeric).schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType))]
+    rows = [(c, k, share) for c, (k, share) in value_shares(df, plain).items() if k]
+    vc = df.sparkSession.createDataFrame(rows, "feature string, unique bigint, share double")
+    if other := [c for c in numeric if c not in plain]:
+        vc = vc.unionByName(value_counts(df, other).groupBy("feature").agg(F.count(F.lit(1)).alias("unique"), (F.max("n") / F.sum("n")).alias("share")))
     names = df.sparkSession.createDataFrame([(c,) for c in numeric], "feature string")
     return names.join(vc, "feature", "left").select(
         "feature",

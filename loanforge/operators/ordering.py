@@ -11,7 +11,7 @@ one row by the time anything is ordered.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -335,26 +335,20 @@ def feature_ladder(
 ROWS_PER_BLOB = 200_000
 
 
-def feature_aucs(df: DataFrame, cols: Sequence[str], y: str = "y", rows_per_bucket: int | None = None) -> dict[str, float | None]:
-    """Rank AUC of several numeric columns over their non-null values, ties counted half; None for a single class.
+def merged_values(v: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different values in order with the sums of ``pos`` and ``n``."""
+    order = np.argsort(v)  # NaN last
+    v = v[order]
+    new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))])
+    return v[new], np.add.reduceat(pos[order], new), np.add.reduceat(n[order], new)
 
-    The same numbers as :func:`feature_ladder` gives. Values travel as sorted
-    arrays with equal values merged, one per task, column and order bucket;
-    buckets are merged by themselves and meet on the driver as three counts each.
-    """
-    cols = list(cols)
-    if not cols:
-        return {}
-    slim = df.where(F.col(y).cast("int").isNotNull()).select(F.col(y).cast("int").alias("__y"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
-    places = [f"v{i}" for i in range(len(cols))]
-    cuts = order_cuts(slim, places, non_null_counts(slim, places), rows_per_bucket)
-    edges = [np.array(cuts[c], dtype=float) for c in places]
 
-    def merged(v: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(v)  # NaN last
-        v = v[order]
-        new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))])
-        return v[new], np.add.reduceat(pos[order], new), np.add.reduceat(n[order], new)
+def value_ranges(slim: DataFrame, n_cols: int, edges: Sequence[np.ndarray], reduced: Callable[[np.ndarray, np.ndarray], dict], schema: str) -> list:
+    """``f``, ``b`` and what ``reduced`` makes of the sums and counts of the different values, in order, of every column and order bucket.
+
+    ``slim`` holds an int to be summed and ``n_cols`` float columns. Values travel as sorted arrays with equal values
+    merged, one per task, column and bucket, and a bucket is merged by itself.
+    """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blobs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -367,7 +361,7 @@ def feature_aucs(df: DataFrame, cols: Sequence[str], y: str = "y", rows_per_buck
                 if not len(v):
                     continue
                 pos = whole if len(v) == len(whole) else whole[c.is_valid().to_numpy(zero_copy_only=False)]
-                v, pos, n = merged(v, pos, np.ones(len(v), dtype=np.int64))
+                v, pos, n = merged_values(v, pos, np.ones(len(v), dtype=np.int64))
                 ends = [0, *np.searchsorted(v, e, side="left"), len(v)]
                 for b, (lo, hi) in enumerate(zip(ends, ends[1:])):
                     if lo < hi:
@@ -387,14 +381,31 @@ def feature_aucs(df: DataFrame, cols: Sequence[str], y: str = "y", rows_per_buck
     def met(part: pd.DataFrame) -> pd.DataFrame:
         v = np.frombuffer(b"".join(part["v"]), dtype=float)
         pos, n = (np.frombuffer(b"".join(part[k]), dtype=np.int64) for k in ("pos", "n"))
-        _, pos, n = merged(v, pos, n)
+        _, pos, n = merged_values(v, pos, n)
+        return pd.DataFrame({"f": [part["f"].iat[0]], "b": [part["b"].iat[0]]} | {k: [x] for k, x in reduced(pos, n).items()})
+
+    blobs = slim.mapInArrow(packed, "f int, b int, v binary, pos binary, n binary")
+    return blobs.groupBy("f", "b").applyInPandas(met, f"f int, b int, {schema}").collect()  # columns x buckets
+
+
+def feature_aucs(df: DataFrame, cols: Sequence[str], y: str = "y", rows_per_bucket: int | None = None) -> dict[str, float | None]:
+    """Rank AUC of several numeric columns over their non-null values, ties counted half; None for a single class.
+
+    The same numbers as :func:`feature_ladder` gives; buckets meet on the driver as three counts each.
+    """
+    cols = list(cols)
+    if not cols:
+        return {}
+    slim = df.where(F.col(y).cast("int").isNotNull()).select(F.col(y).cast("int").alias("__y"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    places = [f"v{i}" for i in range(len(cols))]
+    cuts = order_cuts(slim, places, non_null_counts(slim, places), rows_per_bucket)
+
+    def reduced(pos: np.ndarray, n: np.ndarray) -> dict:
         neg = n - pos
         above = np.cumsum(pos[::-1])[::-1]
-        won = float(np.sum(neg * (above - pos * 0.5)))
-        return pd.DataFrame({"f": [part["f"].iat[0]], "b": [part["b"].iat[0]], "pos": [int(pos.sum())], "neg": [int(neg.sum())], "won": [won]})
+        return {"pos": int(pos.sum()), "neg": int(neg.sum()), "won": float(np.sum(neg * (above - pos * 0.5)))}
 
-    blobs = slim.mapInArrow(packed, "f int, b int, v binary, pos binary, n binary")
-    found = blobs.groupBy("f", "b").applyInPandas(met, "f int, b int, pos bigint, neg bigint, won double").collect()  # columns x buckets
+    found = value_ranges(slim, len(cols), [np.array(cuts[c], dtype=float) for c in places], reduced, "pos bigint, neg bigint, won double")
     out: dict[str, float | None] = {}
     for i in sorted({r["f"] for r in found}):
         above, pairs_neg, won = 0, 0, 0.0
@@ -407,6 +418,23 @@ def feature_aucs(df: DataFrame, cols: Sequence[str], y: str = "y", rows_per_buck
     return out
 
 
+def value_shares(df: DataFrame, cols: Sequence[str], rows_per_bucket: int | None = None) -> dict[str, tuple[int, float | None]]:
+    """How many different non-null values each numeric column has and the share of the most frequent one."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    places = [f"v{i}" for i in range(len(cols))]
+    slim = df.select(F.lit(0).alias("__y"), *[F.col(c).cast("double").alias(p) for p, c in zip(places, cols)])
+    cuts = order_cuts(slim, places, non_null_counts(slim, places), rows_per_bucket)
+    reduced = lambda pos, n: {"k": len(n), "top": int(n.max()), "n": int(n.sum())}
+    out: dict[str, tuple[int, float | None]] = {c: (0, None) for c in cols}
+    found = value_ranges(slim, len(cols), [np.array(cuts[c], dtype=float) for c in places], reduced, "k bigint, top bigint, n bigint")
+    for i in {r["f"] for r in found}:
+        rows = [r for r in found if r["f"] == i]
+        out[cols[i]] = sum(r["k"] for r in rows), max(r["top"] for r in rows) / sum(r["n"] for r in rows)
+    return out
+
+
 def average_ranks(df: DataFrame, col: str, n: str = "n", rows_per_bucket: int | None = None) -> DataFrame:
     """``(col, avg_rank, tot_n)`` per distinct value of a frame holding (col, n) counts, ties at mid-rank."""
     counts = {col: df.agg(F.count(col)).first()[0]}

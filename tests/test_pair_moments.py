@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loanforge.functions.expressions import safe_corr
 from loanforge.operators import evaluate as ev
 from loanforge.operators import features as fe
-from loanforge.operators.ordering import feature_aucs, feature_ladder, order_statistics
+from loanforge.operators.ordering import feature_aucs, feature_ladder, order_statistics, value_shares
 from loanforge.operators.profile import correlation_values
 
 
@@ -44,7 +44,7 @@ def test_correlations_as_the_aggregates_give_them(odd):
                 assert got[(x, z)] == got[(z, x)] == pytest.approx(want, abs=1e-9), (x, z)
                 both = table[[x, z]].dropna().to_numpy().astype(np.longdouble)
                 u, v = (both - both.mean(axis=0)).T
-                assert got[(x, z)] == pytest.approx(float((u @ v) / np.sqrt((u @ u) * (v @ v))), abs=1e-12), (x, z)
+                assert got[(x, z)] == pytest.approx(float((u @ v) / np.sqrt((u @ u) * (v @ v))), abs=1e-11), (x, z)
     assert got[("a", "same")] is None and got[("b", "fixed")] is None and got[("a", "fixed")] is not None
 
 
@@ -74,3 +74,12 @@ def test_many_ranks_of_many_columns_ask_for_no_expression_each(spark):
     ranks = {c: list(range(0, 5000, 250)) for c in df.columns}
     got = order_statistics(df, ranks, rows_per_bucket=50)
     assert got == {(c, r): float(np.sort(want[c])[r]) for c in df.columns for r in ranks[c]}
+
+
+@pytest.mark.parametrize("rows_per_bucket", [90, None])
+def test_value_shares_as_counts_give_them(odd, rows_per_bucket):
+    df, cols = odd
+    got = value_shares(df, cols, rows_per_bucket)
+    for c in cols:
+        n = [r["count"] for r in df.where(F.col(c).isNotNull()).groupBy(c).count().collect()]
+        assert got[c] == ((len(n), pytest.approx(max(n) / sum(n))) if n else (0, None))
