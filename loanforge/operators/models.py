@@ -201,7 +201,8 @@ def fit_model(
         asm, est = _stages(name, columns, params, seed)
         weighted = with_class_weights(model.prepared(slim, [roles.target]).withColumnRenamed(f"__keep_{roles.target}", "label"), "label")
         table = asm.transform(weighted.withColumn("label", F.col("label").cast("double"))).select("label", "weight", "features")
-        table.persist(StorageLevel.MEMORY_AND_DISK)
+        if name not in LINEAR:  # a linear fit keeps blocks of its own
+            table.persist(StorageLevel.MEMORY_AND_DISK)
         model.pipeline = PipelineModel(stages=[asm, est.fit(table)])
         return model
     finally:
@@ -362,8 +363,10 @@ def seed_aucs(df: DataFrame, roles: Roles, name: str = "Logistic Regression", pa
     out = []
     with cached(df.select(*used(roles))) as base:
         for s in seeds:
-            train, _, test = three_way(base, roles, seed=s)
-            out.append(exact_auc(fit_model(train, roles, name, params, s, cache=False).score(test), roles.target))
+            # the key hash of a row is worked out once for all scans of a seed
+            with cached(stratified_split(base, roles.target, roles.keys, seed=s)) as split:
+                train, test = (split.where(F.col("split") == k).drop("split") for k in ("train", "test"))
+                out.append(exact_auc(fit_model(train, roles, name, params, s, cache=False).score(test), roles.target))
     return out
 
 

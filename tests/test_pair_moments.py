@@ -83,3 +83,19 @@ def test_value_shares_as_counts_give_them(odd, rows_per_bucket):
     for c in cols:
         n = [r["count"] for r in df.where(F.col(c).isNotNull()).groupBy(c).count().collect()]
         assert got[c] == ((len(n), pytest.approx(max(n) / sum(n))) if n else (0, None))
+
+
+def test_seeds_hash_their_keys_once(spark, monkeypatch):
+    from loanforge.operators import models as md
+
+    df = spark.range(400).selectExpr("id AS key", "CAST(id % 3 = 0 AS INT) AS y", "CAST(id % 17 AS DOUBLE) AS a")
+    cached_splits = []
+    whole = md.fit_model
+
+    def watched(train, *args, **kw):
+        cached_splits.append("InMemoryTableScan" in train._jdf.queryExecution().executedPlan().toString() and "md5" not in train._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0])
+        return whole(train, *args, **kw)
+
+    monkeypatch.setattr(md, "fit_model", watched)
+    assert len(md.seed_aucs(df, md.Roles("y", ("key",), ("a",)), seeds=(1, 2))) == 2
+    assert cached_splits == [True, True]
